@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .queries import scoring
+
+PARTS = (scoring,)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _part in PARTS:
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
