@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import scoring
+from .queries import scoring, stats
 
-PARTS = (scoring,)
+PARTS = (scoring, stats)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _part in PARTS:
