@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import scoring, stats, text
+from .queries import meta, scoring, stats, text
 
-PARTS = (scoring, stats, text)
+PARTS = (scoring, stats, text, meta)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _part in PARTS:
