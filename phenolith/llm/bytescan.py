@@ -6,6 +6,8 @@ per word is that of a few vector operations.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,3 +145,9 @@ def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Arra
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def process_held(key: object) -> dict:
+    """A dictionary that lives as long as the Python worker, so that its later tasks find it again."""
+    module = sys.modules.setdefault("_held_by_process", types.ModuleType("_held_by_process"))
+    return module.__dict__.setdefault("held", {}).setdefault(key, {})

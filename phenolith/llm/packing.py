@@ -9,55 +9,71 @@ size ``capacity`` bounds as well.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytescan import text_batches
+from .bytescan import process_held, text_batches
 from .storage import written
 
 CAPACITY = 4096
 END_ID = 1
 #: Rows of one length and salt that one window sorts.
 SALT_ROWS = 20_000
-CACHE = 400_000
+#: Runs held by a worker, at most.
+RUNS = 1_000_000
+#: A mark after a letter (a-z or Latin-1) and before white space.
+MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([,.])(?=[ \n])")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # -- token ids -------------------------------------------------------------------------------
 
 
-class _Encoder:
-    """Ids of texts as little-endian uint32 bytes.
-
-    No token of a tokenizer that drops white space crosses it, so the ids of a text are those of
-    its runs of other characters. The library encodes each run once while it is held; the number
-    held is bounded.
-    """
+class _Held(dict):
+    """Ids of runs of characters, as little-endian uint32 bytes; the library is asked on a miss."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.held: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        runs = [t.split() for t in texts]
-        if len(self.held) > CACHE:
-            self.held.clear()
-        new = list({w for r in runs for w in r if w not in self.held})
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.held[w] = array("I", e.ids).tobytes()
-        get = self.held.__getitem__
-        for r in runs:
-            yield b"".join(map(get, r))
+    def __missing__(self, run: bytes) -> bytes:
+        if len(self) >= RUNS:
+            self.clear()
+        self[run] = ids = array("I", self.library.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+        return ids
+
+
+def encoder(path: str) -> Callable[[bytes], bytes]:
+    """Ids of a text as little-endian uint32 bytes.
+
+    No token of a tokenizer that drops white space crosses it, so the ids of a text are those of its
+    runs of other characters. A comma or full stop between a letter and white space is a word of its
+    own, and A-Z may as well be lower-cased here, unless special strings stand in the text; that
+    makes many runs equal. What the library gave for a run is held, in bounded number, beyond the task.
+    """
+    state = process_held(("ids", path))
+    if not state:
+        state["held"] = _Held(path)
+    get = state["held"].__getitem__
+
+    def encode(text: bytes) -> bytes:
+        if b"<|" not in text:
+            text = MARK.sub(rb" \1", text.lower())
+        return b"".join(map(get, text.split()))
+
+    return encode
 
 
 def _cut(ids: bytes, capacity: int) -> Iterator[tuple[int, bytes]]:
@@ -77,12 +93,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     tail = array("I", [end_id]).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(tokenizer_path)
+        encode_text = encoder(tokenizer_path)
         for batch, data, at in text_batches(batches):
             raw = data.tobytes()
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]), strict=True):
-                for k, (start, part) in enumerate(_cut(ids + tail, capacity)):
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                for k, (start, part) in enumerate(_cut(encode_text(raw[a:b]) + tail, capacity)):
                     for column, value in zip(rows, (doc, k, start, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
