@@ -12,7 +12,7 @@ from phenolith.llm.storage import documents, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality(docs, carry=True).where("kept").select(*docs.columns)
+    return quality.quality(docs, carry=True, prefix="__q_").where("__q_kept").select(*docs.columns)
 
 
 def minhash_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A cut never leaves part of a character: what would stay of one is dropped with it.
     """
-    cut = suffix_dedup.remove_repeats(docs, with_text=True).where(F.octet_length("kept") > 0)
-    text = F.try_validate_utf8(F.decode("kept", "UTF-8"))
+    cut = suffix_dedup.remove_repeats(docs, with_text=True, prefix="__s_").where(F.octet_length("__s_kept") > 0)
+    text = F.regexp_replace(F.decode("__s_kept", "UTF-8"), "\ufffd", "")
     out = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -36,8 +36,10 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one at a source's cut is taken whole."""
-    times = mixing.mix_sources(docs, whole=True).where("taken > 0").select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("turn"))
-    return docs.join(times, "doc_id").select(*docs.columns)
+    mixed = mixing.mix_sources(docs, whole=True).where("taken > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
+    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"]))
+    return taken.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

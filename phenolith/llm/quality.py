@@ -148,16 +148,18 @@ def counts_of(data: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.nda
     ]
 
 
-def quality(docs: DataFrame, carry: bool = False) -> DataFrame:
+def quality(docs: DataFrame, carry: bool = False, prefix: str = "") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance.
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated windows. ``kept``: not
     that, and, from GUARD_WORDS words on, both distances within their limits. Null and empty texts
     have no words and fail. Rows without a language share one reference. Repeated rows are judged each.
-    ``carry`` keeps docs' other columns and text, for filtering without a join. Two scans, no shuffle of texts.
+    ``carry`` keeps docs' other columns and text, for filtering without a join, but for those of the
+    result's names; ``prefix`` goes before these names. Two scans, no shuffle of texts.
     """
     told = docs.sparkSession.sparkContext.broadcast(references(docs))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
+    names = [prefix + n for n in names]
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

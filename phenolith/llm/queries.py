@@ -80,12 +80,10 @@ OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh
-  FROM w),
-n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
-x AS (SELECT doc_id, hash(unnest(sh)) AS h FROM s),
+u AS (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS i FROM w),
+v AS (SELECT doc_id, i, concat_ws(' ', t, lead(t, 1) OVER k, lead(t, 2) OVER k, lead(t, 3) OVER k, lead(t, 4) OVER k) AS g FROM u WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+x AS (SELECT DISTINCT v.doc_id, hash(g) AS h FROM v JOIN w USING (doc_id) WHERE i <= greatest(1, len(ws) - 4)),
+n AS (SELECT w.doc_id, count(x.h)::BIGINT AS n_shingles FROM w LEFT JOIN x USING (doc_id) GROUP BY w.doc_id),
 m AS (SELECT x.* FROM x JOIN (SELECT h FROM x GROUP BY h HAVING count(*) > 1) USING (h)),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n_shingles + nb.n_shingles - k)),
