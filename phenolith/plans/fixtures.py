@@ -105,5 +105,5 @@ def life_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lx = F.greatest(F.lit(1), 100000 - 12 * (F.col("age") - 60) * (F.col("age") - 60) * (1 + F.col("n_nationkey") % 5) - (F.col("year") - 2019)).cast("double")
     return grid.select(
         F.col("n_nationkey").cast("int").alias("country_code"), F.col("n_name").alias("country_name"), "sex", "year", "age", lx.alias("lx"),
-        F.round(lx / 4000, 2).alias("ex"), ((F.col("n_nationkey") % 7 == 0) & (F.col("age") == 110)).alias("warning"),
+        (F.floor(lx / 40) / 100).alias("ex"), ((F.col("n_nationkey") % 7 == 0) & (F.col("age") == 110)).alias("warning"),
     )

@@ -87,7 +87,7 @@ CTES |= {
       CASE WHEN l_suppkey % 2 = 0 THEN 'centenarian' ELSE 'unspecified' END AS subject_class, 0.5 + l_quantity / 25.0::DOUBLE AS value,
       CASE WHEN l_returnflag <> 'N' THEN (0.5 + l_quantity / 25.0::DOUBLE) / (1.2::DOUBLE + l_discount::DOUBLE) END AS ci_lower,
       CASE WHEN l_returnflag <> 'N' THEN (0.5 + l_quantity / 25.0::DOUBLE) * (1.2::DOUBLE + l_discount::DOUBLE) END AS ci_upper FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "life": """SELECT n_nationkey::INTEGER AS country_code, n_name AS country_name, sex, year, age, lx, round(lx / 4000, 2) AS ex, n_nationkey % 7 = 0 AND age = 110 AS warning FROM (
+    "life": """SELECT n_nationkey::INTEGER AS country_code, n_name AS country_name, sex, year, age, lx, floor(lx / 40) / 100 AS ex, n_nationkey % 7 = 0 AND age = 110 AS warning FROM (
       SELECT *, greatest(1, 100000 - 12 * (age - 60) * (age - 60) * (1 + n_nationkey % 5) - (year - 2019))::DOUBLE AS lx
       FROM nation, (SELECT unnest(['female', 'male', 'both']) AS sex), (SELECT unnest([2019, 2021]) AS year), (SELECT unnest(range(60, 111)) AS age))""",
 }

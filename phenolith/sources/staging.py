@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once in the folder named by spark.checkpoint.dir (an own one where it is unset) and reads it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where it is unset, an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = context._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once in the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
