@@ -3,7 +3,9 @@
 Pieces come from an existing subword vocabulary; their unigram scores start from its own ranks
 and are fitted to the training documents by expectation maximisation. No piece crosses white space,
 so a text's probability is the product of its words' and an end's, and a word's is summed over all
-ways to segment it by a forward recursion in log space, many words at a time.
+ways to segment it by a forward recursion in log space, many words at a time. A word that training
+has seen is one more edge over its whole lattice, weighing as often as it was seen; all other edges
+share the mass that training leaves to words it has not seen (by Good and Turing's estimate).
 
 Beside it stands the smoothed word unigram. Words that hold a share of at least one in HEAVY of all
 training tokens are at most HEAVY and are broadcast; the others are joined.
@@ -149,14 +151,22 @@ class Lattice:
             out[words] = self._sums(at[words], size, edges, logs, False)[size]
         return out
 
-    def expected(self, data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected number of each piece in the words, each counted so often."""
+    def expected(self, data: np.ndarray, at: np.ndarray, counts: np.ndarray, fresh: float = 1.0, total: int = 0) -> np.ndarray:
+        """Expected number of each piece in the words, each counted so often.
+
+        With ``total``, a word of count c counts as far as its pieces, of mass ``fresh``, are likelier its
+        source than the other c - 1 of total tokens.
+        """
         edges, logs = self.edges(data, at), np.append(self.logs, -np.inf)
         out = np.zeros(len(self.logs) + 1)
         for size, words in self._groups(at):
             begin = at[words]
             ahead = self._sums(begin, size, edges, logs, False)
             behind = self._sums(begin, size, edges, logs, True)
+            if total:
+                mine, c = fresh * np.exp(ahead[size]), counts[words]
+                counts = counts.astype(float)
+                counts[words] = c * np.where(c > 1, mine / np.maximum(mine + (1 - fresh) * (c - 1) / total, 1e-300), 1.0)
             if size > LONG_WORD:
                 for k, b in enumerate(begin.tolist()):
                     for n in range(1, min(self.longest, size) + 1):
@@ -207,7 +217,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, word binary, c long").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, pieces: list[bytes], weights: np.ndarray, n_ends: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def fit(counts: DataFrame, pieces: list[bytes], weights: np.ndarray, fresh: float, n: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Natural-log probabilities of the pieces and of the end.
 
     Each round sums expected piece counts over the distinct words; as many rows come to the driver
@@ -216,8 +226,7 @@ def fit(counts: DataFrame, pieces: list[bytes], weights: np.ndarray, n_ends: int
     spark = counts.sparkSession
 
     def logs_of(w: np.ndarray) -> tuple[np.ndarray, float]:
-        total = w.sum() + n_ends + FLOOR
-        return np.log(w / total), math.log((n_ends + FLOOR) / total)
+        return np.log(w / (w.sum() + 1)), -math.log(w.sum() + 1)  # the end counts once
 
     # before the first round an end is as likely as a piece
     logs, end = np.log(weights / (2 * weights.sum())), math.log(0.5)
@@ -231,7 +240,7 @@ def fit(counts: DataFrame, pieces: list[bytes], weights: np.ndarray, n_ends: int
                 at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
                 data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
                 words, place = _spaced(data, at[:-1], np.diff(at))
-                total += lattice.expected(words, place, batch.column(1).to_numpy())
+                total += lattice.expected(words, place, batch.column(1).to_numpy(), fresh, n)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "e"])
 
@@ -256,16 +265,19 @@ def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int
     train = texts.where("not held_out")
     counts = written(word_counts(train), "lm-counts")
     n_ends = train.select("doc_id").count()
-    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     n, v = found["n"] + n_ends, found["v"] + (n_ends > 0)
     pieces, weights = vocabulary(model_path)
-    logs, end = fit(counts, pieces, weights, n_ends, rounds)
+    fresh = (found["once"] + 1) / (n + 2)
+    logs, end = fit(counts, pieces, weights, fresh, n, rounds)
+    seen, unseen = (1 - fresh) / max(n, 1), math.log10(fresh)
+    end = math.log10(seen * n_ends + fresh * math.exp(end))
     least = -(-n // heavy)
     table = counts.where(F.col("c") >= max(least, 1)).select("h", "c").toArrow()  # at most ``heavy`` rows
     keys, c = table["h"].to_numpy().astype(np.int64).view(np.uint64), table["c"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
     told = spark.sparkContext.broadcast((pieces, logs, keys[order], c[order]))
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, n array<int>"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, n array<int>, own array<double>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -277,11 +289,12 @@ def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int
             starts, ends, rows = word_bounds(data, at)
             h, one, of = np.unique(span_hashes(data, starts, ends, FOLDED), return_index=True, return_inverse=True)
             words, place = _spaced(LOWER[data], starts[one], ends[one] - starts[one])
-            marginal = lattice.log_marginals(words, place) / LN10
+            own = unseen + lattice.log_marginals(words, place) / LN10
             m = len(at) - 1
             at_key = np.searchsorted(keys, h).clip(max=max(len(keys) - 1, 0))
             is_heavy = keys[at_key] == h if len(keys) else np.zeros(len(h), bool)
             worth = np.where(is_heavy, value[at_key] if len(keys) else 0.0, math.log10(0.5))
+            marginal = np.where(is_heavy, np.log10(seen * (c[at_key] if len(keys) else 0.0) + 10.0**own), own)
             n_words = np.bincount(rows, minlength=m)
             # the other words of each document, with their numbers
             rest = np.flatnonzero(~is_heavy[of])
@@ -296,21 +309,23 @@ def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int
                 n_words + 1,
                 np.bincount(rows, is_heavy[of], m).astype(np.int64) + (n_ends > 0),
                 np.bincount(rows, worth[of], m) + math.log10(n_ends + 0.5),
-                np.bincount(rows, marginal[of], m) + end / LN10,
+                np.bincount(rows, marginal[of], m) + end,
             ]
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (h[word].view(np.int64), times.astype(np.int32))]
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (h[word].view(np.int64), times.astype(np.int32), own[word])]
             arrays = [batch.column(i - 1) if i in (1, 2) else pa.array(x) for i, x in enumerate(columns)]
             arrays[1], arrays[2] = batch.column(0), batch.column(2)
             yield pa.RecordBatch.from_arrays([*arrays, *lists], names=[x.split()[0] for x in schema.split(", ")])
             uid += m
 
     scored = written(texts.mapInArrow(score, schema), "lm-scored")
-    rest = scored.select("uid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("uid", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    rest = scored.select("uid", F.explode(F.arrays_zip("h", "n", "own")).alias("x")).select("uid", "x.*")
     light = counts.where(F.col("c") < max(least, 1)).select("h", "c")
-    more = rest.join(light, "h").groupBy("uid").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))).alias("more"), F.sum("n").alias("more_known"))
+    base = F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))
+    score_ = F.col("n") * (F.log10(seen * F.col("c") + F.pow(F.lit(10.0), F.col("own"))) - F.col("own"))
+    more = rest.join(light, "h").groupBy("uid").agg(F.sum(base).alias("more"), F.sum("n").alias("more_known"), F.sum(score_).alias("more_score"))
     whole = F.log10(F.lit(n + 0.5 * (v + 1)))
     return (
-        scored.drop("h", "n")
+        scored.drop("h", "n", "own")
         .join(more, "uid", "left")
         .select(
             "doc_id",
@@ -319,6 +334,6 @@ def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int
             (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
         )
     )
