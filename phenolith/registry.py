@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import meta, scoring, stats, subjects, text
+from .queries import meta, mining, scoring, stats, subjects, text
 
-PARTS = (scoring, stats, text, meta, subjects)
+PARTS = (scoring, stats, text, meta, subjects, mining)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _part in PARTS:
