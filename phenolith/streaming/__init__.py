@@ -1 +1,28 @@
-"""Subpackage streaming."""
+"""Incremental ingest as a stream."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..sources.ingest import unseen
+
+
+def append_unseen(stream: DataFrame, path: str, key: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Appends the rows of a stream whose key the table at path does not have yet.
+
+    Each micro-batch is the batch operator ``unseen`` against the table; a batch that is run again after a
+    failure appends nothing twice.
+    """
+
+    def append(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        try:
+            seen = spark.read.schema(batch.schema).parquet(path)
+        except AnalysisException:  # the table begins with this batch
+            seen = spark.createDataFrame([], batch.schema)
+        unseen(batch, seen, key).write.mode("append").parquet(path)
+
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
