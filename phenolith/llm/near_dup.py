@@ -29,6 +29,8 @@ PERCENT = 85
 BANDS = 12
 ROWS = 3
 NODE_BITS = 22
+#: A bucket's pivots in the rounds: 1, then so many times as many each time.
+GROWTH = 16
 MINHASH_BLOCK = 4096
 
 
@@ -158,21 +160,43 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def with_shared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members with ``shared``: how many of a node's shingles any other member has at all.
+
+    A shingle that one node alone has can be in no intersection, which bounds what a pair can reach
+    without comparing it: near copies that differ from all others in their own words need no pairs.
+    """
+    owner = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = owner.groupBy("node").agg(F.count("*").alias("own"))
+    return members.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+
+
+def reaches(shared: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b with at most ``shared`` in common can be similar enough."""
+    return shared * 100 >= (a + b - shared) * percent
+
+
+def open_buckets(state: DataFrame, percent: int) -> DataFrame:
+    """The rows of state that can still be linked within their bucket with one of another label."""
+    ends = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least"), F.max("shared").alias("most")).where("low < high").select("key", "least", "most")
+    return state.join(ends, "key").where(reaches(F.least("shared", "most"), F.col("size"), F.col("least"), percent)).drop("least", "most")
+
+
 def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, label of the members that have a link; the rounds of pivots described above."""
     spark = members.sparkSession
-    state = members.withColumn("label", F.col("node"))
+    state = written(open_buckets(members.withColumn("label", F.col("node")), percent), "near-state")
     checked: DataFrame | None = None
     labels = spark.createDataFrame([], "node long, label long")
     turn = 0
     while not state.isEmpty():
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4**turn))
-        best = F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "size", "label"))
-        pivots = written(state.groupBy("key", part.alias("part")).agg(best.alias("p")).select("key", "p"), "near-pivots")
+        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**turn))
+        best = F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "size", "shared", "label"))
+        pivots = state.groupBy("key", part.alias("part")).agg(best.alias("p")).select("key", "p")
         pairs = (
             state.join(pivots, "key")
             .where("node <> p.node and label <> p.label")
-            .where(F.least("size", "p.size") * 100 >= F.greatest("size", "p.size") * percent)
+            .where(reaches(F.least("shared", "p.shared"), F.col("size"), F.col("p.size"), percent))
             .select(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y"))
             .distinct()
         )
@@ -180,17 +204,15 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             pairs = pairs.join(checked, ["x", "y"], "left_anti")
         new = written(confirmed(pairs, sets, percent), "near-checked")
         checked = new if checked is None else checked.unionByName(new)
-        found = checked.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-        labels = components(found)
+        if not new.where("linked").isEmpty():
+            labels = components(checked.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
         rest = (
             state.drop("label")
             .join(pivots.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti")
             .join(labels, "node", "left")
             .withColumn("label", F.coalesce("label", "node"))
         )
-        rest = written(rest, "near-rest")
-        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        state = written(rest.join(mixed, "key", "left_semi"), "near-state")
+        state = written(open_buckets(rest, percent), "near-state")
         turn += 1
     return labels
 
@@ -212,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, b
     sets = written(sets_of(docs, members.select("node").distinct(), n), "near-sets")
     # the texts of a repeated doc_id are one document
     same = sig.where("n_shingles > 0 and doc_id is not null").join(classes.select("cls", "node"), "cls").where("node <> doc_id")
-    labels = links(members, sets, percent)
+    labels = links(written(with_shared(members, sets), "near-shared"), sets, percent)
     repeated = named.join(same.select(F.col("doc_id").alias("other"), F.col("node").alias("to")), named["node"] == F.col("other"), "inner").select(F.col("node").alias("u"), F.col("to").alias("v"))
     if not repeated.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(repeated))
