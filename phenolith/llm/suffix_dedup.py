@@ -10,7 +10,7 @@ those that start in it (winnowing). So
    documents. The segments of a shard get one suffix array by induced sorting, and its permuted
    common prefixes tell which suffixes share ``length`` bytes. An anchor whose runs are all equal
    makes a single segment, in which there is nothing to sort;
-3. anchors of more than HOT_ROWS documents skip the shards: equal runs are told by their hashes,
+3. anchors of very many runs (hot ones) skip the shards: equal runs are told by their hashes,
    the strings of different ones are hashed one by one, and their smallest document is found with
    pre-aggregated minima, so no group is gathered;
 4. the spans found are joined to their documents, merged, and cut out.
@@ -34,10 +34,14 @@ LENGTH = 50
 GRAM = 16
 ANCHOR_BITS = 27
 DOC_BITS = 24
-HOT_ROWS = 8192
-#: The set of hot anchors is broadcast; an anchor is hot only if it also has one in MAX_HOT of all.
-MAX_HOT = 1 << 20
-SHARD_BYTES = 4 << 20
+#: An anchor is hot with one in HOT_SHARE of all runs, at least HOT_ROWS, at most MOST_ROWS. The set of
+#: hot anchors is broadcast and holds at most MAX_HOT: with so many runs that it would hold more, an
+#: anchor needs one in MAX_HOT of all.
+HOT_ROWS = 4096
+HOT_SHARE = 4096
+MOST_ROWS = 65536
+MAX_HOT = 1 << 24
+SHARD_BYTES = 3 << 20
 PAST = np.uint64(257)
 
 
@@ -195,9 +199,9 @@ def _induced(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray
                 first = text[before]
                 order = np.argsort(first, kind="stable")
                 first, before = first[order], before[order]
-                cut = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-                for a, b in zip(cut, np.r_[cut[1:], len(first)], strict=True):
-                    out[first[a]].append(before[a:b])
+                cut = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+                for symbol, a, b in zip(first[cut[:-1]].tolist(), cut, cut[1:], strict=False):
+                    out[symbol].append(before[a:b])
         return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
     by = [lms[text[lms] == c] for c in range(257)] if len(lms) < 4096 else _split(lms, text[lms])
@@ -283,7 +287,7 @@ def resolve(h: np.ndarray, doc: np.ndarray, data: np.ndarray, starts: np.ndarray
         by = np.lexsort((place, number))
         number, place = number[by], place[by]
         begin = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (place[1:] != place[:-1] + 1))) if len(number) else np.zeros(0, np.int64)
-        stop = np.append(begin[1:], len(number)) - 1
+        stop = np.append(begin[1:], len(number))[: len(begin)] - 1
         number, a, b = number[begin], place[begin], place[stop]
         # every row of the segment's smallest document
         least = np.flatnonzero(doc == low[segment])
@@ -321,7 +325,23 @@ def anchor_counts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return found.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high").select("h", "n")
 
 
-SPAN = "doc_id long, begin long, end long"
+SPAN = "doc_id long, begin array<long>, end array<long>"
+
+
+def _by_document(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """One row for each document, with its spans; spans that touch are one."""
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order], end[order]
+    fresh = np.ones(len(doc), bool)
+    if len(doc):
+        np.not_equal(doc[1:], doc[:-1], out=fresh[1:])
+        fresh[1:] |= begin[1:] > end[:-1]  # two runs of one anchor hardly ever nest; if so, the spans stay apart
+    one = np.flatnonzero(fresh)
+    end = np.maximum.reduceat(end, one) if one.size else end
+    doc, begin = doc[one], begin[one]
+    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    at = pa.array(np.append(cut, len(doc)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(doc[cut]), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in (begin, end))], names=["doc_id", "begin", "end"])
 
 
 def _member(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -331,10 +351,10 @@ def _member(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, begin, end: spans that cover every string that also starts in a smaller document."""
+    """doc_id, begin, end: lists of spans that cover every string that also starts in a smaller document."""
     counts = written(anchor_counts(docs, length), "suffix-anchors")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(hot_rows, -(-total // MAX_HOT))
+    most = min(max(hot_rows, total // HOT_SHARE), max(MOST_ROWS, -(-total // MAX_HOT)))
     hot = np.sort(counts.where(F.col("n") > most).select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
     told = docs.sparkSession.sparkContext.broadcast((bitmap(counts, "h", ANCHOR_BITS), hot))
     texts = _texts(docs).where("doc_id is not null")
@@ -354,8 +374,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> Da
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = np.frombuffer(column.buffers()[2], np.uint8)[: offsets[-1]]
             row, first, last = resolve(h.view(np.uint64), doc, data, offsets[:-1], np.diff(offsets), length)
-            begin = at[row] + first
-            return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(begin), pa.array(at[row] + last + length)], names=["doc_id", "begin", "end"])
+            return _by_document(doc[row], at[row] + first, at[row] + last + length)
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -381,12 +400,13 @@ def _hot_spans(texts: DataFrame, told, length: int) -> DataFrame:
     """Spans of the hot anchors.
 
     Equal runs are one context; a batch of texts tells each of its contexts once, with the hashes of
-    its strings. Strings get their smallest document, contexts theirs back, and rows their contexts'.
+    its strings, and each place of a context once for a document. Strings get their smallest document,
+    contexts theirs back, and documents their contexts'.
     """
-    schema = "kind string, c long, doc_id long, at long, strings array<long>"
+    schema = "c long, doc_id long, at array<long>, strings array<long>"
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = told.value[1]
+        hot, many = told.value[1], pa.list_(pa.int64())
         for ids, data, runs in runs_of(batches, length):
             keep = np.flatnonzero(_member(hot, runs.hash))
             if not keep.size:
@@ -394,34 +414,31 @@ def _hot_spans(texts: DataFrame, told, length: int) -> DataFrame:
             place, count = runs.place[keep], runs.count[keep]
             c = mix(runs.hash[keep] ^ span_hashes(data, place, place + count + length - 1, EXACT)).view(np.int64)
             doc, at = ids[runs.row[keep]], runs.first[keep]
+            order = np.lexsort((at, doc, c))
+            c, doc, at, place, count = c[order], doc[order], at[order], place[order], count[order]
+            new = np.append(True, c[1:] != c[:-1])
+            both = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1]))
             strings = rolling(data, length).view(np.int64)
-            order = np.lexsort((doc, c))
-            one = order[np.append(True, c[order][1:] != c[order][:-1])]  # the smallest document of each context
-            many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(["row"] * len(keep) + ["context"] * len(one)),
-                    pa.array(np.concatenate([c, c[one]])),
-                    pa.array(np.concatenate([doc, doc[one]])),
-                    pa.array(np.concatenate([at, at[one]])),
-                    pa.array([None] * len(keep) + [strings[a : a + n] for a, n in zip(place[one], count[one], strict=True)], many),
-                ],
-                names=["kind", "c", "doc_id", "at", "strings"],
-            )
+            told_ = [strings[p : p + n] if x else None for x, p, n in zip(new[both], place[both], count[both], strict=True)]
+            ends = pa.array(np.append(both, len(c)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c[both]), pa.array(doc[both]), pa.ListArray.from_arrays(ends, pa.array(at)), pa.array(told_, many)], names=["c", "doc_id", "at", "strings"])
 
     told_ = written(texts.mapInArrow(give, schema), "suffix-hot")
-    contexts = told_.where("kind = 'context'").groupBy("c").agg(F.min("doc_id").alias("low"), F.first("strings").alias("strings"))
+    # of a batch, the row with the strings has the context's smallest document
+    contexts = told_.where("strings is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.first("strings").alias("strings"))
     each = written(contexts.select("c", "low", F.posexplode("strings").alias("k", "s")), "suffix-hot-strings")
     least = each.groupBy("s").agg(F.min("low").alias("least"), F.count("*").alias("n")).where("n > 1").select("s", "least")
-    lows = each.join(least, "s").groupBy("c").agg(F.collect_list(F.struct("k", "least")).alias("lows"))  # as many as a run has strings
+    lows = each.join(least, "s").where("least < low").groupBy("c").agg(F.collect_list(F.struct("k", "least")).alias("lows"))  # as many as a run has strings
     known = each.groupBy("c").agg(F.min("low").alias("low"), F.count("*").alias("count")).join(lows, "c", "left")
-    rows = told_.where("kind = 'row'").select("c", "doc_id", "at").join(known, "c")
-    whole = rows.where("doc_id > low").select("doc_id", F.col("at").alias("begin"), (F.col("at") + F.col("count") + length - 1).alias("end"))
-    some = rows.where("doc_id = low").select("doc_id", "at", F.explode("lows").alias("x")).where("x.least < doc_id")
-    return whole.unionByName(some.select("doc_id", (F.col("at") + F.col("x.k")).alias("begin"), (F.col("at") + F.col("x.k") + length).alias("end")))
+    rows = told_.select("c", "doc_id", "at").join(known, "c")
+    is_whole = F.col("doc_id") > F.col("low")
+    begin = F.when(is_whole, F.col("at")).otherwise(F.flatten(F.transform("at", lambda a: F.transform("lows", lambda x: a + x["k"]))))
+    size = F.when(is_whole, F.col("count") + length - 1).otherwise(length)
+    found = rows.where(is_whole | F.col("lows").isNotNull())
+    return found.select("doc_id", begin.alias("begin"), F.transform(begin, lambda x: x + size).alias("end"))
 
 
-def _merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+def _merged(begin: list[int], end: list[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(zip(begin, end, strict=True)):
         if out and a <= out[-1][1]:
@@ -431,11 +448,12 @@ def _merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS, with_text: bool = False, prefix: str = "") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, after taking out each byte
     that a string of ``length`` bytes covers which also starts in a document with a smaller doc_id.
 
-    ``with_text`` adds ``kept``, the bytes that stay, and keeps docs' other columns. A null text is
+    ``with_text`` adds ``kept``, the bytes that stay, and keeps docs' other columns, but for those of the
+    result's names; ``prefix`` goes before all of these names but doc_id. A null text is
     empty, matches never cross documents, strings are judged on the input. Rows without a doc_id take no part and
     lose nothing; rows that repeat a doc_id are one document: none loses bytes to the other, each
     loses those at the places found in any. An empty table gives an empty one.
@@ -443,10 +461,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
     spark = docs.sparkSession
     found = written(spans(docs, length, hot_rows), "suffix-spans")
     told = spark.sparkContext.broadcast(bitmap(found, "doc_id", DOC_BITS))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
-    fields = [docs.schema[c] for c in rest]
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    kinds_ = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if with_text else {})
+    result = ", ".join(["doc_id long", *(f"{prefix}{n} {k}" for n, k in kinds_.items())])
     names = [x.split()[0] for x in result.split(", ")]
+    rest = [c for c in docs.columns if c not in ("text", *names)] if with_text else []
+    fields = [docs.schema[c] for c in rest]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text_batches(batches):
@@ -455,7 +474,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
             lists = batch.column(batch.schema.get_field_index("spans")).to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             for k, (doc, found_) in enumerate(zip(batch.column(0).to_pylist(), lists, strict=True)):
                 text = raw[at[k] : at[k + 1]]
-                pairs = _merged([x["begin"] for x in found_], [min(x["end"], len(text)) for x in found_]) if found_ else []
+                pairs = _merged(found_["begin"], [min(x, len(text)) for x in found_["end"]]) if found_ else []
                 pairs = [(a, b) for a, b in pairs if a < b]
                 edges = [0, *(x for p in pairs for x in p), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -477,6 +496,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
             yield batch.filter(pa.array(mask if hit else ~mask))
 
     untouched = texts.mapInArrow(lambda b: cut(sure(b, False)), schema)
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    flat = F.struct(*(F.flatten(F.collect_list(c)).alias(c) for c in ("begin", "end")))  # as long as a document has spans
+    lists = found.groupBy("doc_id").agg(flat.alias("spans"))
     touched = texts.mapInArrow(lambda b: sure(b, True), texts.schema).join(lists, "doc_id", "left")
     return untouched.unionByName(touched.select(*texts.columns, "spans").mapInArrow(cut, schema))
