@@ -46,7 +46,7 @@ def phrase_lift(docs: DataFrame, min_focus: int = 15, min_lift: float = 1.3) ->
     """
     totals = docs.agg(F.sum(F.col("focus").cast("int")).alias("n_focus"), F.count("*").alias("n_all"))
     rows = docs.select("focus", "weight", "country", "individual", F.explode("phrases").alias("phrase"))
-    by = rows.groupBy("phrase").agg(F.sum(F.col("focus").cast("int")).alias("freq_focus"), F.count("*").alias("freq_all"), F.round(F.sum("weight"), 2).alias("weighted"))
+    by = rows.groupBy("phrase").agg(F.sum(F.col("focus").cast("int")).alias("freq_focus"), F.count("*").alias("freq_all"), F.round(F.sum("weight") + 1e-9, 2).alias("weighted"))
     kept = by.where(F.col("freq_focus") >= min_focus).crossJoin(F.broadcast(totals))
     lift = (F.col("freq_focus") / F.greatest("n_focus", F.lit(1))) / (F.col("freq_all") / F.greatest("n_all", F.lit(1)))
     kept = kept.withColumn("lift", lift).where(F.col("lift") >= min_lift)

@@ -253,7 +253,7 @@ SQL = {k: sql(v) for k, v in {
     "profile_delta": """WITH k AS (SELECT person, trait AS category, max(is_profile::INTEGER) AS p, max((NOT is_profile)::INTEGER) AS o FROM trait_mentions GROUP BY 1, 2)
       SELECT category, sum((p = 1 AND o = 0)::INTEGER)::BIGINT AS gained, count(*) AS people FROM k WHERE person IN (SELECT person FROM k GROUP BY person HAVING max(p) = 1 AND max(o) = 1) GROUP BY category""",
     "candidate_phrases": "SELECT doc_id, coalesce(n, 0)::INTEGER AS n_phrases FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1) USING (doc_id)",
-    "phrase_lift": f"""WITH n AS (SELECT count(*) FILTER (WHERE focus) AS nf, count(*) AS na FROM lift_rows), b AS (SELECT phrase, count(*) FILTER (WHERE focus) AS freq_focus, count(*) AS freq_all, round(sum(weight), 2) AS weighted, count(DISTINCT CASE WHEN focus THEN country END) AS n_countries, count(DISTINCT individual) AS n_individuals FROM grams JOIN lift_rows USING (doc_id) GROUP BY phrase),
+    "phrase_lift": f"""WITH n AS (SELECT count(*) FILTER (WHERE focus) AS nf, count(*) AS na FROM lift_rows), b AS (SELECT phrase, count(*) FILTER (WHERE focus) AS freq_focus, count(*) AS freq_all, round(sum(weight) + 1e-9, 2) AS weighted, count(DISTINCT CASE WHEN focus THEN country END) AS n_countries, count(DISTINCT individual) AS n_individuals FROM grams JOIN lift_rows USING (doc_id) GROUP BY phrase),
       l AS (SELECT *, (freq_focus / greatest(nf, 1)) / (freq_all / greatest(na, 1)) AS l FROM b, n WHERE freq_focus >= 5)
       SELECT phrase, freq_focus, freq_all, weighted, {rnd('l', 3)} AS lift, n_countries, n_individuals, {rnd('l * ln(n_individuals + 1)', 4)} AS population_score FROM l WHERE l >= 1.1""",
     "feature_matrix": "SELECT *, f_the + f_and + f_les + f_und + f_que > 0 AS any_feature FROM (SELECT doc_id, " + ", ".join(f"list_contains(w, '{x}')::INTEGER AS f_{x}" for x in ("the", "and", "les", "und", "que")) + " FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents))",
