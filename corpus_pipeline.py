@@ -24,11 +24,10 @@ def minhash_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat from smaller doc_ids; those left empty go.
 
-    A cut never leaves part of a character: what would stay of one is dropped with it.
+    A cut never leaves part of a character: what would stay of one is dropped with it. Texts without a cut are as they were.
     """
     cut = suffix_dedup.remove_repeats(docs, with_text=True, prefix="__s_").where(F.octet_length("__s_kept") > 0)
-    text = F.regexp_replace(F.decode("__s_kept", "UTF-8"), "\ufffd", "")
-    out = cut.withColumn("text", text)
+    out = cut.withColumn("text", F.col("__s_kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

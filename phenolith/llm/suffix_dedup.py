@@ -448,12 +448,27 @@ def _merged(begin: list[int], end: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _whole(piece: bytes, after_cut: bool, before_cut: bool) -> bytes:
+    """A piece of UTF-8 without the parts of characters that a cut left at its edges."""
+    a, b = 0, len(piece)
+    while after_cut and a < b and piece[a] & 0xC0 == 0x80:
+        a += 1
+    if before_cut:
+        lead = b - 1
+        while lead > max(a, b - 4) and piece[lead] & 0xC0 == 0x80:
+            lead -= 1
+        if lead >= a and b - lead < (piece[lead] >= 0xC0) + (piece[lead] >= 0xE0) + (piece[lead] >= 0xF0) + 1:
+            b = lead
+    return piece[a:b]
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS, with_text: bool = False, prefix: str = "") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, after taking out each byte
     that a string of ``length`` bytes covers which also starts in a document with a smaller doc_id.
 
-    ``with_text`` adds ``kept``, the bytes that stay, and keeps docs' other columns, but for those of the
-    result's names; ``prefix`` goes before all of these names but doc_id. A null text is
+    ``with_text`` adds ``kept``, the text that stays, and keeps docs' other columns, but for those of the
+    result's names. Of a character that a cut parts, ``kept`` has nothing, while the counts and the digest are of
+    all bytes that stay. ``prefix`` goes before all of these names but doc_id. A null text is
     empty, matches never cross documents, strings are judged on the input. Rows without a doc_id take no part and
     lose nothing; rows that repeat a doc_id are one document: none loses bytes to the other, each
     loses those at the places found in any. An empty table gives an empty one.
@@ -461,7 +476,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
     spark = docs.sparkSession
     found = written(spans(docs, length, hot_rows), "suffix-spans")
     told = spark.sparkContext.broadcast(bitmap(found, "doc_id", DOC_BITS))
-    kinds_ = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "binary"} if with_text else {})
+    kinds_ = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"} | ({"kept": "string"} if with_text else {})
     result = ", ".join(["doc_id long", *(f"{prefix}{n} {k}" for n, k in kinds_.items())])
     names = [x.split()[0] for x in result.split(", ")]
     rest = [c for c in docs.columns if c not in ("text", *names)] if with_text else []
@@ -471,16 +486,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
         for batch, data, at in text_batches(batches):
             raw = data.tobytes()
             rows: list[tuple] = []
+            texts_: list[bytes] = []
             lists = batch.column(batch.schema.get_field_index("spans")).to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             for k, (doc, found_) in enumerate(zip(batch.column(0).to_pylist(), lists, strict=True)):
                 text = raw[at[k] : at[k + 1]]
                 pairs = _merged(found_["begin"], [min(x, len(text)) for x in found_["end"]]) if found_ else []
                 pairs = [(a, b) for a, b in pairs if a < b]
                 edges = [0, *(x for p in pairs for x in p), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((doc, len(text), len(text) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
+                parts = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                kept = b"".join(parts)
+                rows.append((doc, len(text), len(text) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest()))
+                if with_text:
+                    texts_.append(b"".join(_whole(x, i > 0, i < len(pairs)) for i, x in enumerate(parts)) if pairs else text)
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            if with_text:
+                columns.append(pa.array(texts_, pa.binary()).view(pa.string()))  # bytes of uncut texts as they are
             yield pa.RecordBatch.from_arrays([*columns, *(batch.column(batch.schema.get_field_index(c)) for c in rest)], names=[*names, *rest])
 
     schema = spark.createDataFrame([], result).schema

@@ -71,3 +71,19 @@ def test_stages_against_brute_force(spark):
     packed = stage["best-fit packing"](spark, mixed, SF).collect()
     assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed) == want
     assert {r["doc_id"] for r in pipeline.run(spark, SF).collect()} == {d for d, *_ in want}
+
+
+def test_cuts_inside_characters(spark):
+    passage = " shared words of a passage that two documents have alike, with nothing else "
+    texts = [
+        f"é{passage}é one end and a real \ufffd mark",  # é: C3 A9
+        f"ũ{passage}è other end \ufffd",  # ũ: C5 A9, è: C3 A8; the cut takes A9 before and C3 after
+        f"𐐨 start 😀{passage}€ tail",
+        f"Ĩ 😁{passage}₭ last",  # € and ₭ share two bytes
+        "plain text with its own \ufffd and nothing in common",
+        f"ĩ{passage}ê",  # nothing stays but parts of characters
+    ]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r for r in pipeline.suffix_array_dedup(spark, docs, SF).collect()}
+    assert {k: r["text"] for k, r in out.items()} == {0: texts[0], 1: " other end \ufffd", 2: "𐐨 start 😀€ tail", 3: "Ĩ 😁 last", 4: texts[4]}
+    assert all(r["n_chars"] == len(r["text"]) for r in out.values())
