@@ -2,7 +2,7 @@
 
 A language's references are two histograms over all its documents: of character classes, and of
 its most common words. Documents long enough are compared with them by the Jensen-Shannon
-distance (base 2, from 0 to 1); shorter ones are judged by the counts alone.
+distance (base 2, from 0 to 1); shorter ones, and those that name no language, are judged by the counts alone.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import EXACT, IS_SPACE, mix, span_hashes, text_batches, windows, word_bounds
+from .storage import written
 
 #: Words are counted in so many slots by their hash, and the largest slots of a language are its
 #: common words: a table of fixed size, whatever the vocabulary.
@@ -26,9 +27,11 @@ MIN_WORDS = 50
 GUARD_WORDS = 100
 MAX_CLASS = 0.25
 MAX_WORDS = 0.5
-#: A language with fewer than one in MAX_LANGS of all words is compared with the whole corpus, so
-#: there are at most MAX_LANGS references.
+#: A language with one in MAX_LANGS of all words and documents or more has its reference broadcast, so
+#: there are at most MAX_LANGS of them; the others' are joined to their texts, of which no language has many.
 MAX_LANGS = 1000
+#: Columns of a reference that is joined to its texts.
+JOINED = ["__classes", "__slots", "__counts", "__words"]
 SYMBOLS = b"#*$%&|<>"
 
 CLASSES = ["lower", "upper", "digit", "space", "line", "stop", "symbol", "other", "beyond"]
@@ -51,12 +54,12 @@ def _histograms(data: np.ndarray, at: np.ndarray, rows: np.ndarray, hashes: np.n
     return classes, (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """lang: class shares, slots of the common words, and their shares (the last: of all other words).
+def references(docs: DataFrame) -> DataFrame:
+    """lang, words, docs, classes (counts), slots of the common words, their counts: a row of fixed size for each language.
 
-    Tasks send sums of fixed size for each of their languages. The key None holds the whole corpus.
+    Tasks send sums of fixed size for each of their languages. Texts without a language make no reference.
     """
-    n = len(CLASSES) + SLOTS
+    n = len(CLASSES) + SLOTS + 1  # the last: documents
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -76,6 +79,8 @@ def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray
             starts, ends, rows = word_bounds(data, at)
             classes, slots = _histograms(data, at, rows, span_hashes(data, starts, ends, EXACT))
             langs, of = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
+            order = np.argsort(of[rows], kind="stable")
+            begin = np.searchsorted(of[rows][order], np.arange(len(langs) + 1))
             for k, lang in enumerate(langs):
                 if lang not in sums:
                     if len(sums) == 64:
@@ -83,28 +88,37 @@ def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray
                         sums = {}
                     sums[lang] = np.zeros(n, np.int64)
                 sums[lang][: len(CLASSES)] += classes[of == k].sum(axis=0)
-                sums[lang][len(CLASSES) :] += np.bincount(slots[of[rows] == k], minlength=SLOTS)
+                sums[lang][len(CLASSES) : -1] += np.bincount(slots[order[begin[k] : begin[k + 1]]], minlength=SLOTS)
+                sums[lang][-1] += np.count_nonzero(of == k)
         if sums:
             yield told()
 
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    sums = docs.select("text", lang.alias("lang")).mapInArrow(add, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c"))
-    words = F.sum(F.when(F.col("slot") >= len(CLASSES), F.col("c")).otherwise(0))
-    total = sums.agg(words.alias("n")).first()["n"] or 0
-    large = sums.groupBy("lang").agg(words.alias("n")).where(F.col("n") * MAX_LANGS >= max(total, 1)).select("lang")
-    all_ = sums.groupBy("slot").agg(F.sum("c").alias("c")).select(F.lit(None).cast("string").alias("lang"), "slot", "c")
-    rows = sums.join(F.broadcast(large), "lang").select("lang", "slot", "c").unionByName(all_).toArrow()
-    out = {}
-    langs = np.array(rows["lang"].to_pylist(), object)
-    for lang in set(langs):
-        mine = langs == lang
-        x = np.zeros(n, np.int64)
-        x[rows["slot"].to_numpy()[mine]] = rows["c"].to_numpy()[mine]
-        slots = x[len(CLASSES) :]
-        top = np.argsort(-slots, kind="stable")[:COMMON]
-        shares = np.append(slots[top], slots.sum() - slots[top].sum())
-        out[lang] = x[: len(CLASSES)] / max(x[: len(CLASSES)].sum(), 1), top, shares / max(shares.sum(), 1)
-    return out
+    texts = docs.select("text", _language().alias("lang")).where("lang is not null")
+    sums = texts.mapInArrow(add, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c"))
+    is_word = F.col("slot").between(len(CLASSES), n - 2)
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("c"))), F.lit(0))
+    # at most SLOTS rows for each language
+    top = F.slice(F.sort_array(F.collect_list(F.when(is_word, F.struct((-F.col("c")).alias("order"), (F.col("slot") - len(CLASSES)).alias("slot"))))), 1, COMMON)
+    each = sums.groupBy("lang").agg(
+        total(is_word).alias("words"),
+        total(F.col("slot") == n - 1).alias("docs"),
+        F.array(*(total(F.col("slot") == k) for k in range(len(CLASSES)))).alias("classes"),
+        top.alias("top"),
+    )
+    return each.select("lang", "words", "docs", "classes", F.col("top.slot").alias("slots"), F.transform("top.order", lambda c: -c).alias("counts"))
+
+
+def _language() -> Column:
+    """The language of a row; null if it names none."""
+    return F.nullif(F.trim(F.col("lang").cast("string")), F.lit(""))
+
+
+def _shares(classes: list[int], slots: list[int], counts: list[int], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class shares, slots of the common words, and their shares (the last: of all other words)."""
+    told, common = np.array(classes, np.int64), np.zeros(COMMON + 1)
+    common[: len(counts)] = counts
+    common[-1] = words - sum(counts)
+    return told / max(told.sum(), 1), np.array(slots, np.int64), common / max(words, 1)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -154,50 +168,62 @@ def quality(docs: DataFrame, carry: bool = False, prefix: str = "") -> DataFrame
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated windows. ``kept``: not
     that, and, from GUARD_WORDS words on, both distances within their limits. Null and empty texts
-    have no words and fail. Rows without a language share one reference. Repeated rows are judged each.
+    have no words and fail. Each language, however rare, is compared with its own references; rows
+    without a language (null or blank) have null distances. Repeated rows are judged each.
     ``carry`` keeps docs' other columns and text, for filtering without a join, but for those of the
-    result's names; ``prefix`` goes before these names. Two scans, no shuffle of texts.
+    result's names; ``prefix`` goes before these names. Two scans; only texts of rare languages are shuffled.
     """
-    told = docs.sparkSession.sparkContext.broadcast(references(docs))
+    spark = docs.sparkSession
+    refs = written(references(docs), "quality-references")
+    weight = F.col("words") + F.col("docs")
+    total = refs.agg(F.sum(weight)).first()[0] or 0
+    is_large = weight * MAX_LANGS >= total
+    large = {r["lang"]: _shares(r["classes"], r["slots"], r["counts"], r["words"]) for r in refs.where(is_large).collect()}
+    told = spark.sparkContext.broadcast(large)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
     names = [prefix + n for n in names]
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 2
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = told.value
+        width = COMMON + 1
         for batch, data, at in text_batches(batches):
             starts, ends, rows = word_bounds(data, at)
             hashes = span_hashes(data, starts, ends, EXACT)
             counts = counts_of(data, at, starts, ends, rows, hashes)
             n, repeats = counts[0], counts[4]
             classes, slots = _histograms(data, at, rows, hashes)
-            far = np.zeros((2, len(n)))
-            langs, of = np.unique(np.array(batch.column(batch.schema.get_field_index("__lang")).to_pylist(), object).astype(str), return_inverse=True)
-            for k, lang in enumerate(langs):
-                shares, top, common = refs.get(lang, refs[None])
-                mine = np.flatnonzero(of == k)
-                far[0, mine] = distance(classes[mine] / np.maximum(classes[mine].sum(axis=1, keepdims=True), 1), shares)
-                place = np.full(SLOTS, COMMON)
-                place[top] = np.arange(len(top))
-                new = np.full(len(n), -1)
-                new[mine] = np.arange(len(mine))
-                own = new[rows] >= 0
-                width = COMMON + 1
-                words = np.bincount(new[rows[own]] * width + place[slots[own]], minlength=width * len(mine)).reshape(-1, width)
-                q = np.zeros(width)
-                q[: len(top)], q[-1] = common[:-1], common[-1]
-                far[1, mine] = distance(words / np.maximum(words.sum(axis=1, keepdims=True), 1), q)
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            langs = column["__lang"].to_pylist()
+            first = {lang: k for k, lang in reversed(list(enumerate(langs))) if lang is not None}
+            number = {lang: k for k, lang in enumerate(first)}
+            of = np.array([number.get(lang, len(first)) for lang in langs], np.int64)
+            # the last is for rows without a language
+            shares, common = np.zeros((len(first) + 1, len(CLASSES))), np.zeros((len(first) + 1, width))
+            place = np.full((len(first) + 1, SLOTS), COMMON, np.uint8)
+            for lang, k in number.items():
+                ref = _shares(*(column[c][first[lang]].as_py() for c in JOINED)) if JOINED[0] in column else told.value[lang]
+                shares[k], common[k] = ref[0], ref[2]
+                place[k, ref[1]] = np.arange(len(ref[1]))
+            words = np.bincount(rows * width + place[of[rows], slots], minlength=width * len(n)).reshape(-1, width)
+            far = [
+                distance(classes / np.maximum(classes.sum(axis=1, keepdims=True), 1), shares[of]),
+                distance(words / np.maximum(words.sum(axis=1, keepdims=True), 1), common[of]),
+            ]
+            none = of == len(first)
             failed = (n < MIN_WORDS) | (100 * repeats > 50 * n)
-            kept = ~failed & ((n < GUARD_WORDS) | ((far[0] <= MAX_CLASS) & (far[1] <= MAX_WORDS)))
-            out = [*counts, failed, kept, far[0], far[1]]
-            keep = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__lang" and (carry or c == "doc_id")]
-            yield pa.RecordBatch.from_arrays([*keep, *map(pa.array, out)], names=[*fields, *names])
+            kept = ~failed & (none | (n < GUARD_WORDS) | ((far[0] <= MAX_CLASS) & (far[1] <= MAX_WORDS)))
+            out = [*map(pa.array, (*counts, failed, kept)), *(pa.array(x, mask=none) for x in far)]
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in fields), *out], names=[*fields, *names])
 
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang")
     rest = [c for c in docs.columns if c not in names] if carry else ["doc_id", "text"]
-    frame = docs.select(*rest, lang)
+    frame = docs.select(*rest, _language().alias("__lang"))
     fields = rest if carry else ["doc_id"]
     schema = docs.select(*fields).schema
     for name, kind in zip(names, kinds, strict=True):
         schema = schema.add(name, kind)
-    return frame.mapInArrow(judge, schema)
+    rare = refs.where(~is_large)
+    if rare.isEmpty():
+        return frame.mapInArrow(judge, schema)
+    told_here = F.col("__lang").isNull() | F.col("__lang").isin(list(large))
+    joined = frame.where(~told_here).join(rare.select(F.col("lang").alias("__lang"), *(F.col(c[2:]).alias(c) for c in JOINED)), "__lang")
+    return frame.where(told_here).mapInArrow(judge, schema).unionByName(joined.select(*frame.columns, *JOINED).mapInArrow(judge, schema))

@@ -339,6 +339,30 @@ def test_quality(docs, rows, empty):
     assert set(docs.columns) - {"n_words", "kept"} <= set(carried.columns) and carried.count() == len(rows)
 
 
+def test_quality_of_rare_languages(spark, monkeypatch):
+    rng = random.Random(3)
+
+    def text(letters, n):
+        common, other = [["".join(rng.choice(letters) for _ in range(k)) for _ in range(m)] for k, m in ((3, 20), (8, 2000))]
+        return [" ".join(rng.choice(common if rng.random() < 0.45 else other) for _ in range(150)) for _ in range(n)]
+
+    english, greek, russian = text("abcdefghij", 300), text("αβγδεζηθικ", 2), text("абвгдежзий", 2)
+    junk = " ".join("".join(rng.choice("0123456789#") for _ in range(9)) for _ in range(150))
+    data = [(i, t, lang) for i, (t, lang) in enumerate([*((t, "en") for t in english), *((t, "el") for t in greek), *((t, "ru") for t in russian), (greek[0], None), (russian[0], " "), (junk, "en")])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+
+    def judged(most):
+        monkeypatch.setattr(quality, "MAX_LANGS", most)
+        return sorted(quality.quality(docs).collect())
+
+    out = judged(100)  # el and ru have fewer than one in 100 of all words
+    assert [r["kept"] for r in out] == [True] * (len(data) - 1) + [False]
+    assert [r["doc_id"] for r in out if r["class_distance"] is None] == [len(data) - 3, len(data) - 2] == [r["doc_id"] for r in out if r["word_distance"] is None]
+    assert out == judged(10**6)  # all references broadcast: shares make no difference
+    carried = quality.quality(docs.withColumn("kept", F.lit(1)), carry=True).where("lang = 'el'").collect()
+    assert [(r["lang"], r["kept"]) for r in carried] == [("el", True)] * 2
+
+
 def test_distance_by_hand():
     p, q = np.array([[0.5, 0.5, 0.0]]), np.array([0.0, 0.5, 0.5])
     m = (p[0] + q) / 2
