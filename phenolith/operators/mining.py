@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tagging import windows_around
+
 
 def name_in_text_join(docs: DataFrame, registry: DataFrame, text: str = "text", gap: int = 15) -> DataFrame:
     """doc_id, match: registry names whose first and last word stand within ``gap`` characters in a text.
@@ -49,7 +51,8 @@ CUES = {"high": r"\b(?:high|higher|increased|elevated|more)\b", "low": r"\b(?:lo
 
 def direction_annotate(docs: DataFrame, words: list[str], text: str = "text", width: int = 80, share: float = 0.4) -> DataFrame:
     """word, windows, direction: the dominant cue within ``width`` characters of a word, with its share, else mixed."""
-    window = F.explode(F.concat(*(F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(.{{0,{width}}}{w}.{{0,{width}}})"), 1), lambda x, w=w: F.struct(F.lit(w).alias("word"), x.alias("x"))) for w in words))).alias("r")
+    named = lambda w: lambda x: F.struct(F.lit(w).alias("word"), x.alias("x"))  # noqa: E731  (a second parameter would be the index)
+    window = F.explode(F.concat(*(F.transform(windows_around(F.lower(text), w, width), named(w)) for w in words))).alias("r")
     hits = docs.select(window).select("r.*")
     sums = hits.groupBy("word").agg(F.count("*").alias("windows"), *(F.sum(F.regexp_count("x", F.lit(p))).alias(n) for n, p in CUES.items()))
     total = sum((F.col(n) for n in CUES), F.lit(0))

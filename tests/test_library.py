@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenolith.functions import expr
-from phenolith.operators import dedup, fits, meta, scoring, stats, subjects
+from phenolith.operators import dedup, fits, meta, mining, scoring, stats, subjects, tagging
 from phenolith.plans import model
 from phenolith.sources import ingest
 
@@ -149,3 +149,29 @@ def test_queries_match_their_sql(spark, name):
     spark_rows = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=key)
     sql_rows = con.sql(f"SELECT {', '.join(f'\"{c}\"' for c in columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert spark_rows == sorted((tuple(map(plain, r)) for r in sql_rows), key=key)
+
+
+def test_windows_of_dense_mentions(spark):
+    import re
+
+    from phenolith.queries.text import SMOKE, SMOKING
+
+    texts = [
+        ("a", "Tobacco, a pipe and cigars: still smokes daily, é smoked for 40 years. Quit at age 90, 3 packs."),
+        ("b", "smoked " * 30 + "never smoked" + " x" * 200 + " stopped 10 years ago with cigarettes"),
+        ("b", "no word of it"),
+        ("c", None),
+    ]
+    docs = spark.createDataFrame(texts, "subject string, text string")
+    want = {}
+    for who, t in texts:
+        for m in re.finditer(SMOKE, t or ""):
+            w = t[max(0, m.start() - 90) : m.end() + 90]
+            for n, p in SMOKING.items():
+                if re.search(p, w):
+                    want.setdefault(n, []).append((who, " ".join(w.split())[:160]))
+    out = {r["pattern"]: r for r in tagging.window_mine(docs, SMOKE, SMOKING).collect()}
+    assert {n: (r["mentions"], r["individuals"], r["examples"]) for n, r in out.items()} == {n: (len(v), len({x for x, _ in v}), sorted({x for _, x in v})[:3]) for n, v in want.items()}
+    assert len(SMOKING) == 11 and out["status_never"]["mentions"] > 5
+    told = mining.direction_annotate(spark.createDataFrame([("salt higher salt less salt",)], "text string"), ["salt"]).first()
+    assert (told["word"], told["windows"], told["direction"]) == ("salt", 3, "high (50%)")
