@@ -6,9 +6,11 @@ about the square root of the minhashes that separate tables would need. A pair o
 similarity s is found if both collections have a band in common: at s = 0.85 with the defaults
 all but about 2 in 100,000 are.
 
-Within a bucket not all pairs are compared. Documents are compared with pivots, the members that
-share most keys first; what is linked has one component, and only members of different components
-go on to the next round, until no bucket holds two components that were not compared.
+Within a bucket not all pairs are compared. Each bucket's members are compared with its pivot, the
+member that shares most keys, and what is linked takes one label. Of the pairs that still share a
+table key under different labels, an exact bound leaves few: two sets that are similar enough have
+a shingle in common among the rarest of either, early enough for the rest to suffice, and shingles
+held under one label alone count for nothing. Those pairs are compared on their full sets.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ PERCENT = 85
 BANDS = 12
 ROWS = 3
 NODE_BITS = 22
-#: A bucket's pivots in the rounds: 1, then so many times as many each time.
-GROWTH = 16
+#: Members of a prefix bucket that one task compares with the others.
+SALT_ROWS = 1000
 MINHASH_BLOCK = 4096
 
 
@@ -68,27 +70,33 @@ def _band_keys(shingles: np.ndarray, flip: np.ndarray, odd: np.ndarray, bands: i
     return keys
 
 
-def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, cls (a digest of the set), and the band keys a and b of every document."""
+def digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, cls (a digest of the set), the band keys a and b, and ``row`` of every document."""
     flip, odd = _seeds(2 * bands * rows)
+    more = [] if row is None else [row]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at in text_batches(batches):
             sizes, classes, a, b = [], [], [], []
             for s in shingle_sets(data, at, n):
                 sizes.append(len(s))
-                classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                classes.append(digest(s))
                 keys = _band_keys(s, flip, odd, bands, rows).view(np.int64) if len(s) else np.zeros(0, np.int64)
                 a.append(keys[:bands])
                 b.append(keys[bands:])
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(a, long), pa.array(b, long)],
-                names=["doc_id", "n_shingles", "cls", "a", "b"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(a, long), pa.array(b, long), *batch.columns[2:]],
+                names=["doc_id", "n_shingles", "cls", "a", "b", *more],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, cls binary, a array<long>, b array<long>"
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(
+        sign, f"doc_id long, n_shingles long, cls binary, a array<long>, b array<long>{kinds}"
     )
 
 
@@ -111,32 +119,42 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """node, shingles of the documents in nodes. A bounded bitmap spares shuffling the other texts."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(nodes, "node", NODE_BITS))
+    """node, shingles, a, b of nodes (node, cls, first, a, b): the set of each class, from its first document.
+
+    A bounded bitmap of those documents spares shuffling the other texts.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.where("first is not null"), "first", NODE_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = batch.filter(pa.array(in_bitmap(wanted.value, ids.astype(np.int64).view(np.uint64))))
+            ids = batch.column(0)
+            held = in_bitmap(wanted.value, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            keep = batch.filter(pa.array(held | ids.is_null().to_numpy(zero_copy_only=False)))
             for part, data, at in text_batches(iter([keep])):
-                found = [s.view(np.int64) for s in shingle_sets(data, at, n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+                found = list(shingle_sets(data, at, n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([digest(s) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
+                    names=["first", "cls", "shingles"],
+                )
 
-    some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
-    return some.mapInArrow(sets, "node long, shingles array<long>").join(nodes, "node", "left_semi")
+    some = docs.select(F.col("doc_id").cast("long").alias("first"), "text").mapInArrow(sets, "first long, cls binary, shingles array<long>")
+    same = (some["cls"] == nodes["cls"]) & some["first"].eqNullSafe(nodes["first"])
+    return some.join(nodes, same).select("node", "shingles", "a", "b").dropDuplicates(["node"])
 
 
 def similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b with ``inter`` in common are similar enough."""
     return inter * 100 >= (a + b - inter) * percent
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """x, y, linked: the pairs with their verdict on the full sets."""
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(
-        sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y"
+    """x, y of the pairs that are linked, on their full sets."""
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"), F.col("a").alias("ax"), F.col("b").alias("bx")), "x").join(
+        sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"), F.col("a").alias("ay"), F.col("b").alias("by")), "y"
     )
+    table = F.arrays_overlap("ax", "ay") & F.arrays_overlap("bx", "by")
     inter = F.size(F.array_intersect("sx", "sy"))
-    return both.select("x", "y", similar(inter, F.size("sx"), F.size("sy"), percent).alias("linked"))
+    return both.where(table & similar(inter, F.size("sx"), F.size("sy"), percent)).select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,88 +178,85 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def with_shared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members with ``shared``: how many of a node's shingles any other member has at all.
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """x, y: every member of a bucket with the bucket's pivot."""
+    best = F.max(F.struct("degree", "node")).alias("p")
+    pivots = members.groupBy("key").agg(best).select("key", F.col("p.node").alias("pivot"))
+    return members.join(pivots, "key").where("node <> pivot").select(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y")).distinct()
 
-    A shingle that one node alone has can be in no intersection, which bounds what a pair can reach
-    without comparing it: near copies that differ from all others in their own words need no pairs.
+
+def prefix_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """x, y: the pairs under different labels that may still be similar enough.
+
+    Sets of sizes a and b need percent * (a + b) / (100 + percent) shingles in common. With the
+    shingles of each in one order, rare ones first, their first common one has all others after it in
+    both, so it stands among the first of either and leaves enough behind it. Only shingles held under
+    two labels count, and a set's partners are no smaller than the least of its open buckets.
     """
-    owner = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    own = owner.groupBy("node").agg(F.count("*").alias("own"))
-    return members.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
-
-
-def reaches(shared: Column, a: Column, b: Column, percent: int) -> Column:
-    """Whether sets of sizes a and b with at most ``shared`` in common can be similar enough."""
-    return shared * 100 >= (a + b - shared) * percent
-
-
-def open_buckets(state: DataFrame, percent: int) -> DataFrame:
-    """The rows of state that can still be linked within their bucket with one of another label."""
-    ends = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least"), F.max("shared").alias("most")).where("low < high").select("key", "least", "most")
-    return state.join(ends, "key").where(reaches(F.least("shared", "most"), F.col("size"), F.col("least"), percent)).drop("least", "most")
-
-
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, label of the members that have a link; the rounds of pivots described above."""
-    spark = members.sparkSession
-    state = written(open_buckets(members.withColumn("label", F.col("node")), percent), "near-state")
-    checked: DataFrame | None = None
-    labels = spark.createDataFrame([], "node long, label long")
-    turn = 0
-    while not state.isEmpty():
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(GROWTH**turn))
-        best = F.max(F.struct("degree", (-F.col("node")).alias("order"), "node", "size", "shared", "label"))
-        pivots = state.groupBy("key", part.alias("part")).agg(best.alias("p")).select("key", "p")
-        pairs = (
-            state.join(pivots, "key")
-            .where("node <> p.node and label <> p.label")
-            .where(reaches(F.least("shared", "p.shared"), F.col("size"), F.col("p.size"), percent))
-            .select(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y"))
-            .distinct()
-        )
-        if checked is not None:
-            pairs = pairs.join(checked, ["x", "y"], "left_anti")
-        new = written(confirmed(pairs, sets, percent), "near-checked")
-        checked = new if checked is None else checked.unionByName(new)
-        if not new.where("linked").isEmpty():
-            labels = components(checked.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        rest = (
-            state.drop("label")
-            .join(pivots.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti")
-            .join(labels, "node", "left")
-            .withColumn("label", F.coalesce("label", "node"))
-        )
-        state = written(open_buckets(rest, percent), "near-state")
-        turn += 1
-    return labels
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    state = members.select("key", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = state.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("size").alias("least")).where("low < high").select("key", "least")
+    open_ = state.join(ends, "key").groupBy("node", "label", "size").agg(F.min("least").alias("least"))
+    # a partner's size is at least percent / 100 of one's own
+    least = F.greatest("least", F.ceil(F.col("size") * percent / 100))
+    need = F.ceil((F.col("size") + least) * percent / (100 + percent)).cast("int")
+    held = written(open_.withColumn("need", need).join(sets.select("node", F.explode("shingles").alias("s")), "node"), "near-held")
+    counted = held.groupBy("s").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s", "c")
+    ranked = held.join(counted, "s").groupBy("node", "label", "size", "need").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("r")).where("size(r) >= need")
+    prefix = ranked.select("node", "label", "size", F.size("r").alias("n"), F.posexplode(F.slice("r", F.lit(1), F.size("r") - F.col("need") + 1)).alias("at", "p"))
+    prefix = written(prefix.select("node", "label", "size", (F.col("n") - F.col("at")).alias("after"), F.col("p.s").alias("s")), "near-prefix")
+    hot = prefix.groupBy("s").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s", F.ceil(F.col("f") / SALT_ROWS).alias("salts"))
+    dealt = prefix.join(hot, "s")
+    left = dealt.select("s", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "size", "after")))
+    right = dealt.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "size", "after")))
+    most = F.least("after_x", "after_y")
+    near = (F.col("label_x") != F.col("label_y")) & (F.col("node_x") < F.col("node_y")) & similar(most, F.col("size_x"), F.col("size_y"), percent)
+    return left.join(right, ["s", "salt"]).where(near).select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
+
+
+def repeats(sig: DataFrame, classes: DataFrame) -> DataFrame:
+    """u, v: classes of rows that repeat a doc_id, each with the first of them."""
+    rows = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "cls")
+    twice = rows.groupBy("doc_id").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("doc_id")
+    held = rows.join(twice, "doc_id").distinct().join(classes.select("cls", F.col("node").alias("u")), "cls")
+    return held.join(held.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").where("u <> v").select("u", "v")
+
+
+def links(members: DataFrame, sets: DataFrame, same: DataFrame, percent: int) -> DataFrame:
+    """node, label of what the links of members, and the pairs of same (u, v), connect."""
+    edge = lambda df: df.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    first = written(edge(confirmed(pivot_pairs(members), sets, percent)).unionByName(same), "near-links")
+    labels = components(first)
+    more = written(confirmed(prefix_pairs(members, labels, sets, percent), sets, percent), "near-more")
+    if more.isEmpty():
+        return labels
+    return components(edge(more).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
-    Documents with the same set form a class, which takes part once. Texts without words (null,
-    empty) have the set size 0 and are their own component. Rows without a doc_id are linked by
-    their set alone: their component is that of documents with the same set, else null, and they are
-    kept only if it is null. Rows that repeat a doc_id stand for one document with the links of
-    all of them. An empty table gives an empty one; other columns are not carried.
+    Documents with the same set form a class, which takes part once. component_id is the smallest doc_id
+    of the component. Texts without words (null, empty) have the set size 0 and are their own component.
+    Rows without a doc_id are linked by their sets like others; where a component has no doc_id at all,
+    component_id is null. Rows that repeat a doc_id with different texts are compared each by its own set
+    and stand for one document with the links of all. ``kept``: doc_id is component_id, null equal to null.
+    With ``row``, a column that tells rows apart, that column and ``single`` are added: true for one row of
+    each component and for all texts without words. An empty table gives an empty one; other columns are
+    not carried.
     """
-    sig = written(signatures(docs, n, bands, rows), "near-signatures")
-    classes = sig.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b"))
-    classes = written(classes, "near-classes")
-    named = classes.where("node is not null")
-    members = buckets(named)
-    sets = written(sets_of(docs, members.select("node").distinct(), n), "near-sets")
-    # the texts of a repeated doc_id are one document
-    same = sig.where("n_shingles > 0 and doc_id is not null").join(classes.select("cls", "node"), "cls").where("node <> doc_id")
-    labels = links(written(with_shared(members, sets), "near-shared"), sets, percent)
-    repeated = named.join(same.select(F.col("doc_id").alias("other"), F.col("node").alias("to")), named["node"] == F.col("other"), "inner").select(F.col("node").alias("u"), F.col("to").alias("v"))
-    if not repeated.isEmpty():
-        labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(repeated))
-    of_class = classes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("label"))
-    return (
-        sig.select("doc_id", "n_shingles", "cls")
-        .join(of_class, "cls", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    sig = written(signatures(docs, n, bands, rows, row), "near-signatures")
+    classes = sig.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    members = buckets(classes)
+    sets = written(sets_of(docs, classes.join(members.select("node").distinct(), "node"), n), "near-sets")
+    labels = written(classes.select("cls", "node", "first").join(links(members, sets, repeats(sig, classes), percent), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labels")
+    smallest = labels.groupBy("label").agg(F.min("first").alias("component"))
+    of_class = labels.join(smallest, "label").select("cls", "label", "component")
+    out = sig.drop("a", "b").join(of_class, "cls", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    if row is None:
+        return out.select("doc_id", "n_shingles", "component_id", kept)
+    out = written(out, "near-rows")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row]
+    ones = out.where("label is not null").groupBy("label").agg(one.alias("one")).select(F.col("one").alias(row), F.lit(True).alias("one"))
+    return out.join(ones, row, "left").select("doc_id", "n_shingles", "component_id", kept, row, (F.col("label").isNull() | F.col("one").isNotNull()).alias("single"))

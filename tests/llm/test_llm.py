@@ -501,3 +501,27 @@ def test_native_plans_hold_no_python(docs, spark):
 def test_nothing_is_left_of_the_text_column(docs):
     kept = suffix_dedup.remove_repeats(docs, with_text=True)
     assert {"kept", "lang", "source"} <= set(kept.columns) and kept.where(F.col("kept").isNull()).count() == 0
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (1, " ".join(f"x{i}" for i in range(400))), (2, " ".join([*words[:96], "k1", "k2"]))]
+    rows += [(7, " ".join(f"x{i}" for i in range(398))), (None, " ".join([*words[:97], "k3"])), (None, "alone"), (None, None), (None, None), (9, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    same(near_dup.near_duplicates(frame).collect(), near_by_hand(rows))
+    numbered = frame.withColumn("row", F.monotonically_increasing_id())
+    single = [r["doc_id"] for r in near_dup.near_duplicates(numbered, row="row").where("single").collect()]
+    assert sorted(single, key=str) == [1, 9, None, None, None]  # one row of each component, and all without words
+
+
+def test_near_duplicates_of_many_edits(spark):
+    """Copies with one to five edits from few words: links run across edits, and the pivot has not all of them."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(110)]
+    rows = []
+    for k in range(260):
+        words = list(base)
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(110)] = f"e{rng.randrange(6)}"
+        rows.append((k, " ".join(words)))
+    same(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), near_by_hand(rows))
