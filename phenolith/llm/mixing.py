@@ -58,7 +58,7 @@ def key(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, whole: bool = False, range_rows: int = RANGE_ROWS
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, whole: bool = False, range_rows: int = RANGE_ROWS, row: str | None = None
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document.
 
@@ -66,9 +66,12 @@ def mix_sources(
     target, and once more for documents that lie, in order of their keys, within what is then left.
     The document at the cut gives just the words up to it, or, if ``whole``, all of them. Empty and
     null texts have size 0 and none taken. A null source is a source. Rows that repeat a doc_id are
-    documents each. Reruns agree. An empty table gives an empty one; other columns are not carried.
+    documents each; ``row``, a column that tells them apart, is carried if given. Reruns agree. An empty
+    table gives an empty one; other columns are not carried.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
+    more = [] if row is None else [row]
+    source = F.col("source").cast("string").alias("source")
+    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source, n_words(F.col("text")).alias("size"), *more), "mix-sizes")
     of_source = written(targets(sizes, weights, most), "mix-targets")
     keyed = sizes.withColumn("key", key(F.col("doc_id"), seed))
     same = keyed["source"].eqNullSafe(of_source["source"])
@@ -82,7 +85,7 @@ def mix_sources(
         .withColumn("before", F.coalesce(F.sum("sum").over(up_to), F.lit(0)))
         .select(F.col("source").alias("s"), F.col("range").alias("r"), "before")
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     budget = F.floor("target").cast("long")
     left = F.pmod(budget, F.col("source_size")) - F.col("before")
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
@@ -92,5 +95,5 @@ def mix_sources(
         .join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
         .withColumn("before", F.col("before") + F.col("within"))
         .withColumn("taken", F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(budget / F.col("source_size")) * F.col("size") + part).cast("long"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select("doc_id", "size", "source_size", "target", "taken", *more)
     )

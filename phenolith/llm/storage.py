@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column ``name`` that tells rows apart and is the same whenever docs is read.
+
+    For rows read from files that is their place there; others are written first.
+    """
+    if "_metadata" in docs.columns:
+        raise ValueError("a column of docs is named _metadata")
+    place = F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(name)
+    try:
+        return docs.select("*", place)
+    except AnalysisException:  # no scan of files, or hidden by what follows it
+        return written(docs, "numbered").select("*", place)
+
+
 def bitmap(keys: DataFrame, key: str | Column, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with bit ``key mod 2**bits`` set for each long key.
 

@@ -6,6 +6,8 @@ from collections import Counter
 
 from tests.llm.test_llm import WORD, near_by_hand, quality_by_hand
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from phenolith.llm.queries import WORDS_MODEL, tokenizer
 
@@ -87,3 +89,22 @@ def test_cuts_inside_characters(spark):
     out = {r["doc_id"]: r for r in pipeline.suffix_array_dedup(spark, docs, SF).collect()}
     assert {k: r["text"] for k, r in out.items()} == {0: texts[0], 1: " other end \ufffd", 2: "𐐨 start 😀€ tail", 3: "Ĩ 😁 last", 4: texts[4]}
     assert all(r["n_chars"] == len(r["text"]) for r in out.values())
+
+
+def test_stages_with_missing_and_repeated_ids(spark):
+    long = lambda k, n=80: " ".join(f"{k}word{i}" for i in range(n))
+    near = long("a").replace("aword7 ", "other ")
+    rows = [(1, long("a"), "x", 5), (None, near, "x", 6), (None, near, "x", 6), (3, long("b", 60), "y", 1), (3, long("c", 90), "y", 1), (3, long("c", 90), "y", 1), (None, long("d"), None, 0), (None, None, None, None), (4, "", "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    single = pipeline.minhash_near_dup(spark, docs, SF)
+    assert single.columns == docs.columns  # a column named like one of the operator's
+    kept = sorted((r["doc_id"], r["text"]) for r in single.collect() if r["doc_id"] is not None)
+    assert kept[0] == (1, long("a")) and kept[2] == (4, "") and kept[1][0] == 3 and len(kept) == 3
+    assert sorted((r["text"] or "" for r in single.collect() if r["doc_id"] is None)) == ["", long("d")]
+
+    mixed = pipeline.mixing_sources(spark, docs, SF).collect()
+    times = Counter((r["doc_id"], r["text"]) for r in mixed)
+    assert all(r["text"] for r in mixed) and max(times.values()) <= 6 and set(times) <= {(r[0], r[1]) for r in rows}
+    none = docs.limit(0)
+    for stage in (pipeline.quality_rules, pipeline.minhash_near_dup, pipeline.suffix_array_dedup, pipeline.mixing_sources, pipeline.best_fit_packing):
+        assert stage(spark, none.withColumn("lang", F.lit(None).cast("string")), SF).count() == 0
