@@ -1,4 +1,9 @@
-"""Near duplicates by candidate buckets and containment of word shingles."""
+"""Near duplicates by candidate buckets and containment of word shingles.
+
+Buckets stand for all pairs of their members, so no pair list is built: candidates are counted from
+bucket sizes, documents with the same buckets and shingles are one class, and classes are compared only
+where the rarest shingles of the smaller set say that it may be contained far enough in the other.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,6 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 
 SHINGLE, MIN_CONTAINMENT = 7, 0.6
-#: Pivots of a bucket in the first comparison.
-PIVOTS = 16
 
 
 def tokens(text: Column) -> Column:
@@ -26,55 +29,98 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     return F.element_at(F.transform(F.array(tokens(text)), grams), 1)  # bound as a variable, the words are found once
 
 
-def bucket_keys(title: Column, text: Column) -> Column:
-    """The first four words of the title and the first 80 letters of the text, as far as there are so many."""
+def bucket_keys(title: Column, text: Column) -> dict[str, Column]:
+    """The first four words of the title and the first 80 letters of the text, null where there are not so many."""
     t = tokens(title)
     letters = F.regexp_replace(F.lower(text), "[^a-z]+", "")
-    first = F.when(F.size(t) >= 4, F.concat(F.lit("t:"), F.array_join(F.slice(t, 1, 4), " ")))
-    lede = F.when(F.length(letters) >= 80, F.concat(F.lit("l:"), F.substring(letters, 1, 80)))
-    return F.array_compact(F.array(first, lede))
+    first = F.when(F.size(t) >= 4, F.array_join(F.slice(t, 1, 4), " "))
+    lede = F.when(F.length(letters) >= 80, F.substring(letters, 1, 80))
+    return {"title": first, "lede": lede}
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """key, doc_id of documents with shingles."""
-    return docs.where(F.size(tokens(F.col("text"))) >= SHINGLE).select("doc_id", F.explode(bucket_keys(F.col("title"), F.col("text"))).alias("key"))
+    """doc_id, title, lede: the bucket keys of documents with shingles."""
+    keys = bucket_keys(F.col("title"), F.col("text"))
+    return docs.where(F.size(tokens(F.col("text"))) >= SHINGLE).select("doc_id", *(c.alias(n) for n, c in keys.items()))
+
 
+def dup_candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, title_bucket, lede_bucket, n_candidates of every document that shares a bucket.
 
-def pivot_pairs(members: DataFrame, parts: int) -> DataFrame:
-    """a, b, key, p: members of a bucket (key, doc_id, label) with the smallest of each of its parts, unless their labels agree."""
-    pivots = members.groupBy("key", F.pmod("doc_id", F.lit(parts)).alias("part")).agg(F.min(F.struct("doc_id", "label")).alias("p"))
-    pairs = members.join(pivots.select("key", "p"), "key").where("doc_id <> p.doc_id and label <> p.label")
-    return pairs.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"), "key", F.col("p.doc_id").alias("p"))
+    A bucket is named by its smallest doc_id; all its members are candidates of each other. How many
+    others a document meets follows from the sizes of its buckets and of what they have in common.
+    """
+    keys = staged(bucketed(docs), "bucket-keys")
+    alone = lambda c: F.coalesce(c, F.lit(1))
 
+    def sized(on: list[str], name: str) -> DataFrame:
+        some = keys.where(" and ".join(f"{c} is not null" for c in on))
+        return some.groupBy(*on).agg(F.min("doc_id").alias(f"{name}_bucket"), F.count("*").alias(f"n_{name}")).where(F.col(f"n_{name}") > 1)
 
-def shared_buckets(docs: DataFrame) -> DataFrame:
-    """key, doc_id, label of buckets with two documents or more; counted before joining, so a hot bucket stays spread."""
-    keys = bucketed(docs)
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key").select("key", "doc_id", F.col("doc_id").alias("label"))
+    out = keys.join(sized(["title"], "title"), "title", "left").join(sized(["lede"], "lede"), "lede", "left").join(sized(["title", "lede"], "both"), ["title", "lede"], "left")
+    n = alone(F.col("n_title")) + alone(F.col("n_lede")) - alone(F.col("n_both")) - 1
+    return out.select("doc_id", "title_bucket", "lede_bucket", n.alias("n_candidates")).where("n_candidates > 0")
 
 
-def dup_candidates(docs: DataFrame) -> DataFrame:
-    """a, b: the pairs compared first, a < b."""
-    return pivot_pairs(shared_buckets(docs), PIVOTS).select("a", "b").distinct()
+def dup_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, rep, keys, s: documents that share a bucket, with the smallest of the same buckets and shingles."""
+    each = bucketed(docs).select("doc_id", F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in ("title", "lede"))))).alias("key"))
+    shared = each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+    of_doc = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # two at most
+    sets = docs.select("doc_id", "text").join(of_doc, "doc_id").select("doc_id", "keys", F.array_sort(shingle_hashes(F.col("text"))).alias("s"))
+    named = staged(sets.withColumn("cls", F.md5(F.array_join(F.concat("keys", "s").cast("array<string>"), ","))), "dup-sets")
+    reps = named.groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    return staged(named.join(reps, "cls").select("doc_id", "rep", "keys", F.when(F.col("doc_id") == F.col("rep"), F.col("s")).alias("s")), "dup-classes")
 
 
-def containment_pairs(docs: DataFrame, pairs: DataFrame, floor: float = MIN_CONTAINMENT) -> DataFrame:
-    """a, b, containment: shared shingles over the smaller set, for pairs that reach the floor."""
-    sets = docs.select("doc_id", shingle_hashes(F.col("text")).alias("s")).where(F.size("s") > 0)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = sets.join(ids, "doc_id", "left_semi")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+def verified(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
+    """a, b, containment of the pairs that reach the floor: shared shingles over the smaller set."""
+    of = lambda n: classes.where("doc_id = rep").select(F.col("rep").alias(n), F.col("s").alias(f"s{n}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     c = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
     return both.select("a", "b", F.round(c, 6).alias("containment")).where(F.col("containment") >= floor)
 
 
+def pivot_pairs(classes: DataFrame) -> DataFrame:
+    """a, b: every class of a bucket with the bucket's smallest."""
+    rows = classes.where("doc_id = rep").select("rep", F.explode("keys").alias("key"))
+    pivots = rows.groupBy("key").agg(F.min("rep").alias("a"))
+    return rows.join(pivots, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+
+
+def prefix_pairs(classes: DataFrame, labels: DataFrame, floor: float) -> DataFrame:
+    """a, b: the pairs of a bucket under different labels whose smaller set may reach the floor in the other.
+
+    Of the smaller set at least floor * size shingles have to be in the other, so the other has one of
+    its rarest size - floor * size + 1. Shingles that a bucket holds under one label only count for nothing.
+    """
+    named = labels.select(F.col("doc_id").alias("node"), "cluster")
+    rows = classes.where("doc_id = rep").join(named, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("cluster", "rep").alias("label"), F.size("s").alias("size"), "keys", "s")
+    open_ = rows.select(F.explode("keys").alias("key"), "label").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    each = rows.withColumn("key", F.explode("keys")).join(open_, "key", "left_semi")
+    held = staged(each.select("key", "rep", "label", "size", F.explode("s").alias("x")), "dup-held")
+    counted = held.groupBy("key", "x").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "x", "c")
+    live = staged(held.join(counted, ["key", "x"]), "dup-live")
+    need = F.ceil(F.col("size") * floor - 1e-6).cast("int")
+    ranked = live.groupBy("key", "rep", "label", "size").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r")).where(F.size("r") >= need)
+    small = ranked.select("key", F.col("rep").alias("p"), F.col("label").alias("lp"), F.col("size").alias("np"), F.explode(F.slice("r", F.lit(1), F.size("r") - need + 1)).alias("r")).withColumn("x", F.col("r.x"))
+    meets = (F.col("lp") != F.col("label")) & (F.struct("np", "p") < F.struct("size", "rep"))
+    return small.join(live, ["key", "x"]).where(meets).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+
+
+def containment_pairs(classes: DataFrame, floor: float = MIN_CONTAINMENT) -> DataFrame:
+    """a, b, containment: every link between classes of one bucket, each by its smallest doc_id."""
+    none = classes.sparkSession.createDataFrame([], "doc_id long, cluster long")
+    return verified(prefix_pairs(classes, none, floor), classes, floor)
+
+
 def dup_clusters(pairs: DataFrame) -> DataFrame:
-    """doc_id, cluster (its smallest member) of all documents with a duplicate.
+    """doc_id, cluster (the smallest document reachable) of all documents of pairs (a, b).
 
     Labels spread along the links, and from each label to the label it itself got, so that long
     chains shorten; each round is written to the shared folder.
     """
-    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = staged(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dup-links")
     labels = staged(links.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("a"), F.min("b")).alias("cluster")), "clusters")
     while True:
         near = links.join(labels, F.col("b") == F.col("doc_id")).groupBy("a").agg(F.min("cluster").alias("m"))
@@ -86,36 +132,29 @@ def dup_clusters(pairs: DataFrame) -> DataFrame:
         labels = new.select("doc_id", "cluster")
 
 
+def near_duplicate_clusters(docs: DataFrame, floor: float = MIN_CONTAINMENT) -> DataFrame:
+    """doc_id, cluster (its smallest member), n_members of all documents with a duplicate.
+
+    Classes meet the smallest of their buckets first; what is linked has one label, and of the pairs
+    that are left only those that may still be linked are compared.
+    """
+    classes = dup_classes(docs)
+    first = staged(verified(pivot_pairs(classes), classes, floor).select("a", "b"), "links")
+    labels = dup_clusters(first)
+    more = staged(verified(prefix_pairs(classes, labels, floor), classes, floor).select("a", "b"), "links")
+    if not more.isEmpty():
+        labels = dup_clusters(more.unionByName(labels.select(F.col("doc_id").alias("a"), F.col("cluster").alias("b"))))
+    rows = classes.join(labels.withColumnRenamed("doc_id", "node"), F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("cluster", "rep").alias("cluster"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n_members")).where("n_members > 1")
+    return rows.join(sizes, "cluster").select("doc_id", "cluster", "n_members")
+
+
+def cluster_report(clusters: DataFrame) -> DataFrame:
+    """cluster, n_members, last: one row of each cluster; its members are the rows of dup_clusters."""
+    return clusters.groupBy("cluster").agg(F.count("*").alias("n_members"), F.max("doc_id").alias("last"))
+
+
 def apply_blacklist(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """docs without the duplicates of a smaller document."""
     gone = clusters.where("doc_id <> cluster").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
-
-
-def near_duplicate_clusters(docs: DataFrame, floor: float = MIN_CONTAINMENT) -> DataFrame:
-    """doc_id, cluster of all documents linked by containment within buckets.
-
-    Not all pairs of a bucket are compared: its members meet the pivots of its parts, get the labels of
-    what they are linked with, and only members of different clusters go on, with other pivots, until
-    no bucket holds two clusters that have not been compared.
-    """
-    members = staged(shared_buckets(docs), "buckets")
-    spark = docs.sparkSession
-    links = done = None
-    clusters = spark.createDataFrame([], "doc_id long, cluster long")
-    parts = 1
-    while not members.isEmpty():
-        pairs = staged(pivot_pairs(members, parts), "pairs")
-        new = pairs.select("a", "b").distinct()
-        new = new if done is None else new.join(done, ["a", "b"], "left_anti")
-        done = new if done is None else done.unionByName(new)
-        found = staged(containment_pairs(docs, new, floor).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        clusters = dup_clusters(links)
-        used = members.groupBy("key", F.pmod("doc_id", F.lit(parts)).alias("part")).agg(F.min("doc_id").alias("doc_id")).select("key", "doc_id")
-        rest = members.drop("label").join(used, ["key", "doc_id"], "left_anti").join(clusters, "doc_id", "left").select("key", "doc_id", F.coalesce("cluster", "doc_id").alias("label"))
-        rest = staged(rest, "rest")
-        open_ = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        members = staged(rest.join(open_, "key", "left_semi"), "buckets")
-        parts *= 4
-    return clusters

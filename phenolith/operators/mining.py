@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lexicon import TAG_TRAITS
+from ..sources.staging import dimension
 from .tagging import windows_around
 
 
@@ -27,20 +29,31 @@ def trait_mentions(windows: DataFrame, traits: DataFrame) -> DataFrame:
 
     traits (trait, category, pattern) is a dimension.
     """
-    hits = windows.crossJoin(F.broadcast(traits)).where(F.rlike(F.lower("text"), F.col("pattern")))
+    hits = windows.crossJoin(dimension(traits)).where(F.rlike(F.lower("text"), F.col("pattern")))
     return hits.groupBy("doc_id", "trait", "category").agg(F.min_by(F.substring("text", 1, 200), "window").alias("quote"))
 
 
+def tagged_traits(docs: DataFrame, tags: dict[str, tuple[str, str]] = TAG_TRAITS) -> DataFrame:
+    """doc_id, trait, category: the traits that boolean columns of docs stand for."""
+    each = F.array_compact(F.array(*(F.when(F.col(c), F.struct(F.lit(t).alias("trait"), F.lit(k).alias("category"))) for c, (t, k) in tags.items())))
+    return docs.select("doc_id", F.explode(each).alias("t")).select("doc_id", "t.*")
+
+
 def phrase_context(docs: DataFrame, phrases: list[str], text: str = "text", most: int = 5, words: int = 5) -> DataFrame:
-    """phrase, rank, snippet: up to ``most`` stretches of five words around each phrase, with the document's id."""
-    found = None
-    for p in phrases:
+    """phrase, rank, snippet: up to ``most`` stretches of five words around each phrase, with the document's id.
+
+    The texts are walked once for all phrases.
+    """
+
+    def found(p: str) -> Column:
         pattern = rf"(?i)((?:\S+\s+){{0,{words}}}\b{p}\b(?:\s+\S+){{0,{words}}})"
-        rows = docs.where(F.lower(text).contains(p)).select(F.lit(p).alias("phrase"), "doc_id", F.substring(F.regexp_extract(text, pattern, 1), 1, 220).alias("s")).where("s <> ''")
-        found = rows if found is None else found.unionByName(rows)
+        s = F.substring(F.regexp_extract(text, pattern, 1), 1, 220)
+        return F.when(F.col("__low").contains(p) & (s != ""), F.struct(F.lit(p).alias("phrase"), s.alias("s")))
+
+    each = docs.withColumn("__low", F.lower(text)).select("doc_id", F.explode(F.array_compact(F.array(*(found(p) for p in phrases)))).alias("f")).select("f.*", "doc_id")
     # ranks within parts first, so that a phrase of very many documents is no single sort
     part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
-    first = found.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("phrase", "part").orderBy("doc_id"))).where(F.col("r") <= most)
+    first = each.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("phrase", "part").orderBy("doc_id"))).where(F.col("r") <= most)
     rank = F.row_number().over(Window.partitionBy("phrase").orderBy("doc_id"))
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("phrase", "rank", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.col("s")).alias("snippet"))
 
@@ -68,10 +81,10 @@ def corroboration_lock(papers: DataFrame, traits: DataFrame, context: str, desig
     traits (trait, pattern) is a dimension; papers are scanned once.
     """
     low = papers.select("doc_id", F.lower("text").alias("t")).where(F.col("t").rlike(context))
-    hits = low.crossJoin(F.broadcast(traits)).where(F.rlike("t", F.col("pattern"))).withColumn("design", F.rlike("t", F.concat(F.lit(f"(?s)(?:{design}).{{0,80}}(?:"), F.col("pattern"), F.lit(")"))))
+    hits = low.crossJoin(dimension(traits)).where(F.rlike("t", F.col("pattern"))).withColumn("design", F.rlike("t", F.concat(F.lit(f"(?s)(?:{design}).{{0,80}}(?:"), F.col("pattern"), F.lit(")"))))
     by = hits.groupBy("trait").agg(F.count("*").alias("raw"), F.count(F.when(~F.col("design"), 1)).alias("clean"))
     topical = F.when(F.col("raw") > many, F.col("clean")).otherwise(F.col("raw"))
-    rows = F.broadcast(traits).join(by, "trait", "left").select("trait", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce(topical, F.lit(0)).alias("topical"))
+    rows = dimension(traits).join(by, "trait", "left").select("trait", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce(topical, F.lit(0)).alias("topical"))
     return rows.withColumn("tier", F.when(F.col("topical") >= 3, "silver").otherwise("bronze"))
 
 
@@ -79,9 +92,9 @@ def control_pct_mine(papers: DataFrame, traits: DataFrame, width: int = 120) ->
     """trait, papers, status, mean_pct: percentages beside a trait in papers that mention controls."""
     low = papers.select("doc_id", F.lower("text").alias("t")).where(F.col("t").rlike(r"\bcontrols?\b"))
     beside = F.concat(F.lit("(?s)(?:"), F.col("pattern"), F.lit(rf").{{0,{width}}}?(\d+(?:\.\d+)?)\s*%"))
-    hits = low.crossJoin(F.broadcast(traits)).select("doc_id", "trait", F.call_function("regexp_extract", F.col("t"), beside, F.lit(1)).try_cast("double").alias("pct"))
+    hits = low.crossJoin(dimension(traits)).select("doc_id", "trait", F.call_function("regexp_extract", F.col("t"), beside, F.lit(1)).try_cast("double").alias("pct"))
     by = hits.where("pct is not null").groupBy("trait").agg(F.count("*").alias("papers"), F.round(F.avg("pct"), 4).alias("mean_pct"))
-    return F.broadcast(traits).join(by, "trait", "left").select("trait", F.coalesce("papers", F.lit(0)).alias("papers"), F.when(F.col("papers") > 0, "materialized").otherwise("pending").alias("status"), "mean_pct")
+    return dimension(traits).join(by, "trait", "left").select("trait", F.coalesce("papers", F.lit(0)).alias("papers"), F.when(F.col("papers") > 0, "materialized").otherwise("pending").alias("status"), "mean_pct")
 
 
 EFFECT = r"(?:([A-Za-z][A-Za-z0-9 -]{1,40}?)\s*[:(,]?\s*)?\b(OR|HR|RR)\s*[=:]?\s*(\d+\.?\d*)(?:\s*[(,;]\s*95%\s*CI:?\s*(\d+\.?\d*)\s*(?:-|to|,)\s*(\d+\.?\d*))?"

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-JUNK = "study studies paper result results method methods data sample group participant patient cohort population number percent rate ratio value level mean range model factor effect table figure year month week day news story photo video link click page site".split()
-# What introduces a reason given for a long life.
-ATTRIBUTION = [
-    r"(?i)secret (?:to|of) (?:a long life|longevity|living so long) (?:is|was) ([^.!?]{4,80})",
-    r"(?i)attributes? (?:his|her|their) (?:long life|longevity|age) to ([^.!?]{4,80})",
-    r"(?i)credits? (?:his|her|their) (?:long life|longevity|age) to ([^.!?]{4,80})",
-    r"(?i)recipe for (?:a long life|longevity) (?:is|was) ([^.!?]{4,80})",
-]
+from ..plans.lexicon import ATTRIBUTION
+from ..sources.staging import dimension, staged
+
+# Words that no phrase holds.
+JUNK = [
+    "study", "studies", "paper", "result", "results", "method", "methods", "data", "sample", "group", "participant", "patient", "cohort", "population",
+    "number", "percent", "rate", "ratio", "value", "level", "mean", "range", "model", "factor", "effect", "table", "figure",
+    "year", "month", "week", "day", "news", "story", "photo", "video", "link", "click", "page", "site",
+]
 AGES = r"\b(9[5-9]|1[0-3][0-9])\b"
 ADS = r"(?i)\b(?:subscribe|buy|discount|newsletter)\b"
 
@@ -24,35 +25,48 @@ def good_token(t: Column) -> Column:
     return (F.length(t) > 2) & (F.length(t) <= 18) & ~t.isin(JUNK) & ~t.rlike("[bcdfghjklmnpqrstvwxz]{5,}")
 
 
-def candidate_phrases(text: Column) -> Column:
-    """Distinct phrases of two or three neighbouring words that are all good."""
+def candidate_phrases(text: Column, most: int = 5) -> Column:
+    """Distinct phrases of two to ``most`` neighbouring words that are all good."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"), 1)
     good = F.transform(words, lambda t: F.when(good_token(t), t))
 
     def grams(g: Column) -> Column:
         after = lambda k: F.slice(g, k + 1, F.greatest(F.size(g) - k, F.lit(0)))
         join = lambda a, b: F.concat(a, F.lit(" "), b)  # noqa: E731  null beside a word that is not good
-        two = F.zip_with(g, after(1), join)
-        return F.array_distinct(F.array_compact(F.concat(two, F.zip_with(two, after(2), join))))
+        longer = [g]
+        for k in range(1, most):
+            longer.append(F.zip_with(longer[-1], after(k), join))
+        return F.array_distinct(F.array_compact(F.concat(*longer[1:])))
 
     return F.element_at(F.transform(F.array(good), grams), 1)  # bound as a variable, the words are found once
 
 
-def phrase_lift(docs: DataFrame, min_focus: int = 15, min_lift: float = 1.3) -> DataFrame:
-    """phrase with its counts, lift, breadth and rank value, from docs (focus, weight, country, individual, phrases).
+#: Smallest count in the focus class and smallest lift of a phrase, by its type.
+FLOORS = {"noun_phrase": (15, 1.3), "verb_phrase": (7, 1.3), "attribution": (3, 1.0), "attribution_place": (3, 1.0), "attribution_product": (3, 1.0)}
 
-    Counts of documents by phrase are pre-aggregated; distinct countries and people are counted in two
-    steps. The totals are one row.
+
+def phrase_lift(docs: DataFrame, floors: dict[str, tuple[int, float]] = FLOORS) -> DataFrame:
+    """feature_type, phrase with its counts, lift, breadth and rank value.
+
+    docs has focus, weight, country, individual, and an array of phrases in the column of each type that
+    it has of ``floors``. Counts by phrase, class, country and person come first and are kept, so the
+    texts are walked once; distinct countries and people are counted from them. The totals are one row.
     """
+    kinds = [k for k in floors if k in docs.columns]
     totals = docs.agg(F.sum(F.col("focus").cast("int")).alias("n_focus"), F.count("*").alias("n_all"))
-    rows = docs.select("focus", "weight", "country", "individual", F.explode("phrases").alias("phrase"))
-    by = rows.groupBy("phrase").agg(F.sum(F.col("focus").cast("int")).alias("freq_focus"), F.count("*").alias("freq_all"), F.round(F.sum("weight") + 1e-9, 2).alias("weighted"))
-    kept = by.where(F.col("freq_focus") >= min_focus).crossJoin(F.broadcast(totals))
+    typed = lambda k: F.transform(F.array_distinct(k), lambda p: F.struct(F.lit(k).alias("feature_type"), p.alias("phrase")))
+    each = F.concat(*(typed(k) for k in kinds))
+    rows = docs.select("focus", "weight", "country", "individual", F.explode(each).alias("p")).select("p.*", "focus", "weight", "country", "individual")
+    parts = staged(rows.groupBy("feature_type", "phrase", "focus", "country", "individual").agg(F.count("*").alias("n"), F.sum("weight").alias("w")), "phrases")
+    by = parts.groupBy("feature_type", "phrase").agg(F.sum(F.when(F.col("focus"), F.col("n")).otherwise(0)).alias("freq_focus"), F.sum("n").alias("freq_all"), F.round(F.sum("w") + 1e-9, 2).alias("weighted"))
+    floor = lambda i: F.element_at(F.create_map(*(F.lit(x) for k in kinds for x in (k, floors[k][i]))), F.col("feature_type"))
+    kept = by.where(F.col("freq_focus") >= floor(0)).crossJoin(F.broadcast(totals))
     lift = (F.col("freq_focus") / F.greatest("n_focus", F.lit(1))) / (F.col("freq_all") / F.greatest("n_all", F.lit(1)))
-    kept = kept.withColumn("lift", lift).where(F.col("lift") >= min_lift)
-    wide = rows.join(kept.select("phrase"), "phrase").groupBy("phrase").agg(F.count_distinct(F.when(F.col("focus"), F.col("country"))).alias("n_countries"), F.count_distinct("individual").alias("n_individuals"))
+    kept = kept.withColumn("lift", lift).where(F.col("lift") >= floor(1))
+    key = ["feature_type", "phrase"]
+    wide = parts.join(kept.select(*key), key).groupBy(*key).agg(F.count_distinct(F.when(F.col("focus"), F.col("country"))).alias("n_countries"), F.count_distinct("individual").alias("n_individuals"))
     score = F.round(F.col("lift") * F.log(F.col("n_individuals") + 1) + 1e-9, 4)
-    return kept.join(wide, "phrase").select("phrase", "freq_focus", "freq_all", "weighted", F.round(F.col("lift") + 1e-9, 3).alias("lift"), "n_countries", "n_individuals", score.alias("population_score"))
+    return kept.join(wide, key).select(*key, "freq_focus", "freq_all", "weighted", F.round(F.col("lift") + 1e-9, 3).alias("lift"), "n_countries", "n_individuals", score.alias("population_score"))
 
 
 def topk_registry(lift: DataFrame, k: int) -> DataFrame:
@@ -62,8 +76,8 @@ def topk_registry(lift: DataFrame, k: int) -> DataFrame:
 
 
 def concept_match(phrases: DataFrame, concepts: DataFrame) -> DataFrame:
-    """phrase, concept: the first concept with a keyword that the phrase contains. Both are dimensions."""
-    hits = phrases.join(F.broadcast(concepts), F.contains(F.col("phrase"), F.col("keyword")))
+    """phrase, concept: the first concept with a keyword that the phrase contains."""
+    hits = phrases.join(dimension(concepts), F.contains(F.col("phrase"), F.col("keyword")))
     return hits.groupBy("phrase").agg(F.min_by("concept", "ord").alias("concept"))
 
 
@@ -76,8 +90,8 @@ def feature_matrix(docs: DataFrame, words: Sequence[str], text: str = "text") ->
 
 def attribution_phrases(text: Column) -> Column:
     """What a long life is put down to: the trimmed objects of all patterns, without advertising."""
-    found = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in ATTRIBUTION)))
-    return F.filter(F.transform(found, F.trim), lambda x: (F.length(x) >= 4) & ~x.rlike(ADS))
+    found = F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in ATTRIBUTION)), lambda x: F.trim(x)))  # trim itself would take the index as its second parameter
+    return F.filter(found, lambda x: F.length(x).between(4, 80) & ~x.rlike(ADS))
 
 
 def age_mentions(text: Column) -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
@@ -165,30 +165,46 @@ def fuzzy_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.fuzzy_name_join(q, m)
 
 
+#: Sentences with a reason given for a long life, %d standing for a number.
+REASONS = [
+    " Her secret to longevity is walking %d miles daily. She attributes her long life to olive oil and rest.",
+    " He credits %d friends for his longevity. They owe their long life to garden soup.",
+    " She says her secret is tea with %d spoons of honey. He believes his longevity is due to never smoking.",
+    " The key to her long life was a nap of %d minutes. She lived to 104 by eating fish.",
+    " He puts his long life down to %d prayers. She attributed her longevity to plain luck.",
+]
+
+
+def story() -> Column:
+    """A document's text with what one of REASONS says."""
+    each = F.array(*(F.concat(F.lit(r.split("%d")[0]), (F.col("doc_id") % 9).cast("string"), F.lit(r.split("%d")[1])) for r in REASONS))
+    return F.concat(F.col("text"), F.element_at(each, (F.col("doc_id") % len(REASONS) + 1).cast("int")))
+
+
 def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = fixtures.table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = fixtures.table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    return docs.select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("focus"), F.least(F.col("n_chars") / 1000.0, F.lit(20.0)).alias("weight"), F.col("lang").alias("country"), F.col("source").alias("individual"), phrases.candidate_phrases(F.col("text")).alias("phrases"))
+    return docs.select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("focus"), F.least(F.col("n_chars") / 1000.0, F.lit(20.0)).alias("weight"), F.col("lang").alias("country"), F.col("source").alias("individual"), phrases.candidate_phrases(F.col("text")).alias("noun_phrase"), phrases.attribution_phrases(story()).alias("attribution"))
 
 
 def candidate_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrase_rows(spark, sf_dir).select("doc_id", F.size("phrases").alias("n_phrases"))
+    return phrase_rows(spark, sf_dir).select("doc_id", F.size("noun_phrase").alias("n_phrases"))
 
 
 def phrase_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.phrase_lift(phrase_rows(spark, sf_dir), 5, 1.1)
+    return phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (5, 1.1), "attribution": (3, 1.0)})
 
 
 def phrase_topk_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), 3, 1.0)
-    return phrases.topk_registry(lift.withColumn("feature_type", F.length("phrase") % 3), 20).select("feature_type", "rank", "phrase")
+    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)})
+    return phrases.topk_registry(lift, 20).select("feature_type", "rank", "phrase")
 
 
 CONCEPTS = [("connectives", "and"), ("connectives", "und"), ("articles", "the"), ("articles", "les"), ("endings", "ing")]
 
 
 def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), 3, 1.0).select("phrase")
+    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (3, 1.0)}).select("phrase")
     concepts = spark.createDataFrame([(c, k, i) for i, (c, k) in enumerate(CONCEPTS)], "concept string, keyword string, ord int")
     return phrases.concept_match(lift, concepts)
 
@@ -198,8 +214,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribution_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    story = F.concat(F.col("text"), F.lit(" Her secret to longevity is walking "), (F.col("doc_id") % 9).cast("string"), F.lit(" miles daily. She attributes her long life to olive oil and rest."))
-    return corpus(spark, sf_dir).select("doc_id", F.array_join(phrases.attribution_phrases(story), "|").alias("phrases"))
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(phrases.attribution_phrases(story()), "|").alias("phrases"))
 
 
 def age_person_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +233,16 @@ CTES["lift_rows"] = """SELECT d.doc_id, coalesce(quality = 1, FALSE) AS focus, l
 CTES["tokens"] = "SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)"
 _junk = "(" + ", ".join(literal(w) for w in phrases.JUNK) + ")"
 CTES["good"] = f"SELECT *, length(t) > 2 AND length(t) <= 18 AND t NOT IN {_junk} AND NOT regexp_matches(t, '[bcdfghjklmnpqrstvwxz]{{5,}}') AS ok FROM tokens"
-CTES["grams"] = """SELECT DISTINCT doc_id, phrase FROM (SELECT doc_id, CASE WHEN ok AND lead(ok) OVER k THEN t || ' ' || lead(t) OVER k END AS phrase FROM good WINDOW k AS (PARTITION BY doc_id ORDER BY i)
-  UNION ALL SELECT doc_id, CASE WHEN ok AND lead(ok) OVER k AND lead(ok, 2) OVER k THEN t || ' ' || lead(t) OVER k || ' ' || lead(t, 2) OVER k END FROM good WINDOW k AS (PARTITION BY doc_id ORDER BY i)) WHERE phrase IS NOT NULL"""
+_gram = lambda n: "CASE WHEN ok" + "".join(f" AND lead(ok, {k}) OVER k" for k in range(1, n)) + " THEN t" + "".join(f" || ' ' || lead(t, {k}) OVER k" for k in range(1, n)) + " END"
+CTES["grams"] = "SELECT DISTINCT doc_id, phrase FROM (" + " UNION ALL ".join(f"SELECT doc_id, {_gram(n)} AS phrase FROM good WINDOW k AS (PARTITION BY doc_id ORDER BY i)" for n in range(2, 6)) + ") WHERE phrase IS NOT NULL"
+_told = ", ".join(literal(r) for r in REASONS)
+CTES["stories"] = f"SELECT doc_id, text || replace(([{_told}])[doc_id % {len(REASONS)} + 1], '%d', (doc_id % 9)::VARCHAR) AS story FROM documents"
+_reasons = "list_concat(" * (len(phrases.ATTRIBUTION) - 1) + f"regexp_extract_all(story, {literal(phrases.ATTRIBUTION[0])}, 1)" + "".join(f", regexp_extract_all(story, {literal(p)}, 1))" for p in phrases.ATTRIBUTION[1:])
+CTES["reasons"] = f"SELECT doc_id, phrase, i FROM (SELECT doc_id, unnest(x) AS phrase, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_transform({_reasons}, lambda p: trim(p)) AS x FROM stories)) WHERE length(phrase) BETWEEN 4 AND 80 AND NOT regexp_matches(phrase, {literal(phrases.ADS)})"
+CTES["typed"] = "SELECT 'noun_phrase' AS feature_type, doc_id, phrase FROM grams UNION ALL SELECT DISTINCT 'attribution', doc_id, phrase FROM reasons"
+CTES["lifted"] = """SELECT *, round(l + 1e-9, 3) AS lift, round(l * ln(n_individuals + 1) + 1e-9, 4) AS population_score FROM (SELECT *, (freq_focus / greatest(nf, 1)) / (freq_all / greatest(na, 1)) AS l FROM
+  (SELECT feature_type, phrase, count(*) FILTER (WHERE focus) AS freq_focus, count(*) AS freq_all, round(sum(weight) + 1e-9, 2) AS weighted, count(DISTINCT CASE WHEN focus THEN country END) AS n_countries, count(DISTINCT individual) AS n_individuals FROM typed JOIN lift_rows USING (doc_id) GROUP BY ALL),
+  (SELECT count(*) FILTER (WHERE focus) AS nf, count(*) AS na FROM lift_rows))"""
 _tier = "CASE WHEN {0} >= 110 THEN 'supercentenarian' WHEN {0} >= 100 THEN 'centenarian' WHEN {0} >= 90 THEN 'nonagenarian' END"
 CTES["trait_mentions"] = """SELECT 'p' || (doc_id % 301)::VARCHAR AS person, CASE WHEN doc_id % 301 % 4 = 0 THEN NULL WHEN doc_id % 301 % 3 = 0 THEN 'supercentenarian' ELSE 'centenarian' END AS tier, trait, substr(title, 1, 40) AS quote,
   CASE WHEN doc_id % 9 = 0 THEN 'boolean' ELSE 'keyword' END AS method, doc_id % 2 = 0 AS is_profile FROM (SELECT doc_id, title, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('the', 'and', 'of', 'die', 'und', 'les', 'las', 'that')))) AS trait FROM corpus)"""
@@ -253,10 +276,13 @@ SQL = {k: sql(v) for k, v in {
     "profile_delta": """WITH k AS (SELECT person, trait AS category, max(is_profile::INTEGER) AS p, max((NOT is_profile)::INTEGER) AS o FROM trait_mentions GROUP BY 1, 2)
       SELECT category, sum((p = 1 AND o = 0)::INTEGER)::BIGINT AS gained, count(*) AS people FROM k WHERE person IN (SELECT person FROM k GROUP BY person HAVING max(p) = 1 AND max(o) = 1) GROUP BY category""",
     "candidate_phrases": "SELECT doc_id, coalesce(n, 0)::INTEGER AS n_phrases FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1) USING (doc_id)",
-    "phrase_lift": f"""WITH n AS (SELECT count(*) FILTER (WHERE focus) AS nf, count(*) AS na FROM lift_rows), b AS (SELECT phrase, count(*) FILTER (WHERE focus) AS freq_focus, count(*) AS freq_all, round(sum(weight) + 1e-9, 2) AS weighted, count(DISTINCT CASE WHEN focus THEN country END) AS n_countries, count(DISTINCT individual) AS n_individuals FROM grams JOIN lift_rows USING (doc_id) GROUP BY phrase),
-      l AS (SELECT *, (freq_focus / greatest(nf, 1)) / (freq_all / greatest(na, 1)) AS l FROM b, n WHERE freq_focus >= 5)
-      SELECT phrase, freq_focus, freq_all, weighted, {rnd('l', 3)} AS lift, n_countries, n_individuals, {rnd('l * ln(n_individuals + 1)', 4)} AS population_score FROM l WHERE l >= 1.1""",
+    "phrase_lift": "SELECT feature_type, phrase, freq_focus, freq_all, weighted, lift, n_countries, n_individuals, population_score FROM lifted WHERE CASE feature_type WHEN 'attribution' THEN freq_focus >= 3 AND l >= 1.0 ELSE freq_focus >= 5 AND l >= 1.1 END",
+    "phrase_topk_registry": """SELECT * FROM (SELECT feature_type, row_number() OVER (PARTITION BY feature_type ORDER BY round(population_score * sqrt(weighted), 6) DESC, phrase)::INTEGER AS rank, phrase FROM lifted WHERE freq_focus >= 3 AND l >= 1.0) WHERE rank <= 20""",
+    "concept_match": "SELECT phrase, arg_min(concept, ord) AS concept FROM lifted JOIN (VALUES " + ", ".join(f"({literal(c)}, {literal(k)}, {i})" for i, (c, k) in enumerate(CONCEPTS)) + ") v(concept, keyword, ord) ON contains(phrase, keyword) WHERE feature_type = 'noun_phrase' AND freq_focus >= 3 AND l >= 1.0 GROUP BY phrase",
     "feature_matrix": "SELECT *, f_the + f_and + f_les + f_und + f_que > 0 AS any_feature FROM (SELECT doc_id, " + ", ".join(f"list_contains(w, '{x}')::INTEGER AS f_{x}" for x in ("the", "and", "les", "und", "que")) + " FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents))",
-    "attribution_phrases": "SELECT doc_id, 'walking ' || (doc_id % 9)::VARCHAR || ' miles daily|olive oil and rest' AS phrases FROM documents",
+    "attribution_phrases": "SELECT doc_id, coalesce(p, '') AS phrases FROM documents LEFT JOIN (SELECT doc_id, string_agg(phrase, '|' ORDER BY i) AS p FROM (SELECT doc_id, phrase, min(i) AS i FROM reasons GROUP BY doc_id, phrase) GROUP BY doc_id) USING (doc_id)",
+    "registry_master": """WITH p AS (SELECT 'Customer ' || translate((c_custkey % 90)::VARCHAR, '0123456789', 'abcdefghij') || ' Last' AS name, CASE WHEN c_custkey % 4 <> 0 THEN 90 + c_custkey % 30 END::DOUBLE AS age, c_custkey::BIGINT AS ord FROM customer
+      UNION ALL SELECT 'CUSTOMER ' || translate((s_suppkey % 120)::VARCHAR, '0123456789', 'abcdefghij') || ' Last', (100 + s_suppkey % 20)::DOUBLE, (1000000 + s_suppkey)::BIGINT FROM supplier)
+      SELECT replace(lower(name), ' ii ', ' ') AS clean, arg_min(name, ord) AS display, arg_min(age, ord) FILTER (WHERE age IS NOT NULL) AS age, min(ord) AS ord FROM p GROUP BY 1""",
     "age_person_mentions": f"SELECT doc_id, len(x)::INTEGER AS n_ages, x[1] AS first_age, list_max(x) AS max_age FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(abstract, {literal(phrases.AGES)}, 1), lambda a: a::INTEGER), lambda a: a <= 135) AS x FROM corpus)",
 }.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..operators import dedup, tagging
 from ..plans import fixtures
+from ..plans.lexicon import CONSTRUCTS
 from .sqltext import CTES, literal, rnd, sql
 
 
@@ -62,7 +63,7 @@ def profile_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.relevance_filter(corpus(spark, sf_dir), "the|die|les").select("doc_id", "url")
+    return tagging.relevance_filter(corpus(spark, sf_dir), ["the", "die", "les"]).select("doc_id", "url")
 
 
 def domain_country(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +88,13 @@ def subject_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", tagging.subject_class(F.col("a"), F.array_max("a"), F.col("title"), F.col("text")).alias("subject_class"))
 
 
-CONSTRUCTS = {"the": "the", "letters": "(ing|tion)", "sch": "sch[a-z]+", "digits": "[0-9]{3}", "eau": "eau"}
+def construct_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % len(SAID) + 1).cast("int"))
+    return tagging.construct_screen(corpus(spark, sf_dir).withColumn("told", F.concat("abstract", F.lit(" "), said)), CONSTRUCTS, F.col("n_chars") > 2000, "told")
 
 
-def construct_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.construct_screen(corpus(spark, sf_dir), CONSTRUCTS, F.col("n_chars") > 2000)
+#: What studies are about, so that the invented prose has some of it.
+SAID = ["Hearing loss and cataracts.", "Dental care.", "Sleep apnoea was screened.", "VO2 max and gait speed.", "Household income.", "25-hydroxyvitamin D.", "A wheelchair.", "Nothing."]
 
 
 # Mentions of smoking, and what is told in their windows.
@@ -127,25 +130,31 @@ def dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dup_candidates(corpus(spark, sf_dir))
 
 
+def dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dup_classes(corpus(spark, sf_dir)).select("doc_id", "rep")
+
+
 def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return dedup.containment_pairs(c, dedup.dup_candidates(c))
+    return dedup.containment_pairs(dedup.dup_classes(corpus(spark, sf_dir)))
 
 
 def dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicate_clusters(corpus(spark, sf_dir))
 
 
+def dup_cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.cluster_report(dup_clusters(spark, sf_dir))
+
+
 def apply_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
-    return dedup.apply_blacklist(c, dedup.near_duplicate_clusters(c)).select("doc_id", "lang")
+    return dedup.apply_blacklist(corpus(spark, sf_dir), dup_clusters(spark, sf_dir)).select("doc_id", "lang")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         keyword_tags, stat_extract, study_type_classify, country_mentions, ages_mentioned, subject_extract, profile_flag, relevance_filter, domain_country, clean_boilerplate, doc_weight,
-        subject_class, construct_screen, smoking_status_mine, word_shingles, dup_candidates, containment_pairs, dup_clusters, apply_blacklist,
+        subject_class, construct_screen, smoking_status_mine, word_shingles, dup_candidates, dup_classes, containment_pairs, dup_clusters, dup_cluster_report, apply_blacklist,
     )
 }
 
@@ -153,9 +162,11 @@ _n = lambda a, m: f"({a} + doc_id % {m})::VARCHAR"
 CTES["corpus"] = f"""SELECT doc_id, lang, source, n_chars, text, text || ' A prospective study in Japan of n=' || {_n(100, 900)} || ' people aged ' || {_n(85, 40)} || ' and ' || {_n(70, 60)} || ': OR 1.' || {_n(0, 90)} || ', HR 0.' || {_n(0, 80)}
   || ' (95% CI 1.01-2.' || {_n(0, 7)} || '), p<0.0' || {_n(0, 9)} || ', ' || {_n(0, 100)} || '% had diabetes. German survey. Subscribe to our newsletter. Cookie settings here now. He smoked cigars, quit at age 50.' AS abstract,
   array_to_string(string_split(text, ' ')[1:8], ' ') AS title, 'https://www.' || (['bbc.co.uk', 'Reuters.com', 'example.com', 'site.org'])[doc_id % 4 + 1] || CASE WHEN doc_id % 5 = 0 THEN '/tag/' ELSE '/story/' END || doc_id::VARCHAR AS url FROM documents"""
+_said = ", ".join(map(literal, SAID))
+CTES["told"] = f"SELECT n_chars, abstract || ' ' || ([{_said}])[doc_id % {len(SAID)} + 1] AS told FROM corpus"
 CTES["profiles"] = """SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'Maria Rossi, 104, of Rome, Italy. ' WHEN doc_id % 3 = 1 THEN 'A 112-year-old Anna Schmidt lives in Berlin. ' ELSE 'no one here ' END || text AS story,
   CASE WHEN doc_id % 7 = 0 THEN 'Turning 105 now' ELSE 'a day' END AS headline FROM corpus"""
-_any = lambda text, words: "(" + " OR ".join(f"contains({text}, {literal(w)})" for w in words.split("|")) + ")"
+_any = lambda text, words: "(" + " OR ".join(f"contains({text}, {literal(w)})" for w in words) + ")"
 _first = lambda text, kinds, other: "CASE " + " ".join(f"WHEN {_any(text, w)} THEN {literal(n)}" for n, w in kinds.items()) + f" ELSE {literal(other)} END"
 CTES["aged"] = f"SELECT *, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(abstract, {literal(tagging.AGES)}, 1), lambda a: a::INTEGER), lambda a: a >= 85))) AS a FROM corpus"
 _hits = ", ".join(f"nullif(array_to_string(regexp_extract_all(abstract, {literal(p)}, 1)[1:5], '; '), '') AS stat_{n}" for n, p in tagging.STATS.items())
@@ -169,14 +180,15 @@ CTES["shingles"] = f"""SELECT DISTINCT doc_id, hash(g) AS h FROM (SELECT doc_id,
 CTES["set_sizes"] = "SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id"
 CTES["bucketed"] = """SELECT doc_id, key FROM (SELECT doc_id, unnest([CASE WHEN len(t) >= 4 THEN 't:' || array_to_string(t[1:4], ' ') END, CASE WHEN length(l) >= 80 THEN 'l:' || substr(l, 1, 80) END]) AS key FROM (
   SELECT doc_id, regexp_extract_all(lower(title), '[a-z]+') AS t, regexp_replace(lower(text), '[^a-z]+', '', 'g') AS l FROM corpus WHERE len(regexp_extract_all(lower(text), '[a-z]+')) >= 7)) WHERE key IS NOT NULL"""
-CTES["candidates"] = """SELECT DISTINCT least(doc_id, p) AS a, greatest(doc_id, p) AS b FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM bucketed) JOIN
-  (SELECT key, min(doc_id) AS p FROM bucketed GROUP BY key, doc_id % 16) USING (key) WHERE n > 1 AND doc_id <> p"""
 CTES["all_pairs"] = "SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bucketed x JOIN bucketed y ON x.key = y.key AND x.doc_id < y.doc_id"
-_contain = lambda pairs: f"""SELECT a, b, round(k / least(x.n, y.n), 6) AS containment FROM (SELECT p.a, p.b, count(*) AS k FROM {pairs} p JOIN shingles s ON s.doc_id = p.a JOIN shingles t ON t.doc_id = p.b AND t.h = s.h GROUP BY p.a, p.b)
-  JOIN set_sizes x ON x.doc_id = a JOIN set_sizes y ON y.doc_id = b"""
-CTES["linked"] = f"SELECT a, b FROM ({_contain('all_pairs')}) WHERE containment >= 0.6"
-_clusters = """WITH RECURSIVE g AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked), r AS (SELECT a, a AS b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
+CTES["dup_sets"] = """SELECT doc_id, list(h ORDER BY h) AS s FROM shingles GROUP BY doc_id"""
+CTES["dup_keys"] = """SELECT doc_id, list(key ORDER BY key) AS keys FROM bucketed WHERE key IN (SELECT key FROM bucketed GROUP BY key HAVING count(*) > 1) GROUP BY doc_id"""
+CTES["dup_reps"] = "SELECT doc_id, min(doc_id) OVER (PARTITION BY keys, s) AS rep FROM dup_keys JOIN dup_sets USING (doc_id)"
+CTES["contained"] = """SELECT a, b, round(k / least(x.n, y.n), 6) AS containment FROM (SELECT p.a, p.b, count(*) AS k FROM all_pairs p JOIN shingles s ON s.doc_id = p.a JOIN shingles t ON t.doc_id = p.b AND t.h = s.h GROUP BY p.a, p.b)
+  JOIN set_sizes x ON x.doc_id = a JOIN set_sizes y ON y.doc_id = b WHERE round(k / least(x.n, y.n), 6) >= 0.6"""
+_clusters = """WITH RECURSIVE g AS (SELECT a, b FROM contained UNION SELECT b, a FROM contained), r AS (SELECT a, a AS b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
   k AS (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a) """
+_bucket = lambda kind: f"SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS bucket, count(*) OVER (PARTITION BY key) AS n FROM bucketed WHERE key LIKE '{kind}:%'"
 SQL = {k: sql(v) for k, v in {
     "keyword_tags": "SELECT doc_id, " + ", ".join(f"{_any('t', w)} AS {n}" for n, w in tagging.TAGS.items()) + " FROM (SELECT doc_id, lower(abstract) AS t FROM corpus)",
     "stat_extract": f"""SELECT doc_id, {_hits}, nullif(array_to_string(list_transform(range(1, least(5, len(lo)) + 1), lambda i: lo[i] || '|' || hi[i]), '; '), '') AS stat_confidence_interval
@@ -188,8 +200,8 @@ SQL = {k: sql(v) for k, v in {
       n AS (SELECT *, CASE WHEN {_fit(_before, 2)} THEN regexp_extract(c, {literal(_before)}, 1) WHEN {_fit(_after, 1)} THEN regexp_extract(c, {literal(_after)}, 2) END AS subject_name FROM c)
       SELECT doc_id, subject_name, coalesce(nullif(regexp_extract(headline, {_century}, 1), ''), nullif(regexp_extract(substr(c, greatest(1, instr(c, subject_name) - 50), instr(c, subject_name) + 100 - greatest(1, instr(c, subject_name) - 50)), {_century}, 1), ''))::INTEGER AS subject_age,
       nullif(regexp_extract(c, {literal(_place)}, 1), '') AS subject_city, nullif(regexp_extract(c, {literal(_place)}, 2), '') AS subject_country FROM n""",
-    "profile_flag": "SELECT doc_id, " + _any("lower(story)", "centenarian|supercentenarian|100th birthday|turns 100|year-old") + " AS is_profile FROM profiles",
-    "relevance_filter": "SELECT doc_id, url FROM corpus WHERE len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) >= 80 AND " + _any("lower(text)", "the|die|les") + " AND NOT regexp_matches(url, '/(?:tag|category|video|login|subscribe)/')",
+    "profile_flag": "SELECT doc_id, " + _any("lower(story)", tagging.PROFILE) + " AS is_profile FROM profiles",
+    "relevance_filter": "SELECT doc_id, url FROM corpus WHERE len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) >= 80 AND " + _any("lower(text)", ["the", "die", "les"]) + " AND NOT regexp_matches(url, '/(?:tag|category|video|login|subscribe)/')",
     "domain_country": "SELECT CASE " + " ".join(f"WHEN contains(lower(url), '{d}') THEN '{c}'" for d, c in tagging.DOMAINS.items()) + " WHEN contains(lower(url), '.com') THEN 'USA' ELSE 'Unknown' END AS country, count(*) AS n, min(doc_id) AS first FROM corpus GROUP BY 1",
     "doc_weight": f"""SELECT doc_id, {rnd('''CASE kind WHEN 'academic' THEN least(20.0, base * size * CASE WHEN doc_id % 2 = 0 THEN 1.5::DOUBLE ELSE 1.0 END * CASE WHEN (doc_id % 10) / 100.0::DOUBLE < 0.05 THEN 1.2::DOUBLE ELSE 1.0 END)
       WHEN 'news' THEN CASE WHEN doc_id % 4 = 0 THEN 2.0::DOUBLE ELSE 0.5 END * CASE WHEN age IS NULL THEN 1.0 ELSE greatest(1.0, 1 + least(1.0, (age - 100) / 15)) END ELSE 1.0 END''', 6)} AS weight
@@ -198,10 +210,13 @@ SQL = {k: sql(v) for k, v in {
     "subject_class": """SELECT doc_id, CASE WHEN nona AND NOT cent AND NOT sup THEN 'nonagenarian' WHEN cent THEN 'centenarian' WHEN sup THEN 'supercentenarian' ELSE 'general' END AS subject_class FROM (
       SELECT doc_id, len(list_filter(a, lambda x: x >= 90 AND x < 100)) > 0 OR contains(h, 'nonagenarian') AS nona, len(list_filter(a, lambda x: x >= 100 AND x < 110)) > 0 OR contains(h, 'centenarian') AS cent,
       len(list_filter(a, lambda x: x >= 110)) > 0 OR contains(h, 'supercentenarian') AS sup FROM (SELECT *, lower(substr(title || ' ' || text, 1, 4000)) AS h FROM aged))""",
-    "construct_screen": " UNION ALL ".join(f"SELECT '{n}' AS construct, count(*) FILTER (WHERE regexp_matches(lower(abstract), '{p}')) AS n_all, count(*) FILTER (WHERE regexp_matches(lower(abstract), '{p}') AND n_chars > 2000) AS n_focus FROM corpus".replace("lower(abstract)", "lower(text)") for n, p in CONSTRUCTS.items()),
+    "construct_screen": " UNION ALL ".join(f"SELECT {literal(n)} AS construct, count(*) FILTER (WHERE h) AS n_all, count(*) FILTER (WHERE h AND n_chars > 2000) AS n_focus FROM (SELECT n_chars, regexp_matches(told, {literal(p)}) AS h FROM told)" for n, p in CONSTRUCTS.items()),
     "word_shingles": "SELECT doc_id, coalesce(n, 0)::INTEGER AS n_shingles FROM documents LEFT JOIN set_sizes USING (doc_id)",
-    "dup_candidates": "SELECT * FROM candidates",
-    "containment_pairs": f"SELECT * FROM ({_contain('candidates')}) WHERE containment >= 0.6",
-    "dup_clusters": _clusters + "SELECT * FROM k",
+    "dup_candidates": f"""SELECT p.doc_id, t.bucket AS title_bucket, l.bucket AS lede_bucket, n_candidates FROM (SELECT a AS doc_id, count(*) AS n_candidates FROM (SELECT a, b FROM all_pairs UNION ALL SELECT b, a FROM all_pairs) GROUP BY a) p
+      LEFT JOIN (SELECT * FROM ({_bucket('t')}) WHERE n > 1) t ON t.doc_id = p.doc_id LEFT JOIN (SELECT * FROM ({_bucket('l')}) WHERE n > 1) l ON l.doc_id = p.doc_id""",
+    "dup_classes": "SELECT doc_id, rep FROM dup_reps",
+    "containment_pairs": "SELECT c.* FROM contained c JOIN dup_reps x ON x.doc_id = a AND x.rep = a JOIN dup_reps y ON y.doc_id = b AND y.rep = b",
+    "dup_clusters": _clusters + "SELECT *, count(*) OVER (PARTITION BY cluster) AS n_members FROM k",
+    "dup_cluster_report": _clusters + "SELECT cluster, count(*) AS n_members, max(doc_id) AS last FROM k GROUP BY cluster",
     "apply_blacklist": _clusters + "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE doc_id <> cluster)",
 }.items()}
