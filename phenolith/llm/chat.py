@@ -41,11 +41,11 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 
     pair_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask, usable. Turns are
     equal if role and text are; they stand in order of turn, then role and text; a turn given twice
-    counts once. A null role is written ``unknown``, a null text is empty, and rows without a pair or a turn
-    number go last or make a pair of their own key null. A side without turns gives null, and then the prompt is
+    counts once. A null role is written ``unknown``, a null text is empty; rows without a turn number go
+    last, and rows without a pair_id are one pair of that key. A side without turns gives null, and then the prompt is
     empty. ``usable``: both sides go on after the prompt with learned words, differently by construction.
     """
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct(F.col("turn").isNull().alias("last"), F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sides = turns.groupBy("pair_id").agg(
         *(F.array_sort(F.collect_set(F.when(F.col("side") == s, turn))).alias(s) for s in ("chosen", "rejected"))
     )

@@ -11,15 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import EXACT, IS_SPACE, mix, span_hashes, text_batches, windows, word_bounds
 from .storage import written
 
-#: Words are counted in so many slots by their hash, and the largest slots of a language are its
-#: common words: a table of fixed size, whatever the vocabulary.
-SLOTS = 8192
+#: A language's most frequent words that its word histogram tells apart; all others are one class.
 COMMON = 64
 MIN_WORDS = 50
 #: Guards and limits of the two distances, set on the labelled rows of a small table (labelled good: at
@@ -31,7 +29,7 @@ MAX_WORDS = 0.5
 #: there are at most MAX_LANGS of them; the others' are joined to their texts, of which no language has many.
 MAX_LANGS = 1000
 #: Columns of a reference that is joined to its texts.
-JOINED = ["__classes", "__slots", "__counts", "__words"]
+JOINED = ["__classes", "__hashes", "__counts", "__words"]
 SYMBOLS = b"#*$%&|<>"
 
 CLASSES = ["lower", "upper", "digit", "space", "line", "stop", "symbol", "other", "beyond"]
@@ -44,68 +42,47 @@ IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(SYMBOLS)] = True
 
 
-def _histograms(data: np.ndarray, at: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes of each text, and the slot of each word."""
+def class_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Character classes of each text."""
     kind = _of_byte[data]
     real = kind >= 0
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     n = len(CLASSES)
-    classes = np.bincount(row[real] * n + kind[real], minlength=n * (len(at) - 1)).reshape(-1, n)
-    return classes, (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+    return np.bincount(row[real] * n + kind[real], minlength=n * (len(at) - 1)).reshape(-1, n)
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """lang, words, docs, classes (counts), slots of the common words, their counts: a row of fixed size for each language.
+    """lang, words, docs, classes (counts), hashes and counts of the common words: a row of fixed size for each language.
 
-    Tasks send sums of fixed size for each of their languages. Texts without a language make no reference.
+    Words go by 64-bit hashes of their bytes. Each task adds up its own counts first, then they are added
+    by language and word, and each language's largest remain. Texts without a language make no reference.
     """
-    n = len(CLASSES) + SLOTS + 1  # the last: documents
+    n = len(CLASSES) + 1  # and documents
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-
-        def told() -> pa.RecordBatch:
-            langs, slots, counts = [], [], []
-            for lang, x in sums.items():
-                some = np.flatnonzero(x)
-                langs += [lang] * len(some)
-                slots.append(some)
-                counts.append(x[some])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(np.concatenate(slots)), pa.array(np.concatenate(counts))], names=["lang", "slot", "c"]
-            )
-
+        """Counts of class or word (h) of a language; ``is_class`` tells which."""
         for batch, data, at in text_batches(batches):
             starts, ends, rows = word_bounds(data, at)
-            classes, slots = _histograms(data, at, rows, span_hashes(data, starts, ends, EXACT))
+            classes, hashes = class_counts(data, at), span_hashes(data, starts, ends, EXACT)
             langs, of = np.unique(np.array(batch.column(1).to_pylist(), object).astype(str), return_inverse=True)
-            order = np.argsort(of[rows], kind="stable")
-            begin = np.searchsorted(of[rows][order], np.arange(len(langs) + 1))
             for k, lang in enumerate(langs):
-                if lang not in sums:
-                    if len(sums) == 64:
-                        yield told()
-                        sums = {}
-                    sums[lang] = np.zeros(n, np.int64)
-                sums[lang][: len(CLASSES)] += classes[of == k].sum(axis=0)
-                sums[lang][len(CLASSES) : -1] += np.bincount(slots[order[begin[k] : begin[k + 1]]], minlength=SLOTS)
-                sums[lang][-1] += np.count_nonzero(of == k)
-        if sums:
-            yield told()
+                words, counts = np.unique(hashes[of[rows] == k], return_counts=True)
+                h = np.concatenate([np.arange(n), words.view(np.int64)])
+                c = np.concatenate([classes[of == k].sum(axis=0), [np.count_nonzero(of == k)], counts])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(np.arange(len(h)) < n), pa.array(h), pa.array(c.astype(np.int64))], names=["lang", "is_class", "h", "c"])
 
     texts = docs.select("text", _language().alias("lang")).where("lang is not null")
-    sums = texts.mapInArrow(add, "lang string, slot long, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c"))
-    is_word = F.col("slot").between(len(CLASSES), n - 2)
-    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("c"))), F.lit(0))
-    # at most SLOTS rows for each language
-    top = F.slice(F.sort_array(F.collect_list(F.when(is_word, F.struct((-F.col("c")).alias("order"), (F.col("slot") - len(CLASSES)).alias("slot"))))), 1, COMMON)
-    each = sums.groupBy("lang").agg(
-        total(is_word).alias("words"),
-        total(F.col("slot") == n - 1).alias("docs"),
-        F.array(*(total(F.col("slot") == k) for k in range(len(CLASSES)))).alias("classes"),
-        top.alias("top"),
+    sums = texts.mapInArrow(add, "lang string, is_class boolean, h long, c long").groupBy("lang", "is_class", "h").agg(F.sum("c").alias("c"))
+    sums = written(sums, "quality-counts")
+    of_class = lambda k: F.coalesce(F.sum(F.when(F.col("is_class") & (F.col("h") == k), F.col("c"))), F.lit(0))
+    total = sums.groupBy("lang").agg(
+        F.coalesce(F.sum(F.when(~F.col("is_class"), F.col("c"))), F.lit(0)).alias("words"), of_class(n - 1).alias("docs"), F.array(*map(of_class, range(n - 1))).alias("classes")
     )
-    return each.select("lang", "words", "docs", "classes", F.col("top.slot").alias("slots"), F.transform("top.order", lambda c: -c).alias("counts"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "h"))  # limited before the shuffle
+    top = sums.where("not is_class").withColumn("k", order).where(F.col("k") <= COMMON)
+    top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "h", "c"))).alias("top"))
+    none = F.array().cast("array<long>")
+    return total.join(top, "lang", "left").select("lang", "words", "docs", "classes", F.coalesce("top.h", none).alias("hashes"), F.coalesce("top.c", none).alias("counts"))
 
 
 def _language() -> Column:
@@ -113,12 +90,21 @@ def _language() -> Column:
     return F.nullif(F.trim(F.col("lang").cast("string")), F.lit(""))
 
 
-def _shares(classes: list[int], slots: list[int], counts: list[int], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class shares, slots of the common words, and their shares (the last: of all other words)."""
+def _shares(classes: list[int], hashes: list[int], counts: list[int], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class shares, hashes of the common words, and their shares (the last: of all other words)."""
     told, common = np.array(classes, np.int64), np.zeros(COMMON + 1)
     common[: len(counts)] = counts
     common[-1] = words - sum(counts)
-    return told / max(told.sum(), 1), np.array(slots, np.int64), common / max(words, 1)
+    return told / max(told.sum(), 1), np.array(hashes, np.int64).view(np.uint64), common / max(words, 1)
+
+
+def _places(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each hash in known; COMMON if it is not there."""
+    if not known.size:
+        return np.full(len(hashes), COMMON)
+    order = np.argsort(known)
+    at = np.minimum(np.searchsorted(known[order], hashes), len(known) - 1)
+    return np.where(known[order][at] == hashes, order[at], COMMON)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -178,7 +164,7 @@ def quality(docs: DataFrame, carry: bool = False, prefix: str = "") -> DataFrame
     weight = F.col("words") + F.col("docs")
     total = refs.agg(F.sum(weight)).first()[0] or 0
     is_large = weight * MAX_LANGS >= total
-    large = {r["lang"]: _shares(r["classes"], r["slots"], r["counts"], r["words"]) for r in refs.where(is_large).collect()}
+    large = {r["lang"]: _shares(r["classes"], r["hashes"], r["counts"], r["words"]) for r in refs.where(is_large).collect()}
     told = spark.sparkContext.broadcast(large)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
     names = [prefix + n for n in names]
@@ -191,7 +177,7 @@ def quality(docs: DataFrame, carry: bool = False, prefix: str = "") -> DataFrame
             hashes = span_hashes(data, starts, ends, EXACT)
             counts = counts_of(data, at, starts, ends, rows, hashes)
             n, repeats = counts[0], counts[4]
-            classes, slots = _histograms(data, at, rows, hashes)
+            classes = class_counts(data, at)
             column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             langs = column["__lang"].to_pylist()
             first = {lang: k for k, lang in reversed(list(enumerate(langs))) if lang is not None}
@@ -199,12 +185,13 @@ def quality(docs: DataFrame, carry: bool = False, prefix: str = "") -> DataFrame
             of = np.array([number.get(lang, len(first)) for lang in langs], np.int64)
             # the last is for rows without a language
             shares, common = np.zeros((len(first) + 1, len(CLASSES))), np.zeros((len(first) + 1, width))
-            place = np.full((len(first) + 1, SLOTS), COMMON, np.uint8)
+            place = np.full(len(hashes), COMMON)
             for lang, k in number.items():
                 ref = _shares(*(column[c][first[lang]].as_py() for c in JOINED)) if JOINED[0] in column else told.value[lang]
                 shares[k], common[k] = ref[0], ref[2]
-                place[k, ref[1]] = np.arange(len(ref[1]))
-            words = np.bincount(rows * width + place[of[rows], slots], minlength=width * len(n)).reshape(-1, width)
+                own = of[rows] == k
+                place[own] = _places(hashes[own], ref[1])
+            words = np.bincount(rows * width + place, minlength=width * len(n)).reshape(-1, width)
             far = [
                 distance(classes / np.maximum(classes.sum(axis=1, keepdims=True), 1), shares[of]),
                 distance(words / np.maximum(words.sum(axis=1, keepdims=True), 1), common[of]),

@@ -25,7 +25,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(documents(spark, sf_dir))
+    return license_scan.license_scan(documents(spark, sf_dir)).select("doc_id", *license_scan.COUNTS)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
 LONG_CHARS = 1 << 15
 MARK = "▁"
 #: One space between characters that are neither spaces nor the mark that stands for one.
@@ -57,8 +57,8 @@ def _counter(model_path: str):
                 for piece in _pieces(text, most) if text else ():
                     rows.append(row)
                     texts.append(piece)
-                    held += len(piece)
-                    if held >= BATCH_CHARS:
+                    held += len(piece) if piece.isascii() else len(piece.encode())
+                    if held >= BATCH_BYTES:
                         flush()
                         held = 0
             if texts:

@@ -525,3 +525,101 @@ def test_near_duplicates_of_many_edits(spark):
             words[rng.randrange(110)] = f"e{rng.randrange(6)}"
         rows.append((k, " ".join(words)))
     same(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), near_by_hand(rows))
+
+
+def quality_whole_by_hand(rows):
+    """kept, class_distance and word_distance of (doc_id, text, lang), from references counted in plain Python."""
+    def classes(text):
+        out = Counter()
+        for c in text:
+            kinds = [c in "abcdefghijklmnopqrstuvwxyz", c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ", c in "0123456789", c in "\t\x0b\x0c\r ", c == "\n", c in ".,;:!?'\"()-", c in "#*$%&|<>"]
+            out[kinds.index(True) if any(kinds) else 7 if ord(c) < 128 else 8] += 1
+        return out
+
+    def distance(p, q):
+        keys = set(p) | set(q)
+        p, q = ({k: x[k] / max(sum(x.values()), 1) for k in keys} for x in (p, q))
+        kl = lambda a: sum(a[k] * math.log2(2 * a[k] / (p[k] + q[k])) for k in keys if a[k])
+        return math.sqrt(max(0, (kl(p) + kl(q)) / 2))
+
+    refs = {}
+    for _, text, lang in rows:
+        c, w = refs.setdefault(lang, (Counter(), Counter()))
+        c.update(classes(text))
+        w.update(WORD.findall(text))
+    out = []
+    for doc, text, lang in rows:
+        if lang is None:
+            out.append((doc, not quality_by_hand(text)[5], None, None))
+            continue
+        c, w = refs[lang]
+        common = {x for x, _ in w.most_common(64)}
+        told = lambda words: Counter({k: n for k, n in words.items() if k in common} | {None: sum(n for k, n in words.items() if k not in common)})
+        far = distance(classes(text), c), distance(told(Counter(WORD.findall(text))), told(w))
+        n, failed = quality_by_hand(text)[0], quality_by_hand(text)[5]
+        out.append((doc, not failed and (n < 100 or far[0] <= quality.MAX_CLASS and far[1] <= quality.MAX_WORDS), *(round(x, 9) for x in far)))
+    return out
+
+
+def test_quality_whole_rows_by_hand(spark):
+    rng = random.Random(21)
+    rows = []
+    for lang, letters in (("en", "abcdefghijkl"), ("el", "αβγδεζηθ")):
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) + str(i) for i in range(150)]
+        for i in range(60):
+            text = " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(150)], k=rng.choice([30, 80, 130, 200])))
+            rows.append((len(rows), rng.choice([text, text.upper() + "\n#$ 12.", text]), lang))
+        rows.append((len(rows), " ".join(f"{rng.random():.9f}#" for _ in range(150)), lang))
+        rows.append((len(rows), " ".join(f"{letters[:3]}{i}" for i in range(150)), lang))
+    # the 64th and 65th word of a language must not tie: one more of each word, as often as its place says
+    for lang in ("en", "el"):
+        words = Counter(w for _, t, x in rows if x == lang for w in WORD.findall(t)).most_common(70)
+        rows.append((len(rows), " ".join(w for k, (w, _) in enumerate(words) for _ in range(2 * (70 - k))), lang))
+    rows.append((len(rows), rows[0][1], None))
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    found = [(r["doc_id"], r["kept"], *(None if x is None else round(x, 9) for x in (r["class_distance"], r["word_distance"]))) for r in out]
+    same(found, quality_whole_by_hand(rows))
+    assert {r["kept"] for r in out if not r["base_failed"]} == {True, False}
+
+
+def test_license_phrases_of_any_length(spark):
+    texts = ["it is public domain now", "a cc0 work", "public", "Public Domain", None, "x " * 30 + "cc0 " + "y " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_scan.license_scan(docs, {"public domain": "pd", "cc0": "cc0"}, {}).collect()}
+    assert [(out[i]["n_base"], out[i]["first_word"], out[i]["labels"]) for i in range(6)] == [(1, 2, "pd"), (1, 1, "cc0"), (0, None, ""), (1, 0, "pd"), (0, None, ""), (1, 30, "cc0")]
+
+
+def test_license_whole_rows_by_hand(spark):
+    """labels, score and spans against chains found by comparing all positions of texts and templates."""
+    rng = random.Random(30)
+    names = [f"t{k}" for k in range(4)]
+    templates = {f"{n}/x" if k % 2 else n: " ".join(f"w{k}x{i}" for i in range(20)) for k, n in enumerate(names)}
+    size, texts, want = 20, [], []
+    for _ in range(40):
+        k, (a, b), gap = rng.randrange(4), sorted(rng.sample(range(21), 2)), rng.choice([0, 3, 12, 13])
+        words = [f"w{k}x{i}" for i in range(20)]
+        cut = rng.randint(a, b)
+        text = ["pad", *words[a:cut], *["other"] * gap, *words[cut:b], "pad"]
+        runs = [(1, cut - a), (1 + cut - a + gap, b - cut)] if gap else [(1, b - a)]
+        runs = [(begin, n) for begin, n in runs if n >= 5]
+        chains = [(n, begin, begin + n) for begin, n in runs]
+        if len(runs) == 2 and gap <= 12:
+            chains = [(runs[0][1] + runs[1][1], runs[0][0], runs[1][0] + runs[1][1])]
+        best = max(chains, key=lambda c: c[0], default=None)
+        texts.append(" ".join(text))
+        want.append((names[k] if best and best[0] / size >= 0.6 else "", best[0] / size if best else 0.0, best and best[1:]))
+    out = sorted(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}, templates).collect())
+    found = [(r["labels"], r["score"], (r["spans"][0]["start"], r["spans"][0]["end"]) if r["spans"] else None) for r in out]
+    assert [f[:2] for f in found] == [w[:2] for w in want]
+    assert all(f[2] == w[2] for f, w, in zip(found, want, strict=True))
+
+
+def test_preference_turns_without_number_and_long(spark):
+    long = "word " * 300_000
+    rows = [(1, "chosen", 0, "user", "hi"), (1, "rejected", 0, "user", "hi"), (1, "chosen", None, "assistant", "late"), (1, "chosen", 1, "assistant", long), (1, "rejected", 1, None, None), (None, "chosen", 0, "user", "x"), (2, "rejected", 5, "user", "only")]
+    schema = "pair_id long, side string, turn int, role string, text string, prompt string"
+    out = {r["pair_id"]: r for r in chat.preference_pairs(spark.createDataFrame([(*r, "clash") for r in rows], schema)).collect()}
+    assert set(out) == {1, 2, None} and out[1]["n_prompt_turns"] == 1
+    assert out[1]["chosen"].endswith("<|assistant|>\nlate<|end|>\n") and long in out[1]["chosen"]
+    assert out[1]["rejected"] == "<|unknown|>\n<|end|>\n" and not out[1]["usable"] and out[2]["chosen"] is None
+    assert chat.preference_pairs(spark.createDataFrame([], schema)).count() == 0
