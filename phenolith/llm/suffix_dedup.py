@@ -37,7 +37,7 @@ DOC_BITS = 24
 #: An anchor is hot with one in HOT_SHARE of all runs, at least HOT_ROWS, at most MOST_ROWS. The set of
 #: hot anchors is broadcast and holds at most MAX_HOT: with so many runs that it would hold more, an
 #: anchor needs one in MAX_HOT of all.
-HOT_ROWS = 4096
+HOT_ROWS = 256
 HOT_SHARE = 4096
 MOST_ROWS = 65536
 MAX_HOT = 1 << 24
