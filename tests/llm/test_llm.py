@@ -623,3 +623,14 @@ def test_preference_turns_without_number_and_long(spark):
     assert out[1]["chosen"].endswith("<|assistant|>\nlate<|end|>\n") and long in out[1]["chosen"]
     assert out[1]["rejected"] == "<|unknown|>\n<|end|>\n" and not out[1]["usable"] and out[2]["chosen"] is None
     assert chat.preference_pairs(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [(16, 2, 3), (8, 256, 65536)])
+def test_topk_of_small_blocks_and_parts(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK_ROWS", "FIRST_QUERIES", "PART_QUERIES"), sizes, strict=True):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(17)
+    rows = [(i, [float(x) for x in rng.normal(size=rng.choice([0, 3, 12])) * rng.choice([1, 1e-3, 40])]) for i in range(150)]
+    rows += [(150, [0.5] * 12), (152, [0.5] * 12), (154, [0.5] * 12)]  # ties
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    same(topk.top_k(frame, every=5, k=4).collect(), top_by_hand(rows, 5, 4))
