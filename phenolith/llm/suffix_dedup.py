@@ -34,12 +34,10 @@ LENGTH = 50
 GRAM = 16
 ANCHOR_BITS = 27
 DOC_BITS = 24
-#: An anchor is hot with one in HOT_SHARE of all runs, at least HOT_ROWS, at most MOST_ROWS. The set of
-#: hot anchors is broadcast and holds at most MAX_HOT: with so many runs that it would hold more, an
-#: anchor needs one in MAX_HOT of all.
-HOT_ROWS = 256
-HOT_SHARE = 4096
-MOST_ROWS = 65536
+#: An anchor with more runs than one task should sort is hot, whatever the size of the input. The set of
+#: hot anchors is broadcast and holds at most MAX_HOT: with so many runs in all that it would hold more, an
+#: anchor needs one in MAX_HOT of them.
+HOT_ROWS = 16384
 MAX_HOT = 1 << 24
 SHARD_BYTES = 3 << 20
 PAST = np.uint64(257)
@@ -354,7 +352,7 @@ def spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> Da
     """doc_id, begin, end: lists of spans that cover every string that also starts in a smaller document."""
     counts = written(anchor_counts(docs, length), "suffix-anchors")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    most = min(max(hot_rows, total // HOT_SHARE), max(MOST_ROWS, -(-total // MAX_HOT)))
+    most = max(hot_rows, -(-total // MAX_HOT))
     hot = np.sort(counts.where(F.col("n") > most).select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
     told = docs.sparkSession.sparkContext.broadcast((bitmap(counts, "h", ANCHOR_BITS), hot))
     texts = _texts(docs).where("doc_id is not null")
