@@ -37,7 +37,7 @@ DOC_BITS = 24
 #: An anchor with more runs than one task should sort is hot, whatever the size of the input. The set of
 #: hot anchors is broadcast and holds at most MAX_HOT: with so many runs in all that it would hold more, an
 #: anchor needs one in MAX_HOT of them.
-HOT_ROWS = 16384
+HOT_ROWS = 32768
 MAX_HOT = 1 << 24
 SHARD_BYTES = 3 << 20
 PAST = np.uint64(257)
