@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cohort, mining, scoring, subjects
+from ..operators import cohort, mining, scoring, subjects, tagging
 from ..plans import fixtures, model
+from ..plans.lexicon import TAG_TRAITS, TRAITS
 from .scoring import clock_readings
 from .sqltext import CTES, literal, sql
 from .text import corpus
@@ -26,12 +27,21 @@ def name_in_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.name_in_text_join(docs, spark.createDataFrame([(n,) for n in NAMES], "clean string"))
 
 
-TRAITS = [("connective", "language", r"\band\b"), ("ending", "form", r"tion\b"), ("article", "language", r"\b(?:the|les|die)\b")]
+#: What people do, so that the invented prose has some of it.
+HABITS = [
+    "She does yoga and eats fish.", "He never smoked, and sleeps eight hours.", "They walk to church with friends.", "A glass of wine, no stress, and a nap.",
+    "She still works in the garden and plays chess.", "He reads, laughs and drinks coffee.", "Nothing is known.",
+]
 
 
 def trait_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = corpus(spark, sf_dir).select("doc_id", F.lit(1).alias("window"), "text")
-    return mining.trait_mentions(windows, spark.createDataFrame(TRAITS, "trait string, category string, pattern string"))
+    habit = F.element_at(F.array(*map(F.lit, HABITS)), (F.col("doc_id") % len(HABITS) + 1).cast("int"))
+    windows = corpus(spark, sf_dir).select("doc_id", F.lit(1).alias("window"), F.concat(habit, F.lit(" "), F.regexp_replace("text", "[^\\x00-\\x7F]", "")).alias("text"))  # engines differ on word ends beside other letters
+    return mining.trait_mentions(windows, spark.createDataFrame([(t, c, p) for p, t, c in TRAITS], "trait string, category string, pattern string"))
+
+
+def tagged_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.tagged_traits(tagging.keyword_tags(corpus(spark, sf_dir), "abstract"))
 
 
 def phrase_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +109,23 @@ def epi_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (mention_windows, name_in_text_join, trait_mentions, phrase_context, direction_annotate, corroboration_lock, control_pct_mine, biomarker_mentions, ci_recover, cohort_build, epi_cohort)
+    for f in (mention_windows, name_in_text_join, trait_mentions, tagged_traits, phrase_context, direction_annotate, corroboration_lock, control_pct_mine, biomarker_mentions, ci_recover, cohort_build, epi_cohort)
 }
 CTES["named"] = "SELECT doc_id, text || ' ' || (['Maria the Rossi', 'Anna Schmidt', 'Paul is far from being Nobody', 'Rossi'])[doc_id % 4 + 1] AS text FROM documents"
 _names = " UNION ALL ".join(f"SELECT doc_id, {literal(n)} AS match FROM named WHERE regexp_matches(lower(text), {literal(r'\b' + n.split()[0] + r'\b.{0,15}\b' + n.split()[-1] + r'\b')})" for n in NAMES)
+_habits = ", ".join(map(literal, HABITS))
+CTES["habits"] = f"SELECT doc_id, ([{_habits}])[doc_id % {len(HABITS)} + 1] || ' ' || regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS t FROM documents"
+CTES["lowered"] = "SELECT doc_id, lower(abstract) AS t FROM corpus"
+CTES["directed"] = "SELECT lower(text || ' walking was ' || (['higher', 'less', 'never any', 'some'])[doc_id % 4 + 1] || ' than salt') AS t FROM documents"
+_cue = lambda p: f"sum(len(regexp_extract_all(x, {literal(p)})))"
+_sums = " + ".join(_cue(p) for p in mining.CUES.values())
+_each = ", ".join(f"{{'c': {_cue(p)}, 'o': {-i}, 'n': {literal(n)}}}" for i, (n, p) in enumerate(mining.CUES.items()))
 SQL = {k: sql(v) for k, v in {
     "name_in_text_join": _names,
-    "trait_mentions": " UNION ALL ".join(f"SELECT doc_id, {literal(t)} AS trait, {literal(c)} AS category, substr(text, 1, 200) AS quote FROM documents WHERE regexp_matches(lower(text), {literal(p)})" for t, c, p in TRAITS),
+    "trait_mentions": "SELECT doc_id, trait, category, substr(t, 1, 200) AS quote FROM habits JOIN (VALUES " + ", ".join(f"({literal(p)}, {literal(t)}, {literal(c)})" for p, t, c in TRAITS) + ") v(pattern, trait, category) ON regexp_matches(lower(t), pattern)",
+    "tagged_traits": " UNION ALL ".join(f"SELECT doc_id, {literal(t)} AS trait, {literal(c)} AS category FROM lowered WHERE " + " OR ".join(f"contains(t, {literal(w)})" for w in tagging.TAGS[tag]) for tag, (t, c) in TAG_TRAITS.items()),
+    "direction_annotate": f"""SELECT word, windows, CASE WHEN total = 0 THEN 'none' WHEN best.c / total >= 0.4 THEN best.n || ' (' || round(100.0 * best.c / total, 0)::INTEGER::VARCHAR || '%)' ELSE 'mixed' END AS direction FROM (
+      SELECT word, count(*) AS windows, {_sums} AS total, list_max([{_each}]) AS best FROM (SELECT word, substr(t, greatest(1, instr(t, word) - 80), instr(t, word) + length(word) + 80 - greatest(1, instr(t, word) - 80)) AS x FROM directed, (SELECT unnest(['walking', 'salt']) AS word)) GROUP BY word)""",
     "cohort_build": """WITH c AS (SELECT subject_id, '2005' AS cycle, age::DOUBLE AS age, (subject_id % 30 / 10.0)::DOUBLE * 10 AS crp, CASE WHEN subject_id % 4 = 0 THEN subject_id % 90 + 50 ELSE subject_id % 90 + 60 END::DOUBLE AS glucose FROM subjects WHERE subject_id % 2 = 0
       UNION ALL SELECT subject_id, '2015', age::DOUBLE, (subject_id % 30)::DOUBLE, (subject_id % 90 + 60)::DOUBLE FROM subjects WHERE subject_id % 2 = 1)
       SELECT c.*, CASE WHEN age < 50 THEN '18-49' WHEN age < 65 THEN '50-64' WHEN age < 75 THEN '65-74' ELSE '75+' END AS age_band, score AS score_pct, CASE WHEN subject_id % 3 % 2 = 0 THEN subject_id % 2 END::INTEGER AS deceased, CASE WHEN subject_id % 3 % 2 = 0 THEN subject_id % 200 END::INTEGER AS permth_exm

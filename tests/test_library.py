@@ -175,3 +175,61 @@ def test_windows_of_dense_mentions(spark):
     assert len(SMOKING) == 11 and out["status_never"]["mentions"] > 5
     told = mining.direction_annotate(spark.createDataFrame([("salt higher salt less salt",)], "text string"), ["salt"]).first()
     assert (told["word"], told["windows"], told["direction"]) == ("salt", 3, "high (50%)")
+
+
+def test_boilerplate_goes_and_sentences_stay(spark):
+    text = "She walks daily.  We use cookies here. Read more. andobesity matters to ourCommunity now. trending now Short. The end of the story 0123."
+    docs = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    out = [r[0] for r in docs.select(tagging.clean_boilerplate(F.col("text"))).collect()]
+    assert out == ["She walks daily. The end of the story 0123.", "", ""] or out[0].startswith("She walks daily.") and out[1:] == ["", ""]
+    assert "cookies" not in out[0] and "Read more" not in out[0] and out[0].endswith("0123.")
+
+
+def test_nicknames_are_written_out(spark):
+    names = spark.createDataFrame([("gus smith",), ("minnie gerry",), ("nancy winnie",)], "n string")
+    assert [" ".join(r[0]) for r in names.select(subjects.name_tokens(F.col("n"))).collect()] == ["augustus smith", "wilhelmina geraldine", "ann winifred"]
+
+
+def test_all_links_of_a_bucket_against_brute_force(spark):
+    """More than sixteen members of one bucket: every link between classes, every cluster."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    base, rows = [f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "lmnrst"], []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 14)):
+            words[rng.randrange(8, len(words))] = "x" + rng.choice("abcdefgh")
+        rows.append((k, "one two three four", " ".join(words)))
+    rows += [(60, "one two three four", rows[3][2]), (61, "other title of this", "a b c d e f g"), (62, "one two three four", "too short")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string")
+    sets = {}
+    for i, _, t in rows:
+        w = re.findall("[a-z]+", t)
+        sets[i] = {tuple(w[j : j + 7]) for j in range(len(w) - 6)}
+    del sets[61], sets[62]
+    share = lambda a, b: len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b]))
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {(a, b) for a in set(rep.values()) for b in set(rep.values()) if a < b and share(a, b) >= 0.6}
+    found = {(r["a"], r["b"]): r["containment"] for r in dedup.containment_pairs(dedup.dup_classes(docs)).collect()}
+    assert set(found) == want and all(abs(v - share(*k)) < 1e-6 for k, v in found.items())
+    label = dict(rep)
+    for _ in range(60):
+        for a, b in want:
+            low = min(label[a], label[b])
+            label = {i: low if label[i] in (label[a], label[b]) else label[i] for i in label}
+    members = {i: c for i, c in label.items() if list(label.values()).count(c) > 1}
+    assert {r["doc_id"]: r["cluster"] for r in dedup.near_duplicate_clusters(docs).collect()} == members
+    counts = {r["doc_id"]: r["n_candidates"] for r in dedup.dup_candidates(docs).collect()}
+    assert counts == {i: 60 for i in range(61)}
+
+
+def test_reasons_and_longer_phrases(spark):
+    from phenolith.operators import phrases
+
+    texts = ["He puts his long life down to olive oil. They thank their longevity to daily walks!", "She lived to 104 by eating fish; nothing else.", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in docs.select(phrases.attribution_phrases(F.col("text"))).collect()][:2] == [["olive oil", "daily walks"], ["eating fish"]]
+    long = spark.createDataFrame([("good olive bread every morning",)], "text string").select(phrases.candidate_phrases(F.col("text"))).first()[0]
+    assert "good olive bread every morning" in long and "olive bread every morning" in long and len(long) == 10
