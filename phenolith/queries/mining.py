@@ -9,7 +9,7 @@ from ..operators import cohort, mining, scoring, subjects, tagging
 from ..plans import fixtures, model
 from ..plans.lexicon import TAG_TRAITS, TRAITS
 from .scoring import clock_readings
-from .sqltext import CTES, literal, sql
+from .sqltext import CTES, literal, rnd, sql
 from .text import corpus
 
 
@@ -98,6 +98,29 @@ def cohort_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.build_cohort(survey_cycles(spark, sf_dir), scores, died)
 
 
+#: Survey codes: number of values and the smallest.
+CODES = {
+    "smq020": (3, 1), "smq040": (3, 1), "alq101": (2, 1), "alq111": (2, 1), "alq130": (8, 1), "dbq700": (7, 1), "sld012": (8, 4), "sld010h": (8, 4), "paq655": (8, 0), "paq670": (8, 0),
+    "dpq010": (5, 0), "dpq020": (4, 0), "dpq030": (4, 0), "dpq040": (5, 0), "dpq050": (4, 0), "dpq060": (4, 0), "dpq070": (4, 0), "dpq080": (5, 0), "dpq090": (4, 0), "huq010": (7, 0), "hsd010": (7, 1),
+    "dmdmartl": (7, 1), "bmxbmi": (20, 16), "bmxwaist": (45, 70), "diq010": (4, 1), "bpq020": (3, 1), "bpq040a": (2, 1), "bpq080": (3, 1), "mcq160e": (3, 1), "mcq160f": (3, 1), "mcq220": (3, 1), "pfq061b": (5, 1), "osq060": (3, 1),
+}
+
+
+def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's survey codes, with gaps."""
+    k = F.col("subject_id")
+    codes = (F.when((k + i) % 6 != 0, k * (2 * i + 3) % n + lo).alias(c) for i, (c, (n, lo)) in enumerate(CODES.items()))
+    return fixtures.subjects(spark, sf_dir).select("subject_id", "sex", *codes)
+
+
+def survey_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.survey_answers(survey(spark, sf_dir))
+
+
+def cohort_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.cohort_scores(survey_answers(spark, sf_dir), fixtures.clinical(spark, sf_dir), model.options(spark), model.features(spark), model.constructs(spark))
+
+
 def epi_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = clock_readings(spark, sf_dir)
     last = r.groupBy("subject_id", "clock_name", "sex").agg(F.max_by(F.struct("value", "chronological_age"), "reading").alias("v")).select("subject_id", "clock_name", "sex", "v.*")
@@ -109,7 +132,7 @@ def epi_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (mention_windows, name_in_text_join, trait_mentions, tagged_traits, phrase_context, direction_annotate, corroboration_lock, control_pct_mine, biomarker_mentions, ci_recover, cohort_build, epi_cohort)
+    for f in (mention_windows, name_in_text_join, trait_mentions, tagged_traits, phrase_context, direction_annotate, corroboration_lock, control_pct_mine, biomarker_mentions, ci_recover, cohort_build, survey_answers, cohort_scores, epi_cohort)
 }
 CTES["named"] = "SELECT doc_id, text || ' ' || (['Maria the Rossi', 'Anna Schmidt', 'Paul is far from being Nobody', 'Rossi'])[doc_id % 4 + 1] AS text FROM documents"
 _names = " UNION ALL ".join(f"SELECT doc_id, {literal(n)} AS match FROM named WHERE regexp_matches(lower(text), {literal(r'\b' + n.split()[0] + r'\b.{0,15}\b' + n.split()[-1] + r'\b')})" for n in NAMES)
@@ -120,7 +143,37 @@ CTES["directed"] = "SELECT lower(text || ' walking was ' || (['higher', 'less',
 _cue = lambda p: f"sum(len(regexp_extract_all(x, {literal(p)})))"
 _sums = " + ".join(_cue(p) for p in mining.CUES.values())
 _each = ", ".join(f"{{'c': {_cue(p)}, 'o': {-i}, 'n': {literal(n)}}}" for i, (n, p) in enumerate(mining.CUES.items()))
+_codes = ", ".join(f"CASE WHEN (subject_id + {i}) % 6 <> 0 THEN subject_id * {2 * i + 3} % {n} + {lo} END AS {c}" for i, (c, (n, lo)) in enumerate(CODES.items()))
+CTES["survey"] = f"SELECT subject_id, sex, {_codes} FROM subjects"
+_dpq = ", ".join(f"dpq0{i}0" for i in range(1, 10))
+CTES["blues"] = f"SELECT *, CASE WHEN len(v) >= 7 THEN list_sum(v) END AS blue, coalesce(sld012, sld010h) AS hours, CASE WHEN huq010 IS NULL OR huq010 = 0 THEN hsd010 ELSE huq010 END AS health, CASE WHEN paq655 IS NULL THEN paq670 WHEN paq670 IS NULL THEN paq655 ELSE greatest(paq655, paq670) END AS days FROM (SELECT *, list_filter([{_dpq}], lambda x: x BETWEEN 0 AND 3) AS v FROM survey)"
+_recodes = {
+    "q_smoking": "WHEN smq020 = 2 THEN 0 WHEN smq020 = 1 AND smq040 IN (1, 2) THEN 2 WHEN smq020 = 1 THEN 1",
+    "q_alcohol": "WHEN coalesce(alq101, alq111) = 2 THEN 0 WHEN alq130 <= 2 THEN 1 WHEN alq130 <= 4 THEN 2 WHEN alq130 > 4 THEN 3",
+    "q_diet": "WHEN dbq700 <= 2 THEN 0 WHEN dbq700 = 3 THEN 1 WHEN dbq700 <= 5 THEN 2",
+    "q_sleep": "WHEN hours BETWEEN 7 AND 9 THEN 1 WHEN hours IS NOT NULL THEN 2",
+    "q_pa_frequency": "WHEN days >= 5 THEN 0 WHEN days >= 3 THEN 1 WHEN days >= 1 THEN 2 WHEN days = 0 THEN 3",
+    "q_depression": "WHEN blue < 5 THEN 0 WHEN blue < 10 THEN 1 WHEN blue >= 10 THEN 2",
+    "q_self_rated_health": "WHEN health = 1 THEN 0 WHEN health IN (2, 3) THEN 1 WHEN health = 4 THEN 2 WHEN health = 5 THEN 3",
+    "q_family_partner": "WHEN dmdmartl = 1 THEN 0 WHEN dmdmartl = 6 THEN 1 WHEN dmdmartl = 2 THEN 2 WHEN dmdmartl IN (3, 4, 5) THEN 3",
+    "q_body_mass_index": "WHEN bmxbmi < 18.5 OR bmxbmi >= 30 THEN 3 WHEN bmxbmi < 25 THEN 0 WHEN bmxbmi < 30 THEN 2",
+    "q_waist_circumference": "WHEN bmxwaist < CASE WHEN sex = 'F' THEN 80 ELSE 94 END THEN 0 WHEN bmxwaist < CASE WHEN sex = 'F' THEN 88 ELSE 102 END THEN 1 WHEN bmxwaist IS NOT NULL THEN 2",
+    "q_diabetes": "WHEN diq010 = 2 THEN 0 WHEN diq010 = 3 THEN 1 WHEN diq010 = 1 THEN 2",
+    "q_hypertension": "WHEN bpq020 = 2 THEN 0 WHEN bpq020 = 1 AND bpq040a = 1 THEN 2 WHEN bpq020 = 1 THEN 3",
+    "q_cholesterol": "WHEN bpq080 = 2 THEN 0 WHEN bpq080 = 1 THEN 2",
+    "q_cardiovascular_event": "WHEN mcq160e = 1 OR mcq160f = 1 THEN 2 WHEN mcq160e = 2 OR mcq160f = 2 THEN 0",
+    "q_cancer_history": "WHEN mcq220 = 1 THEN 1 WHEN mcq220 = 2 THEN 0",
+    "q_functional_mobility": "WHEN pfq061b = 1 THEN 0 WHEN pfq061b = 2 THEN 1 WHEN pfq061b IN (3, 4) THEN 2",
+    "q_bone_health": "WHEN osq060 = 1 THEN 2 WHEN osq060 = 2 THEN 0",
+}
+CTES["recoded"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT subject_id, {literal(q)} AS question_id, (CASE {w} END)::INTEGER AS option_index FROM blues" for q, w in _recodes.items()) + ") WHERE option_index IS NOT NULL"
+_mean = lambda where: rnd(f"100 * sum(w * alignment) FILTER (WHERE {where}) / sum(w) FILTER (WHERE {where})", 1)
 SQL = {k: sql(v) for k, v in {
+    "survey_answers": "SELECT * FROM recoded",
+    "cohort_scores": f"""WITH q AS (SELECT subject_id, question_id AS feature, weight AS w, alignment FROM recoded JOIN dim_option o USING (question_id, option_index) WHERE o.layer = 2),
+      parts AS (SELECT *, NOT EXISTS (SELECT 1 FROM clinical c JOIN dim_construct d USING (feature) WHERE c.subject_id = q.subject_id AND d.question_id = q.feature) AS stays, FALSE AS lab FROM q
+        UNION ALL SELECT subject_id, feature, weight * (1 + CASE WHEN gwas THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END), alignment, TRUE, TRUE FROM clinical JOIN dim_feature USING (feature))
+      SELECT subject_id, {_mean('stays')} AS score_full, {_mean('NOT lab')} AS score_selfreport, {_mean('lab')} AS score_labs, (count(*) FILTER (WHERE NOT lab))::INTEGER AS n_answers, (count(*) FILTER (WHERE lab))::INTEGER AS n_clinical FROM parts GROUP BY subject_id""",
     "name_in_text_join": _names,
     "trait_mentions": "SELECT doc_id, trait, category, substr(t, 1, 200) AS quote FROM habits JOIN (VALUES " + ", ".join(f"({literal(p)}, {literal(t)}, {literal(c)})" for p, t, c in TRAITS) + ") v(pattern, trait, category) ON regexp_matches(lower(t), pattern)",
     "tagged_traits": " UNION ALL ".join(f"SELECT doc_id, {literal(t)} AS trait, {literal(c)} AS category FROM lowered WHERE " + " OR ".join(f"contains(t, {literal(w)})" for w in tagging.TAGS[tag]) for tag, (t, c) in TAG_TRAITS.items()),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.expr import rounded
 from ..operators import fits, scoring, stats
 from ..plans import fixtures, model
+from ..sources.staging import staged
 from .sqltext import CTES, rnd, sql
 
 
@@ -122,13 +123,31 @@ def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fixtures.cohort(spark, sf_dir).withColumn("survived", 1 - F.col("deceased"))
-    row = lambda section, name, value: (F.lit(section).alias("section"), name.alias("name"), value.cast("double").alias("value"))
-    overall = stats.auc(c, "score", "survived").select(*row("discrimination", F.lit("auc"), F.col("auc")))
-    groups = stats.group_auc(c, "score", "survived", "age_band").select(*row("subgroup_auc", F.col("age_band"), F.col("auc")))
-    spread = stats.score_distribution(c, "score", ["age_band"]).select(*row("median_score", F.col("age_band"), F.col("median")))
-    fit = fits.logistic_fit(c, ["score"], "survived").table(spark).select(*row("calibration_model", F.col("feature"), F.col("weight")))
-    return overall.unionByName(groups).unionByName(spread).unionByName(fit)
+    """section, name, value: discrimination, spread by outcome and band, the calibration model and how well it is calibrated."""
+    c = staged(fixtures.cohort(spark, sf_dir).withColumn("survived", 1 - F.col("deceased")), "report")
+    outcome = F.when(F.col("deceased") == 1, "deceased").otherwise("survived")
+    fit = fits.logistic_fit(c, ["score", "age", "male"], "deceased")
+    p = c.withColumn("p", fit.probability())
+    bins = stats.reliability_table(p, "p", "deceased").withColumn("name", F.col("bin").cast("string"))
+
+    def rows(df: DataFrame, *parts: tuple[str, Column, str]) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), n.cast("string").alias("name"), F.col(v).cast("double").alias("value")) for s, n, v in parts)))
+        return df.select(each.alias("r")).select("r.*")
+
+    calibrated = stats.auc(p, "p", "deceased").withColumn("rate", F.col("events") / F.col("n"))
+    out = rows(stats.auc(c, "score", "survived"), ("discrimination", F.lit("auc"), "auc"))
+    for df in (
+        rows(stats.group_auc(c, "score", "survived", "age_band"), ("subgroup_auc", F.col("age_band"), "auc"), ("subgroup_n", F.col("age_band"), "n"), ("subgroup_event_rate", F.col("age_band"), "event_rate")),
+        rows(stats.group_auc(c, "score", "survived", "sex"), ("subgroup_auc", F.col("sex"), "auc"), ("subgroup_n", F.col("sex"), "n"), ("subgroup_event_rate", F.col("sex"), "event_rate")),
+        rows(stats.score_distribution(c, "score", ["age_band"]), ("median_score", F.col("age_band"), "median")),
+        rows(stats.score_distribution(c.withColumn("outcome", outcome), "score", ["outcome"]), *((f"{q}_score", F.col("outcome"), q) for q in ("min", "p25", "median", "p75", "max", "mean"))),
+        rows(fit.table(spark), ("calibration_model", F.col("feature"), "weight")),
+        rows(calibrated, ("overview", F.lit("n"), "n"), ("overview", F.lit("event_rate"), "rate"), ("calibration", F.lit("auc"), "auc")),
+        rows(stats.ece_brier(p, "p", "deceased"), ("calibration", F.lit("ece"), "ece"), ("calibration", F.lit("brier"), "brier")),
+        rows(bins, ("reliability_n", F.col("name"), "n"), ("reliability_predicted", F.col("name"), "mean_predicted"), ("reliability_observed", F.col("name"), "observed_freq")),
+    ):
+        out = out.unionByName(df)
+    return out
 
 
 def wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
