@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.expr import Z95, rounded
+from .stats import medians
 
 STRATUM = ["biomarker_name", "effect_measure", "contrast_type", "subject_class"]
 LONG_LIVED = ("centenarian", "nonagenarian", "supercentenarian")
@@ -68,9 +69,9 @@ def strata(mentions: DataFrame) -> DataFrame:
     pools = dl_pool(studies, STRATUM)
     counts = studies.groupBy(*STRATUM).agg(
         F.count("*").alias("n_studies"), F.count(F.when(F.col("has_ci"), 1)).alias("n_ci_all"),
-        F.max(F.when(F.col("has_ci"), F.struct("value", "ci_lower", "ci_upper"))).alias("one"), F.percentile("value", 0.5).alias("point"),
+        F.max(F.when(F.col("has_ci"), F.struct("value", "ci_lower", "ci_upper"))).alias("one"),
     )
-    rows = counts.join(pools, STRATUM, "left")
+    rows = counts.join(medians(studies, STRATUM, "value", "point"), STRATUM, "left").join(pools, STRATUM, "left")
     single, many = F.col("n_ci_all") == 1, F.col("n_ci_all") >= 2
     ok = F.col("contrast_type") != "prognostic_outcome"
     good = F.when(many, ok & F.col("same_direction") & (F.col("i_squared") <= USABLE_MAX)).when(single, ok).otherwise(False)
@@ -116,7 +117,8 @@ def unstratified_pool(mentions: DataFrame) -> DataFrame:
     """Each biomarker's pool over all its studies: pooled, single_study, point_no_ci, and a grade by number and width."""
     studies = study_collapse(mentions, ["biomarker_name"])
     pools = dl_pool(studies, ["biomarker_name"])
-    counts = studies.groupBy("biomarker_name").agg(F.count("*").alias("n_studies"), F.count(F.when(F.col("has_ci"), 1)).alias("n_with_ci"), F.max(F.when(F.col("has_ci"), F.struct("value", "ci_lower", "ci_upper"))).alias("one"), F.percentile("value", 0.5).alias("point"))
+    counts = studies.groupBy("biomarker_name").agg(F.count("*").alias("n_studies"), F.count(F.when(F.col("has_ci"), 1)).alias("n_with_ci"), F.max(F.when(F.col("has_ci"), F.struct("value", "ci_lower", "ci_upper"))).alias("one"))
+    counts = counts.join(medians(studies, ["biomarker_name"], "value", "point"), "biomarker_name", "left")
     n = F.col("n_with_ci")
     kind = F.when(n >= 2, "pooled_DL").when(n == 1, "single_study").otherwise("point_no_ci")
     narrow = F.col("ci_upper") / F.col("ci_lower") <= 3
@@ -143,8 +145,9 @@ def biomarker_summary(mentions: DataFrame, survey_words: tuple[str, ...], gwas_w
     rows = mentions.groupBy("biomarker_name").agg(
         F.count("*").alias("n_mentions"), F.count_distinct("study_id").alias("n_sources"), F.count_distinct("country").alias("n_countries"),
         F.array_join(F.array_sort(F.collect_set("subject_class")), "|").alias("classes"), F.array_join(F.array_sort(F.collect_set("effect_measure")), "|").alias("value_types"),
-        F.floor(F.percentile("sample_size", 0.5)).cast("int").alias("median_n"),
-    ).withColumns({"in_survey": has(survey_words), "in_gwas": has(gwas_words)})
+    )
+    middle = medians(mentions, ["biomarker_name"], "sample_size", "median_n").withColumn("median_n", F.floor("median_n").cast("int"))
+    rows = rows.join(middle, "biomarker_name", "left").withColumns({"in_survey": has(survey_words), "in_gwas": has(gwas_words)})
     n, well = F.col("n_sources"), F.size(F.split("biomarker_name", r"\s+")) <= 4
     either, both = F.col("in_survey") | F.col("in_gwas"), F.col("in_survey") & F.col("in_gwas")
     wide = (n >= 3) & (F.col("n_countries") >= 2)

@@ -1,13 +1,15 @@
-"""Mentions in text: names, traits, phrases with their surroundings, effects with their intervals."""
+"""Mentions in text: names, traits, phrases with their surroundings, effects with their intervals, values with units."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lexicon import TAG_TRAITS
+from ..plans.lexicon import BIOMEDICAL, NOT_IN_NAMES, TAG_TRAITS, UNITS
 from ..sources.staging import dimension
-from .tagging import windows_around
+from .tagging import spans_of, windows_around
 
 
 def name_in_text_join(docs: DataFrame, registry: DataFrame, text: str = "text", gap: int = 15) -> DataFrame:
@@ -97,15 +99,76 @@ def control_pct_mine(papers: DataFrame, traits: DataFrame, width: int = 120) ->
     return dimension(traits).join(by, "trait", "left").select("trait", F.coalesce("papers", F.lit(0)).alias("papers"), F.when(F.col("papers") > 0, "materialized").otherwise("pending").alias("status"), "mean_pct")
 
 
-EFFECT = r"(?:([A-Za-z][A-Za-z0-9 -]{1,40}?)\s*[:(,]?\s*)?\b(OR|HR|RR)\s*[=:]?\s*(\d+\.?\d*)(?:\s*[(,;]\s*95%\s*CI:?\s*(\d+\.?\d*)\s*(?:-|to|,)\s*(\d+\.?\d*))?"
+EFFECT = r"(?:([A-Za-z][A-Za-z0-9 -]{1,40}?)\s*[:(,]?\s*)?\b(OR|HR|RR|(?i:odds ratio|hazard ratio|relative risk))\s*[=:]?\s*(\d+\.?\d*)(?:\s*[(,;]\s*95%\s*CI:?\s*(\d+\.?\d*)\s*(?:-|to|,)\s*(\d+\.?\d*))?"
+
+
+# Ratios by their names.
+RATIOS = {"odds ratio": "OR", "hazard ratio": "HR", "relative risk": "RR"}
+
+
+def ratio_kind(measure: Column) -> Column:
+    return F.coalesce(*(F.when(F.lower(measure) == name, short) for name, short in RATIOS.items()), measure)
 
 
 def biomarker_mentions(papers: DataFrame, most: int = 80, text: str = "text") -> DataFrame:
-    """doc_id, ord, name, measure, value, ci_lower, ci_upper: the first effects of each paper, with the words before them."""
+    """doc_id, ord, name, measure, value, ci_lower, ci_upper: the first ratios of each paper, with the words before them."""
     hits = F.slice(F.regexp_extract_all(text, F.lit(EFFECT), 0), 1, most)  # the text is walked once, its hits are taken apart after
-    each = papers.where(F.col(text).rlike(r"\b(?:OR|HR|RR)\b")).select("doc_id", F.posexplode(hits).alias("ord", "hit"))
+    each = papers.where(F.col(text).rlike(r"\b(?:OR|HR|RR|(?i:odds ratio|hazard ratio|relative risk))\b")).select("doc_id", F.posexplode(hits).alias("ord", "hit"))
     each = each.select("doc_id", "ord", *(F.regexp_extract("hit", EFFECT, g).alias(n) for g, n in enumerate(("name", "measure", "value", "ci_lower", "ci_upper"), 1)))
-    return each.select("doc_id", "ord", F.nullif(F.trim("name"), F.lit("")).alias("name"), "measure", *(F.col(c).try_cast("double").alias(c) for c in ("value", "ci_lower", "ci_upper")))
+    return each.select("doc_id", "ord", F.nullif(F.trim("name"), F.lit("")).alias("name"), ratio_kind(F.col("measure")).alias("measure"), *(F.col(c).try_cast("double").alias(c) for c in ("value", "ci_lower", "ci_upper")))
+
+
+NUMBER = r"\d{1,4}(?:,\d{3})*(?:\.\d+)?"
+UNIT = "|".join(re.escape(u) for u in sorted(UNITS, key=len, reverse=True))
+VALUE = rf"(?i:\b{NUMBER}(?:\s*(?:±|\+/-|–|—|-|to)\s*{NUMBER})?\s*(?:{UNIT}))(?![A-Za-z0-9])"
+
+
+def name_before(before: Column) -> Column:
+    """The last one to four words of the sentence that are no function or study words, null without one.
+
+    Such words right before the value are passed over; the next one ends the name.
+    """
+    stop = lambda x: F.lower(x).isin(NOT_IN_NAMES)
+    back = F.reverse(F.regexp_extract_all(F.element_at(F.split(before, "[.;!?]"), -1), F.lit(r"([A-Za-z][A-Za-z0-9αβγ·-]{1,40})"), 1))
+    # what is passed over is what has no word of a name before it
+    start = F.struct(F.array().cast("array<string>").alias("name"), F.lit(False).alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        taken = F.when(s["done"] | stop(x), s["name"]).otherwise(F.concat(s["name"], F.array(x)))
+        return F.struct(taken.alias("name"), (s["done"] | ((F.size(s["name"]) > 0) & stop(x)) | (F.size(taken) >= 4)).alias("done"))
+
+    name = F.array_join(F.reverse(F.aggregate(back, start, step)["name"]), " ")
+    return F.when(F.length(name).between(2, 60), name)
+
+
+def biomedical(name: Column) -> Column:
+    """Whether a name has one of the biomedical words; those of five letters or more may be part of a word."""
+    short, long = ("|".join(re.escape(w) for w in BIOMEDICAL if (len(w) > 4) is x) for x in (False, True))
+    return F.coalesce(name.rlike(rf"(?i)(?:^|[\s/-])(?:{short})(?:$|[\s/-])|{long}"), F.lit(False))
+
+
+def unit_mentions(papers: DataFrame, text: str = "text", back: int = 100, ahead: int = 60) -> DataFrame:
+    """doc_id, ord, name, value, value_high, unit, value_type of every value with a unit and a biomedical name before it.
+
+    ord counts a text's values with a unit from 0, those without such a name too. Null texts have none.
+    """
+    each = papers.select("doc_id", F.col(text).alias("t"), F.posexplode(spans_of(F.col(text), VALUE)).alias("ord", "s"))
+    begin = F.greatest(F.col("s.a") - back, F.lit(0))
+    parts = each.select("doc_id", "ord", F.substring("t", begin + 1, F.col("s.a") - begin).alias("left"), F.substring("t", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("hit"), F.substring("t", F.col("s.b") + 1, F.lit(ahead)).alias("right"))
+    whole = rf"(?i)^({NUMBER})(?:\s*(±|\+/-|–|—|-|to)\s*({NUMBER}))?\s*({UNIT})$"
+    group = lambda g: F.regexp_extract("hit", whole, g)
+    number = lambda g: F.regexp_replace(group(g), ",", "").try_cast("double")
+    around, sep = F.concat("left", F.lit(" "), "right"), F.lower(group(2))
+    kind = (
+        F.when(around.rlike(r"(?i)\b(?:mean|average|avg)\b"), "mean")
+        .when(around.rlike(r"(?i)\bmedian\b"), "median")
+        .when(sep.isin("±", "+/-"), "mean_sd")
+        .when((sep != "") | around.rlike(r"(?i)\brange\b|\biqr\b|interquartile"), "range")
+        .when(around.rlike(r"(?i)\b95\s*%?\s*ci\b|confidence interval"), "ci")
+        .otherwise("point_estimate")
+    )
+    named = parts.withColumn("name", name_before(F.col("left"))).where(biomedical(F.col("name")))
+    return named.select("doc_id", "ord", "name", number(1).alias("value"), number(3).alias("value_high"), group(4).alias("unit"), kind.alias("value_type"))
 
 
 def ci_recover(mentions: DataFrame, papers: DataFrame, text: str = "text") -> DataFrame:

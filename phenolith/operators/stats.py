@@ -35,6 +35,20 @@ def running(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[s
     return out.select(*counts.columns, *((F.col(f"_{s}") + F.col(f"_w_{s}")).alias(f"{s}_before") for s in sums), *(f"{s}_all" for s in sums))
 
 
+def medians(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """keys, name: the exact median of each group with a value, from counts of values; no task holds a group's values.
+
+    Groups whose key is null have none.
+    """
+    ranked = running(rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")), keys, value, ["_c"])
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_c_before") <= rank) & (rank < F.col("_c_before") + F.col("_c")), F.col(value)))
+
+    middle = (at(F.floor((F.col("_c_all") - 1) / 2)) + at(F.floor(F.col("_c_all") / 2))) / 2
+    return ranked.groupBy(*keys).agg(middle.alias(name))
+
+
 def auc(rows: DataFrame, score: str, label: str, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """keys, n, events, auc: tie-corrected; null with one class. Rows with nulls take no part."""
     w = F.lit(1) if weight is None else weight

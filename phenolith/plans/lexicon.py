@@ -300,3 +300,31 @@ BOILERPLATE = [
     r"\b(?:moderator|moderation) (?:team|policy)\b",
     r"\bview comments?\b",
 ]
+
+# Units of measured values.
+UNITS = [
+    "mg/dL", "mg/L", "g/dL", "g/L", "ng/mL", "pg/mL", "µg/mL", "μg/mL", "ug/mL", "mmol/L", "µmol/L", "μmol/L", "umol/L", "nmol/L", "pmol/L", "IU/L", "U/L", "U/mL",
+    "mmHg", "mm Hg", "kg/m²", "kg/m2", "kg m-2", "bpm", "beats/min", "fL", "%", "percent", "×10⁹/L", "x10⁹/L", "10⁹/L", "x10^9/L", "10^9/L",
+    "cells/mm³", "cells/mm3", "cells/µL", "cells/uL", "mL/kg/min", "mL/min/kg", "mL/min", "L/min", "kb", "bp",
+]
+
+# Words that end the way back from a value to its name.
+NOT_IN_NAMES = [
+    "year", "years", "age", "ages", "aged", "month", "months", "day", "days", "subject", "subjects", "patient", "patients", "participant", "participants", "control", "controls",
+    "case", "cases", "group", "groups", "sample", "samples", "study", "studies", "result", "results", "individual", "individuals", "cohort", "cohorts", "data", "value", "values",
+    "level", "levels", "score", "scores", "table", "figure", "we", "the", "this", "that", "these", "those", "their", "his", "her", "of", "in", "to", "for", "with", "from", "by",
+    "on", "at", "as", "and", "or", "between", "across", "among", "during", "after", "before", "within", "high", "low", "elevated", "reduced", "decreased", "increased", "higher", "lower",
+    "compared", "older", "younger", "above", "below", "baseline", "median", "mean", "average", "range", "overall", "total", "associated", "increase", "decrease", "risk", "rate", "ratio",
+    "was", "were", "is", "are", "had", "have", "has", "than", "adults", "elderly", "people", "persons", "men", "women", "male", "female", "centenarian", "centenarians", "nonagenarians",
+]
+
+# Words one of which a biomarker's name holds.
+BIOMEDICAL = [
+    "cholesterol", "ldl", "hdl", "vldl", "lipid", "lipoprotein", "triglyceride", "apolipoprotein", "apoa", "apob", "glucose", "insulin", "hba1c", "a1c", "glycated", "homa",
+    "crp", "c-reactive", "interleukin", "il-6", "il-1", "il-10", "il-8", "tnf", "cytokine", "ferritin", "inflammat", "fibrinogen", "hemoglobin", "haemoglobin", "hematocrit", "platelet",
+    "leukocyte", "lymphocyte", "neutrophil", "monocyte", "eosinophil", "wbc", "rbc", "mcv", "mch", "mchc", "rdw", "bmi", "mass", "weight", "height", "waist", "hip", "circumference",
+    "systolic", "diastolic", "pulse", "grip", "strength", "muscle", "lean", "fat", "adiposity", "igf", "igf1", "igfbp", "dhea", "dheas", "cortisol", "testosterone", "estrogen", "estradiol",
+    "tsh", "t3", "t4", "thyroid", "creatinine", "egfr", "gfr", "albumin", "cystatin", "urea", "bun", "uric", "alt", "ast", "ggt", "bilirubin", "alp", "calcium", "phosphate", "vitamin",
+    "horvath", "phenoage", "grimage", "dunedinpace", "methylation", "epigenetic", "telomere", "telomerase", "klotho", "sirtuin", "nad", "apoe", "foxo3", "cetp", "mortality", "longevity", "survival",
+    "prevalence", "hypertension", "diabetes", "stroke", "cancer", "dementia", "alzheimer", "frailty", "sarcopenia", "osteoporosis", "cardiovascular", "coronary", "microbiome", "microbiota",
+]

@@ -75,6 +75,12 @@ def biomarker_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.biomarker_mentions(papers(spark, sf_dir))
 
 
+def unit_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    told = F.concat(F.lit(". Mean fasting glucose was "), (k % 90 + 60).cast("string"), F.lit(" mg/dL, serum CRP 1."), (k % 60).cast("string"), F.lit(" - 3.5 mg/L; the hall is 90 percent full."))
+    return mining.unit_mentions(corpus(spark, sf_dir).select("doc_id", F.concat("text", F.when(k % 3 != 0, told).otherwise(F.lit(" nothing"))).alias("text")))
+
+
 def ci_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir)
     found = mining.biomarker_mentions(p).select("doc_id", "ord", "value").where("value is not null")
@@ -132,7 +138,7 @@ def epi_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (mention_windows, name_in_text_join, trait_mentions, tagged_traits, phrase_context, direction_annotate, corroboration_lock, control_pct_mine, biomarker_mentions, ci_recover, cohort_build, survey_answers, cohort_scores, epi_cohort)
+    for f in (mention_windows, name_in_text_join, trait_mentions, tagged_traits, phrase_context, direction_annotate, corroboration_lock, control_pct_mine, biomarker_mentions, unit_mentions, ci_recover, cohort_build, survey_answers, cohort_scores, epi_cohort)
 }
 CTES["named"] = "SELECT doc_id, text || ' ' || (['Maria the Rossi', 'Anna Schmidt', 'Paul is far from being Nobody', 'Rossi'])[doc_id % 4 + 1] AS text FROM documents"
 _names = " UNION ALL ".join(f"SELECT doc_id, {literal(n)} AS match FROM named WHERE regexp_matches(lower(text), {literal(r'\b' + n.split()[0] + r'\b.{0,15}\b' + n.split()[-1] + r'\b')})" for n in NAMES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenolith.functions import expr
-from phenolith.operators import dedup, fits, meta, mining, scoring, stats, subjects, tagging
+from phenolith.operators import cohort, dedup, fits, meta, mining, scoring, stats, subjects, tagging
 from phenolith.plans import model
 from phenolith.sources import ingest
 
@@ -72,6 +72,15 @@ def test_auc_matches_all_pairs(spark):
     assert stats.auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()["auc"] == pytest.approx(sum(wins) / len(wins))
 
 
+def test_medians_of_groups(spark):
+    import statistics
+
+    groups = {"a": [3.0, 1.0, 2.0, 2.0], "b": [5.0], "c": [1.0, 9.0], "d": [math.sin(i * 3) for i in range(501)], "e": [7.0] * 6}
+    rows = [(k, x) for k, v in groups.items() for x in v] + [("a", None), ("f", None)]
+    out = stats.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", "m").collect()
+    assert {r["k"]: r["m"] for r in out} == {k: statistics.median(v) for k, v in groups.items()}
+
+
 def test_reliability_bins_hold_every_row(spark):
     rows = spark.createDataFrame([(i / 100, i % 2) for i in range(101)], "p double, y int")
     assert stats.reliability_table(rows, "p", "y").agg(F.sum("n")).first()[0] == 101
@@ -135,7 +144,7 @@ def test_entry_and_registry(spark):
     assert len(names) > 100 and set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["similarity_score", "map_panel", "domain_scores", "auc", "score_distribution", "strata_grade", "evidence_score", "keyword_tags", "dup_clusters", "trait_frequency"])
+@pytest.mark.parametrize("name", ["similarity_score", "map_panel", "domain_scores", "auc", "score_distribution", "strata_grade", "evidence_score", "keyword_tags", "dup_clusters", "trait_frequency", "survey_answers", "cohort_scores"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
@@ -233,3 +242,31 @@ def test_reasons_and_longer_phrases(spark):
     assert [r[0] for r in docs.select(phrases.attribution_phrases(F.col("text"))).collect()][:2] == [["olive oil", "daily walks"], ["eating fish"]]
     long = spark.createDataFrame([("good olive bread every morning",)], "text string").select(phrases.candidate_phrases(F.col("text"))).first()[0]
     assert "good olive bread every morning" in long and "olive bread every morning" in long and len(long) == 10
+
+
+def test_survey_codes_become_options(spark):
+    names = "subject_id long, sex string, smq020 int, smq040 int, alq101 int, alq130 int, huq010 int, hsd010 int, bmxwaist double, bpq020 int, mcq160e int, mcq160f int, bmxbmi double"
+    rows = spark.createDataFrame([(1, "F", 1, 3, 1, 3, 0, 4, 85.0, 1, None, 2, 25.0), (2, "M", 2, None, 2, 9, 9, None, 85.0, 2, 2, 1, 18.4), (3, None, 7, 1, None, None, None, None, None, None, None, None, None)], names)
+    out = {}
+    for r in cohort.survey_answers(rows).collect():
+        out.setdefault(r["subject_id"], {})[r["question_id"].removeprefix("q_")] = r["option_index"]
+    assert out == {
+        1: {"smoking": 1, "alcohol": 2, "self_rated_health": 2, "waist_circumference": 1, "hypertension": 3, "cardiovascular_event": 0, "body_mass_index": 2},
+        2: {"smoking": 0, "alcohol": 0, "waist_circumference": 0, "hypertension": 0, "cardiovascular_event": 2, "body_mass_index": 3},
+    }
+    known = {(r[2], r[6]) for r in model.option_rows() if r[0] == 2}
+    assert {q for q, _ in known} >= set(cohort.survey_recodes(rows))
+
+
+def test_values_with_units(spark):
+    texts = [
+        (1, "Fasting glucose was 92 mg/dL in all. The serum CRP level of 1.2-3.4 mg/L; hall 90 percent. HDL cholesterol 50 ± 12 MG/DL and 5 apples"),
+        (2, "Median telomere length 1,200.5 bp. glucose 5 mg/dLx"), (3, None), (4, ""), (5, "é" * 300 + " insulin 7 pmol/L"),
+    ]
+    out = mining.unit_mentions(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id", "ord").collect()
+    assert [tuple(r) for r in out] == [
+        (1, 0, "Fasting glucose", 92.0, None, "mg/dL", "point_estimate"), (1, 1, "serum CRP", 1.2, 3.4, "mg/L", "range"), (1, 3, "HDL cholesterol", 50.0, 12.0, "MG/DL", "mean_sd"),
+        (2, 0, "telomere length", 1200.5, None, "bp", "median"), (5, 0, "insulin", 7.0, None, "pmol/L", "point_estimate"),
+    ]
+    told = spark.createDataFrame([(1, "smoking odds ratio 2.5 (95% CI 1.1-3.0) only")], "doc_id long, text string")
+    assert [(r["measure"], r["value"]) for r in mining.biomarker_mentions(told).collect()] == [("OR", 2.5)]
