@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.expr import Z95, rounded
+from ..sources.staging import staged
 from .stats import medians
 
 STRATUM = ["biomarker_name", "effect_measure", "contrast_type", "subject_class"]
@@ -65,7 +66,7 @@ def dl_pool(studies: DataFrame, keys: list[str]) -> DataFrame:
 
 def strata(mentions: DataFrame) -> DataFrame:
     """One row per stratum: pool or single study or point, commensurability, grade and use."""
-    studies = study_collapse(with_contrast(mentions))
+    studies = staged(study_collapse(with_contrast(mentions)), "studies")  # read four times
     pools = dl_pool(studies, STRATUM)
     counts = studies.groupBy(*STRATUM).agg(
         F.count("*").alias("n_studies"), F.count(F.when(F.col("has_ci"), 1)).alias("n_ci_all"),
@@ -115,7 +116,7 @@ def primary_stratum(strata_: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def unstratified_pool(mentions: DataFrame) -> DataFrame:
     """Each biomarker's pool over all its studies: pooled, single_study, point_no_ci, and a grade by number and width."""
-    studies = study_collapse(mentions, ["biomarker_name"])
+    studies = staged(study_collapse(mentions, ["biomarker_name"]), "studies")
     pools = dl_pool(studies, ["biomarker_name"])
     counts = studies.groupBy("biomarker_name").agg(F.count("*").alias("n_studies"), F.count(F.when(F.col("has_ci"), 1)).alias("n_with_ci"), F.max(F.when(F.col("has_ci"), F.struct("value", "ci_lower", "ci_upper"))).alias("one"))
     counts = counts.join(medians(studies, ["biomarker_name"], "value", "point"), "biomarker_name", "left")
