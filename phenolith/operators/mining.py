@@ -171,21 +171,22 @@ def unit_mentions(papers: DataFrame, text: str = "text", back: int = 100, ahead:
     return named.select("doc_id", "ord", "name", number(1).alias("value"), number(3).alias("value_high"), group(4).alias("unit"), kind.alias("value_type"))
 
 
+DECIMAL = r"(\d+\.\d+)"
+LABELLED = rf"{DECIMAL}(.{{0,45}}?)(?:95%\s*CI|confidence interval)\D{{0,6}}{DECIMAL}\s*(?:-|to|,|–)\s*{DECIMAL}"
+BRACKETED = rf"{DECIMAL}(.{{0,6}}?)[(\[]\s*{DECIMAL}\s*(?:-|to|,|–)\s*{DECIMAL}\s*[)\]]"
+
+
 def ci_recover(mentions: DataFrame, papers: DataFrame, text: str = "text") -> DataFrame:
     """mentions (doc_id, ord, value) with the nearest interval of their paper that contains the value.
 
     A labelled interval up to 45 characters after the value comes before one in brackets up to six
     after it. Values match within 0.03 or 3 %.
     """
-    number = r"(\d+\.\d+)"
-    label = rf"{number}(.{{0,45}}?)(?:95%\s*CI|confidence interval)\D{{0,6}}{number}\s*(?:-|to|,|–)\s*{number}"
-    bracket = rf"{number}(.{{0,6}}?)[(\[]\s*{number}\s*(?:-|to|,|–)\s*{number}\s*[)\]]"
-
     def found(pattern: str, kind: int) -> Column:
         v, gap, lo, hi = (F.regexp_extract_all(text, F.lit(pattern), g) for g in (1, 2, 3, 4))
         return F.transform(F.arrays_zip(v.alias("v"), gap.alias("g"), lo.alias("lo"), hi.alias("hi")), lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["g"]).alias("far"), x["v"].cast("double").alias("v"), x["lo"].cast("double").alias("lo"), x["hi"].cast("double").alias("hi")))
 
-    texts = papers.select("doc_id", F.concat(found(label, 0), found(bracket, 1)).alias("found"))
+    texts = papers.select("doc_id", F.concat(found(LABELLED, 0), found(BRACKETED, 1)).alias("found"))
     joined = mentions.join(texts, "doc_id", "left")
     fits = F.filter("found", lambda x: (F.abs(x["v"] - F.col("value")) <= F.greatest(F.lit(0.03), 0.03 * F.abs("value"))) & (x["lo"] < x["hi"]) & F.col("value").between(x["lo"], x["hi"]))
     best = F.array_min(fits)

@@ -49,21 +49,28 @@ def phrase_lift(docs: DataFrame, floors: dict[str, tuple[int, float]] = FLOORS)
     """feature_type, phrase with its counts, lift, breadth and rank value.
 
     docs has focus, weight, country, individual, and an array of phrases in the column of each type that
-    it has of ``floors``. Counts by phrase, class, country and person come first and are kept, so the
-    texts are walked once; distinct countries and people are counted from them. The totals are one row.
+    it has of ``floors``. Only phrases that reach their floor in the focus class can stay: they are counted
+    first, over the texts of that class alone, and no other phrase of the corpus is shuffled. Counts by
+    phrase, class, country and person are kept; distinct countries and people are counted from them.
+    The totals are one row.
     """
     kinds = [k for k in floors if k in docs.columns]
+    key = ["feature_type", "phrase"]
+    floor = lambda i: F.element_at(F.create_map(*(F.lit(x) for k in kinds for x in (k, floors[k][i]))), F.col("feature_type"))
     totals = docs.agg(F.sum(F.col("focus").cast("int")).alias("n_focus"), F.count("*").alias("n_all"))
     typed = lambda k: F.transform(F.array_distinct(k), lambda p: F.struct(F.lit(k).alias("feature_type"), p.alias("phrase")))
-    each = F.concat(*(typed(k) for k in kinds))
-    rows = docs.select("focus", "weight", "country", "individual", F.explode(each).alias("p")).select("p.*", "focus", "weight", "country", "individual")
-    parts = staged(rows.groupBy("feature_type", "phrase", "focus", "country", "individual").agg(F.count("*").alias("n"), F.sum("weight").alias("w")), "phrases")
+
+    def rows(d: DataFrame) -> DataFrame:
+        each = F.explode(F.concat(*(F.coalesce(typed(k), F.array()) for k in kinds)))  # a type without phrases hides no other
+        return d.select("focus", "weight", "country", "individual", each.alias("p")).select("p.*", "focus", "weight", "country", "individual")
+
+    often = staged(rows(docs.where("focus")).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= floor(0)).select(*key), "frequent")
+    counted = rows(docs).join(dimension(often), key, "left_semi").groupBy(*key, "focus", "country", "individual")
+    parts = staged(counted.agg(F.count("*").alias("n"), F.sum("weight").alias("w")), "phrases")
     by = parts.groupBy("feature_type", "phrase").agg(F.sum(F.when(F.col("focus"), F.col("n")).otherwise(0)).alias("freq_focus"), F.sum("n").alias("freq_all"), F.round(F.sum("w") + 1e-9, 2).alias("weighted"))
-    floor = lambda i: F.element_at(F.create_map(*(F.lit(x) for k in kinds for x in (k, floors[k][i]))), F.col("feature_type"))
     kept = by.where(F.col("freq_focus") >= floor(0)).crossJoin(F.broadcast(totals))
     lift = (F.col("freq_focus") / F.greatest("n_focus", F.lit(1))) / (F.col("freq_all") / F.greatest("n_all", F.lit(1)))
     kept = kept.withColumn("lift", lift).where(F.col("lift") >= floor(1))
-    key = ["feature_type", "phrase"]
     wide = parts.join(kept.select(*key), key).groupBy(*key).agg(F.count_distinct(F.when(F.col("focus"), F.col("country"))).alias("n_countries"), F.count_distinct("individual").alias("n_individuals"))
     score = F.round(F.col("lift") * F.log(F.col("n_individuals") + 1) + 1e-9, 4)
     return kept.join(wide, key).select(*key, "freq_focus", "freq_all", "weighted", F.round(F.col("lift") + 1e-9, 3).alias("lift"), "n_countries", "n_individuals", score.alias("population_score"))

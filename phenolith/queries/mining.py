@@ -9,7 +9,7 @@ from ..operators import cohort, mining, scoring, subjects, tagging
 from ..plans import fixtures, model
 from ..plans.lexicon import TAG_TRAITS, TRAITS
 from .scoring import clock_readings
-from .sqltext import CTES, literal, rnd, sql
+from .sqltext import CTES, literal, rnd, sql, values
 from .text import corpus
 
 
@@ -174,12 +174,41 @@ _recodes = {
 }
 CTES["recoded"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT subject_id, {literal(q)} AS question_id, (CASE {w} END)::INTEGER AS option_index FROM blues" for q, w in _recodes.items()) + ") WHERE option_index IS NOT NULL"
 _mean = lambda where: rnd(f"100 * sum(w * alignment) FILTER (WHERE {where}) / sum(w) FILTER (WHERE {where})", 1)
+CTES["papers"] = """SELECT doc_id, text || CASE WHEN doc_id % 3 <> 0 THEN ' Longevity and controls. Smoking in ' || (doc_id % 90)::VARCHAR || '% of controls. Body mass OR 1.' || (doc_id % 60)::VARCHAR || ' (95% CI 0.' || (doc_id % 90)::VARCHAR || '-2.' || (doc_id % 9)::VARCHAR
+  || '); glucose HR 1.2' || (doc_id % 10)::VARCHAR || '. CRP 1.' || (doc_id % 60)::VARCHAR || ' (0.5 - 3.' || (doc_id % 9)::VARCHAR || ')' ELSE ' nothing' END AS text FROM documents"""
+_hit = lambda g: f"regexp_extract(hit, {literal(mining.EFFECT)}, {g})"
+_ratio = " ".join(f"WHEN lower({_hit(2)}) = {literal(n)} THEN {literal(short)}" for n, short in mining.RATIOS.items())
+CTES["effects"] = f"""SELECT doc_id, ord, nullif(trim({_hit(1)}), '') AS name, CASE {_ratio} ELSE {_hit(2)} END AS measure, TRY_CAST({_hit(3)} AS DOUBLE) AS value, TRY_CAST({_hit(4)} AS DOUBLE) AS ci_lower, TRY_CAST({_hit(5)} AS DOUBLE) AS ci_upper FROM (
+  SELECT doc_id, unnest(h) AS hit, (generate_subscripts(h, 1) - 1)::INTEGER AS ord FROM (SELECT doc_id, regexp_extract_all(text, {literal(mining.EFFECT)})[1:80] AS h FROM papers))"""
+CTES["paper_traits"] = values(PATTERNS, "trait, pattern")
+_all = lambda p, g: f"regexp_extract_all(text, {literal(p)}, {g})"
+_fields = lambda kind, p: f"{_all(p, 1)} AS v{kind}, {_all(p, 2)} AS g{kind}, {_all(p, 3)} AS lo{kind}, {_all(p, 4)} AS hi{kind}"
+_intervals = lambda k: f"list_transform(range(1, len(v{k}) + 1), lambda i: {{'kind': {k}, 'far': length(g{k}[i]), 'v': v{k}[i]::DOUBLE, 'lo': lo{k}[i]::DOUBLE, 'hi': hi{k}[i]::DOUBLE}})"
+CTES["intervals"] = f"SELECT doc_id, list_concat({_intervals(0)}, {_intervals(1)}) AS found FROM (SELECT doc_id, {_fields(0, mining.LABELLED)}, {_fields(1, mining.BRACKETED)} FROM papers)"
+_near = lambda p: rf"(?i)((?:\S+\s+){{0,5}}\b{p}\b(?:\s+\S+){{0,5}})"
 SQL = {k: sql(v) for k, v in {
     "survey_answers": "SELECT * FROM recoded",
     "cohort_scores": f"""WITH q AS (SELECT subject_id, question_id AS feature, weight AS w, alignment FROM recoded JOIN dim_option o USING (question_id, option_index) WHERE o.layer = 2),
       parts AS (SELECT *, NOT EXISTS (SELECT 1 FROM clinical c JOIN dim_construct d USING (feature) WHERE c.subject_id = q.subject_id AND d.question_id = q.feature) AS stays, FALSE AS lab FROM q
         UNION ALL SELECT subject_id, feature, weight * (1 + CASE WHEN gwas THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END), alignment, TRUE, TRUE FROM clinical JOIN dim_feature USING (feature))
       SELECT subject_id, {_mean('stays')} AS score_full, {_mean('NOT lab')} AS score_selfreport, {_mean('lab')} AS score_labs, (count(*) FILTER (WHERE NOT lab))::INTEGER AS n_answers, (count(*) FILTER (WHERE lab))::INTEGER AS n_clinical FROM parts GROUP BY subject_id""",
+    "mention_windows": r"""WITH w AS (SELECT doc_id, regexp_split_to_array(text, '\s+') AS w, lower(string_split(title, ' ')[1]) AS s FROM corpus),
+      h AS (SELECT doc_id, i FROM (SELECT doc_id, s, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS i FROM w) WHERE contains(lower(t), s)),
+      k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, coalesce((i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 80)::INTEGER, 1) AS new FROM h)),
+      s AS (SELECT doc_id, k, greatest(min(i) - 40, 0) AS a, max(i) + 40 AS b FROM k GROUP BY doc_id, k)
+      SELECT doc_id, coalesce(k, 1)::BIGINT AS "window", length(array_to_string(w[coalesce(a, 0) + 1 : coalesce(b, 80) + 1], ' '))::INTEGER AS n FROM w LEFT JOIN s USING (doc_id)""",
+    "phrase_context": "SELECT phrase, rank::INTEGER AS rank, '[' || doc_id::VARCHAR || '] ' || s AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY doc_id) AS rank FROM ("
+    + " UNION ALL ".join(f"SELECT {literal(p)} AS phrase, doc_id, substr(regexp_extract(text, {literal(_near(p))}, 1), 1, 220) AS s FROM documents WHERE contains(lower(text), {literal(p)})" for p in ("the", "les", "die"))
+    + ") WHERE s <> '') WHERE rank <= 5",
+    "corroboration_lock": """WITH h AS (SELECT trait, count(*) AS raw, count(*) FILTER (WHERE NOT design) AS clean FROM (SELECT trait, regexp_matches(t, '(?s)(?:adjusted for).{0,80}(?:' || pattern || ')') AS design
+        FROM paper_traits JOIN (SELECT lower(text) AS t FROM papers) ON TRUE WHERE regexp_matches(t, 'longevity') AND regexp_matches(t, pattern)) GROUP BY trait)
+      SELECT *, CASE WHEN topical >= 3 THEN 'silver' ELSE 'bronze' END AS tier FROM (SELECT trait, coalesce(raw, 0) AS raw, coalesce(CASE WHEN raw > 100 THEN clean ELSE raw END, 0) AS topical FROM paper_traits LEFT JOIN h USING (trait))""",
+    "control_pct_mine": r"""WITH h AS (SELECT trait, count(*) AS papers, round(avg(pct), 4) AS mean_pct FROM (SELECT trait, TRY_CAST(regexp_extract(t, '(?s)(?:' || pattern || ').{0,120}?(\d+(?:\.\d+)?)\s*%', 1) AS DOUBLE) AS pct
+        FROM paper_traits JOIN (SELECT lower(text) AS t FROM papers) ON regexp_matches(t, '\bcontrols?\b')) WHERE pct IS NOT NULL GROUP BY trait)
+      SELECT trait, coalesce(h.papers, 0) AS papers, CASE WHEN h.papers > 0 THEN 'materialized' ELSE 'pending' END AS status, mean_pct FROM paper_traits LEFT JOIN h USING (trait)""",
+    "biomarker_mentions": "SELECT * FROM effects",
+    "ci_recover": """SELECT doc_id, ord, value, best['lo'] AS found_lower, best['hi'] AS found_upper FROM (SELECT doc_id, ord, value, list_min(list_filter(found,
+      lambda x: abs(x['v'] - value) <= greatest(0.03::DOUBLE, 0.03::DOUBLE * abs(value)) AND x['lo'] < x['hi'] AND value BETWEEN x['lo'] AND x['hi'])) AS best FROM effects LEFT JOIN intervals USING (doc_id) WHERE value IS NOT NULL)""",
     "name_in_text_join": _names,
     "trait_mentions": "SELECT doc_id, trait, category, substr(t, 1, 200) AS quote FROM habits JOIN (VALUES " + ", ".join(f"({literal(p)}, {literal(t)}, {literal(c)})" for p, t, c in TRAITS) + ") v(pattern, trait, category) ON regexp_matches(lower(t), pattern)",
     "tagged_traits": " UNION ALL ".join(f"SELECT doc_id, {literal(t)} AS trait, {literal(c)} AS category FROM lowered WHERE " + " OR ".join(f"contains(t, {literal(w)})" for w in tagging.TAGS[tag]) for tag, (t, c) in TAG_TRAITS.items()),

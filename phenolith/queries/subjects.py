@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import rounded
 from ..operators import phrases, subjects, tagging
 from ..plans import fixtures
+from ..plans.lexicon import NICKNAMES, NO_NAMES, SUFFIXES
 from ..sources import ingest
 from .sqltext import CTES, literal, rnd, sql
 from .text import corpus
@@ -246,6 +247,23 @@ CTES["lifted"] = """SELECT *, round(l + 1e-9, 3) AS lift, round(l * ln(n_individ
 _tier = "CASE WHEN {0} >= 110 THEN 'supercentenarian' WHEN {0} >= 100 THEN 'centenarian' WHEN {0} >= 90 THEN 'nonagenarian' END"
 CTES["trait_mentions"] = """SELECT 'p' || (doc_id % 301)::VARCHAR AS person, CASE WHEN doc_id % 301 % 4 = 0 THEN NULL WHEN doc_id % 301 % 3 = 0 THEN 'supercentenarian' ELSE 'centenarian' END AS tier, trait, substr(title, 1, 40) AS quote,
   CASE WHEN doc_id % 9 = 0 THEN 'boolean' ELSE 'keyword' END AS method, doc_id % 2 = 0 AS is_profile FROM (SELECT doc_id, title, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w IN ('the', 'and', 'of', 'die', 'und', 'les', 'las', 'that')))) AS trait FROM corpus)"""
+CTES["people"] = """WITH p AS (SELECT 'Customer ' || translate((c_custkey % 90)::VARCHAR, '0123456789', 'abcdefghij') || ' Last' AS name, CASE WHEN c_custkey % 4 <> 0 THEN 90 + c_custkey % 30 END::DOUBLE AS age, c_custkey::BIGINT AS ord FROM customer
+      UNION ALL SELECT 'CUSTOMER ' || translate((s_suppkey % 120)::VARCHAR, '0123456789', 'abcdefghij') || ' Last', (100 + s_suppkey % 20)::DOUBLE, (1000000 + s_suppkey)::BIGINT FROM supplier)
+      SELECT replace(lower(name), ' ii ', ' ') AS clean, arg_min(name, ord) AS display, arg_min(age, ord) FILTER (WHERE age IS NOT NULL) AS age, min(ord) AS ord FROM p GROUP BY 1"""
+_full = lambda words: f"list_transform(list_filter(string_split({words}, ' '), lambda w: w <> ''), lambda w: CASE w " + " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in NICKNAMES.items()) + " ELSE w END)"
+_within = lambda words: "(" + ", ".join(map(literal, sorted(words))) + ")"
+CTES["raw_names"] = f"""SELECT id, translate(lower(raw), {literal(subjects.ACCENTED)}, {literal(subjects.PLAIN)}) AS plain FROM (SELECT c_custkey AS id, (['Dr. Bob ', 'José ', 'Mary-Ann (Sis) ', 'The '])[c_custkey % 4 + 1] || (['Smith[9]', 'O''Néill Jr', 'Müller'])[c_custkey % 3 + 1] || ' ' || (['', 'III', 'x'])[c_custkey % 3 + 1] AS raw FROM customer)"""
+CTES["clean_names"] = rf"""SELECT id, regexp_replace(regexp_replace(plain, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(plain, '\[[^\]]*\]', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '[^a-z]+', ' ', 'g')), ' +'),
+  lambda w: w <> '' AND w NOT IN {_within(SUFFIXES)}), ' ') AS clean FROM raw_names"""
+CTES["asked_names"] = f"SELECT id, clean, {_full('clean')} AS t FROM (SELECT s_suppkey::BIGINT AS id, (['customer ', 'c ', 'customer mid '])[s_suppkey % 3 + 1] || translate((s_suppkey % 60)::VARCHAR, '0123456789', 'abcdefghij') || ' last' AS clean FROM supplier)"
+CTES["known_names"] = f"SELECT clean AS match, ord, {_full('clean')} AS u FROM people"
+_inside = lambda a, b: f"len(list_filter({a}, lambda x: NOT list_contains({b}, x))) = 0"
+_joined = "array_to_string(t, ' ')", "array_to_string(u, ' ')"
+CTES["paragraphs"] = r"""SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS p FROM pages"""
+CTES["page_profiles"] = r"""SELECT page_id, coalesce(array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), ' '), '') AS profile FROM (SELECT page_id, list_filter(p, lambda t: length(t) >= 40 AND NOT starts_with(lower(t), '(source') AND NOT starts_with(lower(t), 'source:')
+  AND NOT (length(t) < 90 AND (regexp_matches(lower(t), '^in \d{4},? aged') OR contains(lower(t), '(source:')))) AS k FROM paragraphs)"""
+_starred = "SELECT subject_id, age, n_orders, last_filled FROM subjects LEFT JOIN (SELECT o_custkey AS subject_id, count(*) AS n_orders FROM orders GROUP BY 1) USING (subject_id) LEFT JOIN (SELECT o_custkey AS subject_id, max(o_orderkey) AS last_filled FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (subject_id)"
+CTES["starred"] = _starred
 SQL = {k: sql(v) for k, v in {
     "read_table_coerced": """SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey % 7 = 0 THEN 0.0::DOUBLE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN NULL ELSE c_acctbal::DOUBLE END AS balance, c_custkey % 4 < 2 AS flag,
       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE ('2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0'))::DATE END AS day FROM customer""",
@@ -257,7 +275,12 @@ SQL = {k: sql(v) for k, v in {
     "registry_merge_dedup": """WITH a AS (SELECT (c_custkey % 400)::VARCHAR || ' Name' AS name, make_date(1900, ([1, 5, 12])[c_custkey % 3 + 1], (c_custkey % 28 + 1)::INTEGER) AS birth_date, round(110 + c_custkey % 10 + (c_custkey % 365) / 365.25, 4)::DOUBLE AS age_years, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, 'wiki' AS dataset_source, 0 AS s, c_custkey AS ord FROM customer WHERE c_custkey % 3 <> 0
       UNION ALL SELECT (c_custkey % 400)::VARCHAR || ' Name', make_date(1900, 1, (c_custkey % 28 + 1)::INTEGER), (100 + c_custkey % 12)::DOUBLE, NULL, 'other', 1, c_custkey FROM customer WHERE c_custkey % 3 = 0)
       SELECT name, birth_date, age_years, gender, dataset_source FROM (SELECT *, row_number() OVER (PARTITION BY name, birth_date ORDER BY s, ord) AS rn FROM a) WHERE rn = 1""",
-    "star_left_join": "SELECT subject_id, age, n_orders, last_filled FROM subjects LEFT JOIN (SELECT o_custkey AS subject_id, count(*) AS n_orders FROM orders GROUP BY 1) USING (subject_id) LEFT JOIN (SELECT o_custkey AS subject_id, max(o_orderkey) AS last_filled FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (subject_id)",
+    "star_left_join": "SELECT * FROM starred",
+    "join_coverage": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(100 * count({c}) / count(*), 4) AS filled_pct FROM starred" for c in ("subject_id", "age", "n_orders", "last_filled")),
+    "html_to_profile": r"SELECT page_id, n_words, md5(profile) AS digest FROM (SELECT *, len(list_filter(regexp_split_to_array(profile, '\s+'), lambda w: w <> ''))::INTEGER AS n_words FROM page_profiles) WHERE n_words >= 20",
+    "name_normalize": f"""SELECT id, clean, array_to_string({_full('clean')}, ' ') AS tokens, len(string_split(clean, ' ')) BETWEEN 2 AND 4 AND len(list_filter(string_split(clean, ' '), lambda w: length(w) < 2 OR w IN {_within(NO_NAMES)})) = 0 AS personlike, slug FROM clean_names""",
+    "fuzzy_name_join": f"""SELECT id, clean, arg_min(match, ord) AS match FROM asked_names JOIN known_names ON clean = match OR {_inside('t', 'u')} OR {_inside('u', 't')} OR (t[-1] = u[-1] AND t[1][1] = u[1][1])
+      OR 1 - levenshtein({_joined[0]}, {_joined[1]}) / greatest(length({_joined[0]}), length({_joined[1]})) >= 0.9 GROUP BY id, clean""",
     "trait_table_filter": "SELECT p_type AS trait, count(*) AS n FROM part WHERE regexp_matches(lower(p_type), 'brass|steel|promo') GROUP BY 1 ORDER BY n DESC, trait LIMIT 15",
     "indicator_union_select": "SELECT 'customers' AS indicator, c_nationkey AS country, c_acctbal::DOUBLE AS value FROM customer UNION ALL SELECT 'suppliers', s_nationkey, s_acctbal::DOUBLE FROM supplier",
     "flag_map_join": "SELECT country_code, country_code % 4 = 0 AS flag, count(*) AS n FROM life GROUP BY 1, 2",
@@ -281,8 +304,6 @@ SQL = {k: sql(v) for k, v in {
     "concept_match": "SELECT phrase, arg_min(concept, ord) AS concept FROM lifted JOIN (VALUES " + ", ".join(f"({literal(c)}, {literal(k)}, {i})" for i, (c, k) in enumerate(CONCEPTS)) + ") v(concept, keyword, ord) ON contains(phrase, keyword) WHERE feature_type = 'noun_phrase' AND freq_focus >= 3 AND l >= 1.0 GROUP BY phrase",
     "feature_matrix": "SELECT *, f_the + f_and + f_les + f_und + f_que > 0 AS any_feature FROM (SELECT doc_id, " + ", ".join(f"list_contains(w, '{x}')::INTEGER AS f_{x}" for x in ("the", "and", "les", "und", "que")) + " FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents))",
     "attribution_phrases": "SELECT doc_id, coalesce(p, '') AS phrases FROM documents LEFT JOIN (SELECT doc_id, string_agg(phrase, '|' ORDER BY i) AS p FROM (SELECT doc_id, phrase, min(i) AS i FROM reasons GROUP BY doc_id, phrase) GROUP BY doc_id) USING (doc_id)",
-    "registry_master": """WITH p AS (SELECT 'Customer ' || translate((c_custkey % 90)::VARCHAR, '0123456789', 'abcdefghij') || ' Last' AS name, CASE WHEN c_custkey % 4 <> 0 THEN 90 + c_custkey % 30 END::DOUBLE AS age, c_custkey::BIGINT AS ord FROM customer
-      UNION ALL SELECT 'CUSTOMER ' || translate((s_suppkey % 120)::VARCHAR, '0123456789', 'abcdefghij') || ' Last', (100 + s_suppkey % 20)::DOUBLE, (1000000 + s_suppkey)::BIGINT FROM supplier)
-      SELECT replace(lower(name), ' ii ', ' ') AS clean, arg_min(name, ord) AS display, arg_min(age, ord) FILTER (WHERE age IS NOT NULL) AS age, min(ord) AS ord FROM p GROUP BY 1""",
+    "registry_master": "SELECT * FROM people",
     "age_person_mentions": f"SELECT doc_id, len(x)::INTEGER AS n_ages, x[1] AS first_age, list_max(x) AS max_age FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(abstract, {literal(phrases.AGES)}, 1), lambda a: a::INTEGER), lambda a: a <= 135) AS x FROM corpus)",
 }.items()}

@@ -118,7 +118,8 @@ SMOKING = {
 
 
 def smoking_status_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagging.window_mine(corpus(spark, sf_dir).withColumn("subject", F.col("source")), SMOKE, SMOKING, "subject", "abstract")
+    found = tagging.window_mine(corpus(spark, sf_dir).withColumn("subject", F.col("source")), SMOKE, SMOKING, "subject", "abstract")
+    return found.withColumn("examples", F.array_join("examples", " | "))
 
 
 def word_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +190,12 @@ CTES["contained"] = """SELECT a, b, round(k / least(x.n, y.n), 6) AS containment
 _clusters = """WITH RECURSIVE g AS (SELECT a, b FROM contained UNION SELECT b, a FROM contained), r AS (SELECT a, a AS b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
   k AS (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a) """
 _bucket = lambda kind: f"SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS bucket, count(*) OVER (PARTITION BY key) AS n FROM bucketed WHERE key LIKE '{kind}:%'"
+CTES["smoke_hits"] = f"""SELECT doc_id, source, t, length(h) AS n, sum(length(g) + length(h)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT doc_id, source, t, unnest(h) AS h, unnest(g[1 : len(h)]) AS g, generate_subscripts(h, 1) AS i FROM (
+  SELECT doc_id, source, abstract AS t, regexp_extract_all(abstract, {literal(SMOKE)}) AS h, regexp_split_to_array(abstract, {literal(SMOKE)}) AS g FROM corpus))"""
+CTES["smoke_windows"] = "SELECT source, substr(t, greatest(b - n - 90, 0)::BIGINT + 1, (b + 90 - greatest(b - n - 90, 0))::BIGINT) AS w FROM smoke_hits"
 SQL = {k: sql(v) for k, v in {
+    "smoking_status_mine": "SELECT pattern, count(*) AS mentions, count(DISTINCT source) AS individuals, array_to_string(list_sort(list_distinct(list(substr(trim(regexp_replace(w, '\\s+', ' ', 'g')), 1, 160))))[1:3], ' | ') AS examples FROM ("
+    + " UNION ALL ".join(f"SELECT {literal(n)} AS pattern, * FROM smoke_windows WHERE regexp_matches(w, {literal(p)})" for n, p in SMOKING.items()) + ") GROUP BY pattern",
     "keyword_tags": "SELECT doc_id, " + ", ".join(f"{_any('t', w)} AS {n}" for n, w in tagging.TAGS.items()) + " FROM (SELECT doc_id, lower(abstract) AS t FROM corpus)",
     "stat_extract": f"""SELECT doc_id, {_hits}, nullif(array_to_string(list_transform(range(1, least(5, len(lo)) + 1), lambda i: lo[i] || '|' || hi[i]), '; '), '') AS stat_confidence_interval
       FROM (SELECT *, regexp_extract_all(abstract, {literal(tagging.INTERVAL)}, 1) AS lo, regexp_extract_all(abstract, {literal(tagging.INTERVAL)}, 2) AS hi FROM corpus)""",

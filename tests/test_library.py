@@ -144,7 +144,7 @@ def test_entry_and_registry(spark):
     assert len(names) > 100 and set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["similarity_score", "map_panel", "domain_scores", "auc", "score_distribution", "strata_grade", "evidence_score", "keyword_tags", "dup_clusters", "trait_frequency", "survey_answers", "cohort_scores"])
+@pytest.mark.parametrize("name", ["similarity_score", "map_panel", "domain_scores", "auc", "score_distribution", "strata_grade", "evidence_score", "keyword_tags", "dup_clusters", "trait_frequency", "survey_answers", "cohort_scores", "phrase_lift", "smoking_status_mine", "mention_windows", "fuzzy_name_join", "ci_recover", "control_pct_mine", "corroboration_lock", "name_normalize", "html_to_profile"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
