@@ -64,7 +64,7 @@ def dup_candidates(docs: DataFrame) -> DataFrame:
 
 def dup_classes(docs: DataFrame) -> DataFrame:
     """doc_id, rep, keys, s: documents that share a bucket, with the smallest of the same buckets and shingles."""
-    each = bucketed(docs).select("doc_id", F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in ("title", "lede"))))).alias("key"))
+    each = staged(bucketed(docs).select("doc_id", F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), c)) for c in ("title", "lede"))))).alias("key")), "bucket-keys")
     shared = each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
     of_doc = shared.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # two at most
     sets = docs.select("doc_id", "text").join(of_doc, "doc_id").select("doc_id", "keys", F.array_sort(shingle_hashes(F.col("text"))).alias("s"))

@@ -10,6 +10,7 @@ from ..operators import phrases, subjects, tagging
 from ..plans import fixtures
 from ..plans.lexicon import NICKNAMES, NO_NAMES, SUFFIXES
 from ..sources import ingest
+from ..sources.staging import spread
 from .sqltext import CTES, literal, rnd, sql
 from .text import corpus
 
@@ -184,7 +185,7 @@ def story() -> Column:
 
 def phrase_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = fixtures.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = fixtures.table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = spread(fixtures.table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
     return docs.select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("focus"), F.least(F.col("n_chars") / 1000.0, F.lit(20.0)).alias("weight"), F.col("lang").alias("country"), F.col("source").alias("individual"), phrases.candidate_phrases(F.col("text")).alias("noun_phrase"), phrases.attribution_phrases(story()).alias("attribution"))
 
 
@@ -211,7 +212,7 @@ def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.feature_matrix(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text"), ["the", "and", "les", "und", "que"])
+    return phrases.feature_matrix(spread(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")), ["the", "and", "les", "und", "que"])
 
 
 def attribution_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import expr
 from ..operators import dedup, tagging
 from ..plans import fixtures
 from ..plans.lexicon import CONSTRUCTS
+from ..sources.staging import spread
 from .sqltext import CTES, literal, rnd, sql
 
 
@@ -20,7 +21,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"), F.lit(" A prospective study in Japan of n="), n(100, 900), F.lit(" people aged "), n(85, 40), F.lit(" and "), n(70, 60), F.lit(": OR 1."), n(0, 90), F.lit(", HR 0."), n(0, 80),
         F.lit(" (95% CI 1.01-2."), n(0, 7), F.lit("), p<0.0"), n(0, 9), F.lit(", "), n(0, 100), F.lit("% had diabetes. German survey. Subscribe to our newsletter. Cookie settings here now. He smoked cigars, quit at age 50."),
     )
-    d = fixtures.table(spark, sf_dir, "documents")
+    d = spread(fixtures.table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id", "lang", "source", "n_chars", F.col("text"), study.alias("abstract"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"),
         F.concat(F.lit("https://www."), F.element_at(F.array(*map(F.lit, ("bbc.co.uk", "Reuters.com", "example.com", "site.org"))), (k % 4 + 1).cast("int")), F.when(k % 5 == 0, "/tag/").otherwise("/story/"), k.cast("string")).alias("url"),
@@ -123,7 +124,7 @@ def smoking_status_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fixtures.table(spark, sf_dir, "documents")
+    d = spread(fixtures.table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.size(dedup.shingle_hashes(F.col("text"))).alias("n_shingles"))
 
 

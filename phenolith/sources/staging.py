@@ -36,3 +36,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def dimension(df: DataFrame, most: int = DIMENSION_ROWS) -> DataFrame:
     """df to be broadcast if it has at most ``most`` rows, which is counted; else as it is, for Spark to choose."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is heavy for its bytes: over all cores where its files make fewer partitions than that.
+
+    Tables of many files stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
