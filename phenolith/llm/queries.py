@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_scan, lm_score, mixing, near_dup, packing, quality, suffix_dedup, token_counts, topk
+from . import chat, license_scan, lm_score, merkle, mixing, near_dup, packing, quality, suffix_dedup, token_counts, topk, vector_codes
 from .storage import documents
 
 PIECES_MODEL = "piece_bpe_32k.model"
@@ -60,6 +60,14 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.paired(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(documents(spark, sf_dir)).drop("source")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk,
         op9_mixing,
         op10_preference_format,
+        op12_merkle_manifest,
+        op13_vector_codes,
     )
 }
 
@@ -152,10 +162,84 @@ SELECT p.pair_id, p.n_prompt_turns, coalesce(a.prompt, '') AS prompt, a.rest AS
 FROM p LEFT JOIN (SELECT * FROM s WHERE side = 0) a USING (pair_id) LEFT JOIN (SELECT * FROM s WHERE side = 1) b USING (pair_id)
 """
 
+
+
+def _tree(nodes: str, group: str, levels: int, tag: str) -> str:
+    """SQL of ``levels`` levels above nodes (group, pos, d) and, for each node, its siblings and its root: {tag}_proof."""
+    steps = [f"{tag}0 AS (SELECT {group}, pos, d, count(*) OVER (PARTITION BY {group}) AS n FROM {nodes})"]
+    for k in range(levels):
+        sides = ", ".join(
+            f"coalesce(string_agg(d, '') OVER (PARTITION BY {group}, pos // 16 ORDER BY pos ROWS BETWEEN {a} AND {b}), '') AS {side}"
+            for side, a, b in (("before", "UNBOUNDED PRECEDING", "1 PRECEDING"), ("after", "1 FOLLOWING", "UNBOUNDED FOLLOWING"))
+        )
+        steps.append(f"{tag}s{k} AS (SELECT *, {sides} FROM {tag}{k} WHERE n > 1)")
+        steps.append(
+            f"{tag}{k + 1} AS (SELECT {group}, pos // 16 AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d, (max(n) + 15) // 16 AS n FROM {tag}{k} WHERE n > 1 GROUP BY {group}, pos // 16)"
+        )
+    roots = " UNION ALL ".join(f"SELECT {group}, d FROM {tag}{k} WHERE n = 1" for k in range(levels + 1))
+    joins = " ".join(f"LEFT JOIN {tag}s{k} ON {tag}s{k}.{group} IS NOT DISTINCT FROM {tag}0.{group} AND {tag}s{k}.pos = {tag}0.pos // {16**k}" for k in range(levels))
+    before, after = (", ".join(f"coalesce({tag}s{k}.{side}, '')" for k in range(levels)) for side in ("before", "after"))
+    alive = ", ".join(f"{tag}s{k}.pos IS NOT NULL" for k in range(levels))
+    steps.append(f"{tag}_root AS ({roots})")
+    steps.append(f"{tag}_proof AS (SELECT {tag}0.{group}, {tag}0.pos, {tag}0.d, {tag}_root.d AS top, [{before}] AS b, [{after}] AS a, [{alive}] AS up FROM {tag}0 JOIN {tag}_root ON {tag}_root.{group} IS NOT DISTINCT FROM {tag}0.{group} {joins})")
+    return ",\n".join(steps)
+
+
+def _op12_sql(levels: int = 5, levels_of_sources: int = 3) -> str:
+    value = lambda x: f"coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+    total = levels + levels_of_sources
+    folds = []
+    for k in range(total):
+        i, s = (k + 1, "p") if k < levels else (k - levels + 1, "q")
+        folds.append(f"f{k + 1} AS (SELECT * EXCLUDE (h), CASE WHEN {s}up[{i}] THEN sha256({s}b[{i}] || h || {s}a[{i}]) ELSE h END AS h FROM f{k})")
+    return f"""
+WITH h AS (SELECT doc_id, source, {leaf("text")} AS d, CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} END AS other FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d, other NULLS FIRST) - 1 AS pos FROM h),
+{_tree("l", "source", levels, "t")},
+r AS (SELECT 0 AS z, source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM t_root),
+{_tree("r", "z", levels_of_sources, "u")},
+f0 AS (SELECT l.doc_id, l.d AS leaf, p.top AS subroot, q.top AS root, p.b AS pb, p.a AS pa, p.up AS pup, q.b AS qb, q.a AS qa, q.up AS qup, coalesce(l.other, l.d) AS h
+  FROM l JOIN t_proof p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos JOIN r ON r.source IS NOT DISTINCT FROM l.source JOIN u_proof q ON q.pos = r.pos),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root,
+  sha256(list_aggregate(list_transform(range(1, {levels + 1}), lambda i: pb[i] || pa[i]), 'string_agg', '') || list_aggregate(list_transform(range(1, {levels_of_sources + 1}), lambda i: qb[i] || qa[i]), 'string_agg', '')) AS proof_sha256,
+  h AS folded_root, h = root AS verified FROM f{total}
+"""
+
+
+def _op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    nearest = "SELECT x.i, x.part, min(list_sum(list_transform(range(1, len(x.c) + 1), lambda j: (x.c[j] - b.c[j]) * (x.c[j] - b.c[j])))::BIGINT * 1024 + b.entry) AS best FROM x JOIN b{k} b USING (part) GROUP BY x.i, x.part"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"n{k} AS ({nearest.format(k=k)})")
+        steps.append(
+            f"m{k} AS (SELECT part, entry, list(c ORDER BY j) AS c FROM (SELECT x.part, best % 1024 AS entry, j, floor(sum(x.c[j])::DOUBLE / count(*))::BIGINT AS c"
+            f" FROM n{k} JOIN x USING (i, part), (SELECT unnest(range(1, (SELECT max(len(c)) FROM x) + 1)) AS j) GROUP BY x.part, best % 1024, j) GROUP BY part, entry)"
+        )
+        steps.append(f"b{k + 1} AS (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry))")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+o AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS i FROM v),
+x AS (SELECT i, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS c FROM o, (SELECT unnest(range({parts})) AS part)),
+b0 AS (SELECT part, i - 1 AS entry, c FROM x WHERE i <= {entries}),
+{",".join(steps)},
+z AS ({nearest.format(k=rounds)}),
+e AS (SELECT i, string_agg(format('{{:02x}}', best % 1024), '' ORDER BY part) AS code, sum(best // 1024)::BIGINT AS error FROM z GROUP BY i),
+d AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN e USING (i), d
+"""
+
+
 SQL: dict[str, str] = {
     "op4_minhash_near_dup": OP4_SQL,
     "op7_suffix_array_dedup": OP7_SQL,
     "op8_exact_topk": OP8_SQL,
     "op9_mixing": OP9_SQL,
     "op10_preference_format": OP10_SQL,
+    "op12_merkle_manifest": _op12_sql(),
+    "op13_vector_codes": _op13_sql(),
 }
