@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_scan, lm_score, merkle, mixing, near_dup, packing, quality, suffix_dedup, token_counts, topk, vector_codes
+from . import chat, html_extract, license_scan, lm_score, merkle, mixing, near_dup, packing, quality, suffix_dedup, token_counts, topk, vector_codes
 from .storage import documents
 
 PIECES_MODEL = "piece_bpe_32k.model"
@@ -60,6 +60,10 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.paired(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(documents(spark, sf_dir)).drop("source")
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk,
         op9_mixing,
         op10_preference_format,
+        op11_html_extraction,
         op12_merkle_manifest,
         op13_vector_codes,
     )
