@@ -339,8 +339,8 @@ class Page:
         return keys, {k: key(*s) for k, s in styles.items()}
 
     def features(self, keys: list[int]) -> list[int]:
-        """The text of each block in its node, without case and numbers; 0 for those of menus and the like."""
-        return [key(keys[i], DIGITS.sub("0", text.lower())) if self.elements[i].role != -1 else 0 for i, text, _ in self.blocks]
+        """The text of each block in its node, without case; 0 for those of menus and the like."""
+        return [key(keys[i], text.lower()) if self.elements[i].role != -1 else 0 for i, text, _ in self.blocks]
 
     def main_text(self, stats: dict[int, tuple[float, int, int]], repeats: dict[int, int], host: str) -> str:
         """The blocks that stay, joined by spaces.
@@ -385,17 +385,18 @@ class Page:
                 share = GAMMA**styles
                 mass[up] += weight[i] * ((1 - share) * presented + share * mass[i] / weight[i])
                 weight[up] += weight[i]
-        gone = [False] * len(e)
+        gone, menus = [False] * len(e), [False] * len(e)
         for i in range(1, len(e)):
             presented, styles, _ = stats.get(keys[i], (1.0, 1, 1))
             share = GAMMA**styles
             low = weight[i] > 0 and (1 - share) * presented + share * mass[i] / weight[i] < (LOW_IN_ARTICLE if best else LOW)
             menu = not best and e[i].name not in ("body", "p") and text[i] > 0 and linked[i] > LINKED * text[i]
-            gone[i] = gone[e[i].parent] or e[i].name != "body" and (low or menu)
+            menus[i] = menus[e[i].parent] or menu
+            gone[i] = gone[e[i].parent] or menu or low and e[i].name != "body"
         stay = [b for b in chosen if not gone[self.blocks[b][0]] and own[b] >= (LOW_IN_ARTICLE if best else LOW)]
         length = lambda some: sum(len(self.blocks[b][1]) for b in some)
         if not stay or best and 2 * length(stay) <= length(chosen):  # most of an article is no leftover of a template
-            stay = chosen
+            stay = [b for b in chosen if not menus[self.blocks[b][0]]] or chosen
         return " ".join(self.blocks[b][1] for b in stay)
 
 
@@ -446,11 +447,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space in a block becomes one space, blocks are joined by one. Where a
     page declares its article or main part, its text is taken from there; elsewhere from all of the page, less branches of low
-    importance in the host's tree and branches made of links. If nothing were left of what is not declared to be noise, all of it stays.
+    importance in the host's tree and branches made of links. If nothing were left of what is not declared to be noise, all but the links stays.
     Null and empty pages have an empty text; pages without a host are one host. Rows that repeat a page_id are pages each. An
     empty table gives an empty one; other columns are not carried.
     """
-    rows = placed_rows(pages, "file", "row")
+    rows = placed_rows(pages, ["page_id", "url", "html"], "file", "row")
     tree = written(parsed(rows.select("file", "row", "url", "html")), "pages-parsed")
     templates = tree.select("template", "nodes").dropDuplicates(["template"])
     nodes = templates.select("template", F.explode("nodes.node").alias("node"))

@@ -51,8 +51,8 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
         return written(docs, "numbered").select("*", place)
 
 
-def placed_rows(df: DataFrame, file: str, row: str) -> DataFrame:
-    """df with two long columns that tell its rows apart and are the same whenever it is read: file and place in it.
+def placed_rows(df: DataFrame, columns: list[str], file: str, row: str) -> DataFrame:
+    """Columns of df and two long ones that tell its rows apart and are the same whenever it is read: file and place in it.
 
     For rows read from files they are 64 bits of the path and the row's place; others are written first.
     """
@@ -60,9 +60,9 @@ def placed_rows(df: DataFrame, file: str, row: str) -> DataFrame:
         raise ValueError("a column is named _metadata")
     place = [F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").cast("long").alias(row)]
     try:
-        return df.select("*", *place)
+        return df.select(*columns, *place)
     except AnalysisException:  # no scan of files, or hidden by what follows it
-        return written(df, "placed").select("*", *place)
+        return written(df.select(*columns), "placed").select(*columns, *place)
 
 
 def bitmap(keys: DataFrame, key: str | Column, bits: int) -> np.ndarray:
