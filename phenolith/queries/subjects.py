@@ -163,7 +163,10 @@ def profile_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = people_master(spark, sf_dir)
     k = F.col("s_suppkey")
-    q = fixtures.table(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), F.concat(F.element_at(F.array(*map(F.lit, ("customer ", "c ", "customer mid "))), (k % 3 + 1).cast("int")), F.translate((k % 60).cast("string"), "0123456789", "abcdefghij"), F.lit(" last")).alias("clean"))
+    plain = F.concat(F.element_at(F.array(*map(F.lit, ("customer ", "c ", "customer mid "))), (k % 3 + 1).cast("int")), F.translate((k % 60).cast("string"), "0123456789", "abcdefghij"), F.lit(" last"))
+    at = (k % 17 + 1).cast("int")  # a wrong letter at every place in turn, the last word included
+    wrong = F.concat(plain.substr(F.lit(1), at - 1), F.lit("q"), plain.substr(at + 1, F.lit(99)))
+    q = fixtures.table(spark, sf_dir, "supplier").select(k.cast("long").alias("id"), F.when(k % 2 == 0, wrong).otherwise(plain).alias("clean"))
     return subjects.fuzzy_name_join(q, m)
 
 
@@ -256,7 +259,7 @@ _within = lambda words: "(" + ", ".join(map(literal, sorted(words))) + ")"  # no
 CTES["raw_names"] = f"""SELECT id, translate(lower(raw), {literal(subjects.ACCENTED)}, {literal(subjects.PLAIN)}) AS plain FROM (SELECT c_custkey AS id, (['Dr. Bob ', 'José ', 'Mary-Ann (Sis) ', 'The '])[c_custkey % 4 + 1] || (['Smith[9]', 'O''Néill Jr', 'Müller'])[c_custkey % 3 + 1] || ' ' || (['', 'III', 'x'])[c_custkey % 3 + 1] AS raw FROM customer)"""
 CTES["clean_names"] = rf"""SELECT id, regexp_replace(regexp_replace(plain, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(plain, '\[[^\]]*\]', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '[^a-z]+', ' ', 'g')), ' +'),
   lambda w: w <> '' AND w NOT IN {_within(SUFFIXES)}), ' ') AS clean FROM raw_names"""
-CTES["asked_names"] = f"SELECT id, clean, {_full('clean')} AS t FROM (SELECT s_suppkey::BIGINT AS id, (['customer ', 'c ', 'customer mid '])[s_suppkey % 3 + 1] || translate((s_suppkey % 60)::VARCHAR, '0123456789', 'abcdefghij') || ' last' AS clean FROM supplier)"
+CTES["asked_names"] = f"SELECT id, clean, {_full('clean')} AS t FROM (SELECT id, CASE WHEN id % 2 = 0 THEN substr(plain, 1, place - 1) || 'q' || substr(plain, place + 1) ELSE plain END AS clean FROM (SELECT s_suppkey::BIGINT AS id, (s_suppkey % 17 + 1)::INTEGER AS place, (['customer ', 'c ', 'customer mid '])[s_suppkey % 3 + 1] || translate((s_suppkey % 60)::VARCHAR, '0123456789', 'abcdefghij') || ' last' AS plain FROM supplier))"
 CTES["known_names"] = f"SELECT clean AS match, ord, {_full('clean')} AS u FROM people"
 _inside = lambda a, b: f"len(list_filter({a}, lambda x: NOT list_contains({b}, x))) = 0"
 _joined = "array_to_string(t, ' ')", "array_to_string(u, ' ')"
