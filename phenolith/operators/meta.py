@@ -5,12 +5,17 @@ Pools are two passes of sums; no group is gathered.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.expr import Z95, rounded
+from ..plans.lexicon import AMBIGUOUS_NAMES, CANONICAL, DROPPED_NAMES, FOREIGN_PARTS, GARBAGE_NAMES, STRIPPED_PHRASES, STRIPPED_WORDS
 from ..sources.staging import staged
+from .dictionary import contained
 from .stats import medians
 
 STRATUM = ["biomarker_name", "effect_measure", "contrast_type", "subject_class"]
@@ -129,14 +134,47 @@ def unstratified_pool(mentions: DataFrame) -> DataFrame:
     )
 
 
-def canonical(mentions: DataFrame, triggers: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """mentions under canonical names: the first trigger (by ord) that the lower-cased name contains, else the name in snake case."""
-    names = mentions.select("biomarker_name").distinct()
-    hits = names.crossJoin(F.broadcast(triggers)).where(F.contains(F.lower("biomarker_name"), F.col("trigger")))  # names and triggers are both dimensions
-    first = hits.groupBy("biomarker_name").agg(F.min_by("canonical", "ord").alias("canonical"))
-    snake = F.regexp_replace(F.trim(F.regexp_replace(F.lower("biomarker_name"), "[^a-z0-9]+", " ")), " +", "_")
-    mapped = names.join(first, "biomarker_name", "left").select("biomarker_name", F.coalesce("canonical", snake).alias("canonical"), F.when(F.col("canonical").isNull(), "fallback").otherwise("trigger").alias("rule"))
-    return mentions.where(~F.col("biomarker_name").isin(list(excluded)) if excluded else F.lit(True)).join(mapped, "biomarker_name")
+def snake(name: Column) -> Column:
+    """A name in snake case."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def stripped(name: Column) -> Column:
+    """A name in snake case without the phrases and words of methods and statistics."""
+    low = F.lower(name)
+    for phrase in STRIPPED_PHRASES:
+        low = F.replace(low, F.lit(phrase), F.lit(" "))
+    return F.array_join(F.filter(F.split(low, "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(STRIPPED_WORDS)), "_")
+
+
+def canonical_names(names: DataFrame, canonical: Sequence[tuple[str, Sequence[str]]] = CANONICAL) -> DataFrame:
+    """biomarker_name, canonical, rule, name_changed, review_priority, note of each distinct name.
+
+    The first trigger of the ordered table that the lower-cased name holds gives its canonical name; one walk a name finds
+    all of them. Names without one keep what ``stripped`` leaves, or else their snake case. The note says how, and what makes a name
+    doubtful; doubtful ones have high priority for review, other changed ones low. Null names are left out.
+    """
+    pairs = [(name, t) for name, triggers in canonical for t in triggers]
+    table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("matched:" + t).alias("how")) for n, t in pairs))
+    first = F.array_min(contained(F.lower("biomarker_name"), [[t] for _, t in pairs]))
+    found = names.select("biomarker_name").where("biomarker_name is not null").distinct().withColumn("i", first).withColumn("hit", F.when(F.col("i").isNotNull(), F.element_at(table, F.col("i") + 1)))
+    raw = F.col("biomarker_name")
+    left = found.withColumns({"canonical": F.coalesce("hit.name", F.nullif(stripped(raw), F.lit("")), snake(raw)), "rule": F.coalesce("hit.how", F.lit("fallback_stripped"))})
+    changed = F.col("canonical") != snake(raw)
+    foreign = F.lower(raw).rlike("|".join(re.escape(x) for x in FOREIGN_PARTS).replace("\\ ", " "))
+    doubts = [
+        F.when(raw.isin(GARBAGE_NAMES), "EXTRACTION_GARBAGE: no clear clinical term"), F.when(raw.isin(AMBIGUOUS_NAMES), "AMBIGUOUS: multiple candidate terms / negation"), F.when(foreign, "NON_ENGLISH: mapped from es/pt phrasing"),
+        F.when(changed & (F.col("rule") == "fallback_stripped"), "NO_CANONICAL_MATCH: kept stripped term, verify"),
+    ]
+    note = F.concat_ws("; ", F.when(changed, F.col("rule")), *doubts)
+    priority = F.when(F.coalesce(*doubts).isNotNull(), "high").when(changed, "low").otherwise("none")
+    return left.select("biomarker_name", "canonical", "rule", changed.alias("name_changed"), priority.alias("review_priority"), F.when(note == "", "formatting_only").otherwise(note).alias("note"))
+
+
+def canonical(mentions: DataFrame, dropped: Sequence[str] = DROPPED_NAMES) -> DataFrame:
+    """mentions under canonical names (``canonical``), without the raw names that are no biomarker."""
+    kept = mentions.where(~F.col("biomarker_name").isin(list(dropped)))
+    return kept.join(canonical_names(kept), "biomarker_name")
 
 
 def biomarker_summary(mentions: DataFrame, survey_words: tuple[str, ...], gwas_words: tuple[str, ...]) -> DataFrame:

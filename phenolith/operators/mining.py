@@ -7,8 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lexicon import BIOMEDICAL, NOT_IN_NAMES, TAG_TRAITS, UNITS
-from ..sources.staging import dimension
+from ..plans.lexicon import (
+    BIOMEDICAL, COMPARED, CONTROL_PERCENT, CUES, DESIGN, FARTHEST_NAME, LARGEST_AGE, LEAST_AGE, LONG_LIVES, NOT_IN_NAMES, PERSON_AGES, SURVEY_BY_CATEGORY, SURVEY_BY_NAME, SYNONYMS, TAG_TRAITS, UNITS, WHO_BY_CATEGORY, WHO_BY_NAME,
+)
+from .dictionary import matching, words_pattern
 from .tagging import spans_of, windows_around
 
 
@@ -26,13 +28,27 @@ def name_in_text_join(docs: DataFrame, registry: DataFrame, text: str = "text",
     return found.select("doc_id", F.col("clean").alias("match")).distinct()
 
 
-def trait_mentions(windows: DataFrame, traits: DataFrame) -> DataFrame:
-    """doc_id, trait, category, quote: the first window of a document that a trait's pattern matches.
+def trait_mentions(articles: DataFrame, windows: DataFrame, traits: dict[str, tuple[str, str]], tags: dict[str, tuple[str, str]] = TAG_TRAITS) -> DataFrame:
+    """person, verified, trait, category, source, quote, method: what articles say of the people they are about.
 
-    traits (trait, category, pattern) is a dimension.
+    articles has doc_id, person, verified, tier, is_profile, source and boolean tag columns; windows has doc_id, window and text
+    (``mention_windows``). Profiles are taken whatever the tier, other articles only if the person
+    is a nonagenarian; rows without a person are left out. A tag's quote is the article's longest window (the first of
+    equally long ones), a trait's the first window that its pattern (name: pattern, category) matches. Each
+    document gives a trait once by each method.
     """
-    hits = windows.crossJoin(dimension(traits)).where(F.rlike(F.lower("text"), F.col("pattern")))
-    return hits.groupBy("doc_id", "trait", "category").agg(F.min_by(F.substring("text", 1, 200), "window").alias("quote"))
+    gate = F.col("person").isNotNull() & (F.col("is_profile") | F.coalesce(F.col("tier") == "nonagenarian", F.lit(False)))
+    kept = articles.where(gate).withColumn("source", F.coalesce("source", F.lit("unknown")))
+    head = ["doc_id", "person", "verified", "source"]
+    longest = windows.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("window"))).alias("quote"))
+    marked = tagged_traits(kept, tags).join(kept.select(*head), "doc_id").join(longest, "doc_id", "left").withColumn("quote", F.coalesce("quote", F.lit("")))
+    low = windows.withColumn("__low", F.lower("text"))
+    hits = matching(low, "__low", {t: p for t, (p, _) in traits.items()}, "trait")
+    category = F.create_map(*(F.lit(x) for t, (_, c) in traits.items() for x in (t, c)))
+    first = hits.groupBy("doc_id", "trait").agg(F.min_by("text", "window").alias("quote"))
+    told = first.withColumn("category", F.element_at(category, F.col("trait"))).join(kept.select(*head), "doc_id")
+    columns = ["person", "verified", "trait", "category", "source", "quote"]
+    return marked.select(*columns, F.lit("boolean").alias("method")).unionByName(told.select(*columns, F.lit("keyword").alias("method")))
 
 
 def tagged_traits(docs: DataFrame, tags: dict[str, tuple[str, str]] = TAG_TRAITS) -> DataFrame:
@@ -60,43 +76,124 @@ def phrase_context(docs: DataFrame, phrases: list[str], text: str = "text", most
     return first.withColumn("rank", rank).where(F.col("rank") <= most).select("phrase", "rank", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.col("s")).alias("snippet"))
 
 
-# Cues of a direction.
-CUES = {"high": r"\b(?:high|higher|increased|elevated|more)\b", "low": r"\b(?:low|lower|reduced|decreased|less)\b", "never": r"\b(?:never|no|without|avoid\w*)\b", "moderate": r"\b(?:moderate|moderately|occasional\w*|some)\b"}
+def name_positions(docs: DataFrame, registry: DataFrame, text: str = "text", gap: int = 15) -> DataFrame:
+    """doc_id, name, at: where the registry's names (first word, up to ``gap`` characters, last word) stand in a text, from 0."""
+    found = name_in_text_join(docs, registry, text, gap).withColumnRenamed("match", "name").join(docs.select("doc_id", F.lower(text).alias("t")), "doc_id")
+    parts = F.split("name", " ")
+    pattern = F.concat(F.lit(r"\b"), F.element_at(parts, 1), F.lit(rf"\b.{{0,{gap}}}\b"), F.element_at(parts, -1), F.lit(r"\b"))
+    return found.select("doc_id", "name", F.explode(spans_of(F.col("t"), pattern)["a"]).alias("at"))
 
 
-def direction_annotate(docs: DataFrame, words: list[str], text: str = "text", width: int = 80, share: float = 0.4) -> DataFrame:
-    """word, windows, direction: the dominant cue within ``width`` characters of a word, with its share, else mixed."""
-    named = lambda w: lambda x: F.struct(F.lit(w).alias("word"), x.alias("x"))  # noqa: E731  (a second parameter would be the index)
-    window = F.explode(F.concat(*(F.transform(windows_around(F.lower(text), w, width), named(w)) for w in words))).alias("r")
-    hits = docs.select(window).select("r.*")
-    sums = hits.groupBy("word").agg(F.count("*").alias("windows"), *(F.sum(F.regexp_count("x", F.lit(p))).alias(n) for n, p in CUES.items()))
-    total = sum((F.col(n) for n in CUES), F.lit(0))
-    best = F.array_max(F.array(*(F.struct(F.col(n).alias("c"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, n in enumerate(CUES))))
-    ratio = best["c"] / total
-    label = F.when(total == 0, "none").when(ratio >= share, F.concat(best["n"], F.lit(" ("), F.round(100 * ratio, 0).cast("int").cast("string"), F.lit("%)"))).otherwise("mixed")
-    return sums.select("word", "windows", label.alias("direction"))
+def age_positions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, kind, at, age: ages of people in context, with the number of the pattern that found each and its place, from 0."""
+    low = F.lower(text)
 
+    def of(kind: int, pattern: str) -> Column:
+        one = lambda s: F.struct(F.lit(kind).alias("kind"), s["a"].alias("at"), F.regexp_extract(F.substring(low, s["a"] + 1, s["b"] - s["a"]), pattern, 1).cast("int").alias("age"))
+        return F.transform(spans_of(low, pattern), one)
 
-def corroboration_lock(papers: DataFrame, traits: DataFrame, context: str, design: str, many: int = 100) -> DataFrame:
-    """trait, raw, topical, tier: papers with a synonym and the context; of traits with very many, without design mentions.
+    ages = F.filter(F.concat(*(of(i, p) for i, p in enumerate(PERSON_AGES))), lambda x: x["age"].between(LEAST_AGE, LARGEST_AGE))
+    return docs.where(low.rlike(r"\d")).select("doc_id", F.explode(ages).alias("x")).select("doc_id", "x.*")
 
-    traits (trait, pattern) is a dimension; papers are scanned once.
+
+def age_person_mentions(docs: DataFrame, persons: DataFrame, text: str = "text", farthest: int = FARTHEST_NAME) -> DataFrame:
+    """doc_id, name, age of each document with an age in context: the name and age that stand nearest to each other.
+
+    Both kinds of mention of a document are put in one order of places, in which the last name before and the first
+    one after each age are carried to it: no pairs are made. A pair counts below ``farthest`` characters; of equally near
+    ones the first kind of age, then the first age, then the first name. If names stand only farther away, the first age without a name;
+    if there are none, the largest. persons has doc_id, name, at.
+    """
+    ages = age_positions(docs, text)
+    people = persons.groupBy("doc_id", "at").agg(F.min("name").alias("name"))
+    both = ages.select("doc_id", "at", F.lit(1).alias("side"), "kind", "age", F.lit(None).cast("string").alias("name"))
+    both = both.unionByName(people.select("doc_id", "at", F.lit(0).alias("side"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("age"), "name"))
+    order = Window.partitionBy("doc_id").orderBy("at", "side", "kind")
+    person = F.when(F.col("side") == 0, F.struct("at", "name"))
+    before = F.last(person, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(person, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    near = both.withColumns({"b": before, "n": after}).where("side = 1")
+    pair = lambda p: F.when(p["at"].isNotNull() & (F.abs(p["at"] - F.col("at")) < farthest), F.struct(F.abs(p["at"] - F.col("at")).alias("far"), "kind", F.col("at").alias("at"), p["at"].alias("p"), p["name"].alias("name"), "age"))
+    any_person = F.max(F.col("b").isNotNull() | F.col("n").isNotNull())
+    best = near.groupBy("doc_id").agg(
+        F.min(F.array_min(F.array_compact(F.array(pair(F.col("b")), pair(F.col("n")))))).alias("best"), F.min_by("age", F.struct("kind", "at")).alias("first"), F.max("age").alias("largest"), any_person.alias("named"),
+    )
+    return best.select("doc_id", F.col("best.name").alias("name"), F.coalesce("best.age", F.when(F.col("named"), F.col("first")).otherwise(F.col("largest"))).alias("age"))
+
+
+def direction_annotate(docs: DataFrame, phrases: list[str], text: str = "text", width: int = 80, share: float = 0.4, most: int = 300) -> DataFrame:
+    """phrase, windows, direction: how often a direction's cues lead within ``width`` characters of a phrase's first word.
+
+    Each mention votes once, for the direction with most cues in its window, the first of equal ones; without a cue it
+    does not. The first ``most`` mentions by document and place count. A direction with ``share`` of the votes is named with it in percent, else mixed;
+    without votes it is empty. Phrases of fewer than four letters are left out.
+    """
+    low = F.lower(text)
+    heads = {p: rf"\b{re.escape(p.split()[0].lower())}\b" for p in phrases if len(p) >= 4}
+    one = lambda p: F.transform(windows_around(low, heads[p], width), lambda x, i: F.struct(F.lit(p).alias("phrase"), i.alias("i"), x.alias("x")))
+    told = [F.when(low.contains(p.split()[0].lower()), one(p)).otherwise(F.array()) for p in heads]
+    hits = docs.select("doc_id", F.explode(F.concat(*told)).alias("r")).select("doc_id", "r.*")
+    # ranks within parts first, so that a phrase of very many mentions is no single sort
+    order = ["doc_id", "i"]
+    part = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    first = part.withColumn("r", F.row_number().over(Window.partitionBy("phrase", "part").orderBy(*order))).where(F.col("r") <= most)
+    first = first.withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy(*order))).where(F.col("r") <= most)
+    counts = F.array(*(F.struct(F.regexp_count("x", F.lit(p)).alias("c"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, (n, p) in enumerate(CUES.items())))
+    votes = first.select("phrase", F.array_max(counts).alias("best")).select("phrase", F.when(F.col("best.c") > 0, F.col("best.n")).alias("vote"))
+    sums = votes.groupBy("phrase").agg(F.count("*").alias("windows"), F.count("vote").alias("total"), F.array_max(F.array(*(F.struct(F.count(F.when(F.col("vote") == n, 1)).alias("c"), F.lit(-i).alias("o"), F.lit(n).alias("n")) for i, n in enumerate(CUES)))).alias("best"))
+    ratio = F.col("best.c") / F.col("total")
+    label = F.when(F.col("total") == 0, "").when(ratio >= share, F.concat("best.n", F.lit(" ("), F.bround(100 * ratio, 0).cast("int").cast("string"), F.lit("%)"))).otherwise("mixed")
+    return sums.select("phrase", "windows", label.alias("direction"))
+
+
+def survey_module(trait: str, category: str) -> str | None:
+    """The survey module that a trait's population share comes from, if there is one."""
+    return next((m for w, m in SURVEY_BY_NAME.items() if w in trait.lower()), SURVEY_BY_CATEGORY.get(category))
+
+
+def corroboration_lock(papers: DataFrame, traits: dict[str, str], synonyms: dict[str, list[str]] = SYNONYMS, many: int = 100) -> DataFrame:
+    """trait, category, paper_count_raw, paper_count, module, baseline_source, tier, gold_eligible of each trait (name: category).
+
+    Papers (doc_id, text, has_effect, has_percent) on long lives that use a word for the trait. Of a trait with more than ``many`` of
+    them, those count in which one mention has no sign of a study's design within 80 characters on either side. Two papers make it
+    silver. Its baseline is a survey, a health statistic, or else papers with an effect, a percentage and a comparison.
+    Traits without synonyms go by the words of their name. Papers are scanned once and walked once for all words.
+    """
+    words = {t: synonyms.get(t) or [w for w in re.split(r"[/()\s]+", t) if len(w) > 2] or [t] for t in traits}
+    low = papers.select("doc_id", F.lower("text").alias("t"), F.coalesce("has_effect", F.lit(False)).alias("has_effect"), F.coalesce("has_percent", F.lit(False)).alias("has_percent")).where(F.rlike("t", F.lit(LONG_LIVES)))
+    hits = matching(low, "t", {t: words_pattern(w) for t, w in words.items()}, "trait")
+    topical = F.exists(windows_around(F.col("t"), F.col("pattern"), 80), lambda x: ~x.rlike(DESIGN))
+    compared = F.col("has_effect") & F.col("has_percent") & F.rlike("t", F.lit(COMPARED))
+    by = hits.groupBy("trait").agg(F.count("*").alias("raw"), F.count(F.when(topical, 1)).alias("topical"), F.max(compared).alias("compared"))
+    spark = papers.sparkSession
+    rows = [(t, c, survey_module(t, c) or "", next((x for w, x in WHO_BY_NAME.items() if w in t.lower()), WHO_BY_CATEGORY.get(c)) or "") for t, c in traits.items()]
+    all_ = spark.createDataFrame(rows, "trait string, category string, module string, who string")
+    joined = all_.join(by, "trait", "left")
+    raw = F.coalesce("raw", F.lit(0))
+    count = F.when(raw > many, F.col("topical")).otherwise(raw)
+    known = F.when(F.col("module") != "", "nhanes").when(F.col("who") != "", "who").otherwise("")
+    source = F.when(known != "", known).when(F.coalesce("compared", F.lit(False)), "corpus_control").otherwise("none")
+    return joined.select("trait", "category", raw.alias("paper_count_raw"), count.alias("paper_count"), "module", source.alias("baseline_source"), F.when(count >= 2, "silver").otherwise("bronze").alias("tier"), ((count >= 2) & (known != "")).alias("gold_eligible"))
+
+
+def control_pct_mine(papers: DataFrame, traits: list[str], synonyms: dict[str, list[str]] = SYNONYMS) -> DataFrame:
+    """trait, n_control_papers, control_pct_found, example_pct, status: percentages of control groups beside mentions of a trait.
+
+    Of papers (doc_id, text) on long lives that mention a comparison: a mention's window, 120 characters before it
+    to 40 after, gives one if a percentage stands beside "control" within a sentence. Examples are the first three by document and place.
     """
-    low = papers.select("doc_id", F.lower("text").alias("t")).where(F.col("t").rlike(context))
-    hits = low.crossJoin(dimension(traits)).where(F.rlike("t", F.col("pattern"))).withColumn("design", F.rlike("t", F.concat(F.lit(f"(?s)(?:{design}).{{0,80}}(?:"), F.col("pattern"), F.lit(")"))))
-    by = hits.groupBy("trait").agg(F.count("*").alias("raw"), F.count(F.when(~F.col("design"), 1)).alias("clean"))
-    topical = F.when(F.col("raw") > many, F.col("clean")).otherwise(F.col("raw"))
-    rows = dimension(traits).join(by, "trait", "left").select("trait", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce(topical, F.lit(0)).alias("topical"))
-    return rows.withColumn("tier", F.when(F.col("topical") >= 3, "silver").otherwise("bronze"))
-
-
-def control_pct_mine(papers: DataFrame, traits: DataFrame, width: int = 120) -> DataFrame:
-    """trait, papers, status, mean_pct: percentages beside a trait in papers that mention controls."""
-    low = papers.select("doc_id", F.lower("text").alias("t")).where(F.col("t").rlike(r"\bcontrols?\b"))
-    beside = F.concat(F.lit("(?s)(?:"), F.col("pattern"), F.lit(rf").{{0,{width}}}?(\d+(?:\.\d+)?)\s*%"))
-    hits = low.crossJoin(dimension(traits)).select("doc_id", "trait", F.call_function("regexp_extract", F.col("t"), beside, F.lit(1)).try_cast("double").alias("pct"))
-    by = hits.where("pct is not null").groupBy("trait").agg(F.count("*").alias("papers"), F.round(F.avg("pct"), 4).alias("mean_pct"))
-    return dimension(traits).join(by, "trait", "left").select("trait", F.coalesce("papers", F.lit(0)).alias("papers"), F.when(F.col("papers") > 0, "materialized").otherwise("pending").alias("status"), "mean_pct")
+    words = {t: synonyms.get(t) or [w for w in re.split(r"[/()\s]+", t) if len(w) > 2] or [t] for t in traits}
+    low = papers.select("doc_id", F.lower("text").alias("t")).where(F.rlike("t", F.lit(LONG_LIVES)) & F.rlike("t", F.lit(COMPARED)))
+    hits = matching(low, "t", {t: words_pattern(w) for t, w in words.items()}, "trait")
+    group = lambda x, g: F.nullif(F.regexp_extract(x, CONTROL_PERCENT, g), F.lit(""))
+    found = F.array_compact(F.transform(windows_around(F.col("t"), F.col("pattern"), 120, 40), lambda x: F.coalesce(group(x, 1), group(x, 2))))
+    counted = hits.select("trait", "doc_id", found.alias("found"))
+    by = counted.groupBy("trait").agg(F.count("*").alias("papers"), F.sum(F.size("found")).alias("n"))
+    first = counted.where(F.size("found") > 0).withColumn("r", F.row_number().over(Window.partitionBy("trait").orderBy("doc_id"))).where("r <= 3")
+    examples = first.groupBy("trait").agg(F.array_join(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "found"))), lambda x: x["found"])), 1, 3), "|").alias("example_pct"))
+    all_ = papers.sparkSession.createDataFrame([(t,) for t in traits], "trait string")
+    n = F.coalesce("n", F.lit(0))
+    return all_.join(by, "trait", "left").join(examples, "trait", "left").select("trait", F.coalesce("papers", F.lit(0)).alias("n_control_papers"), n.alias("control_pct_found"), F.coalesce("example_pct", F.lit("")).alias("example_pct"), F.when(n > 0, "materialized").otherwise("silver_pending").alias("status"))
 
 
 EFFECT = r"(?:([A-Za-z][A-Za-z0-9 -]{1,40}?)\s*[:(,]?\s*)?\b(OR|HR|RR|(?i:odds ratio|hazard ratio|relative risk))\s*[=:]?\s*(\d+\.?\d*)(?:\s*[(,;]\s*95%\s*CI:?\s*(\d+\.?\d*)\s*(?:-|to|,)\s*(\d+\.?\d*))?"

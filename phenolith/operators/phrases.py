@@ -7,26 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lexicon import ATTRIBUTION
+from ..plans.lexicon import ATTRIBUTION, CODEBOOK, FUNCTION_WORDS, JUNK_WORDS, RUN_TOGETHER
 from ..sources.staging import dimension, staged
+from .dictionary import contained
 
-# Words that no phrase holds.
-JUNK = [
-    "study", "studies", "paper", "result", "results", "method", "methods", "data", "sample", "group", "participant", "patient", "cohort", "population",
-    "number", "percent", "rate", "ratio", "value", "level", "mean", "range", "model", "factor", "effect", "table", "figure",
-    "year", "month", "week", "day", "news", "story", "photo", "video", "link", "click", "page", "site",
-]
-AGES = r"\b(9[5-9]|1[0-3][0-9])\b"
 ADS = r"(?i)\b(?:subscribe|buy|discount|newsletter)\b"
 
 
 def good_token(t: Column) -> Column:
-    """A word that may stand in a phrase: no short, junk or glued one."""
-    return (F.length(t) > 2) & (F.length(t) <= 18) & ~t.isin(JUNK) & ~t.rlike("[bcdfghjklmnpqrstvwxz]{5,}")
+    """A word that may stand in a phrase: no short one, no function word, none that looks like several run together."""
+    return (F.length(t) > 2) & (F.length(t) <= 18) & ~t.isin(FUNCTION_WORDS) & ~t.rlike("|".join(RUN_TOGETHER))
 
 
 def candidate_phrases(text: Column, most: int = 5) -> Column:
-    """Distinct phrases of two to ``most`` neighbouring words that are all good."""
+    """Distinct phrases of two to ``most`` neighbouring words that are all good and not all junk."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"), 1)
     good = F.transform(words, lambda t: F.when(good_token(t), t))
 
@@ -36,7 +30,8 @@ def candidate_phrases(text: Column, most: int = 5) -> Column:
         longer = [g]
         for k in range(1, most):
             longer.append(F.zip_with(longer[-1], after(k), join))
-        return F.array_distinct(F.array_compact(F.concat(*longer[1:])))
+        phrases = F.array_distinct(F.array_compact(F.concat(*longer[1:])))
+        return F.filter(phrases, lambda x: F.size(F.array_except(F.split(x, " "), F.array(*map(F.lit, JUNK_WORDS)))) > 0)
 
     return F.element_at(F.transform(F.array(good), grams), 1)  # bound as a variable, the words are found once
 
@@ -82,10 +77,33 @@ def topk_registry(lift: DataFrame, k: int) -> DataFrame:
     return lift.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def concept_match(phrases: DataFrame, concepts: DataFrame) -> DataFrame:
-    """phrase, concept: the first concept with a keyword that the phrase contains."""
-    hits = phrases.join(dimension(concepts), F.contains(F.col("phrase"), F.col("keyword")))
-    return hits.groupBy("phrase").agg(F.min_by("concept", "ord").alias("concept"))
+def concept_match(phrases: DataFrame, codebook: dict[str, tuple[int, str, list[str]]] = CODEBOOK) -> DataFrame:
+    """phrase, concept, tier, category: the first concept of the codebook (in its order) with a keyword that the phrase contains.
+
+    One walk a phrase finds all keywords. Phrases without one are left out; repeated ones count once.
+    """
+    concepts = F.array(*(F.struct(F.lit(c).alias("concept"), F.lit(t).alias("tier"), F.lit(k).alias("category")) for c, (t, k, _) in codebook.items()))
+    first = F.array_min(contained(F.lower("phrase"), [w for _, _, w in codebook.values()]))
+    hits = phrases.select("phrase").distinct().withColumn("i", first).where("i is not null")
+    return hits.select("phrase", F.element_at(concepts, F.col("i") + 1).alias("c")).select("phrase", "c.*")
+
+
+def feature_vectors(docs: DataFrame, registry: DataFrame, phrases: str = "phrases", most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Sparse rows of registry phrases, and the vocabulary (phrase, column) they are written in.
+
+    docs has doc_id and an array of phrases; registry has phrase and n_countries. Columns are numbered from 0 in
+    order of the phrases. The first result has doc_id, ``columns`` (ascending), and ``cross_cultural``: whether one of its phrases is known
+    from two countries or more. The vocabulary is written once to the shared folder, so that other tables can be
+    put in the same columns; it is a dimension of at most ``most`` phrases, beyond which it is an error.
+    """
+    words = registry.groupBy("phrase").agg(F.max("n_countries").alias("n_countries")).limit(most + 1)
+    if words.count() > most:
+        raise ValueError(f"a registry of more than {most} phrases has no columns")
+    vocabulary = staged(words.withColumn("column", F.row_number().over(Window.orderBy("phrase")) - 1), "vocabulary")  # one task, bounded by most
+    told = docs.select("doc_id", F.explode(F.array_distinct(F.coalesce(phrases, F.array().cast("array<string>")))).alias("phrase"))
+    hits = told.join(F.broadcast(vocabulary), "phrase").groupBy("doc_id").agg(F.array_sort(F.collect_set("column")).alias("columns"), F.max(F.col("n_countries") >= 2).alias("cross_cultural"))
+    rows = docs.select("doc_id").distinct().join(hits, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("columns", F.array().cast("array<int>")).alias("columns"), F.coalesce("cross_cultural", F.lit(False)).alias("cross_cultural")), vocabulary
 
 
 def feature_matrix(docs: DataFrame, words: Sequence[str], text: str = "text") -> DataFrame:
@@ -99,9 +117,3 @@ def attribution_phrases(text: Column) -> Column:
     """What a long life is put down to: the trimmed objects of all patterns, without advertising."""
     found = F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), 1) for p in ATTRIBUTION)), lambda x: F.trim(x)))  # trim itself would take the index as its second parameter
     return F.filter(found, lambda x: F.length(x).between(4, 80) & ~x.rlike(ADS))
-
-
-def age_mentions(text: Column) -> dict[str, Column]:
-    """Ages from 95 to 135 in the text: how many, the first, the largest."""
-    ages = F.filter(F.transform(F.regexp_extract_all(text, F.lit(AGES), 1), lambda a: a.cast("int")), lambda a: a <= 135)
-    return {"n_ages": F.size(ages), "first_age": F.get(ages, F.lit(0)), "max_age": F.array_max(ages)}

@@ -9,7 +9,8 @@ from ..functions import expr
 from ..functions.expr import rounded
 from ..operators import evidence, meta
 from ..plans import fixtures
-from .sqltext import CTES, rnd, sql, values
+from ..plans.lexicon import AMBIGUOUS_NAMES, CANONICAL, DROPPED_NAMES, FOREIGN_PARTS, GARBAGE_NAMES, STRIPPED_PHRASES, STRIPPED_WORDS
+from .sqltext import CTES, literal, rnd, sql, values
 
 
 def contrast_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,26 +40,34 @@ def primary_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.primary_stratum(meta.strata(m), m)
 
 
-TRIGGERS = [("BRASS", "brass_marker"), ("STEEL", "steel_marker"), ("PROMO", "promo_marker"), ("TIN", "tin_marker")]
+#: Starts of raw names of biomarkers, with what is stripped, dropped or doubtful.
+RAW_NAMES = [
+    "HDL cholesterol HR CI", "Type diabetes IVW", "All-cause mortality", "IGF-1 or insulin", "overt hyperthyroidism", "riscos de morir", "weighting but not diabetes", "physical frailty", "each component was",
+    "Serum urea adj", "nothing", "Multivariate analysis of grip", "stroke hr ci depression", "usual daily",
+]
 
 
-def trigger_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t.lower(), c, i) for i, (t, c) in enumerate(TRIGGERS)], "trigger string, canonical string, ord int")
+def named_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions under raw clinical names: one of RAW_NAMES, which some names are as a whole, and a word."""
+    start = F.element_at(F.array(*map(F.lit, RAW_NAMES)), (F.col("study_id") % len(RAW_NAMES) + 1).cast("int"))
+    name = F.when(F.col("study_id") % 5 == 0, start).otherwise(F.concat(start, F.lit(" "), F.lower(F.split("biomarker_name", " ")[0])))
+    return fixtures.mentions(spark, sf_dir).withColumn("biomarker_name", name)
 
 
 def biomarker_name_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return meta.canonical(fixtures.mentions(spark, sf_dir), trigger_table(spark)).groupBy("biomarker_name", "canonical", "rule").agg(F.count("*").alias("n"))
+    m = named_mentions(spark, sf_dir)
+    return meta.canonical_names(m).join(m.groupBy("biomarker_name").agg(F.count("*").alias("n")), "biomarker_name")
 
 
 def canonical_repool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = meta.canonical(fixtures.mentions(spark, sf_dir), trigger_table(spark))
+    m = meta.canonical(named_mentions(spark, sf_dir))
     m = m.drop("biomarker_name").withColumnRenamed("canonical", "biomarker_name")
     return meta.primary_stratum(meta.strata(m), m)
 
 
 def biomarker_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fixtures.mentions(spark, sf_dir).withColumn("country", F.pmod("ord", F.lit(4))).withColumn("sample_size", F.pmod("ord", F.lit(997)))
-    return meta.biomarker_summary(m, ("brass", "tin"), ("steel", "promo", "brass"))
+    m = named_mentions(spark, sf_dir).withColumn("country", F.pmod("ord", F.lit(4))).withColumn("sample_size", F.pmod("ord", F.lit(997)))
+    return meta.biomarker_summary(m, ("cholesterol", "diabetes", "urea", "grip"), ("igf", "insulin", "diabetes", "mortality"))
 
 
 def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,14 +191,27 @@ def _primary(tag: str, source: str) -> str:
       FROM s LEFT JOIN c USING (biomarker_name) LEFT JOIN b ON b.biomarker_name = s.biomarker_name AND rn = 1"""
 
 
-_canon = "coalesce((SELECT arg_min(canonical, ord) FROM dim_trigger WHERE contains(lower(biomarker_name), trigger)), regexp_replace(trim(regexp_replace(lower(biomarker_name), '[^a-z0-9]+', ' ', 'g')), ' +', '_', 'g'))"
+_snake = "regexp_replace(regexp_replace(lower(biomarker_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_low = "lower(biomarker_name)"
+for _phrase in STRIPPED_PHRASES:
+    _low = f"replace({_low}, {literal(_phrase)}, ' ')"
+_in = lambda words: "(" + ", ".join(map(literal, words)) + ")"
+_left = f"array_to_string(list_filter(regexp_split_to_array({_low}, '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN {_in(STRIPPED_WORDS)}), '_')"
+_doubts = ["garbage", "ambiguous", "foreign_", "unmatched"]
+_notes = ["EXTRACTION_GARBAGE: no clear clinical term", "AMBIGUOUS: multiple candidate terms / negation", "NON_ENGLISH: mapped from es/pt phrasing", "NO_CANONICAL_MATCH: kept stripped term, verify"]
 CTES |= {
-    "dim_trigger": values([(t.lower(), c, i) for i, (t, c) in enumerate(TRIGGERS)], "trigger, canonical, ord"),
+    "dim_trigger": values([(t, c, i) for i, (c, t) in enumerate((c, t) for c, ts in CANONICAL for t in ts)], "trigger, canonical, ord"),
+    "named_mentions": f"SELECT m.* EXCLUDE biomarker_name, CASE WHEN study_id % 5 = 0 THEN r ELSE r || ' ' || lower(string_split(biomarker_name, ' ')[1]) END AS biomarker_name FROM (SELECT *, ([{', '.join(map(literal, RAW_NAMES))}])[study_id % {len(RAW_NAMES)} + 1] AS r FROM mentions) m",
     "studies": _studies("effects", _keys),
     "pools": _pools("studies", _keys),
     "strata": _strata(""),
-    "canon_names": f"SELECT biomarker_name, {_canon} AS canonical FROM (SELECT DISTINCT biomarker_name FROM mentions)",
-    "canon_mentions": "SELECT c.canonical AS biomarker_name, m.* EXCLUDE biomarker_name FROM mentions m JOIN canon_names c USING (biomarker_name)",
+    "canon_hits": "SELECT biomarker_name, arg_min(canonical, ord) AS name, 'matched:' || arg_min(trigger, ord) AS how FROM (SELECT DISTINCT biomarker_name FROM named_mentions) JOIN dim_trigger ON contains(lower(biomarker_name), trigger) GROUP BY biomarker_name",
+    "canon_names": f"""SELECT biomarker_name, canonical, rule, name_changed, CASE WHEN {" OR ".join(_doubts)} THEN 'high' WHEN name_changed THEN 'low' ELSE 'none' END AS review_priority,
+      coalesce(nullif(concat_ws('; ', CASE WHEN name_changed THEN rule END, {", ".join(f"CASE WHEN {d} THEN {literal(n)} END" for d, n in zip(_doubts, _notes, strict=True))}), ''), 'formatting_only') AS note
+      FROM (SELECT *, name_changed AND rule = 'fallback_stripped' AS unmatched, biomarker_name IN {_in(GARBAGE_NAMES)} AS garbage, biomarker_name IN {_in(AMBIGUOUS_NAMES)} AS ambiguous, {" OR ".join(f"contains(lower(biomarker_name), {literal(x)})" for x in FOREIGN_PARTS)} AS foreign_
+      FROM (SELECT *, canonical <> {_snake} AS name_changed FROM (SELECT n.biomarker_name, coalesce(h.name, nullif({_left.replace("biomarker_name", "n.biomarker_name")}, ''), {_snake.replace("biomarker_name", "n.biomarker_name")}) AS canonical, coalesce(h.how, 'fallback_stripped') AS rule
+      FROM (SELECT DISTINCT biomarker_name FROM named_mentions) n LEFT JOIN canon_hits h USING (biomarker_name))))""",
+    "canon_mentions": f"SELECT c.canonical AS biomarker_name, m.* EXCLUDE biomarker_name FROM named_mentions m JOIN canon_names c USING (biomarker_name) WHERE biomarker_name NOT IN {_in(DROPPED_NAMES)}",
     "canon_effects": f"SELECT *, {_contrast} AS contrast_type FROM canon_mentions",
     "studies_canon": _studies("canon_effects", _keys),
     "pools_canon": _pools("studies_canon", _keys),
@@ -225,11 +247,11 @@ SQL = {k: sql(v) for k, v in {
       CASE WHEN n_with_ci >= 3 AND ci_upper / ci_lower <= 3 THEN 'A' WHEN n_with_ci >= 2 THEN 'B' ELSE 'C' END AS grade FROM (SELECT biomarker_name, count(*) AS n_studies, count(*) FILTER (WHERE has_ci) AS n_with_ci, max(value) FILTER (WHERE has_ci) AS one, median(value) AS point FROM studies_plain GROUP BY biomarker_name)
       LEFT JOIN pools_plain USING (biomarker_name)""",
     "primary_stratum": _primary("", "mentions"),
-    "biomarker_name_canon": "SELECT biomarker_name, canonical, CASE WHEN EXISTS (SELECT 1 FROM dim_trigger WHERE contains(lower(biomarker_name), trigger)) THEN 'trigger' ELSE 'fallback' END AS rule, n FROM canon_names JOIN (SELECT biomarker_name, count(*) AS n FROM mentions GROUP BY 1) USING (biomarker_name)",
+    "biomarker_name_canon": "SELECT * FROM canon_names JOIN (SELECT biomarker_name, count(*) AS n FROM named_mentions GROUP BY 1) USING (biomarker_name)",
     "canonical_repool": _primary("_canon", "canon_mentions"),
     "biomarker_summary": """SELECT *, CASE WHEN w AND (in_survey OR in_gwas) THEN 'A' WHEN in_survey AND in_gwas AND (n_sources >= 3 OR n_mentions >= 5) AND f THEN 'A' WHEN w THEN 'B' WHEN n_sources >= 2 AND (in_survey OR in_gwas) AND f THEN 'B' WHEN n_sources >= 3 AND f THEN 'B' ELSE 'C' END AS grade FROM (
-      SELECT *, n_sources >= 3 AND n_countries >= 2 AS w, len(string_split(biomarker_name, ' ')) <= 4 AS f, list_has_any(t, ['brass', 'tin']) AS in_survey, list_has_any(t, ['steel', 'promo', 'brass']) AS in_gwas FROM (SELECT biomarker_name, count(*) AS n_mentions, count(DISTINCT study_id) AS n_sources, count(DISTINCT ord % 4) AS n_countries,
-      string_agg(DISTINCT subject_class, '|' ORDER BY subject_class) AS classes, string_agg(DISTINCT effect_measure, '|' ORDER BY effect_measure) AS value_types, floor(median(ord % 997))::INTEGER AS median_n, regexp_split_to_array(lower(biomarker_name), '[^a-z0-9]+') AS t FROM mentions GROUP BY biomarker_name))""",
+      SELECT *, n_sources >= 3 AND n_countries >= 2 AS w, len(string_split(biomarker_name, ' ')) <= 4 AS f, list_has_any(t, ['cholesterol', 'diabetes', 'urea', 'grip']) AS in_survey, list_has_any(t, ['igf', 'insulin', 'diabetes', 'mortality']) AS in_gwas FROM (SELECT biomarker_name, count(*) AS n_mentions, count(DISTINCT study_id) AS n_sources, count(DISTINCT ord % 4) AS n_countries,
+      string_agg(DISTINCT subject_class, '|' ORDER BY subject_class) AS classes, string_agg(DISTINCT effect_measure, '|' ORDER BY effect_measure) AS value_types, floor(median(ord % 997))::INTEGER AS median_n, regexp_split_to_array(lower(biomarker_name), '[^a-z0-9]+') AS t FROM named_mentions GROUP BY biomarker_name))""",
     "wilson_interval": f"SELECT l_suppkey, k, n, {rnd(f'greatest(0, {_c} - ({_h}))', 6)} AS low, {rnd(f'least(1, {_c} + ({_h}))', 6)} AS high FROM (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS k, count(*) AS n FROM lineitem GROUP BY l_suppkey)",
     "weighted_prevalence": "SELECT * FROM prevalence",
     "prevalence_association": f"""SELECT trait, indicator, {rnd('100 * cp', 2)} AS case_pct, prevalence_pct, {rnd('CASE WHEN pp > 0 THEN cp / pp END', 3)} AS ratio, CASE WHEN pp IS NULL THEN NULL ELSE {rnd(f'ln({_odds("cp")} / {_odds("pp")})', 3)} END AS log_odds_ratio, d AS direction, method = 'status_composition' AND d IN ('enriched', 'depleted') AS gold FROM (

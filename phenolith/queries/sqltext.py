@@ -47,6 +47,17 @@ def rnd(x: str, digits: int) -> str:
     return f"round(({x}) + 1e-9, {digits})"
 
 
+def place(i: str) -> str:
+    """Where match i begins, from 0, in a row with matches h and the pieces between them g."""
+    return f"(list_sum(list_transform(g[1:{i}], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:{i} - 1], lambda x: length(x))), 0))"
+
+
+def around(before: int, after: int) -> str:
+    """The windows of all matches in a row with text t, matches h and the pieces between them g."""
+    a = place("i")
+    return f"list_transform(range(1, len(h) + 1), lambda i: substr(t, greatest({a} - {before}, 0)::BIGINT + 1, ({a} + length(h[i]) + {after} - greatest({a} - {before}, 0))::BIGINT))"
+
+
 CTES |= {
     "dim_option": values(model.option_rows(), "layer, q, question_id, domain, weight, n_options, option_index, alignment, basis"),
     "dim_feature": values(model.feature_rows(), "feature, domain, access, weight, gwas, basis"),

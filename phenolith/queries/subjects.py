@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import rounded
 from ..operators import phrases, subjects, tagging
 from ..plans import fixtures
-from ..plans.lexicon import NICKNAMES, NO_NAMES, SUFFIXES
+from ..plans.lexicon import ATTRIBUTION, CODEBOOK, FUNCTION_WORDS, JUNK_WORDS, NICKNAMES, NO_NAMES, RUN_TOGETHER, SUFFIXES
 from ..sources import ingest
-from ..sources.staging import spread
+from ..sources.staging import spread, staged
 from .sqltext import CTES, literal, rnd, sql
 from .text import corpus
 
@@ -205,13 +205,20 @@ def phrase_topk_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.topk_registry(lift, 20).select("feature_type", "rank", "phrase")
 
 
-CONCEPTS = [("connectives", "and"), ("connectives", "und"), ("articles", "the"), ("articles", "les"), ("endings", "ing")]
+#: Concepts of the invented prose, after those of the codebook.
+CONCEPTS = {"connectives": (1, "prose", ["and", "und"]), "articles": (2, "prose", ["the", "les"]), "endings": (3, "prose", ["ing"])}
 
 
 def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (3, 1.0)}).select("phrase")
-    concepts = spark.createDataFrame([(c, k, i) for i, (c, k) in enumerate(CONCEPTS)], "concept string, keyword string, ord int")
-    return phrases.concept_match(lift, concepts)
+    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)}).select("phrase")
+    return phrases.concept_match(lift, CODEBOOK | CONCEPTS)
+
+
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(phrase_rows(spark, sf_dir), "phrase-rows")
+    registry = phrases.topk_registry(phrases.phrase_lift(rows, {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)}), 20)
+    vectors, _ = phrases.feature_vectors(rows.select("doc_id", F.concat("noun_phrase", "attribution").alias("phrases")), registry)
+    return vectors.select("doc_id", F.array_join("columns", ",").alias("columns"), F.size("columns").alias("n_features"), "cross_cultural")
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,27 +229,23 @@ def attribution_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.array_join(phrases.attribution_phrases(story()), "|").alias("phrases"))
 
 
-def age_person_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in phrases.age_mentions(F.col("abstract")).items()))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         read_table_coerced, read_fixed_width, read_whitespace_table, corpus_union, registry_merge_dedup, star_left_join, join_coverage, trait_table_filter, indicator_union_select, flag_map_join,
         incremental_append, html_to_profile, html_table_rows, sink_table, name_normalize, registry_master, subject_age_tier, trait_frequency, top_subjects, profile_delta, fuzzy_name_join,
-        candidate_phrases, phrase_lift, phrase_topk_registry, concept_match, feature_matrix, attribution_phrases, age_person_mentions,
+        candidate_phrases, phrase_lift, phrase_topk_registry, concept_match, feature_matrix, feature_vectors, attribution_phrases,
     )
 }
 CTES["lift_rows"] = """SELECT d.doc_id, coalesce(quality = 1, FALSE) AS focus, least(n_chars / 1000.0::DOUBLE, 20.0) AS weight, lang AS country, source AS individual, text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 CTES["tokens"] = "SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)"
-_junk = "(" + ", ".join(literal(w) for w in phrases.JUNK) + ")"
-CTES["good"] = f"SELECT *, length(t) > 2 AND length(t) <= 18 AND t NOT IN {_junk} AND NOT regexp_matches(t, '[bcdfghjklmnpqrstvwxz]{{5,}}') AS ok FROM tokens"
+_these = lambda words: "(" + ", ".join(map(literal, words)) + ")"
+CTES["good"] = f"SELECT *, length(t) > 2 AND length(t) <= 18 AND t NOT IN {_these(FUNCTION_WORDS)} AND NOT regexp_matches(t, {literal('|'.join(RUN_TOGETHER))}) AS ok FROM tokens"
 _gram = lambda n: "CASE WHEN ok" + "".join(f" AND lead(ok, {k}) OVER k" for k in range(1, n)) + " THEN t" + "".join(f" || ' ' || lead(t, {k}) OVER k" for k in range(1, n)) + " END"
-CTES["grams"] = "SELECT DISTINCT doc_id, phrase FROM (" + " UNION ALL ".join(f"SELECT doc_id, {_gram(n)} AS phrase FROM good WINDOW k AS (PARTITION BY doc_id ORDER BY i)" for n in range(2, 6)) + ") WHERE phrase IS NOT NULL"
+CTES["grams"] = "SELECT DISTINCT doc_id, phrase FROM (" + " UNION ALL ".join(f"SELECT doc_id, {_gram(n)} AS phrase FROM good WINDOW k AS (PARTITION BY doc_id ORDER BY i)" for n in range(2, 6)) + f") WHERE phrase IS NOT NULL AND len(list_filter(string_split(phrase, ' '), lambda w: w NOT IN {_these(JUNK_WORDS)})) > 0"
 _told = ", ".join(literal(r) for r in REASONS)
 CTES["stories"] = f"SELECT doc_id, text || replace(([{_told}])[doc_id % {len(REASONS)} + 1], '%d', (doc_id % 9)::VARCHAR) AS story FROM documents"
-_reasons = "list_concat(" * (len(phrases.ATTRIBUTION) - 1) + f"regexp_extract_all(story, {literal(phrases.ATTRIBUTION[0])}, 1)" + "".join(f", regexp_extract_all(story, {literal(p)}, 1))" for p in phrases.ATTRIBUTION[1:])
+_reasons = "list_concat(" * (len(ATTRIBUTION) - 1) + f"regexp_extract_all(story, {literal(ATTRIBUTION[0])}, 1)" + "".join(f", regexp_extract_all(story, {literal(p)}, 1))" for p in ATTRIBUTION[1:])
 CTES["reasons"] = f"SELECT doc_id, phrase, i FROM (SELECT doc_id, unnest(x) AS phrase, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_transform({_reasons}, lambda p: trim(p)) AS x FROM stories)) WHERE length(phrase) BETWEEN 4 AND 80 AND NOT regexp_matches(phrase, {literal(phrases.ADS)})"
 CTES["typed"] = "SELECT 'noun_phrase' AS feature_type, doc_id, phrase FROM grams UNION ALL SELECT DISTINCT 'attribution', doc_id, phrase FROM reasons"
 CTES["lifted"] = """SELECT *, round(l + 1e-9, 3) AS lift, round(l * ln(n_individuals + 1) + 1e-9, 4) AS population_score FROM (SELECT *, (freq_focus / greatest(nf, 1)) / (freq_all / greatest(na, 1)) AS l FROM
@@ -305,9 +308,12 @@ SQL = {k: sql(v) for k, v in {
     "candidate_phrases": "SELECT doc_id, coalesce(n, 0)::INTEGER AS n_phrases FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1) USING (doc_id)",
     "phrase_lift": "SELECT feature_type, phrase, freq_focus, freq_all, weighted, lift, n_countries, n_individuals, population_score FROM lifted WHERE CASE feature_type WHEN 'attribution' THEN freq_focus >= 3 AND l >= 1.0 ELSE freq_focus >= 5 AND l >= 1.1 END",
     "phrase_topk_registry": """SELECT * FROM (SELECT feature_type, row_number() OVER (PARTITION BY feature_type ORDER BY round(population_score * sqrt(weighted), 6) DESC, phrase)::INTEGER AS rank, phrase FROM lifted WHERE freq_focus >= 3 AND l >= 1.0) WHERE rank <= 20""",
-    "concept_match": "SELECT phrase, arg_min(concept, ord) AS concept FROM lifted JOIN (VALUES " + ", ".join(f"({literal(c)}, {literal(k)}, {i})" for i, (c, k) in enumerate(CONCEPTS)) + ") v(concept, keyword, ord) ON contains(phrase, keyword) WHERE feature_type = 'noun_phrase' AND freq_focus >= 3 AND l >= 1.0 GROUP BY phrase",
+    "concept_match": "SELECT phrase, arg_min(concept, ord) AS concept, arg_min(tier, ord) AS tier, arg_min(category, ord) AS category FROM (SELECT DISTINCT phrase FROM lifted WHERE freq_focus >= 3 AND l >= 1.0) JOIN (VALUES " + ", ".join(f"({literal(c)}, {literal(k)}, {t}, {literal(g)}, {i})" for i, (c, (t, g, ks)) in enumerate((CODEBOOK | CONCEPTS).items()) for k in ks) + ") v(concept, keyword, tier, category, ord) ON contains(phrase, keyword) GROUP BY phrase",
+    "feature_vectors": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY feature_type ORDER BY round(population_score * sqrt(weighted), 6) DESC, phrase) AS rank FROM lifted WHERE freq_focus >= 3 AND l >= 1.0),
+      v AS (SELECT phrase, max(n_countries) AS n, row_number() OVER (ORDER BY phrase) - 1 AS c FROM r WHERE rank <= 20 GROUP BY phrase),
+      h AS (SELECT doc_id, string_agg(c::VARCHAR, ',' ORDER BY c) AS columns, count(*)::INTEGER AS n, bool_or(v.n >= 2) AS cross_cultural FROM (SELECT DISTINCT doc_id, phrase FROM typed) JOIN v USING (phrase) GROUP BY doc_id)
+      SELECT doc_id, coalesce(columns, '') AS columns, coalesce(n, 0) AS n_features, coalesce(cross_cultural, FALSE) AS cross_cultural FROM documents LEFT JOIN h USING (doc_id)""",
     "feature_matrix": "SELECT *, f_the + f_and + f_les + f_und + f_que > 0 AS any_feature FROM (SELECT doc_id, " + ", ".join(f"list_contains(w, '{x}')::INTEGER AS f_{x}" for x in ("the", "and", "les", "und", "que")) + " FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents))",
     "attribution_phrases": "SELECT doc_id, coalesce(p, '') AS phrases FROM documents LEFT JOIN (SELECT doc_id, string_agg(phrase, '|' ORDER BY i) AS p FROM (SELECT doc_id, phrase, min(i) AS i FROM reasons GROUP BY doc_id, phrase) GROUP BY doc_id) USING (doc_id)",
     "registry_master": "SELECT * FROM people",
-    "age_person_mentions": f"SELECT doc_id, len(x)::INTEGER AS n_ages, x[1] AS first_age, list_max(x) AS max_age FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(abstract, {literal(phrases.AGES)}, 1), lambda a: a::INTEGER), lambda a: a <= 135) AS x FROM corpus)",
 }.items()}

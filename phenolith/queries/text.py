@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..operators import dedup, tagging
 from ..plans import fixtures
-from ..plans.lexicon import CONSTRUCTS
+from ..plans.lexicon import CODE_COUNTRIES, CONSTRUCTS, DOMAIN_COUNTRIES, SOURCE_COUNTRIES
 from ..sources.staging import spread
 from .sqltext import CTES, literal, rnd, sql
 
 
+SITES = ["bbc.co.uk", "Reuters.com", "example.net", "site.org", "lemonde.fr", "news.com.au", "aarp.org", "Globo.com.br"]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as papers and news: title, url, abstract with figures, source type, subject."""
     k = F.col("doc_id")
@@ -24,7 +27,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(fixtures.table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id", "lang", "source", "n_chars", F.col("text"), study.alias("abstract"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"),
-        F.concat(F.lit("https://www."), F.element_at(F.array(*map(F.lit, ("bbc.co.uk", "Reuters.com", "example.com", "site.org"))), (k % 4 + 1).cast("int")), F.when(k % 5 == 0, "/tag/").otherwise("/story/"), k.cast("string")).alias("url"),
+        F.concat(F.lit("https://www."), F.element_at(F.array(*map(F.lit, SITES)), (k % len(SITES) + 1).cast("int")), F.when(k % 5 == 0, "/tag/").otherwise("/story/"), k.cast("string")).alias("url"),
     )
 
 
@@ -67,6 +70,17 @@ def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.relevance_filter(corpus(spark, sf_dir), ["the", "die", "les"]).select("doc_id", "url")
 
 
+SOURCES = ["The Korea Herald", "Haaretz", "BBC News", "O Globo", "nobody", "RTE.ie"]
+CODES = ["US", "ch ", "zz", None, "RP", "Sf"]
+
+
+def source_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries of sources by their names, and of records by their codes."""
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    d = fixtures.table(spark, sf_dir, "documents").select(pick(SOURCES, F.col("doc_id")).alias("source_name"), pick(CODES, F.floor(F.col("doc_id") / 7)).alias("code"))
+    return d.groupBy("source_name", tagging.source_country(F.col("source_name")).alias("country"), tagging.code_country(F.col("code")).alias("of_code")).agg(F.count("*").alias("n"))
+
+
 def domain_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).groupBy(tagging.domain_country(F.col("url")).alias("country")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
@@ -155,7 +169,7 @@ def apply_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        keyword_tags, stat_extract, study_type_classify, country_mentions, ages_mentioned, subject_extract, profile_flag, relevance_filter, domain_country, clean_boilerplate, doc_weight,
+        keyword_tags, stat_extract, study_type_classify, country_mentions, ages_mentioned, subject_extract, profile_flag, relevance_filter, domain_country, source_country, clean_boilerplate, doc_weight,
         subject_class, construct_screen, smoking_status_mine, word_shingles, dup_candidates, dup_classes, containment_pairs, dup_clusters, dup_cluster_report, apply_blacklist,
     )
 }
@@ -163,7 +177,7 @@ QUERIES = {
 _n = lambda a, m: f"({a} + doc_id % {m})::VARCHAR"
 CTES["corpus"] = f"""SELECT doc_id, lang, source, n_chars, text, text || ' A prospective study in Japan of n=' || {_n(100, 900)} || ' people aged ' || {_n(85, 40)} || ' and ' || {_n(70, 60)} || ': OR 1.' || {_n(0, 90)} || ', HR 0.' || {_n(0, 80)}
   || ' (95% CI 1.01-2.' || {_n(0, 7)} || '), p<0.0' || {_n(0, 9)} || ', ' || {_n(0, 100)} || '% had diabetes. German survey. Subscribe to our newsletter. Cookie settings here now. He smoked cigars, quit at age 50.' AS abstract,
-  array_to_string(string_split(text, ' ')[1:8], ' ') AS title, 'https://www.' || (['bbc.co.uk', 'Reuters.com', 'example.com', 'site.org'])[doc_id % 4 + 1] || CASE WHEN doc_id % 5 = 0 THEN '/tag/' ELSE '/story/' END || doc_id::VARCHAR AS url FROM documents"""
+  array_to_string(string_split(text, ' ')[1:8], ' ') AS title, 'https://www.' || ([{', '.join(map(literal, SITES))}])[doc_id % {len(SITES)} + 1] || CASE WHEN doc_id % 5 = 0 THEN '/tag/' ELSE '/story/' END || doc_id::VARCHAR AS url FROM documents"""
 _said = ", ".join(map(literal, SAID))
 CTES["told"] = f"SELECT n_chars, abstract || ' ' || ([{_said}])[doc_id % {len(SAID)} + 1] AS told FROM corpus"
 CTES["profiles"] = """SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'Maria Rossi, 104, of Rome, Italy. ' WHEN doc_id % 3 = 1 THEN 'A 112-year-old Anna Schmidt lives in Berlin. ' ELSE 'no one here ' END || text AS story,
@@ -209,7 +223,10 @@ SQL = {k: sql(v) for k, v in {
       nullif(regexp_extract(c, {literal(_place)}, 1), '') AS subject_city, nullif(regexp_extract(c, {literal(_place)}, 2), '') AS subject_country FROM n""",
     "profile_flag": "SELECT doc_id, " + _any("lower(story)", tagging.PROFILE) + " AS is_profile FROM profiles",
     "relevance_filter": "SELECT doc_id, url FROM corpus WHERE len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) >= 80 AND " + _any("lower(text)", ["the", "die", "les"]) + " AND NOT regexp_matches(url, '/(?:tag|category|video|login|subscribe)/')",
-    "domain_country": "SELECT CASE " + " ".join(f"WHEN contains(lower(url), '{d}') THEN '{c}'" for d, c in tagging.DOMAINS.items()) + " WHEN contains(lower(url), '.com') THEN 'USA' ELSE 'Unknown' END AS country, count(*) AS n, min(doc_id) AS first FROM corpus GROUP BY 1",
+    "source_country": f"""SELECT source_name, CASE {" ".join(f"WHEN contains(lower(source_name), {literal(d)}) THEN {literal(c)}" for d, c in SOURCE_COUNTRIES.items())} ELSE 'Unknown' END AS country,
+      CASE upper(trim(code)) {" ".join(f"WHEN {literal(d)} THEN {literal(c)}" for d, c in CODE_COUNTRIES.items())} ELSE coalesce(code, 'Unknown') END AS of_code, count(*) AS n
+      FROM (SELECT ([{", ".join(map(literal, SOURCES))}])[doc_id % {len(SOURCES)} + 1] AS source_name, ([{", ".join(map(literal, CODES))}])[doc_id // 7 % {len(CODES)} + 1] AS code FROM documents) GROUP BY ALL""",
+    "domain_country": "SELECT CASE " + " ".join(f"WHEN contains(lower(url), '{d}') THEN '{c}'" for d, c in DOMAIN_COUNTRIES.items()) + " WHEN contains(lower(url), '.com') THEN 'USA' ELSE 'Unknown' END AS country, count(*) AS n, min(doc_id) AS first FROM corpus GROUP BY 1",
     "doc_weight": f"""SELECT doc_id, {rnd('''CASE kind WHEN 'academic' THEN least(20.0, base * size * CASE WHEN doc_id % 2 = 0 THEN 1.5::DOUBLE ELSE 1.0 END * CASE WHEN (doc_id % 10) / 100.0::DOUBLE < 0.05 THEN 1.2::DOUBLE ELSE 1.0 END)
       WHEN 'news' THEN CASE WHEN doc_id % 4 = 0 THEN 2.0::DOUBLE ELSE 0.5 END * CASE WHEN age IS NULL THEN 1.0 ELSE greatest(1.0, 1 + least(1.0, (age - 100) / 15)) END ELSE 1.0 END''', 6)} AS weight
       FROM (SELECT doc_id, (['academic', 'news', 'other'])[doc_id % 3 + 1] AS kind, (ARRAY[5.0, 3.0, 1.5, 1.0]::DOUBLE[])[doc_id % 4 + 1] AS base, CASE WHEN doc_id % 5 = 0 THEN 1.0 ELSE least(3.0, greatest(0.5, ln(greatest(2, doc_id % 2000)) / ln(1000))) END AS size,
