@@ -6,26 +6,44 @@ whole and no unpartitioned window meets fact data. ``keys`` makes each statistic
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
+from ..sources.staging import staged
 
-BUCKETS = 1024
+#: Ranges that the values of a large group are cut into, and values up to which a group is one range.
+RANGES, RANGE_ROWS = 256, 4096
+#: Error of a cut's rank as a part of all: far below a range.
+CUT_ERROR = 1e-4
+
+
+def range_of(value: Column, cuts: Column) -> Column:
+    """How many of the ascending cuts are below a value, by halving; cuts has fewer than RANGES numbers."""
+    step, steps = lambda lo, s: F.when(F.coalesce(F.get(cuts, lo + s - 1) < value, F.lit(False)), lo + s).otherwise(lo), []
+    size = RANGES // 2
+    while size:
+        steps.append(size)
+        size //= 2
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
 def running(counts: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """counts (one row per keys and value) with ``<sum>_before`` over smaller values and ``<sum>_all``.
 
-    Values are dealt to buckets of equal width; sums over buckets come first, those within after.
+    The values of each group are cut into ranges at quantiles that a sketch tells, so that ranges hold about as many values
+    however they are spread; sums over ranges come first, those within a range after. counts and cuts are
+    written once: all that follows must see the same cuts.
     """
     keys = list(keys)
-    span = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), *(F.sum(s).alias(f"{s}_all") for s in sums))
+    counts = staged(counts, "counts")
+    at = F.percentile_approx(F.col(value).cast("double"), [i / RANGES for i in range(1, RANGES)], int(1 / CUT_ERROR))
+    none = F.array().cast("array<double>")
+    span = staged(counts.groupBy(*keys).agg(F.when(F.count("*") > RANGE_ROWS, F.array_distinct(at)).otherwise(none).alias("_cuts"), *(F.sum(s).alias(f"{s}_all") for s in sums)), "cuts")
     join = (lambda a, b: a.join(b, keys)) if keys else (lambda a, b: a.crossJoin(F.broadcast(b)))  # without keys b is one row
-    width = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    dealt = join(counts, span).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor(width * (BUCKETS - 1))).otherwise(F.lit(0)).cast("int"))
+    dealt = join(counts, span).withColumn("_b", F.when(F.size("_cuts") > 0, range_of(F.col(value).cast("double"), F.col("_cuts"))).otherwise(F.lit(0))).drop("_cuts")
     over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = dealt.groupBy(*keys, "_b").agg(*(F.sum(s).alias(s) for s in sums))
     blocks = blocks.select(*keys, "_b", *(F.coalesce(F.sum(s).over(over), F.lit(0)).alias(f"_{s}") for s in sums))
@@ -97,6 +115,53 @@ def score_distribution(rows: DataFrame, score: str, keys: Sequence[str] = ()) ->
     )
 
 
+def report(rows: DataFrame, score: str, label: str, groups: dict[str, Column]) -> DataFrame:
+    """section, name, value: how a score tells the label's 1 from 0, overall and by group, and how it is spread.
+
+    ``groups`` are the kinds of subgroups, each a column. One scan: every row counts once for all and once for its group of
+    each kind, by score and label; all figures come from those counts. Sections: auc, n, event_rate, min, p25,
+    median, p75, max, mean; names: ``all``, or kind and group. Rows without score or label take no part, null groups have no figures.
+    """
+    kinds = F.array(F.lit("all"), *(F.concat(F.lit(f"{k}: "), c.cast("string")) for k, c in groups.items()))
+    given = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = given.select(F.col(score).alias("s"), (F.col(label) == 1).cast("int").alias("y"), F.explode(F.array_compact(kinds)).alias("name")).groupBy("name", "s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    ranked = running(counts, ["name"], "s", ["pos", "neg"])
+    c, before, total = F.col("pos") + F.col("neg"), F.col("pos_before") + F.col("neg_before"), F.col("pos_all") + F.col("neg_all")
+
+    def quantile(p: float) -> Column:
+        at = F.bround(F.lit(p) * (total - 1), 0)
+        return F.max(F.when((before <= at) & (at < before + c), F.round("s", 2)))
+
+    p, n = F.sum("pos"), F.sum("neg")
+    auc_ = F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)) / (p.cast("double") * n))
+    figures = {
+        "auc": rounded(auc_, 4), "n": (p + n).cast("double"), "event_rate": rounded(p / (p + n), 4), "min": F.round(F.min("s"), 2), "p25": quantile(0.25), "median": quantile(0.5), "p75": quantile(0.75),
+        "max": F.round(F.max("s"), 2), "mean": rounded(F.sum(F.col("s") * c) / F.sum(c), 2),
+    }
+    wide = ranked.groupBy("name").agg(*(x.cast("double").alias(f) for f, x in figures.items()))
+    return wide.select("name", F.explode(F.array(*(F.struct(F.lit(f).alias("section"), F.col(f).alias("value")) for f in figures))).alias("r")).select("r.section", "name", "r.value")
+
+
+def calibration(rows: DataFrame, prob: str, label: str, bins: int = 10) -> DataFrame:
+    """section, name, value: AUC, ECE, Brier score and reliability of a probability, from one scan."""
+    given = rows.where(F.col(prob).isNotNull() & F.col(label).isNotNull())
+    counts = given.groupBy(F.col(prob).alias("s")).agg(F.sum((F.col(label) == 1).cast("int")).alias("pos"), F.sum((F.col(label) != 1).cast("int")).alias("neg"))
+    ranked = running(counts, [], "s", ["pos", "neg"])
+    c = F.col("pos") + F.col("neg")
+    by_bin = ranked.groupBy(F.least(F.floor(F.col("s") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(
+        F.sum(c).alias("n"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), rounded(F.sum(F.col("s") * c) / F.sum(c), 4).alias("predicted"), rounded(F.sum("pos") / F.sum(c), 4).alias("observed"),
+        F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("wins"), F.sum(F.col("pos") * (1 - F.col("s")) ** 2 + F.col("neg") * F.col("s") ** 2).alias("squares"),
+    )
+    parts = staged(by_bin, "bins")  # a row for each bin
+    p, n, all_ = F.sum("pos"), F.sum("neg"), F.sum("n")
+    overall = parts.agg(F.when((p > 0) & (n > 0), rounded(F.sum("wins") / (p.cast("double") * n), 4)).alias("auc"), rounded(F.sum(F.col("n") * F.abs(F.col("observed") - F.col("predicted"))) / all_, 4).alias("ece"), rounded(F.sum("squares") / all_, 4).alias("brier"))
+    one = lambda df, section, name, v: df.select(F.lit(section).alias("section"), name.alias("name"), F.col(v).cast("double").alias("value"))
+    out = None
+    for df in [one(overall, "calibration", F.lit(v), v) for v in ("auc", "ece", "brier")] + [one(parts, f"reliability_{v}", F.col("bin").cast("string"), v) for v in ("n", "predicted", "observed")]:
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def group_auc(rows: DataFrame, score: str, label: str, by: str) -> DataFrame:
     """by, n, event_rate, auc of each subgroup."""
     a = auc(rows, score, label, [by])
@@ -153,30 +218,65 @@ def td_auc(rows: DataFrame, risk: str, horizon: int, t: str = "t_years", event:
     return auc(eligible, risk, "_y").select(F.lit(horizon).alias("horizon"), "n", "events", rounded(F.col("auc"), 4).alias("auc"))
 
 
+#: Tries of the sampler for means from LARGE_MEAN on. Each accepts with a probability above 0.7, so all fail with one below 1e-16.
+LARGE_MEAN, TRIES = 12, 32
+
+
+def _log_factorial(k: Column) -> Column:
+    """ln k! to about 1e-12: Stirling's series eight places on, less the factors between."""
+    x = k + 9.0
+    series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    product = k + 1.0
+    for i in range(2, 9):
+        product = product * (k + float(i))
+    return series - F.log(product)
+
+
+def poisson(mean: Column, uniform: Callable[[Column | str], Column]) -> Column:
+    """A Poisson draw of a mean by hash-random numbers: ``uniform`` gives one in (0, 1) for each name.
+
+    Small means by inversion; others by transformed rejection, whose draws have the exact distribution: a point of a wide hat is
+    taken if its height is below the probability of its number, else the next pair of random numbers is tried.
+    """
+    m = mean.cast("double")
+    u = uniform("small")
+    start = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("c"), F.lit(0).alias("k"))
+    step = lambda s, i: F.struct((s["p"] * m / i).alias("p"), (s["c"] + s["p"] * m / i).alias("c"), (s["k"] + (u > s["c"]).cast("int")).alias("k"))
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(5 * LARGE_MEAN)), start, step, lambda s: s["k"])
+    b = 0.931 + 2.53 * F.sqrt(m)
+    a = -0.059 + 0.02483 * b
+    inverse, squeeze = 1.1239 + 1.1328 / (b - 3.4), 0.9277 - 3.6224 / (b - 2)
+
+    def attempt(drawn: Column, i: Column) -> Column:
+        x, v = uniform(F.concat(F.lit("x"), i.cast("string"))) - 0.5, uniform(F.concat(F.lit("v"), i.cast("string")))
+        edge = 0.5 - F.abs(x)
+        k = F.floor((2 * a / edge + b) * x + m + 0.43).cast("double")
+        sure, never = (edge >= 0.07) & (v <= squeeze), (k < 0) | ((edge < 0.013) & (v > edge))
+        below = F.log(v) + F.log(inverse) - F.log(a / (edge * edge) + b) <= -m + k * F.log(m) - _log_factorial(k)
+        return F.when(drawn >= 0, drawn).when(sure & (k >= 0), k.cast("long")).when(never, drawn).when(below, k.cast("long")).otherwise(drawn)
+
+    large = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(-1).cast("long"), attempt)
+    return F.when(m == 0, F.lit(0).cast("long")).when(m < LARGE_MEAN, small.cast("long")).otherwise(large)
+
+
 def bootstrap_auc_ci(rows: DataFrame, score: str, label: str, resamples: int = 300, seed: int = 11) -> DataFrame:
     """resamples, low, high: Poisson bootstrap over the counts of each score, 2.5 and 97.5 percentiles.
 
-    Rows of one score and label are drawn together: their number is Poisson with their count as mean,
-    drawn by its normal approximation from a hash for large counts.
+    Rows of one score and label are drawn together: their number is Poisson with their count as mean, an exact
+    draw at every count (``poisson``).
     """
     y = F.col(label) == 1
     counts = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(y.cast("int")).alias("p0"), F.sum((~y).cast("int")).alias("n0"))
     drawn = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
 
-    def uniform(name: str) -> Column:
-        h = F.xxhash64(F.col(score), F.col("b"), F.lit(f"{name}{seed}"))
-        return (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    def draw(mean: str) -> Column:
+        def uniform(name: Column | str) -> Column:
+            h = F.xxhash64(F.col(score), F.col("b"), F.lit(f"{mean}{seed}"), F.lit(name) if isinstance(name, str) else name)
+            return (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
-    def poisson(mean: str) -> Column:
-        """By inversion up to a mean of 12, beyond that by the normal approximation."""
-        m, u = F.col(mean).cast("double"), uniform(mean)
-        start = F.struct(F.exp(-m).alias("p"), F.exp(-m).alias("c"), F.lit(0).alias("k"))
-        step = lambda s, i: F.struct((s["p"] * m / i).alias("p"), (s["c"] + s["p"] * m / i).alias("c"), (s["k"] + (u > s["c"]).cast("int")).alias("k"))
-        small = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda s: s["k"])
-        normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * uniform(mean + "v"))
-        return F.when(m == 0, 0).when(m <= 12, small).otherwise(F.greatest(F.lit(0), F.round(m + F.sqrt(m) * normal)).cast("int"))
+        return poisson(F.col(mean), uniform)
 
-    resampled = drawn.withColumn("pos", poisson("p0")).withColumn("neg", poisson("n0")).select("b", score, "pos", "neg")
+    resampled = drawn.withColumn("pos", draw("p0")).withColumn("neg", draw("n0")).select("b", score, "pos", "neg")
     ranked = running(resampled, ["b"], score, ["pos", "neg"])
     p, n = F.sum("pos"), F.sum("neg")
     each = ranked.groupBy("b").agg(F.when((p > 0) & (n > 0), F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)) / (p.cast("double") * n)).alias("auc"))

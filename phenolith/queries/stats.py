@@ -122,32 +122,26 @@ def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.crossJoin(F.broadcast(final.table(spark)))  # one row of figures
 
 
+def groups() -> dict[str, Column]:
+    return {"age_band": F.col("age_band"), "sex": F.col("sex"), "outcome": F.when(F.col("deceased") == 1, "deceased").otherwise("survived")}
+
+
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the score tells survivors, overall and by subgroup, and how it is spread: all of the report that is not fitted."""
+    return stats.report(fixtures.cohort(spark, sf_dir).withColumn("survived", 1 - F.col("deceased")), "score", "survived", groups())
+
+
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """section, name, value: discrimination, spread by outcome and band, the calibration model and how well it is calibrated."""
+    """section, name, value: the summary, the calibration model and how well it is calibrated."""
     c = staged(fixtures.cohort(spark, sf_dir).withColumn("survived", 1 - F.col("deceased")), "report")
-    outcome = F.when(F.col("deceased") == 1, "deceased").otherwise("survived")
     fit = fits.logistic_fit(c, ["score", "age", "male"], "deceased")
-    p = c.withColumn("p", fit.probability())
-    bins = stats.reliability_table(p, "p", "deceased").withColumn("name", F.col("bin").cast("string"))
-
-    def rows(df: DataFrame, *parts: tuple[str, Column, str]) -> DataFrame:
-        each = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), n.cast("string").alias("name"), F.col(v).cast("double").alias("value")) for s, n, v in parts)))
-        return df.select(each.alias("r")).select("r.*")
-
-    calibrated = stats.auc(p, "p", "deceased").withColumn("rate", F.col("events") / F.col("n"))
-    out = rows(stats.auc(c, "score", "survived"), ("discrimination", F.lit("auc"), "auc"))
-    for df in (
-        rows(stats.group_auc(c, "score", "survived", "age_band"), ("subgroup_auc", F.col("age_band"), "auc"), ("subgroup_n", F.col("age_band"), "n"), ("subgroup_event_rate", F.col("age_band"), "event_rate")),
-        rows(stats.group_auc(c, "score", "survived", "sex"), ("subgroup_auc", F.col("sex"), "auc"), ("subgroup_n", F.col("sex"), "n"), ("subgroup_event_rate", F.col("sex"), "event_rate")),
-        rows(stats.score_distribution(c, "score", ["age_band"]), ("median_score", F.col("age_band"), "median")),
-        rows(stats.score_distribution(c.withColumn("outcome", outcome), "score", ["outcome"]), *((f"{q}_score", F.col("outcome"), q) for q in ("min", "p25", "median", "p75", "max", "mean"))),
-        rows(fit.table(spark), ("calibration_model", F.col("feature"), "weight")),
-        rows(calibrated, ("overview", F.lit("n"), "n"), ("overview", F.lit("event_rate"), "rate"), ("calibration", F.lit("auc"), "auc")),
-        rows(stats.ece_brier(p, "p", "deceased"), ("calibration", F.lit("ece"), "ece"), ("calibration", F.lit("brier"), "brier")),
-        rows(bins, ("reliability_n", F.col("name"), "n"), ("reliability_predicted", F.col("name"), "mean_predicted"), ("reliability_observed", F.col("name"), "observed_freq")),
-    ):
-        out = out.unionByName(df)
-    return out
+    weights = fit.table(spark).select(F.lit("calibration_model").alias("section"), F.col("feature").alias("name"), F.col("weight").alias("value"))
+    return stats.report(c, "score", "survived", groups()).unionByName(weights).unionByName(stats.calibration(c.withColumn("p", fit.probability()), "p", "deceased"))
+
+
+def given_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the published model's probabilities are calibrated."""
+    return stats.calibration(with_p(spark, sf_dir), "p", "y")
 
 
 def wide_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,17 +163,34 @@ def incremental_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.incremental_value(wide, ["score", "labs", "anthropometric", "tier3"])
 
 
+def aged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort with the biological age of each subject's last order that has one, and its acceleration."""
+    readings = fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reading"), F.col("o_custkey").cast("long").alias("subject_id"))
+    last = phenoage(spark, sf_dir).where("phenoage is not null").join(readings, "reading").groupBy("subject_id").agg(F.max_by(F.struct("phenoage", "acceleration"), "reading").alias("b"))
+    return wide_scores(spark, sf_dir).join(last.select("subject_id", "b.*"), "subject_id")
+
+
 def phenoage_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.holdout_split(stats.horizon_label(wide_scores(spark, sf_dir)).withColumn("accel", ((F.col("subject_id") * 7) % 21 - 10).cast("double")).fillna(0.5, ["labs", "tier3"]), "subject_id")
-    ladder = {"age_sex": [], "plus_acceleration": ["accel"], "plus_score": ["score"], "plus_both": ["accel", "score"], "plus_blocks": ["accel", "score", "labs", "tier3"]}
+    """Out-of-sample AUC of mortality by age and sex, with the acceleration of the biological age, with the score, with blocks of measures."""
+    rows = aged_scores(spark, sf_dir).where("deceased is not null").withColumns({"risk_score": -F.col("score"), "labs": F.coalesce("labs", F.lit(0.5)), "tier3": F.coalesce("tier3", F.lit(0.5))})
+    rows = staged(stats.holdout_split(rows, "subject_id"), "increment")
+    ladder = {"age_sex": [], "plus_acceleration": ["acceleration"], "plus_score": ["risk_score"], "plus_labs": ["acceleration", "labs"], "plus_blocks": ["acceleration", "labs", "tier3"]}
     out = None
     for name, more in ladder.items():
-        fit = fits.logistic_fit(rows.where("is_train"), ["age", "male", *more], "y")
-        a = stats.auc(rows.where("not is_train").withColumn("p", fit.probability()), "p", "y").select(F.lit(name).alias("model"), "n", rounded(F.col("auc"), 4).alias("auc"))
+        fit = fits.logistic_fit(rows.where("is_train"), ["age", "male", *more], "deceased")
+        a = stats.auc(rows.where("not is_train").withColumn("p", fit.probability()), "p", "deceased").select(F.lit(name).alias("model"), "n", rounded(F.col("auc"), 4).alias("auc"))
         out = a if out is None else out.unionByName(a)
     return out
 
 
+def phenoage_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the biological age and the score by themselves tell deaths, and how they go together."""
+    rows = staged(aged_scores(spark, sf_dir).withColumn("risk_score", -F.col("score")), "aged")
+    raw = lambda c: stats.auc(rows, c, "deceased").select(F.lit(c).alias("measure"), "n", rounded(F.col("auc"), 4).alias("value"))
+    together = stats.correlation(rows, "acceleration", "score").select(F.lit("spearman").alias("measure"), "n", rounded(F.col("spearman"), 4).alias("value"))
+    return raw("phenoage").unionByName(raw("risk_score")).unionByName(together)
+
+
 def discrete_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.discrete_hazard(stats.person_period(events(spark, sf_dir))).table(spark)
 
@@ -198,12 +209,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         auc, reliability_table, ece_brier, score_distribution, group_auc, horizon_label, landmark_filter, holdout_split, age_band, egfr, phq9, phenoage, correlation, std_beta,
-        cause_specific_event, person_period, td_auc, logistic_fit, predict_proba, calibrate, validation_report, ablation, feature_association, incremental_value,
-        phenoage_increment, discrete_hazard, risk_to_horizon, bootstrap_auc_ci,
+        cause_specific_event, person_period, td_auc, logistic_fit, predict_proba, calibrate, validation_summary, given_calibration, validation_report, ablation, feature_association, incremental_value,
+        phenoage_increment, phenoage_auc, discrete_hazard, risk_to_horizon, bootstrap_auc_ci,
     )
 }
 
 CTES["labelled"] = "SELECT * FROM (SELECT *, CASE WHEN deceased = 1 AND permth_exm <= 120 THEN 1 WHEN permth_exm >= 120 THEN 0 END AS y FROM cohort) WHERE y IS NOT NULL"
+CTES["graded"] = " UNION ALL ".join(f"SELECT {n} AS name, score AS s, 1 - deceased AS y FROM cohort" for n in ("'all'", "'age_band: ' || age_band", "'sex: ' || sex", "'outcome: ' || CASE WHEN deceased = 1 THEN 'deceased' ELSE 'survived' END"))
 CTES["with_p"] = """SELECT *, round(1 / (1 + exp(-(-2.669034 + -0.555394 * (score - 79.243819) / 8.621566 + 1.868387 * (age - 48.064055) / 20.266637 + 0.281035 * (male - 0.486379) / 0.499814))), 6) AS p FROM labelled"""
 CTES["followed"] = """SELECT c.* EXCLUDE t_years, (deceased = 1 AND NOT coalesce(ucod_leading = 4, FALSE))::INTEGER AS event, greatest(0.1::DOUBLE, permth_exm / 12.0::DOUBLE) AS t_years
   FROM cohort c LEFT JOIN (SELECT subject_id, (subject_id % 10 + 1)::INTEGER AS ucod_leading FROM subjects WHERE subject_id % 3 <> 0) USING (subject_id)"""
@@ -217,7 +229,19 @@ _phq = ", ".join(f"(o_orderkey * {3 + i}) % {5 + i % 3}" for i in range(9))
 _m = {m: f"({float(lo)} + {width} * (((o_orderkey * {2 * i + 3}) % 97) / 97.0::DOUBLE))" for i, (m, (lo, width)) in enumerate(MARKERS.items())}
 _m["wbc"] = f"(CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE {_m['wbc']} END)"
 _xb = f"-19.907 - 0.0336 * {_m['albumin']} + 0.0095 * {_m['creatinine']} + 0.1953 * {_m['glucose']} + 0.0954 * ln(CASE WHEN {_m['crp']} <= 0 THEN 0.01 ELSE {_m['crp']} END) - 0.0120 * {_m['lymphocyte_pct']} + 0.0268 * {_m['mcv']} + 0.3306 * {_m['rdw']} + 0.00188 * {_m['alp']} + 0.0554 * {_m['wbc']} + 0.0804 * age"
+_nearest = lambda q: f"max(round(s, 2)) FILTER (WHERE i = round_even({q} * (m - 1), 0))"
+CTES["graded_auc"] = f"SELECT name, n, events, {rnd(_value, 4)} AS auc FROM (" + _auc("s", "y", "graded", "name") + ")"
+CTES["phenoaged"] = f"""SELECT o_orderkey AS reading, o_orderkey, o_custkey, {rnd('a', 3)} AS phenoage, {rnd('a - age', 3)} AS acceleration FROM (SELECT *, 141.50225 + ln(-0.00553 * ln(1 - least(greatest(m, 1e-7), 1 - 1e-7))) / 0.090165 AS a FROM (
+      SELECT *, 1 - exp(-exp(xb) * ((exp(120 * 0.0076927::DOUBLE) - 1) / 0.0076927::DOUBLE)) AS m FROM (SELECT *, {_xb} AS xb FROM orders JOIN subjects ON o_custkey = subject_id))) WHERE TRUE""".replace("least(greatest(m, 1e-7), 1 - 1e-7)", "CASE WHEN m IS NULL THEN NULL ELSE least(greatest(m, 1e-7), 1 - 1e-7) END")
+CTES["aged_cohort"] = f"""SELECT c.*, b.phenoage, b.acceleration FROM cohort c JOIN (SELECT o_custkey::BIGINT AS subject_id, arg_max(phenoage, o_orderkey) AS phenoage, arg_max(acceleration, o_orderkey) AS acceleration FROM phenoaged WHERE phenoage IS NOT NULL GROUP BY 1) b USING (subject_id)"""
 SQL = {k: sql(v) for k, v in {
+    "validation_summary": f"""WITH w AS (SELECT name, {", ".join(f"{x} AS {f}" for f, x in {"min": "round(min(s), 2)", "p25": _nearest(0.25), "median": _nearest(0.5), "p75": _nearest(0.75), "max": "round(max(s), 2)", "mean": rnd("avg(s)", 2)}.items())} FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY name) AS m FROM graded WHERE s IS NOT NULL) GROUP BY name)
+      SELECT section, name, value FROM (SELECT name, unnest([{{'section': 'auc', 'value': auc}}, {{'section': 'n', 'value': n::DOUBLE}}, {{'section': 'event_rate', 'value': {rnd("events / n", 4)}}}], recursive := TRUE) FROM graded_auc
+      UNION ALL SELECT name, unnest([{", ".join(f"{{'section': '{f}', 'value': {f}::DOUBLE}}" for f in ("min", "p25", "median", "p75", "max", "mean"))}], recursive := TRUE) FROM w)""",
+    "given_calibration": f"""WITH b AS ({_bins}) SELECT 'reliability_n' AS section, bin::VARCHAR AS name, n::DOUBLE AS value FROM b UNION ALL SELECT 'reliability_predicted', bin::VARCHAR, mean_predicted FROM b UNION ALL SELECT 'reliability_observed', bin::VARCHAR, observed_freq FROM b
+      UNION ALL SELECT 'calibration', 'ece', {rnd("sum(n * abs(observed_freq - mean_predicted)) / sum(n)", 4)} FROM b UNION ALL SELECT 'calibration', 'brier', {rnd("avg((p - y) * (p - y))", 4)} FROM with_p UNION ALL SELECT 'calibration', 'auc', {rnd(_value, 4)} FROM ({_auc("p", "y", "with_p")})""",
+    "phenoage_auc": f"""SELECT 'phenoage' AS measure, n, {rnd(_value, 4)} AS value FROM ({_auc("phenoage", "deceased", "aged_cohort")}) UNION ALL SELECT 'risk_score', n, {rnd(_value, 4)} FROM ({_auc("-score", "deceased", "aged_cohort")})
+      UNION ALL SELECT 'spearman', count(*), {rnd("corr(ra, rb)", 4)} FROM (SELECT rank() OVER (ORDER BY acceleration) + (count(*) OVER (PARTITION BY acceleration) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rb FROM aged_cohort)""",
     "auc": f"SELECT n, events, {rnd(_value, 6)} AS auc FROM ({_auc('score', '1 - deceased', 'cohort')})",
     "reliability_table": _bins,
     "ece_brier": f"WITH t AS ({_bins}) SELECT (SELECT {rnd('sum(n * abs(observed_freq - mean_predicted)) / sum(n)', 4)} FROM t) AS ece, {rnd('avg((p - y) * (p - y))', 4)} AS brier, count(*) AS n FROM with_p",
@@ -232,8 +256,7 @@ SQL = {k: sql(v) for k, v in {
     "egfr": f"""SELECT o_orderkey AS reading, CASE WHEN v > 0 THEN {rnd('142 * pow(least(v / k, 1), a) * pow(greatest(v / k, 1), -1.2) * pow(0.9938, age) * f', 4)} END AS egfr FROM (SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey % 40) / 10.0::DOUBLE END AS v,
       CASE WHEN sex = 'F' THEN 0.7::DOUBLE ELSE 0.9::DOUBLE END AS k, CASE WHEN sex = 'F' THEN -0.241::DOUBLE ELSE -0.302::DOUBLE END AS a, CASE WHEN sex = 'F' THEN 1.012::DOUBLE ELSE 1.0::DOUBLE END AS f FROM orders JOIN subjects ON o_custkey = subject_id)""",
     "phq9": f"SELECT reading, CASE WHEN len(x) >= 7 THEN list_sum(x)::INTEGER END AS phq9 FROM (SELECT o_orderkey AS reading, list_filter([{_phq}], lambda v: v BETWEEN 0 AND 3) AS x FROM orders)",
-    "phenoage": f"""SELECT o_orderkey AS reading, {rnd('a', 3)} AS phenoage, {rnd('a - age', 3)} AS acceleration FROM (SELECT *, 141.50225 + ln(-0.00553 * ln(1 - least(greatest(m, 1e-7), 1 - 1e-7))) / 0.090165 AS a FROM (
-      SELECT *, 1 - exp(-exp(xb) * ((exp(120 * 0.0076927::DOUBLE) - 1) / 0.0076927::DOUBLE)) AS m FROM (SELECT *, {_xb} AS xb FROM orders JOIN subjects ON o_custkey = subject_id))) WHERE TRUE""".replace("least(greatest(m, 1e-7), 1 - 1e-7)", "CASE WHEN m IS NULL THEN NULL ELSE least(greatest(m, 1e-7), 1 - 1e-7) END"),
+    "phenoage": "SELECT reading, phenoage, acceleration FROM phenoaged",
     "correlation": f"""WITH r AS (SELECT score AS a, age::DOUBLE AS b, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY age) + (count(*) OVER (PARTITION BY age) - 1) / 2.0::DOUBLE AS rb FROM cohort)
       SELECT count(*) AS n, {rnd('corr(a, b)', 6)} AS pearson, {rnd('corr(ra, rb)', 6)} AS spearman FROM r""",
     "std_beta": f"""WITH z AS (SELECT count(*) AS n, corr(score, age) AS sa, corr(score, male) AS sm, corr(age, male) AS am, corr(score, permth_exm) AS sy, corr(age, permth_exm) AS ay, corr(male, permth_exm) AS my FROM cohort)
