@@ -33,9 +33,18 @@ def read_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_whitespace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Life tables of ten columns, a file for each country and sex; every other has its columns in another order."""
     lt = fixtures.life_tables(spark, sf_dir)
-    line = F.concat(F.lit("   "), F.col("year").cast("string"), F.lit("   "), F.when(F.col("age") == 110, "110+").otherwise(F.col("age").cast("string")), F.lit("  "), F.col("lx").cast("string"), F.lit("   "), F.when(F.col("age") == 61, ".").otherwise(F.col("ex").cast("string")))
-    return ingest.whitespace_table(lt.select("country_code", "sex", line.alias("value")), ["country_code", "sex"])
+    n = lambda x: F.when(F.col("age") == 61, ".").otherwise(x.cast("string"))
+    mx, deaths = (F.col("age") - 59) / 1000.0, (F.col("lx") / 10).cast("int")
+    first = [F.col("year").cast("string"), F.when(F.col("age") == 110, "110+").otherwise(F.col("age").cast("string"))]
+    usual = [*first, n(mx), n(mx), F.lit("0.5"), F.col("lx").cast("string"), n(deaths), n(deaths), F.lit("1e5"), n(F.col("ex"))]
+    other = [*first, n(F.col("ex")), F.col("lx").cast("string"), n(mx), n(deaths)]
+    odd = F.col("country_code") % 2 == 1
+    line = F.struct("year", "age", F.when(odd, F.concat_ws("  ", *other)).otherwise(F.concat(F.lit("  "), F.concat_ws("   ", *usual))).alias("x"))
+    lines = lt.groupBy("country_code", "sex").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda r: r["x"]), "\n").alias("body"))
+    head = F.when(odd, "Year Age ex lx qx dx").otherwise("  Year   Age   mx   qx   ax   lx   dx   Lx   Tx   ex")
+    return ingest.whitespace_tables(lines.select("country_code", "sex", F.concat(F.lit("A country, life tables\n\n"), head, F.lit("\n"), "body", F.lit("\n\nend of file")).alias("content")), ["country_code", "sex"])
 
 
 def two_corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -63,21 +72,32 @@ def registry_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.registry_merge(*registries(spark, sf_dir)).select("name", "birth_date", rounded(F.col("age_years"), 4).alias("age_years"), "gender", "dataset_source")
 
 
+#: Buckets of the tables that are joined as a star; a cluster takes as many as its tasks can hold.
+STAR_BUCKETS = 16
+
+
 def star_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = fixtures.subjects(spark, sf_dir)
-    o = fixtures.table(spark, sf_dir, "orders")
-    a = o.groupBy(F.col("o_custkey").cast("long").alias("subject_id")).agg(F.count("*").alias("ORD01"))
-    b = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").cast("long").alias("subject_id")).agg(F.max("o_orderkey").alias("ORD02"), F.lit("x").alias("file"))
-    return ingest.star_join(people, [a, b], "subject_id", drop=["file"], names={"ORD01": "n_orders", "ORD02": "last_filled"}).select("subject_id", "age", "n_orders", "last_filled")
+    """People and what their orders say, in tables of the same buckets."""
+    people = ingest.bucketed(fixtures.subjects(spark, sf_dir), "subject_id", STAR_BUCKETS)
+    o = fixtures.table(spark, sf_dir, "orders").withColumn("subject_id", F.col("o_custkey").cast("long"))
+    a = o.groupBy("subject_id").agg(F.count("*").alias("ORD01"), F.lit(1).alias("age"))
+    b = o.where("o_orderstatus = 'F'").groupBy("subject_id").agg(F.max("o_orderkey").alias("ORD02"), F.lit("x").alias("file"))
+    files = [ingest.bucketed(f, "subject_id", STAR_BUCKETS) for f in (a, b)]
+    return ingest.star_join(people, files, "subject_id", drop=["file"], names={"ORD01": "n_orders", "ORD02": "last_filled"}).select("subject_id", "age", "n_orders", "last_filled")
 
 
 def join_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.coverage(star_left_join(spark, sf_dir))
 
 
+TRAIT_NAMES = ["Longevity", "Parental lifespan", "Height", "Ageing of skin", "Long-lived kin", "Mortality, all", "Coffee"]
+
+
 def trait_table_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fixtures.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("trait"))
-    return p.where(F.lower("trait").rlike("brass|steel|promo")).groupBy("trait").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "trait").limit(15)
+    k = F.col("p_partkey")
+    trait = F.concat(F.element_at(F.array(*map(F.lit, TRAIT_NAMES)), (k % len(TRAIT_NAMES) + 1).cast("int")), F.lit(" in "), F.lower("p_type"))
+    rows = fixtures.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.when(k % 11 != 0, trait).alias("trait"))
+    return ingest.common_traits(ingest.trait_table(rows))
 
 
 def indicator_union_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +296,8 @@ SQL = {k: sql(v) for k, v in {
       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE ('2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0'))::DATE END AS day FROM customer""",
     "read_fixed_width": """SELECT c_custkey::BIGINT AS seqn, (c_custkey % 3 + 1)::INTEGER AS eligstat, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 2 END::INTEGER AS mortstat, (c_custkey % 11)::INTEGER AS ucod_leading, (c_custkey % 2)::INTEGER AS diabetes, NULL::INTEGER AS hyperten,
       (c_custkey % 400)::INTEGER AS permth_int, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 230 END::INTEGER AS permth_exm FROM customer""",
-    "read_whitespace_table": "SELECT country_code, sex, year::INTEGER AS year, age::INTEGER AS age, lx, CASE WHEN age = 61 THEN NULL ELSE ex END AS ex FROM life",
+    "read_whitespace_table": """SELECT country_code, sex, year::INTEGER AS year, age::INTEGER AS age, CASE WHEN country_code % 2 = 0 AND age <> 61 THEN (age - 59) / 1000.0::DOUBLE END AS mx, CASE WHEN age <> 61 THEN (age - 59) / 1000.0::DOUBLE END AS qx, CASE WHEN country_code % 2 = 0 THEN 0.5::DOUBLE END AS ax, lx,
+      CASE WHEN age <> 61 THEN floor(lx / 10) END AS dx, CASE WHEN country_code % 2 = 0 AND age <> 61 THEN floor(lx / 10) END AS years_lived, CASE WHEN country_code % 2 = 0 THEN 1e5::DOUBLE END AS years_left, CASE WHEN age <> 61 THEN ex END AS ex FROM life""",
     "corpus_union": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'AP_' ELSE 'NA_' END || lpad(doc_id::VARCHAR, 5, '0') AS record_id, CASE WHEN doc_id % 2 = 0 THEN 'academic' ELSE 'news' END AS source_type, title, CASE WHEN doc_id % 2 = 1 THEN url END AS url,
       CASE WHEN doc_id % 2 = 0 THEN 'cohort' END AS study_type, length(text)::INTEGER AS n, doc_id FROM corpus""",
     "registry_merge_dedup": """WITH a AS (SELECT (c_custkey % 400)::VARCHAR || ' Name' AS name, make_date(1900, ([1, 5, 12])[c_custkey % 3 + 1], (c_custkey % 28 + 1)::INTEGER) AS birth_date, round(110 + c_custkey % 10 + (c_custkey % 365) / 365.25, 4)::DOUBLE AS age_years, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, 'wiki' AS dataset_source, 0 AS s, c_custkey AS ord FROM customer WHERE c_custkey % 3 <> 0
@@ -288,7 +309,7 @@ SQL = {k: sql(v) for k, v in {
     "name_normalize": f"""SELECT id, clean, array_to_string({_full('clean')}, ' ') AS tokens, len(string_split(clean, ' ')) BETWEEN 2 AND 4 AND len(list_filter(string_split(clean, ' '), lambda w: length(w) < 2 OR w IN {_within(NO_NAMES)})) = 0 AS personlike, slug FROM clean_names""",
     "fuzzy_name_join": f"""SELECT id, clean, arg_min(match, ord) AS match FROM asked_names JOIN known_names ON clean = match OR {_inside('t', 'u')} OR {_inside('u', 't')} OR (t[-1] = u[-1] AND t[1][1] = u[1][1])
       OR 1 - levenshtein({_joined[0]}, {_joined[1]}) / greatest(length({_joined[0]}), length({_joined[1]})) >= 0.9 GROUP BY id, clean""",
-    "trait_table_filter": "SELECT p_type AS trait, count(*) AS n FROM part WHERE regexp_matches(lower(p_type), 'brass|steel|promo') GROUP BY 1 ORDER BY n DESC, trait LIMIT 15",
+    "trait_table_filter": f"SELECT trait, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 11 <> 0 THEN ([{', '.join(map(literal, TRAIT_NAMES))}])[p_partkey % {len(TRAIT_NAMES)} + 1] || ' in ' || lower(p_type) END AS trait FROM part) WHERE regexp_matches(trait, {literal(ingest.LONG_LIFE_TRAITS)}) GROUP BY 1 ORDER BY n DESC, trait LIMIT 15",
     "indicator_union_select": "SELECT 'customers' AS indicator, c_nationkey AS country, c_acctbal::DOUBLE AS value FROM customer UNION ALL SELECT 'suppliers', s_nationkey, s_acctbal::DOUBLE FROM supplier",
     "flag_map_join": "SELECT country_code, country_code % 4 = 0 AS flag, count(*) AS n FROM life GROUP BY 1, 2",
     "incremental_append": "SELECT event_type, count(*) AS n, min(event_id) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1",

@@ -59,11 +59,70 @@ def fixed_width(lines: DataFrame) -> DataFrame:
     ).where("seqn is not null")
 
 
-def whitespace_table(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, year, age, lx, ex of life-table text; headers and lines without a year go, ``110+`` is 110."""
-    p = F.split(F.trim("value"), r"\s+")
-    at = lambda i: F.get(p, F.lit(i))
-    return lines.select(*keys, at(0).try_cast("int").alias("year"), F.regexp_replace(at(1), r"\+$", "").try_cast("int").alias("age"), at(2).try_cast("double").alias("lx"), at(3).try_cast("double").alias("ex")).where("year is not null")
+#: Where life tables keep country and sex in their path: <country>/STATS/fltper_1x1.txt, the country a folder or an archive.
+LIFE_TABLE = r"([^/]+?)(?:\.zip)?/STATS/([bfm])ltper_1x1\.txt$"
+SEXES = {"b": "both", "f": "female", "m": "male"}
+#: Columns of life tables by their headers; Lx and Tx get names that differ from lx and tx in more than case.
+MEASURES = {"mx": "mx", "qx": "qx", "ax": "ax", "lx": "lx", "dx": "dx", "Lx": "years_lived", "Tx": "years_left", "ex": "ex"}
+
+
+def whitespace_tables(files: DataFrame, keys: Sequence[str], measures: dict[str, str] = MEASURES) -> DataFrame:
+    """keys, year, age and measures of tables in plain text, one file a row (keys, content).
+
+    The first line that begins with Year is the header, else the third; columns are taken by its names, and those a file
+    lacks are null. What is no number is null, ``110+`` is 110; lines without a year go. A file's lines stay in
+    its task.
+    """
+    lines = F.split("content", "\r?\n")
+    placed = files.select(*keys, lines.alias("l")).withColumn("h", F.coalesce(F.array_min(F.filter(F.transform("l", lambda x, i: F.when(x.rlike(r"^\s*Year\b"), i)), lambda i: i.isNotNull())), F.lit(2)))
+    words = lambda x: F.split(F.trim(x), r"\s+")
+    each = placed.select(*keys, words(F.coalesce(F.get("l", F.col("h")), F.lit(""))).alias("n"), F.explode(F.slice("l", F.col("h") + 2, F.greatest(F.size("l"), F.lit(1)))).alias("x"))
+    row = each.withColumn("v", words(F.col("x")))
+    named = lambda c: F.get("v", F.nullif(F.array_position("n", F.lit(c)), F.lit(0)).cast("int") - 1)
+    return row.select(*keys, named("Year").try_cast("int").alias("year"), F.regexp_replace(named("Age"), r"\+$", "").try_cast("int").alias("age"), *(named(m).try_cast("double").alias(n) for m, n in measures.items())).where("year is not null")
+
+
+def life_table_files(spark: SparkSession, path: str, measures: dict[str, str] = MEASURES) -> DataFrame:
+    """country_code, sex, year, age and measures of all life tables below a folder, plain or in archives of one country each.
+
+    Spark reads the files, so the folder may be in any store that it reads; each file, and each archive, is taken apart in one task.
+    """
+    import io
+    import zipfile
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                if name.endswith(".zip"):
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        rows += [(f"{name}/{m}", archive.read(m).decode("utf-8", "replace")) for m in archive.namelist() if m.endswith(".txt")]
+                else:
+                    rows.append((name, bytes(content).decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"\.(?:txt|zip)$"))
+    texts = files.select("path", "content").mapInPandas(members, "path string, content string")
+    sexes = F.create_map(*(F.lit(x) for pair in SEXES.items() for x in pair))
+    keyed = texts.where(F.col("path").rlike(LIFE_TABLE)).select(F.regexp_extract("path", LIFE_TABLE, 1).alias("country_code"), F.element_at(sexes, F.regexp_extract("path", LIFE_TABLE, 2)).alias("sex"), "content")
+    return whitespace_tables(keyed, ["country_code", "sex"], measures)
+
+
+# Fixed value: traits of a catalogue that tell of long lives.
+LONG_LIFE_TRAITS = r"(?i)longevity|lifespan|life span|aging|ageing|centenarian|life expectancy|mortality|supercentenarian|long[- ]lived"
+
+
+def trait_table(rows: DataFrame, trait: str = "trait", pattern: str = LONG_LIFE_TRAITS) -> DataFrame:
+    """Catalogue rows whose trait the pattern matches; rows without a trait go."""
+    return rows.where(F.col(trait).rlike(pattern))
+
+
+def common_traits(rows: DataFrame, trait: str = "trait", most: int = 15) -> DataFrame:
+    """trait, n of the commonest traits."""
+    return rows.groupBy(trait).agg(F.count("*").alias("n")).orderBy(F.desc("n"), trait).limit(most)
 
 
 def corpus_union(papers: DataFrame, news: DataFrame, order: str) -> DataFrame:
@@ -99,11 +158,31 @@ def registry_merge(wiki: DataFrame, other: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("name", "birth_date").agg(first.alias("r")).select("name", "birth_date", "r.*")
 
 
-def star_join(base: DataFrame, files: Sequence[DataFrame], key: str, drop: Sequence[str] = (), names: dict[str, str] | None = None) -> DataFrame:
-    """base with the columns of all files, by left joins on the same key: one exchange of base serves all."""
+def bucketed(df: DataFrame, key: str, buckets: int, name: str | None = None) -> DataFrame:
+    """df written once as a table in buckets of its key, sorted in each, and read back.
+
+    Tables of one number of buckets are joined by the key without an exchange. Files are in the shared folder.
+    """
+    spark, name = df.sparkSession, name or f"star_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{shared_folder(spark)}/{name}").mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
+def star_join(base: DataFrame, files: Sequence[DataFrame], key: str, drop: Sequence[str] = (), names: dict[str, str] | None = None, first: bool = False) -> DataFrame:
+    """base with the columns of all files, by left joins on the same key.
+
+    Administrative columns (``drop``) are left out of files, and columns of a file that base or a file before already has, so that
+    no name is there twice. ``names`` renames codes. With ``first``, keys that repeat in a file count once, by its first row in
+    order of all columns. Files that are ``bucketed`` alike are merged bucket by bucket without an exchange; else one exchange of base serves all.
+    """
     out = base
     for f in files:
-        out = out.join(f.drop(*drop), key, "left")
+        own = f.drop(*drop, *(c for c in f.columns if c != key and c in out.columns))
+        if first:
+            rest = [c for c in own.columns if c != key]
+            own = own.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*") if rest else own.distinct()
+        out = out.join(own.hint("merge"), key, "left")
     return out.withColumnsRenamed(names or {})
 
 
