@@ -76,7 +76,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each to the written result of the one before."""
+    """The stages applied to documents, each to the written result of the one before.
+
+    What nulls, empty and repeated rows give is said by the stages; an empty table gives no pieces. Columns beside
+    those of documents are carried up to the packing.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
