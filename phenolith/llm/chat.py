@@ -65,6 +65,9 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 
 
 def paired(conversations: DataFrame) -> DataFrame:
-    """Turns of conversations as pairs: of conv_ids 2i and 2i + 1 the first is chosen, the second rejected."""
+    """Turns of conversations as pairs: of conv_ids 2i and 2i + 1 the first is chosen, the second rejected.
+
+    Turns without a conv_id belong to no pair and are left out; other columns are not carried.
+    """
     side = F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
     return conversations.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turn", "role", "text")

@@ -239,8 +239,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     chain of matches runs over, and the share of the template that the matches cover.
     ``labels`` holds ``base_labels`` and the templates of which a chain of long matches covers
     ``MIN_COVER``; ``score`` is 1 for a phrase, else the largest share covered. Null and empty
-    texts have no words, empty labels and score 0. Repeated rows are scanned each; other columns
-    are not carried. No shuffle.
+    texts have no words, empty labels and score 0. Repeated rows are scanned each, an empty table gives
+    an empty one; other columns are not carried. No shuffle.
     """
     automaton = Automaton(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
     names = [*COUNTS, "spans"]

@@ -119,7 +119,7 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """node, shingles, a, b of nodes (node, cls, first, a, b): the set of each class, from its first document.
+    """node, shingles of nodes (node, cls, first): the set of each class, from its first document.
 
     A bounded bitmap of those documents spares shuffling the other texts.
     """
@@ -139,7 +139,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     some = docs.select(F.col("doc_id").cast("long").alias("first"), "text").mapInArrow(sets, "first long, cls binary, shingles array<long>")
     same = (some["cls"] == nodes["cls"]) & some["first"].eqNullSafe(nodes["first"])
-    return some.join(nodes, same).select("node", "shingles", "a", "b").dropDuplicates(["node"])
+    return some.join(nodes, same).select("node", "shingles").dropDuplicates(["node"])
 
 
 def similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -149,12 +149,9 @@ def similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """x, y of the pairs that are linked, on their full sets."""
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"), F.col("a").alias("ax"), F.col("b").alias("bx")), "x").join(
-        sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"), F.col("a").alias("ay"), F.col("b").alias("by")), "y"
-    )
-    table = F.arrays_overlap("ax", "ay") & F.arrays_overlap("bx", "by")
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
     inter = F.size(F.array_intersect("sx", "sy"))
-    return both.where(table & similar(inter, F.size("sx"), F.size("sy"), percent)).select("x", "y")
+    return both.where(similar(inter, F.size("sx"), F.size("sy"), percent)).select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, b
     classes = sig.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("size"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     members = buckets(classes)
-    sets = written(sets_of(docs, classes.join(members.select("node").distinct(), "node"), n), "near-sets")
+    sets = written(sets_of(docs, classes.select("node", "cls", "first").join(members.select("node").distinct(), "node"), n), "near-sets")
     labels = written(classes.select("cls", "node", "first").join(links(members, sets, repeats(sig, classes), percent), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labels")
     smallest = labels.groupBy("label").agg(F.min("first").alias("component"))
     of_class = labels.join(smallest, "label").select("cls", "label", "component")

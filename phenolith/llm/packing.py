@@ -27,8 +27,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows of one length and salt that one window sorts.
 SALT_ROWS = 20_000
-#: Runs held by a worker, at most.
-RUNS = 1_000_000
+#: Bytes of runs and their ids that a worker holds, at most; longer runs than LONG_RUN are not held.
+HELD_BYTES, LONG_RUN = 96 << 20, 4096
+#: What a held run costs beside its bytes.
+ENTRY = 160
 #: A mark after a letter (a-z or Latin-1) and before white space.
 MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([,.])(?=[ \n])")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -47,11 +49,25 @@ class _Held(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.bytes = 0
+        self.by_runs = self._splits()
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _splits(self) -> bool:
+        """Whether the ids of texts are those of their runs, small letters and marks apart, as far as texts that would show it tell."""
+        probes = ["Ab cd", "one, two. three", "xé,\nß. y", " a  b\tc\n", "A,b .c Ünï, x1, 2. z", "don't stop-it (now), e.g. U.S. 3,000.5"]
+        return all(self.ids(p) == b"".join(self.ids(w.decode()) for w in MARK.sub(rb" \1", p.encode().lower()).split()) for p in probes)
 
     def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= RUNS:
-            self.clear()
-        self[run] = ids = array("I", self.library.encode(run.decode(), add_special_tokens=False).ids).tobytes()
+        ids = self.ids(run.decode())
+        if len(run) <= LONG_RUN:
+            self.bytes += len(run) + len(ids) + ENTRY
+            if self.bytes > HELD_BYTES:
+                self.clear()
+                self.bytes = len(run) + len(ids) + ENTRY
+            self[run] = ids
         return ids
 
 
@@ -61,13 +77,18 @@ def encoder(path: str) -> Callable[[bytes], bytes]:
     No token of a tokenizer that drops white space crosses it, so the ids of a text are those of its
     runs of other characters. A comma or full stop between a letter and white space is a word of its
     own, and A-Z may as well be lower-cased here, unless special strings stand in the text; that
-    makes many runs equal. What the library gave for a run is held, in bounded number, beyond the task.
+    makes many runs equal. What the library gave for a run is held, in bounded bytes, beyond the task. A tokenizer
+    that does not split texts so (``_splits``) gets whole texts.
     """
     state = process_held(("ids", path))
     if not state:
         state["held"] = _Held(path)
     get = state["held"].__getitem__
 
+    held = state["held"]
+    if not held.by_runs:
+        return lambda text: held.ids(text.decode())
+
     def encode(text: bytes) -> bytes:
         if b"<|" not in text:
             text = MARK.sub(rb" \1", text.lower())
@@ -87,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     Only documents longer than ``capacity`` are cut, the last piece may be shorter. A null text is
     empty: one piece with ``end_id`` alone. Repeated rows give repeated pieces. ``with_ids`` adds
-    the ids themselves. Other columns are not carried.
+    the ids themselves. An empty table gives an empty one. Other columns are not carried.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     tail = array("I", [end_id]).tobytes()
@@ -264,5 +285,5 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` of docs, encoded once, in the sequences that ``pack`` gives them."""
+    """``pieces`` of docs, encoded once, in the sequences that ``pack`` gives them. An empty table gives an empty one."""
     return pack(written(pieces(docs, tokenizer_path, capacity), "pieces"), capacity)

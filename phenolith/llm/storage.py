@@ -18,12 +18,14 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
+    """The folder all executors see: ``spark.checkpoint.dir``; where it is unset, in local mode, an own one."""
     folder = spark.conf.get(SHARED, None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
