@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..functions.expr import rounded
 from . import scoring
 
 
@@ -91,17 +94,27 @@ def survey_answers(rows: DataFrame, key: str = "subject_id") -> DataFrame:
     return rows.select(key, F.explode(F.filter(each, lambda x: x["option_index"].isNotNull())).alias("a")).select(key, "a.*")
 
 
-def cohort_scores(answers: DataFrame, clinical: DataFrame, options: DataFrame, features: DataFrame, constructs: DataFrame) -> DataFrame:
-    """subject_id, score_full, score_selfreport, score_labs, n_answers, n_clinical.
+def cohort_scores(answers: DataFrame, clinical: DataFrame, options: DataFrame, features: DataFrame, constructs: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """subject_id, score_full, score_selfreport, score_labs, n_answers, n_clinical, and f_<column> for each of ``columns``.
+
+    Full is of answers and measures, where measures supersede; without measures it is the self-report's. The columns are alignments
+    of questions and measures by name, superseded ones too. One aggregation by subject gives all.
+    """
+    items = scoring.build_items(answers, options, 2, clinical, features, constructs, flagged=True)
+    lab, w, a = F.col("layer") == 3, F.col("eff_weight"), F.col("alignment")
+    score = lambda on: rounded(100 * F.sum(F.when(on, w * a)) / F.sum(F.when(on, w)), 1)
+    return items.groupBy("subject_id").agg(
+        score(~F.col("superseded")).alias("score_full"), score(~lab).alias("score_selfreport"), score(lab).alias("score_labs"), F.count(F.when(~lab, 1)).cast("int").alias("n_answers"), F.count(F.when(lab, 1)).cast("int").alias("n_clinical"),
+        *(F.max(F.when(F.col("feature") == c, a)).alias(f"f_{c}") for c in columns),
+    )
+
+
+def assemble_cohort(cycles: DataFrame, clinical: DataFrame, mortality: DataFrame, options: DataFrame, features: DataFrame, constructs: DataFrame, columns: Sequence[str], carried: Sequence[str] = (), key: str = "subject_id") -> DataFrame:
+    """One row for each adult of all cycles: cycle, age, sex, band, carried columns, three scores, what became of them, and f_<column>.
 
-    Full is of answers and measures, where measures supersede; without measures it is the self-report's.
+    cycles are the rows of ``union_cycles`` with survey codes, from which the answers come; clinical has the measures'
+    alignments. Subjects without answers and measures have no scores; those who are not eligible or not linked, no outcome.
     """
-    quiz = scoring.build_items(answers, options, 2)
-    both = scoring.build_items(answers, options, 2, clinical, features, constructs)
-    full = scoring.similarity_score(both).select("subject_id", F.col("score_pct").alias("score_full"))
-    own = scoring.similarity_score(quiz).select("subject_id", F.col("score_pct").alias("score_selfreport"))
-    labs = scoring.similarity_score(both.where("layer = 3")).select("subject_id", F.col("score_pct").alias("score_labs"))
-    counts = quiz.groupBy("subject_id").agg(F.count("*").cast("int").alias("n_answers"))
-    measures = both.where("layer = 3").groupBy("subject_id").agg(F.count("*").cast("int").alias("n_clinical"))
-    out = full.join(own, "subject_id", "left").join(labs, "subject_id", "left").join(counts, "subject_id", "left").join(measures, "subject_id", "left")
-    return out.fillna(0, ["n_answers", "n_clinical"])
+    answers = survey_answers(cycles.where("age >= 18"), key)
+    scored = cohort_scores(answers, clinical, options, features, constructs, columns).drop("n_answers", "n_clinical")
+    return build_cohort(cycles.select(key, "cycle", "age", "sex", *carried), scored.withColumnRenamed("subject_id", key), mortality, key)

@@ -129,23 +129,30 @@ def clock_panel(readings: DataFrame, clocks: DataFrame, segments: DataFrame) ->
 
 
 def build_items(
-    answers: DataFrame, options: DataFrame, layer: int = 2, clinical: DataFrame | None = None, features: DataFrame | None = None, constructs: DataFrame | None = None
+    answers: DataFrame, options: DataFrame, layer: int = 2, clinical: DataFrame | None = None, features: DataFrame | None = None, constructs: DataFrame | None = None, flagged: bool = False
 ) -> DataFrame:
     """subject_id, feature, domain, weight, alignment, basis, gwas, layer, eff_weight.
 
     A subject's self-report goes if its construct is measured (deepest wins). The bonus of
-    genetically corroborated features holds only for subjects with measures.
+    genetically corroborated features holds only for subjects with measures. Answers and measures are read once and meet in one
+    exchange by subject, which later aggregations by subject share. With ``flagged``, what goes stays, marked by ``superseded``.
     """
+    columns = ["subject_id", "feature", "domain", "weight", "alignment", "basis", "gwas", "layer"]
     own = options.where(F.col("layer") == layer).select("question_id", "option_index", "domain", "weight", "alignment", "basis")
-    quiz = answers.join(F.broadcast(own), ["question_id", "option_index"])
-    if clinical is not None:
-        superseded = clinical.join(F.broadcast(constructs), "feature").select("subject_id", "question_id").distinct()
-        quiz = quiz.join(superseded, ["subject_id", "question_id"], "left_anti")
-    quiz = quiz.select("subject_id", F.col("question_id").alias("feature"), "domain", "weight", "alignment", "basis", F.lit(False).alias("gwas"), F.lit(layer).alias("layer"))
     if clinical is not None:
-        deep = clinical.join(F.broadcast(features), "feature").select("subject_id", "feature", "domain", "weight", "alignment", "basis", "gwas", F.lit(3).alias("layer"))
-        quiz = quiz.unionByName(deep)
-    return quiz.withColumn("eff_weight", F.col("weight") * (1 + F.when(F.col("gwas"), model.BONUS).otherwise(0.0)))
+        own = own.join(F.broadcast(constructs.groupBy("question_id").agg(F.collect_set("feature").alias("by"))), "question_id", "left")
+    quiz = answers.join(F.broadcast(own), ["question_id", "option_index"])
+    quiz = quiz.withColumns({"feature": F.col("question_id"), "gwas": F.lit(False), "layer": F.lit(layer)})
+    if clinical is None:
+        rows = quiz.select(*columns, *([F.lit(False).alias("superseded")] if flagged else []))
+    else:
+        # measures that the model does not score supersede too
+        deep = clinical.join(F.broadcast(features), "feature", "left").withColumns({"layer": F.lit(3), "by": F.lit(None).cast("array<string>"), "measure": F.col("feature")})
+        both = quiz.select(*columns, "by", F.lit(None).cast("string").alias("measure")).unionByName(deep.select(*columns, "by", "measure"))
+        have = F.collect_set("measure").over(Window.partitionBy("subject_id"))  # as many as there are measures
+        rows = both.withColumn("superseded", F.coalesce(F.arrays_overlap("by", have), F.lit(False))).where("domain is not null")
+        rows = rows.select(*columns, "superseded") if flagged else rows.where("not superseded").select(*columns)
+    return rows.withColumn("eff_weight", F.col("weight") * (1 + F.when(F.col("gwas"), model.BONUS).otherwise(0.0)))
 
 
 def sums() -> list[Column]:
@@ -204,18 +211,21 @@ def driver_topk(items: DataFrame, k: int = 5) -> DataFrame:
 
 
 def domain_scores(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """subject_id, name, score_pct, n_features, weight_share_pct of the interpretive domains an item may share."""
-    ids = ["subject_id", "feature", "alignment", "eff_weight"]
-    rule = lambda kind: F.broadcast(rules.where(F.col("kind") == kind).select("name", F.col("key").alias(kind)))
-    listed = items.join(rule("feature"), "feature").select(*ids, "name").unionByName(items.join(rule("domain"), "domain").select(*ids, "name")).distinct()
+    """subject_id, name, score_pct, n_features, weight_share_pct of the interpretive domains an item may share.
+
+    Each item carries the names of its domains, and one that stands for all items: sums by subject and name give both.
+    """
+    rule = lambda kind: F.broadcast(rules.where(F.col("kind") == kind).groupBy(F.col("key").alias(kind)).agg(F.collect_set("name").alias(f"by_{kind}")))
     escape = F.col("basis").isin("disease_escape", "clinical_literature") & ~F.col("domain").isin("body_composition", "cholesterol")
     genetic = F.col("gwas") | F.col("basis").isin("genomic", "heritability") | (F.col("domain") == "genetic_family_history")
     named = {"disease_escape_similarity": escape, "genetic_longevity_context": genetic, "epigenetic_youthfulness_slow_pace_context": F.col("basis") == "epigenetic"}
-    special = items.select(*ids, F.explode(F.array_compact(F.array(*(F.when(on, F.lit(n)) for n, on in named.items())))).alias("name"))
-    total = items.groupBy("subject_id").agg(F.sum("eff_weight").alias("total"))
+    none, all_ = F.array().cast("array<string>"), "*"
+    names = F.concat(F.coalesce("by_feature", none), F.coalesce("by_domain", none), F.array_compact(F.array(*(F.when(on, F.lit(n)) for n, on in named.items()))), F.array(F.lit(all_)))
+    listed = items.join(rule("feature"), "feature", "left").join(rule("domain"), "domain", "left").select("subject_id", "alignment", "eff_weight", F.explode(F.array_distinct(names)).alias("name"))
     w, wa = F.sum("eff_weight"), F.sum(F.col("eff_weight") * F.col("alignment"))
-    by = listed.unionByName(special).groupBy("subject_id", "name").agg(w.alias("w"), wa.alias("wa"), F.count("*").alias("n_features"))
-    return by.join(total, "subject_id").select(
+    by = listed.groupBy("subject_id", "name").agg(w.alias("w"), wa.alias("wa"), F.count("*").alias("n_features"))
+    total = F.max(F.when(F.col("name") == all_, F.col("w"))).over(Window.partitionBy("subject_id"))
+    return by.withColumn("total", total).where(F.col("name") != all_).select(
         "subject_id", "name", rounded(100 * F.col("wa") / F.col("w"), 1).alias("score_pct"), "n_features", rounded(100 * F.col("w") / F.col("total"), 1).alias("weight_share_pct")
     )
 

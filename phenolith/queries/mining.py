@@ -151,13 +151,6 @@ def survey_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cohort_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = scoring.similarity_score(fixtures.items(spark, sf_dir, 2)).select("subject_id", "score_pct")
-    k = F.col("subject_id")
-    died = fixtures.subjects(spark, sf_dir).select("subject_id", (k % 3 % 2 + 1).cast("int").alias("eligstat"), (k % 2).cast("int").alias("mortstat"), (k % 200).cast("int").alias("permth_exm"))
-    return cohort.build_cohort(survey_cycles(spark, sf_dir), scores, died)
-
-
 #: Survey codes: number of values and the smallest.
 CODES = {
     "smq020": (3, 1), "smq040": (3, 1), "alq101": (2, 1), "alq111": (2, 1), "alq130": (8, 1), "dbq700": (7, 1), "sld012": (8, 4), "sld010h": (8, 4), "paq655": (8, 0), "paq670": (8, 0),
@@ -173,6 +166,18 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.subjects(spark, sf_dir).select("subject_id", "sex", *codes)
 
 
+#: Alignments that stand in the cohort as columns.
+COHORT_COLUMNS = ["q_smoking", "q_sleep", "q_body_mass_index", "body_mass_index", "hba1c"]
+
+
+def cohort_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From cycles with their own columns and units to answers, measures, three scores, outcomes and feature columns."""
+    k = F.col("subject_id")
+    died = fixtures.subjects(spark, sf_dir).select("subject_id", (k % 3 % 2 + 1).cast("int").alias("eligstat"), (k % 2).cast("int").alias("mortstat"), (k % 200).cast("int").alias("permth_exm"))
+    coded = survey_cycles(spark, sf_dir).join(survey(spark, sf_dir), "subject_id")
+    return cohort.assemble_cohort(coded, fixtures.clinical(spark, sf_dir), died, model.options(spark), model.features(spark), model.constructs(spark), COHORT_COLUMNS, ["crp", "glucose"])
+
+
 def survey_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.survey_answers(survey(spark, sf_dir))
 
@@ -249,6 +254,9 @@ _recodes = {
 }
 CTES["recoded"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT subject_id, {literal(q)} AS question_id, (CASE {w} END)::INTEGER AS option_index FROM blues" for q, w in _recodes.items()) + ") WHERE option_index IS NOT NULL"
 _mean = lambda where: rnd(f"100 * sum(w * alignment) FILTER (WHERE {where}) / sum(w) FILTER (WHERE {where})", 1)
+CTES["scored_parts"] = """WITH q AS (SELECT subject_id, question_id AS feature, weight AS w, alignment FROM recoded JOIN dim_option o USING (question_id, option_index) WHERE o.layer = 2)
+  SELECT *, NOT EXISTS (SELECT 1 FROM clinical c JOIN dim_construct d USING (feature) WHERE c.subject_id = q.subject_id AND d.question_id = q.feature) AS stays, FALSE AS lab FROM q
+  UNION ALL SELECT subject_id, feature, weight * (1 + CASE WHEN gwas THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END), alignment, TRUE, TRUE FROM clinical JOIN dim_feature USING (feature)"""
 CTES["papers"] = """SELECT doc_id, text || CASE WHEN doc_id % 3 <> 0 THEN ' Longevity and controls. Smoking in ' || (doc_id % 90)::VARCHAR || '% of controls. Body mass OR 1.' || (doc_id % 60)::VARCHAR || ' (95% CI 0.' || (doc_id % 90)::VARCHAR || '-2.' || (doc_id % 9)::VARCHAR
   || '); glucose HR 1.2' || (doc_id % 10)::VARCHAR || '. CRP 1.' || (doc_id % 60)::VARCHAR || ' (0.5 - 3.' || (doc_id % 9)::VARCHAR || ')' ELSE ' nothing' END AS text FROM documents"""
 _hit = lambda g: f"regexp_extract(hit, {literal(mining.EFFECT)}, {g})"
@@ -262,10 +270,7 @@ CTES["intervals"] = f"SELECT doc_id, list_concat({_intervals(0)}, {_intervals(1)
 _near = lambda p: rf"(?i)((?:\S+\s+){{0,5}}\b{p}\b(?:\s+\S+){{0,5}})"
 SQL = {k: sql(v) for k, v in {
     "survey_answers": "SELECT * FROM recoded",
-    "cohort_scores": f"""WITH q AS (SELECT subject_id, question_id AS feature, weight AS w, alignment FROM recoded JOIN dim_option o USING (question_id, option_index) WHERE o.layer = 2),
-      parts AS (SELECT *, NOT EXISTS (SELECT 1 FROM clinical c JOIN dim_construct d USING (feature) WHERE c.subject_id = q.subject_id AND d.question_id = q.feature) AS stays, FALSE AS lab FROM q
-        UNION ALL SELECT subject_id, feature, weight * (1 + CASE WHEN gwas THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END), alignment, TRUE, TRUE FROM clinical JOIN dim_feature USING (feature))
-      SELECT subject_id, {_mean('stays')} AS score_full, {_mean('NOT lab')} AS score_selfreport, {_mean('lab')} AS score_labs, (count(*) FILTER (WHERE NOT lab))::INTEGER AS n_answers, (count(*) FILTER (WHERE lab))::INTEGER AS n_clinical FROM parts GROUP BY subject_id""",
+    "cohort_scores": f"""SELECT subject_id, {_mean('stays')} AS score_full, {_mean('NOT lab')} AS score_selfreport, {_mean('lab')} AS score_labs, (count(*) FILTER (WHERE NOT lab))::INTEGER AS n_answers, (count(*) FILTER (WHERE lab))::INTEGER AS n_clinical FROM scored_parts GROUP BY subject_id""",
     "mention_windows": "SELECT doc_id, \"window\", md5(text) AS digest FROM told",
     "age_person_mentions": f"""WITH pairs AS (SELECT a.doc_id, min({{'far': abs(n.pos - a.pos), 'kind': kind, 'at': a.pos, 'p': n.pos, 'name': name, 'age': age}}) AS best FROM age_spots a JOIN name_spots n ON n.doc_id = a.doc_id AND abs(n.pos - a.pos) < {FARTHEST_NAME} GROUP BY a.doc_id)
       SELECT doc_id, best.name AS name, coalesce(best.age, CASE WHEN doc_id IN (SELECT doc_id FROM name_spots) THEN first END, largest) AS age FROM (SELECT doc_id, arg_min(age, {{'kind': kind, 'at': pos}}) AS first, max(age) AS largest FROM age_spots GROUP BY doc_id) LEFT JOIN pairs USING (doc_id)""",
@@ -288,8 +293,9 @@ SQL = {k: sql(v) for k, v in {
     "tagged_traits": " UNION ALL ".join(f"SELECT doc_id, {literal(t)} AS trait, {literal(c)} AS category FROM lowered WHERE " + " OR ".join(f"contains(t, {literal(w)})" for w in tagging.TAGS[tag]) for tag, (t, c) in TAG_TRAITS.items()),
     "direction_annotate": f"""SELECT phrase, windows, CASE WHEN total = 0 THEN '' WHEN best.c / total >= 0.4 THEN best.n || ' (' || round_even(100.0 * best.c / total, 0)::INTEGER::VARCHAR || '%)' ELSE 'mixed' END AS direction FROM (SELECT phrase, count(*) AS windows, count(vote) AS total, list_max([{_votes}]) AS best FROM (
       SELECT phrase, CASE WHEN b.c > 0 THEN b.n END AS vote FROM (SELECT phrase, list_max([{_cues}]) AS b FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS r FROM directed_windows) WHERE r <= 300)) GROUP BY phrase)""",
-    "cohort_build": """WITH c AS (SELECT subject_id, '2005' AS cycle, age::DOUBLE AS age, (subject_id % 30 / 10.0)::DOUBLE * 10 AS crp, CASE WHEN subject_id % 4 = 0 THEN subject_id % 90 + 50 ELSE subject_id % 90 + 60 END::DOUBLE AS glucose FROM subjects WHERE subject_id % 2 = 0
-      UNION ALL SELECT subject_id, '2015', age::DOUBLE, (subject_id % 30)::DOUBLE, (subject_id % 90 + 60)::DOUBLE FROM subjects WHERE subject_id % 2 = 1)
-      SELECT c.*, CASE WHEN age < 50 THEN '18-49' WHEN age < 65 THEN '50-64' WHEN age < 75 THEN '65-74' ELSE '75+' END AS age_band, score AS score_pct, CASE WHEN subject_id % 3 % 2 = 0 THEN subject_id % 2 END::INTEGER AS deceased, CASE WHEN subject_id % 3 % 2 = 0 THEN subject_id % 200 END::INTEGER AS permth_exm
-      FROM c LEFT JOIN scores2 USING (subject_id) WHERE age >= 18""",
+    "cohort_build": f"""WITH c AS (SELECT subject_id, '2005' AS cycle, age::DOUBLE AS age, (subject_id % 30 / 10.0)::DOUBLE * 10 AS crp, CASE WHEN subject_id % 4 = 0 THEN subject_id % 90 + 50 ELSE subject_id % 90 + 60 END::DOUBLE AS glucose FROM subjects WHERE subject_id % 2 = 0
+      UNION ALL SELECT subject_id, '2015', age::DOUBLE, (subject_id % 30)::DOUBLE, (subject_id % 90 + 60)::DOUBLE FROM subjects WHERE subject_id % 2 = 1),
+      f AS (SELECT subject_id, {_mean('stays')} AS score_full, {_mean('NOT lab')} AS score_selfreport, {_mean('lab')} AS score_labs, {", ".join(f"max(alignment) FILTER (WHERE feature = {literal(x)}) AS f_{x}" for x in COHORT_COLUMNS)} FROM scored_parts GROUP BY subject_id)
+      SELECT c.*, sex, CASE WHEN age < 50 THEN '18-49' WHEN age < 65 THEN '50-64' WHEN age < 75 THEN '65-74' ELSE '75+' END AS age_band, f.* EXCLUDE (subject_id), CASE WHEN subject_id % 3 % 2 = 0 THEN subject_id % 2 END::INTEGER AS deceased, CASE WHEN subject_id % 3 % 2 = 0 THEN subject_id % 200 END::INTEGER AS permth_exm
+      FROM c JOIN (SELECT subject_id, sex FROM subjects) USING (subject_id) LEFT JOIN f USING (subject_id) WHERE age >= 18""",
 }.items()}
