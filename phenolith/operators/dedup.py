@@ -88,6 +88,10 @@ def pivot_pairs(classes: DataFrame) -> DataFrame:
     return rows.join(pivots, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
+#: Rows of one shingle of a bucket that one task takes of the side that is not repeated.
+SALT_ROWS = 4096
+
+
 def prefix_pairs(classes: DataFrame, labels: DataFrame, floor: float) -> DataFrame:
     """a, b: the pairs of a bucket under different labels whose smaller set may reach the floor in the other.
 
@@ -105,7 +109,10 @@ def prefix_pairs(classes: DataFrame, labels: DataFrame, floor: float) -> DataFra
     ranked = live.groupBy("key", "rep", "label", "size").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r")).where(F.size("r") >= need)
     small = ranked.select("key", F.col("rep").alias("p"), F.col("label").alias("lp"), F.col("size").alias("np"), F.explode(F.slice("r", F.lit(1), F.size("r") - need + 1)).alias("r")).withColumn("x", F.col("r.x"))
     meets = (F.col("lp") != F.col("label")) & (F.struct("np", "p") < F.struct("size", "rep"))
-    return small.join(live, ["key", "x"]).where(meets).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    # a shingle that very many of a bucket hold meets in so many tasks; both sides know its count
+    small = small.withColumn("salt", F.pmod(F.xxhash64("p"), F.ceil(F.col("r.c") / SALT_ROWS))).drop("r")
+    live = live.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / SALT_ROWS) - 1)))
+    return small.join(live, ["key", "x", "salt"]).where(meets).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
 
 
 def containment_pairs(classes: DataFrame, floor: float = MIN_CONTAINMENT) -> DataFrame:

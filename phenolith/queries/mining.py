@@ -270,6 +270,8 @@ CTES["intervals"] = f"SELECT doc_id, list_concat({_intervals(0)}, {_intervals(1)
 _near = lambda p: rf"(?i)((?:\S+\s+){{0,5}}\b{p}\b(?:\s+\S+){{0,5}})"
 SQL = {k: sql(v) for k, v in {
     "survey_answers": "SELECT * FROM recoded",
+    "epi_cohort": f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY subject_id, clock_name ORDER BY reading DESC) AS rn FROM clock_rows)
+      SELECT subject_id, age, score, f.* EXCLUDE (subject_id) FROM cohort JOIN (SELECT subject_id, {", ".join(f"max(alignment) FILTER (WHERE clock_name = {literal(c)}) AS f_{c}" for c, x in model.CLOCKS.items() if x[2])} FROM l WHERE rn = 1 AND scoreable AND alignment IS NOT NULL GROUP BY subject_id) f USING (subject_id)""",
     "cohort_scores": f"""SELECT subject_id, {_mean('stays')} AS score_full, {_mean('NOT lab')} AS score_selfreport, {_mean('lab')} AS score_labs, (count(*) FILTER (WHERE NOT lab))::INTEGER AS n_answers, (count(*) FILTER (WHERE lab))::INTEGER AS n_clinical FROM scored_parts GROUP BY subject_id""",
     "mention_windows": "SELECT doc_id, \"window\", md5(text) AS digest FROM told",
     "age_person_mentions": f"""WITH pairs AS (SELECT a.doc_id, min({{'far': abs(n.pos - a.pos), 'kind': kind, 'at': a.pos, 'p': n.pos, 'name': name, 'age': age}}) AS best FROM age_spots a JOIN name_spots n ON n.doc_id = a.doc_id AND abs(n.pos - a.pos) < {FARTHEST_NAME} GROUP BY a.doc_id)

@@ -136,22 +136,23 @@ CTES["people"] = f"""SELECT subject_id, age, CASE WHEN subject_id % 3 = 0 THEN c
   CASE WHEN subject_id % 5 = 0 THEN NULL WHEN subject_id % 2 = 0 THEN 'Female' ELSE 'm' END AS sex, (subject_id % 21 - 10)::DOUBLE AS bio_age_delta, score AS score_pct
   FROM subjects JOIN nation ON country = n_nationkey JOIN scores2 USING (subject_id)"""
 CTES["clock_readings"] = """SELECT o_custkey::BIGINT AS subject_id, c AS clock_name, CASE WHEN raw = 99 THEN NULL WHEN c IN ('dunedinpace_2022', 'telomere_length') THEN raw / 40.0::DOUBLE WHEN c = 'frailty_index' THEN raw / 80.0::DOUBLE
-  WHEN c IN ('phenoage_2018', 'grimage_2019') THEN raw / 4.0::DOUBLE - 10 ELSE raw::DOUBLE END AS value, CASE WHEN raw % 10 = 3 THEN NULL ELSE age::DOUBLE END AS chronological_age, sex
+  WHEN c IN ('phenoage_2018', 'grimage_2019') THEN raw / 4.0::DOUBLE - 10 ELSE raw::DOUBLE END AS value, CASE WHEN raw % 10 = 3 THEN NULL ELSE age::DOUBLE END AS chronological_age, sex, o_orderkey AS reading
   FROM (SELECT *, """ + "([" + ", ".join(f"'{c}'" for c in model.CLOCKS) + """])[o_orderkey % 12 + 1] AS c, (o_orderkey * 7) % 100 AS raw FROM orders JOIN subjects ON o_custkey = subject_id)"""
 
-SQL = {k: sql(v) for k, v in {
-    "similarity_score": _score + "totals3",
-    "similarity_score_layer2": _score + "(SELECT subject_id, count(*) AS n_items, sum(eff_weight) AS w, sum(eff_weight * alignment) AS wa, sum(eff_weight * alignment * alignment) AS waa, 0.0::DOUBLE AS gw, max(layer) AS layer FROM quiz2 GROUP BY subject_id)",
-    "interp_mapper": f"SELECT subject_id, r.feature, {rnd('s.a0 + s.slope * (value - greatest(s.x0, -1e9))', 4)} AS alignment FROM readings r LEFT JOIN dim_segment s ON s.feature = r.feature AND s.sex = CASE WHEN r.sex = 'F' THEN 'F' ELSE 'M' END AND value >= x0 AND value < x1",
-    "map_panel": "SELECT * FROM mapped",
-    "clock_panel": f"""SELECT subject_id, clock_name, CASE WHEN ready THEN delta END AS delta, CASE WHEN ready THEN CASE WHEN output_type = 'index' THEN {rnd('1 - least(greatest(value, 0), 1)', 4)} ELSE {rnd('s.a0 + s.slope * (x - greatest(s.x0, -1e9))', 4)} END END AS alignment, scoreable,
+CTES["clock_rows"] = f"""SELECT subject_id, clock_name, reading, value, CASE WHEN ready THEN delta END AS delta, CASE WHEN ready THEN CASE WHEN output_type = 'index' THEN {rnd('1 - least(greatest(value, 0), 1)', 4)} ELSE {rnd('s.a0 + s.slope * (x - greatest(s.x0, -1e9))', 4)} END END AS alignment, scoreable,
       CASE WHEN status = 'pending' THEN 'pending' WHEN value IS NULL THEN 'missing' WHEN output_type = 'biological_age' AND chronological_age IS NULL THEN 'needs_age' WHEN raw <> x THEN 'clamped' END AS warning
       FROM (SELECT *, CASE WHEN hi IS NULL THEN raw WHEN raw IS NULL THEN NULL ELSE least(greatest(raw, lo), hi) END AS x FROM (
         SELECT r.*, c.output_type, c.mapper, c.scoreable, c.status, m.lo, m.hi, c.status = 'available' AND value IS NOT NULL AS ready,
         {rnd("CASE WHEN c.output_type = 'biological_age' THEN value - chronological_age WHEN c.output_type = 'age_acceleration' THEN value END", 2)} AS delta,
         CASE WHEN c.output_type = 'biological_age' THEN value - chronological_age WHEN c.output_type = 'index' THEN NULL ELSE value END AS raw
         FROM clock_readings r JOIN dim_clock c USING (clock_name) LEFT JOIN dim_mapper m ON m.feature = c.mapper)) y
-      LEFT JOIN dim_segment s ON s.feature = y.mapper AND s.sex = CASE WHEN y.sex = 'F' THEN 'F' ELSE 'M' END AND y.x >= s.x0 AND y.x < s.x1""",
+      LEFT JOIN dim_segment s ON s.feature = y.mapper AND s.sex = CASE WHEN y.sex = 'F' THEN 'F' ELSE 'M' END AND y.x >= s.x0 AND y.x < s.x1"""
+SQL = {k: sql(v) for k, v in {
+    "similarity_score": _score + "totals3",
+    "similarity_score_layer2": _score + "(SELECT subject_id, count(*) AS n_items, sum(eff_weight) AS w, sum(eff_weight * alignment) AS wa, sum(eff_weight * alignment * alignment) AS waa, 0.0::DOUBLE AS gw, max(layer) AS layer FROM quiz2 GROUP BY subject_id)",
+    "interp_mapper": f"SELECT subject_id, r.feature, {rnd('s.a0 + s.slope * (value - greatest(s.x0, -1e9))', 4)} AS alignment FROM readings r LEFT JOIN dim_segment s ON s.feature = r.feature AND s.sex = CASE WHEN r.sex = 'F' THEN 'F' ELSE 'M' END AND value >= x0 AND value < x1",
+    "map_panel": "SELECT * FROM mapped",
+    "clock_panel": "SELECT subject_id, clock_name, delta, alignment, scoreable, warning FROM clock_rows",
     "validate_inputs": "SELECT subject_id, count(*) FILTER (WHERE reason IS NULL) AS n_valid, count(*) FILTER (WHERE reason = 'unknown') AS n_unknown, count(*) FILTER (WHERE reason = 'invalid') AS n_invalid, count(*) FILTER (WHERE reason = 'out_of_range') AS n_out_of_range, count(reason) > 0 AS rejected FROM checked GROUP BY subject_id",
     "build_items": "SELECT subject_id, feature, domain, layer, alignment, basis, gwas, round(eff_weight, 6) AS eff_weight FROM items3",
     "evidence_basis_mix": f"SELECT subject_id, basis, {rnd('100 * sum(eff_weight) / any_value(w)', 1)} AS share_pct FROM items3 JOIN totals3 USING (subject_id) GROUP BY subject_id, basis",

@@ -139,6 +139,20 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.report(c, "score", "survived", groups()).unionByName(weights).unionByName(stats.calibration(c.withColumn("p", fit.probability()), "p", "deceased"))
 
 
+def fit_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature, at_zero: whether the penalised log-loss of the fitted model has no slope there; from its coefficients, on all rows.
+
+    The slope at each coefficient is summed over the rows anew, so it does not rest on what the fit says of itself.
+    """
+    rows = labelled(spark, sf_dir).select(F.col("score").cast("double").alias("score"), F.col("age").cast("double").alias("age"), F.col("male").cast("double").alias("male"), F.col("y").cast("double").alias("y")).dropna()
+    fit = fits.logistic_fit(rows, ["score", "age", "male"], "y")
+    w, mu, sd, *_ = fit.models["all"]
+    off = fit.probability() - F.col("y")
+    slopes = {"bias": F.avg(off)} | {f: F.avg(off * (F.col(f) - float(mu[i])) / float(sd[i])) + fits.L2 * float(w[i + 1]) for i, f in enumerate(fit.features)}
+    one = rows.agg(*(x.alias(n) for n, x in slopes.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), (F.abs(n) < 1e-8).alias("at_zero")) for n in slopes))).alias("r")).select("r.*")
+
+
 def given_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the published model's probabilities are calibrated."""
     return stats.calibration(with_p(spark, sf_dir), "p", "y")
@@ -209,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         auc, reliability_table, ece_brier, score_distribution, group_auc, horizon_label, landmark_filter, holdout_split, age_band, egfr, phq9, phenoage, correlation, std_beta,
-        cause_specific_event, person_period, td_auc, logistic_fit, predict_proba, calibrate, validation_summary, given_calibration, validation_report, ablation, feature_association, incremental_value,
+        cause_specific_event, person_period, td_auc, logistic_fit, predict_proba, calibrate, validation_summary, given_calibration, fit_gradient, validation_report, ablation, feature_association, incremental_value,
         phenoage_increment, phenoage_auc, discrete_hazard, risk_to_horizon, bootstrap_auc_ci,
     )
 }
@@ -240,6 +254,7 @@ SQL = {k: sql(v) for k, v in {
       UNION ALL SELECT name, unnest([{", ".join(f"{{'section': '{f}', 'value': {f}::DOUBLE}}" for f in ("min", "p25", "median", "p75", "max", "mean"))}], recursive := TRUE) FROM w)""",
     "given_calibration": f"""WITH b AS ({_bins}) SELECT 'reliability_n' AS section, bin::VARCHAR AS name, n::DOUBLE AS value FROM b UNION ALL SELECT 'reliability_predicted', bin::VARCHAR, mean_predicted FROM b UNION ALL SELECT 'reliability_observed', bin::VARCHAR, observed_freq FROM b
       UNION ALL SELECT 'calibration', 'ece', {rnd("sum(n * abs(observed_freq - mean_predicted)) / sum(n)", 4)} FROM b UNION ALL SELECT 'calibration', 'brier', {rnd("avg((p - y) * (p - y))", 4)} FROM with_p UNION ALL SELECT 'calibration', 'auc', {rnd(_value, 4)} FROM ({_auc("p", "y", "with_p")})""",
+    "fit_gradient": "SELECT feature, TRUE AS at_zero FROM (SELECT unnest(['bias', 'score', 'age', 'male']) AS feature) WHERE (SELECT count(DISTINCT y) FROM labelled) = 2",
     "phenoage_auc": f"""SELECT 'phenoage' AS measure, n, {rnd(_value, 4)} AS value FROM ({_auc("phenoage", "deceased", "aged_cohort")}) UNION ALL SELECT 'risk_score', n, {rnd(_value, 4)} FROM ({_auc("-score", "deceased", "aged_cohort")})
       UNION ALL SELECT 'spearman', count(*), {rnd("corr(ra, rb)", 4)} FROM (SELECT rank() OVER (ORDER BY acceleration) + (count(*) OVER (PARTITION BY acceleration) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rb FROM aged_cohort)""",
     "auc": f"SELECT n, events, {rnd(_value, 6)} AS auc FROM ({_auc('score', '1 - deceased', 'cohort')})",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import dedup, tagging
 from ..plans import fixtures
-from ..plans.lexicon import CODE_COUNTRIES, CONSTRUCTS, DOMAIN_COUNTRIES, SOURCE_COUNTRIES
+from ..plans.lexicon import BOILERPLATE, CODE_COUNTRIES, CONSTRUCTS, DOMAIN_COUNTRIES, GLUED, JUNK_SUBSTRINGS, SOURCE_COUNTRIES
 from ..sources.staging import spread
 from .sqltext import CTES, literal, rnd, sql
 
@@ -208,6 +210,12 @@ _bucket = lambda kind: f"SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS b
 CTES["smoke_hits"] = f"""SELECT doc_id, source, t, length(h) AS n, sum(length(g) + length(h)) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM (SELECT doc_id, source, t, unnest(h) AS h, unnest(g[1 : len(h)]) AS g, generate_subscripts(h, 1) AS i FROM (
   SELECT doc_id, source, abstract AS t, regexp_extract_all(abstract, {literal(SMOKE)}) AS h, regexp_split_to_array(abstract, {literal(SMOKE)}) AS g FROM corpus))"""
 CTES["smoke_windows"] = "SELECT source, substr(t, greatest(b - n - 90, 0)::BIGINT + 1, (b + 90 - greatest(b - n - 90, 0))::BIGINT) AS w FROM smoke_hits"
+_apart = "coalesce(abstract, '')"
+for _pattern, _parts in GLUED:
+    _apart = f"regexp_replace({_apart}, {literal(_pattern)}, {literal(_parts.replace('$', chr(92)))}, 'g')"
+for _junk in JUNK_SUBSTRINGS:
+    _apart = f"regexp_replace({_apart}, {literal('(?i)' + re.escape(_junk))}, ' ', 'g')"
+_one_space = f"trim(regexp_replace({_apart}, '\\s+', ' ', 'g'))"
 SQL = {k: sql(v) for k, v in {
     "smoking_status_mine": "SELECT pattern, count(*) AS mentions, count(DISTINCT source) AS individuals, array_to_string(list_sort(list_distinct(list(substr(trim(regexp_replace(w, '\\s+', ' ', 'g')), 1, 160))))[1:3], ' | ') AS examples FROM ("
     + " UNION ALL ".join(f"SELECT {literal(n)} AS pattern, * FROM smoke_windows WHERE regexp_matches(w, {literal(p)})" for n, p in SMOKING.items()) + ") GROUP BY pattern",
@@ -223,6 +231,8 @@ SQL = {k: sql(v) for k, v in {
       nullif(regexp_extract(c, {literal(_place)}, 1), '') AS subject_city, nullif(regexp_extract(c, {literal(_place)}, 2), '') AS subject_country FROM n""",
     "profile_flag": "SELECT doc_id, " + _any("lower(story)", tagging.PROFILE) + " AS is_profile FROM profiles",
     "relevance_filter": "SELECT doc_id, url FROM corpus WHERE len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) >= 80 AND " + _any("lower(text)", ["the", "die", "les"]) + " AND NOT regexp_matches(url, '/(?:tag|category|video|login|subscribe)/')",
+    "clean_boilerplate": f"""SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace({_one_space}, '([.!?])\\s+([A-Z"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s)),
+      lambda s: length(s) >= 12 AND NOT regexp_matches(s, {literal("(?i)(?:" + "|".join(BOILERPLATE) + ")")})), ' '), '') AS clean FROM corpus""",
     "source_country": f"""SELECT source_name, CASE {" ".join(f"WHEN contains(lower(source_name), {literal(d)}) THEN {literal(c)}" for d, c in SOURCE_COUNTRIES.items())} ELSE 'Unknown' END AS country,
       CASE upper(trim(code)) {" ".join(f"WHEN {literal(d)} THEN {literal(c)}" for d, c in CODE_COUNTRIES.items())} ELSE coalesce(code, 'Unknown') END AS of_code, count(*) AS n
       FROM (SELECT ([{", ".join(map(literal, SOURCES))}])[doc_id % {len(SOURCES)} + 1] AS source_name, ([{", ".join(map(literal, CODES))}])[doc_id // 7 % {len(CODES)} + 1] AS code FROM documents) GROUP BY ALL""",
