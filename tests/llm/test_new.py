@@ -224,3 +224,56 @@ def test_two_trees_are_exact(n, k, dim, spread):
     for e in range(k):
         own = x[far.argmin(1) == e]
         assert count[e] == len(own) and (total[e] == own.sum(0)).all()
+
+
+def test_lm_scores_against_brute_force(spark):
+    """The whole score of every text: fitted pieces, all segmentations, seen words and the end, all done again word by word."""
+    import re
+    from collections import Counter
+
+    from phenolith.llm import lm_score
+    from phenolith.llm.queries import PIECES_MODEL, tokenizer
+
+    texts = ["The cat sat on the mat", "a cat, the Cat", None, "", "unseen wörds x1", "the the the mat", "zzqq the", "on on mat x1", "sat"]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer(PIECES_MODEL)).collect()}
+    words = {i: re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert 0 < len(train) < len(rows)
+    counts = Counter(w for i in train for w in words[i])
+    n = sum(counts.values()) + len(train)
+    fresh = (sum(c == 1 for c in counts.values()) + 1) / (n + 2)
+    pieces, weights = lm_score.vocabulary(tokenizer(PIECES_MODEL))
+    longest = max(map(len, pieces))
+
+    def walk(text, p):
+        """Sums over the segmentations of each prefix and suffix."""
+        ahead, behind = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+        for j in range(1, len(text) + 1):
+            ahead[j] = sum(ahead[j - k] * p.get(text[j - k : j], 0.0) for k in range(1, min(longest, j) + 1))
+        for j in range(len(text) - 1, -1, -1):
+            behind[j] = sum(behind[j + k] * p.get(text[j : j + k], 0.0) for k in range(1, min(longest, len(text) - j) + 1))
+        return ahead, behind
+
+    total = float(weights.sum())
+    p, end = {x: float(w) / (2 * total) for x, w in zip(pieces, weights, strict=True)}, 0.5
+    for _ in range(lm_score.ROUNDS):
+        expected = dict.fromkeys(pieces, lm_score.FLOOR)
+        for w, c in counts.items():
+            text = b" " + w.encode()
+            ahead, behind = walk(text, p)
+            mine = fresh * ahead[-1]
+            times = c * (mine / (mine + (1 - fresh) * (c - 1) / n) if c > 1 else 1.0)
+            for j in range(len(text)):
+                for k in range(1, min(longest, len(text) - j) + 1):
+                    x = text[j : j + k]
+                    if x in p:
+                        expected[x] += times * ahead[j] * p[x] * behind[j + k] / ahead[-1]
+        total = sum(expected.values())
+        p, end = {x: e / (total + 1) for x, e in expected.items()}, 1 / (total + 1)
+    seen = (1 - fresh) / n
+    for i, _ in rows:
+        want = log(seen * len(train) + fresh * end, 10)
+        for w in words[i]:
+            want += log(seen * counts[w] + fresh * walk(b" " + w.encode(), p)[0][-1], 10)
+        assert abs(found[i] - want) < 1e-6, (i, found[i], want)
