@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..operators import dedup, tagging
 from ..plans import fixtures
-from ..plans.lexicon import BOILERPLATE, CODE_COUNTRIES, CONSTRUCTS, DOMAIN_COUNTRIES, GLUED, JUNK_SUBSTRINGS, SOURCE_COUNTRIES
+from ..plans.lexicon import BOILERPLATE, CODE_COUNTRIES, CONSTRUCTS, DOMAIN_COUNTRIES, GLUED, JUNK_SUBSTRINGS, SMOKE, SMOKING, SOURCE_COUNTRIES
 from ..sources.staging import spread
 from .sqltext import CTES, literal, rnd, sql
 
@@ -114,26 +114,6 @@ def construct_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAID = ["Hearing loss and cataracts.", "Dental care.", "Sleep apnoea was screened.", "VO2 max and gait speed.", "Household income.", "25-hydroxyvitamin D.", "A wheelchair.", "Nothing."]
 
 
-# Mentions of smoking, and what is told in their windows.
-SMOKE = r"(?i:\b(?:smok\w*|cigarette\w*|cigar\b|cigars\b|pipe\b|tobacco|pack[-\s]?year)\w*)"
-SMOKING = {
-    n: f"(?i){p}"
-    for n, p in {
-        "status_never": r"never\s+smok|non[-\s]?smoker|did\s?n[o']t\s+smoke|didnt smoke",
-        "status_former": r"(?:quit|gave up|stopped|ceased|former\s+smoker|used to smoke)",
-        "status_current": r"(?:still\s+smok|smokes?\s+(?:daily|every|a)|continues? to smoke|a[-\s]?day habit)",
-        "amount_cigs": r"\d+\s*(?:cigarettes?|cigs?)\s*(?:a|per)?\s*day",
-        "amount_packs": r"\d+(?:\.\d+)?\s*pack",
-        "duration_years": r"smok\w*\s+for\s+\d+\s+years|\d+\s+years?\s+of\s+smok",
-        "cessation_quit_age": r"(?:quit|stopped|gave up).{0,30}?(?:at|aged|age)\s+\d+",
-        "cessation_years_since": r"(?:quit|stopped|gave up).{0,30}?\d+\s+years\s+(?:ago|earlier|before)",
-        "type_pipe": r"\bpipe\b",
-        "type_cigar": r"\bcigars?\b",
-        "type_occasional": r"occasional\w*\s+(?:smok|cigar)",
-    }.items()
-}
-
-
 def smoking_status_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tagging.window_mine(corpus(spark, sf_dir).withColumn("subject", F.col("source")), SMOKE, SMOKING, "subject", "abstract")
     return found.withColumn("examples", F.array_join("examples", " | "))
