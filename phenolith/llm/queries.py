@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, html_extract, license_scan, lm_score, merkle, mixing, near_dup, packing, quality, suffix_dedup, token_counts, topk, vector_codes
 from .storage import documents
@@ -72,6 +73,21 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+# What the contracts of op2, op5 and op6 fix, without the columns of their methods, which SQL cannot express.
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_html_extraction,
         op12_merkle_manifest,
         op13_vector_codes,
+        license_base,
+        lm_base,
+        quality_base,
     )
 }
 
@@ -190,18 +209,58 @@ def _tree(nodes: str, group: str, levels: int, tag: str) -> str:
     return ",\n".join(steps)
 
 
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _license_base_sql() -> str:
+    words = {phrase: phrase.split() for phrase in license_scan.PHRASES}
+    at = lambda p: f"list_transform(list_filter(range(1, len(ws) - {len(words[p]) - 2}), lambda i: ws[i] = '{words[p][0]}' AND ws[i : i + {len(words[p]) - 1}] = {words[p]!r}), lambda i: {{'at': i - 1, 'label': '{license_scan.PHRASES[p]}'}})"
+    hits = at(next(iter(words)))
+    for p in list(words)[1:]:
+        hits = f"list_concat({hits}, {at(p)})"
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+h AS (SELECT doc_id, len(ws)::BIGINT AS n_words, {hits} AS h FROM w)
+SELECT doc_id, n_words, len(h)::BIGINT AS n_base, list_min(list_transform(h, lambda x: x.at))::BIGINT AS first_word, list_max(list_transform(h, lambda x: x.at))::BIGINT AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(h, lambda x: x.label))), ',') AS base_labels FROM h
+"""
+
+
+LM_BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held_out, regexp_extract_all({_LOW}, '{_WORDS}') AS ws FROM documents),
+u AS (SELECT doc_id, held_out, unnest(list_append(ws, chr(1) || ' end')) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM u WHERE NOT held_out GROUP BY w),
+t AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)))), 4) AS base_score
+FROM u LEFT JOIN c USING (w), t GROUP BY doc_id, held_out
+"""
+
+QUALITY_BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, w AS a, lead(w, 1) OVER k AS b, lead(w, 2) OVER k AS c FROM u WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g WHERE c IS NOT NULL),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORDS}') GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id))
+"""
+
+
 def _op12_sql(levels: int = 5, levels_of_sources: int = 3) -> str:
     value = lambda x: f"coalesce(octet_length(encode({x}))::VARCHAR || ':' || {x}, '-')"
     leaf = lambda text: "sha256(" + " || ".join(map(value, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    crc = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
     total = levels + levels_of_sources
     folds = []
     for k in range(total):
         i, s = (k + 1, "p") if k < levels else (k - levels + 1, "q")
         folds.append(f"f{k + 1} AS (SELECT * EXCLUDE (h), CASE WHEN {s}up[{i}] THEN sha256({s}b[{i}] || h || {s}a[{i}]) ELSE h END AS h FROM f{k})")
     return f"""
-WITH h AS (SELECT doc_id, source, {leaf("text")} AS d, CASE WHEN {crc} % 5 = 0 THEN {leaf(low)} END AS other FROM documents),
+WITH h AS (SELECT doc_id, source, {leaf("text")} AS d, CASE WHEN {_CRC} % 5 = 0 THEN {leaf(low)} END AS other FROM documents),
 l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d, other NULLS FIRST) - 1 AS pos FROM h),
 {_tree("l", "source", levels, "t")},
 r AS (SELECT 0 AS z, source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM t_root),
@@ -247,4 +306,7 @@ SQL: dict[str, str] = {
     "op10_preference_format": OP10_SQL,
     "op12_merkle_manifest": _op12_sql(),
     "op13_vector_codes": _op13_sql(),
+    "license_base": _license_base_sql(),
+    "lm_base": LM_BASE_SQL,
+    "quality_base": QUALITY_BASE_SQL,
 }
