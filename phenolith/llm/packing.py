@@ -28,7 +28,7 @@ END_ID = 1
 #: Rows of one length and salt that one window sorts.
 SALT_ROWS = 20_000
 #: Bytes of runs and their ids that a worker holds, at most; longer runs than LONG_RUN are not held.
-HELD_BYTES, LONG_RUN = 96 << 20, 4096
+HELD_BYTES, LONG_RUN = 192 << 20, 4096
 #: What a held run costs beside its bytes.
 ENTRY = 160
 #: A mark after a letter (a-z or Latin-1) and before white space.
