@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lexicon import (
-    BIOMEDICAL, COMPARED, CONTROL_PERCENT, CUES, DESIGN, FARTHEST_NAME, LARGEST_AGE, LEAST_AGE, LONG_LIVES, NOT_IN_NAMES, PERSON_AGES, SURVEY_BY_CATEGORY, SURVEY_BY_NAME, SYNONYMS, TAG_TRAITS, UNITS, WHO_BY_CATEGORY, WHO_BY_NAME,
+    BIOMEDICAL, COMPARED, CONNECTING, CONTROL_PERCENT, CUES, DESIGN, FARTHEST_NAME, LARGEST_AGE, LEAST_AGE, LONG_LIVES, NOT_IN_NAMES, PERSON_AGES, SURVEY_BY_CATEGORY, SURVEY_BY_NAME, SYNONYMS, TAG_TRAITS, UNITS, WHO_BY_CATEGORY, WHO_BY_NAME,
 )
 from .dictionary import matching, words_pattern
 from .tagging import spans_of, windows_around
@@ -221,18 +221,19 @@ VALUE = rf"(?i:\b{NUMBER}(?:\s*(?:±|\+/-|–|—|-|to)\s*{NUMBER})?\s*(?:{UNIT}
 
 
 def name_before(before: Column) -> Column:
-    """The last one to four words of the sentence that are no function or study words, null without one.
+    """The last words of the sentence that name what a value is of, null without one.
 
-    Such words right before the value are passed over; the next one ends the name.
+    Connecting words right before the value are passed over. Of the six words before them those up to a word
+    that no name holds are taken, four at most.
     """
-    stop = lambda x: F.lower(x).isin(NOT_IN_NAMES)
     back = F.reverse(F.regexp_extract_all(F.element_at(F.split(before, "[.;!?]"), -1), F.lit(r"([A-Za-z][A-Za-z0-9αβγ·-]{1,40})"), 1))
-    # what is passed over is what has no word of a name before it
-    start = F.struct(F.array().cast("array<string>").alias("name"), F.lit(False).alias("done"))
+    start = F.struct(F.array().cast("array<string>").alias("name"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
     def step(s: Column, x: Column) -> Column:
-        taken = F.when(s["done"] | stop(x), s["name"]).otherwise(F.concat(s["name"], F.array(x)))
-        return F.struct(taken.alias("name"), (s["done"] | ((F.size(s["name"]) > 0) & stop(x)) | (F.size(taken) >= 4)).alias("done"))
+        n = F.when((s["n"] == 0) & F.lower(x).isin(CONNECTING), 0).otherwise(s["n"] + 1)  # words since the last connecting one
+        stop = (n > 0) & F.lower(x).isin(NOT_IN_NAMES)
+        taken = F.when((n == 0) | (n > 6) | s["done"] | stop, s["name"]).otherwise(F.concat(s["name"], F.array(x)))
+        return F.struct(taken.alias("name"), n.cast("int").alias("n"), (s["done"] | stop | (F.size(taken) >= 4)).alias("done"))
 
     name = F.array_join(F.reverse(F.aggregate(back, start, step)["name"]), " ")
     return F.when(F.length(name).between(2, 60), name)

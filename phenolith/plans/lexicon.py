@@ -324,6 +324,12 @@ NOT_IN_NAMES = [
     "women", "male", "female", "community", "community-dwelling", "hospital", "hospitalized", "follow",
 ]
 
+# Words that connect a value with its name.
+CONNECTING = [
+    "was", "were", "of", "in", "the", "a", "an", "is", "are", "with", "for", "had", "have", "has", "to", "and", "or", "than", "by", "on", "as", "from", "between", "across", "respectively",
+    "value", "values", "level", "levels", "concentration", "concentrations", "count", "counts", "mean", "median", "average",
+]
+
 # Words one of which a biomarker's name holds.
 BIOMEDICAL = [
     "cholesterol", "ldl", "hdl", "vldl", "lipid", "lipids", "lipoprotein", "triglyceride", "triglycerides", "apolipoprotein", "apoa", "apob",

@@ -134,8 +134,8 @@ def test_pool_of_equal_studies(spark):
 
 def test_mention_windows_merge(spark):
     text = " ".join(f"w{i}" if i not in (50, 60, 300) else "Rossi" for i in range(400))
-    rows = subjects.mention_windows(spark.createDataFrame([(1, text, "Rossi"), (2, "a b c", "Nobody")], "doc_id long, text string, surname string")).collect()
-    assert sorted((r["doc_id"], r["window"], len(r["text"].split(" "))) for r in rows) == [(1, 1, 91), (1, 2, 81), (2, 1, 3)]
+    rows = subjects.mention_windows(spark.createDataFrame([(1, text, "Rossi"), (2, "a b c", "Nobody")], "doc_id long, text string, subject string")).collect()
+    assert sorted((r["doc_id"], r["window"], len(r["text"].split(" "))) for r in rows) == [(1, 1, 50), (1, 2, 40), (2, 1, 3)]
 
 
 def test_entry_and_registry(spark):
@@ -182,8 +182,8 @@ def test_windows_of_dense_mentions(spark):
     out = {r["pattern"]: r for r in tagging.window_mine(docs, SMOKE, SMOKING).collect()}
     assert {n: (r["mentions"], r["individuals"], r["examples"]) for n, r in out.items()} == {n: (len(v), len({x for x, _ in v}), sorted({x for _, x in v})[:3]) for n, v in want.items()}
     assert len(SMOKING) == 11 and out["status_never"]["mentions"] > 5
-    told = mining.direction_annotate(spark.createDataFrame([("salt higher salt less salt",)], "text string"), ["salt"]).first()
-    assert (told["word"], told["windows"], told["direction"]) == ("salt", 3, "high (50%)")
+    told = mining.direction_annotate(spark.createDataFrame([(1, "salt higher salt less salt")], "doc_id long, text string"), ["salt"]).first()
+    assert (told["phrase"], told["windows"], told["direction"]) == ("salt", 3, "high (100%)")
 
 
 def test_boilerplate_goes_and_sentences_stay(spark):
@@ -240,8 +240,8 @@ def test_reasons_and_longer_phrases(spark):
     texts = ["He puts his long life down to olive oil. They thank their longevity to daily walks!", "She lived to 104 by eating fish; nothing else.", None]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r[0] for r in docs.select(phrases.attribution_phrases(F.col("text"))).collect()][:2] == [["olive oil", "daily walks"], ["eating fish"]]
-    long = spark.createDataFrame([("good olive bread every morning",)], "text string").select(phrases.candidate_phrases(F.col("text"))).first()[0]
-    assert "good olive bread every morning" in long and "olive bread every morning" in long and len(long) == 10
+    long = spark.createDataFrame([("good olive bread fresh morning",)], "text string").select(phrases.candidate_phrases(F.col("text"))).first()[0]
+    assert "good olive bread fresh morning" in long and "olive bread fresh morning" in long and len(long) == 10
 
 
 def test_survey_codes_become_options(spark):
