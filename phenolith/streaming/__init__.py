@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+#: The processor travels to the executors by value: a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: The partition column of ingested tables: stream and micro-batch.
 INGEST = "ingest"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
