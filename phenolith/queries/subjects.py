@@ -298,7 +298,7 @@ SQL = {k: sql(v) for k, v in {
       (c_custkey % 400)::INTEGER AS permth_int, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey % 230 END::INTEGER AS permth_exm FROM customer""",
     "read_whitespace_table": """SELECT country_code, sex, year::INTEGER AS year, age::INTEGER AS age, CASE WHEN country_code % 2 = 0 AND age <> 61 THEN (age - 59) / 1000.0::DOUBLE END AS mx, CASE WHEN age <> 61 THEN (age - 59) / 1000.0::DOUBLE END AS qx, CASE WHEN country_code % 2 = 0 THEN 0.5::DOUBLE END AS ax, lx,
       CASE WHEN age <> 61 THEN floor(lx / 10) END AS dx, CASE WHEN country_code % 2 = 0 AND age <> 61 THEN floor(lx / 10) END AS years_lived, CASE WHEN country_code % 2 = 0 THEN 1e5::DOUBLE END AS years_left, CASE WHEN age <> 61 THEN ex END AS ex FROM life""",
-    "corpus_union": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'AP_' ELSE 'NA_' END || lpad(doc_id::VARCHAR, 5, '0') AS record_id, CASE WHEN doc_id % 2 = 0 THEN 'academic' ELSE 'news' END AS source_type, title, CASE WHEN doc_id % 2 = 1 THEN url END AS url,
+    "corpus_union": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'AP_' ELSE 'NA_' END || printf('%05d', doc_id) AS record_id, CASE WHEN doc_id % 2 = 0 THEN 'academic' ELSE 'news' END AS source_type, title, CASE WHEN doc_id % 2 = 1 THEN url END AS url,
       CASE WHEN doc_id % 2 = 0 THEN 'cohort' END AS study_type, length(text)::INTEGER AS n, doc_id FROM corpus""",
     "registry_merge_dedup": """WITH a AS (SELECT (c_custkey % 400)::VARCHAR || ' Name' AS name, make_date(1900, ([1, 5, 12])[c_custkey % 3 + 1], (c_custkey % 28 + 1)::INTEGER) AS birth_date, round(110 + c_custkey % 10 + (c_custkey % 365) / 365.25, 4)::DOUBLE AS age_years, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, 'wiki' AS dataset_source, 0 AS s, c_custkey AS ord FROM customer WHERE c_custkey % 3 <> 0
       UNION ALL SELECT (c_custkey % 400)::VARCHAR || ' Name', make_date(1900, 1, (c_custkey % 28 + 1)::INTEGER), (100 + c_custkey % 12)::DOUBLE, NULL, 'other', 1, c_custkey FROM customer WHERE c_custkey % 3 = 0)
