@@ -10,7 +10,7 @@ from ..operators import phrases, subjects, tagging
 from ..plans import fixtures
 from ..plans.lexicon import ATTRIBUTION, CODEBOOK, FUNCTION_WORDS, JUNK_WORDS, NICKNAMES, NO_NAMES, RUN_TOGETHER, SUFFIXES
 from ..sources import ingest
-from ..sources.staging import spread, staged
+from ..sources.staging import spread
 from .sqltext import CTES, literal, rnd, sql
 from .text import corpus
 
@@ -235,7 +235,7 @@ def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = staged(phrase_rows(spark, sf_dir), "phrase-rows")
+    rows = phrase_rows(spark, sf_dir)  # finding phrases again costs less than writing all of them
     registry = phrases.topk_registry(phrases.phrase_lift(rows, {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)}), 20)
     vectors, _ = phrases.feature_vectors(rows.select("doc_id", F.concat("noun_phrase", "attribution").alias("phrases")), registry)
     return vectors.select("doc_id", F.array_join("columns", ",").alias("columns"), F.size("columns").alias("n_features"), "cross_cultural")

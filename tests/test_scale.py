@@ -1,9 +1,13 @@
 """What larger tables ask of the queries: ids of more digits, and steps that grow no faster than their input."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from phenolith.operators import phrases
+from phenolith.plans.lexicon import JUNK_WORDS
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,3 +27,28 @@ def test_corpus_union_ids_of_six_digits(spark, tmp_path):
     ours = {r["record_id"] for r in entry.queries()["corpus_union"](spark, folder).collect()}
     theirs = {r[0] for r in db.execute(f"SELECT record_id FROM ({entry.oracle_sql()['corpus_union']})").fetchall()}
     assert ours == theirs and {"AP_99990", "NA_99991", "AP_100000", "NA_100001"} <= ours
+
+
+def test_phrases_of_the_corpus_are_filtered_before_they_are_shuffled(spark, tmp_path):
+    """Only phrases that are frequent in the focus class go on to the counts by country and person."""
+    rows = [(i, i % 2 == 0, 1.0, "de", f"s{i % 3}", ["olive oil", f"rare {i}"] if i % 2 == 0 else [f"odd {i}", "olive oil", None]) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, True, 1.0, "fr", "s9", None)], "doc_id long, focus boolean, weight double, country string, individual string, noun_phrase array<string>")
+    bits = phrases.hash_filter(docs.where("focus").select(F.explode(phrases.phrase_hashes(F.col("noun_phrase"), "noun_phrase")).alias("h")).groupBy("h").count().where("count >= 3").select("h"))
+    held = docs.select("doc_id", phrases.phrases_in(F.col("noun_phrase"), "noun_phrase", spark.sparkContext.broadcast(bits)).alias("p")).collect()
+    assert [r["p"] for r in held] == [["olive oil"]] * 60 + [[]]
+    assert [tuple(r)[:4] + tuple(r)[6:8] for r in phrases.phrase_lift(docs, {"noun_phrase": (3, 0.5)}).collect()] == [("noun_phrase", "olive oil", 30, 60, 1, 3)]
+
+
+def test_phrases_of_long_and_odd_texts(spark, monkeypatch):
+    """Texts in blocks of any size give the phrases that a plain search gives, in its order."""
+    texts = ["", None, "Olive Öl oil, the garden soup; soup garden soup soup garden", "study data study", "x" * 30 + " garden path" * 40, "strong olive oil " * 3, "Kale salad\n\nbowl"]
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 40)
+
+    def plain(text):
+        words = re.findall("[a-z]+", (text or "").lower())
+        found = [tuple(words[i : i + n]) for n in range(2, 6) for i in range(len(words) - n + 1)]
+        kept = [" ".join(g) for g in found if all(map(phrases.good_word, g)) and set(g) - set(JUNK_WORDS)]
+        return list(dict.fromkeys(kept))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    assert [r["p"] for r in df.select(phrases.candidate_phrases(F.col("t")).alias("p")).collect()] == [plain(t) for t in texts]
