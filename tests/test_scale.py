@@ -6,8 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from phenolith.operators import phrases
-from phenolith.plans.lexicon import JUNK_WORDS
+from phenolith.operators import mining, phrases, tagging
+from phenolith.plans.lexicon import BOILERPLATE, GLUED, JUNK_SUBSTRINGS, JUNK_WORDS
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,3 +52,21 @@ def test_phrases_of_long_and_odd_texts(spark, monkeypatch):
 
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
     assert [r["p"] for r in df.select(phrases.candidate_phrases(F.col("t")).alias("p")).collect()] == [plain(t) for t in texts]
+
+
+def test_boilerplate_is_looked_for_only_where_it_can_be(spark):
+    """The patterns' plan tries replacements behind a plain search, and the texts are those of all replacements in turn."""
+    texts = ["The team met. Cookie Policy of ours is here now. We like ourterms and PIANO meteractive meterexpired callbackevent things.", "aB andObesity tobaccoas. Short. A whole sentence stays here.", "the Local community thelocal community. A fine sentence is here", "", None]
+
+    def plain(text):
+        text = text or ""
+        for pattern, parts in GLUED:
+            text = re.sub(pattern, parts.replace("$", "\\"), text)
+        for j in JUNK_SUBSTRINGS:
+            text = re.sub("(?i)" + re.escape(j), " ", text)
+        each = [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z\"'])", re.sub(r"\s+", " ", text).strip())]
+        return " ".join(s for s in each if len(s) >= 12 and not re.search("(?i)(?:" + "|".join(BOILERPLATE) + ")", s))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    assert [r["c"] for r in df.select(tagging.clean_boilerplate(F.col("t")).alias("c")).collect()] == [plain(t) for t in texts]
+    assert tagging.shortest(["cookies", "cookie", "a cookie", "menu"]) == ["cookie", "menu"]
