@@ -11,7 +11,7 @@ from ..plans.lexicon import (
     BIOMEDICAL, COMPARED, CONNECTING, CONTROL_PERCENT, CUES, DESIGN, FARTHEST_NAME, LARGEST_AGE, LEAST_AGE, LONG_LIVES, NOT_IN_NAMES, PERSON_AGES, SURVEY_BY_CATEGORY, SURVEY_BY_NAME, SYNONYMS, TAG_TRAITS, UNITS, WHO_BY_CATEGORY, WHO_BY_NAME,
 )
 from .dictionary import matching, words_pattern
-from .tagging import spans_of, windows_around
+from .tagging import any_of, spans_of, windows_around
 
 
 def name_in_text_join(docs: DataFrame, registry: DataFrame, text: str = "text", gap: int = 15) -> DataFrame:
@@ -209,8 +209,10 @@ def ratio_kind(measure: Column) -> Column:
 
 def biomarker_mentions(papers: DataFrame, most: int = 80, text: str = "text") -> DataFrame:
     """doc_id, ord, name, measure, value, ci_lower, ci_upper: the first ratios of each paper, with the words before them."""
-    hits = F.slice(F.regexp_extract_all(text, F.lit(EFFECT), 0), 1, most)  # the text is walked once, its hits are taken apart after
-    each = papers.where(F.col(text).rlike(r"\b(?:OR|HR|RR|(?i:odds ratio|hazard ratio|relative risk))\b")).select("doc_id", F.posexplode(hits).alias("ord", "hit"))
+    # no match holds a full stop that follows no digit, so each stretch between those is walked by itself, and only if it has a measure
+    stretches = F.filter(F.split(text, r"(?<![0-9])\."), lambda x: any_of(x, ["OR", "HR", "RR"]) | any_of(F.lower(x), list(RATIOS)))
+    hits = F.slice(F.flatten(F.transform(stretches, lambda x: F.regexp_extract_all(x, F.lit(EFFECT), 0))), 1, most)
+    each = papers.select("doc_id", F.posexplode(hits).alias("ord", "hit"))
     each = each.select("doc_id", "ord", *(F.regexp_extract("hit", EFFECT, g).alias(n) for g, n in enumerate(("name", "measure", "value", "ci_lower", "ci_upper"), 1)))
     return each.select("doc_id", "ord", F.nullif(F.trim("name"), F.lit("")).alias("name"), ratio_kind(F.col("measure")).alias("measure"), *(F.col(c).try_cast("double").alias(c) for c in ("value", "ci_lower", "ci_upper")))
 

@@ -70,3 +70,15 @@ def test_boilerplate_is_looked_for_only_where_it_can_be(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
     assert [r["c"] for r in df.select(tagging.clean_boilerplate(F.col("t")).alias("c")).collect()] == [plain(t) for t in texts]
     assert tagging.shortest(["cookies", "cookie", "a cookie", "menu"]) == ["cookie", "menu"]
+
+
+def test_effects_are_found_stretch_by_stretch(spark):
+    """A paper's effects are those of one walk over its whole text, wherever its full stops are; each stretch without a measure is passed over."""
+    texts = [
+        "Body mass OR 1.2 (95% CI 0.9-2.1); glucose HR 1.3. CRP. RR: 0.5 (0.5 - 3.1)", "No ratio here. Hazard Ratio = 3. odds ratio 1.5.HR 2..OR 7", "name. OR 2 HR 1.3, all 3.4.5 RR 2.", "vitamin D.\nOR 4. (95% CI 1-2)", "OR", "", None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    whole = df.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(mining.EFFECT), 0)).alias("ord", "hit")).select("doc_id", "ord", F.regexp_extract("hit", mining.EFFECT, 3).try_cast("double").alias("value"))
+    found = mining.biomarker_mentions(df)
+    assert sorted(map(tuple, found.select("doc_id", "ord", "value").collect())) == sorted(map(tuple, whole.collect()))
+    assert "split(text" in found._jdf.queryExecution().optimizedPlan().toString()
