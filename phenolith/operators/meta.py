@@ -38,13 +38,24 @@ def with_contrast(mentions: DataFrame) -> DataFrame:
     return known.withColumn("contrast_type", contrast_type(F.col("biomarker_name"), F.col("effect_measure"), F.col("subject_class")))
 
 
+def median(values: Column) -> Column:
+    """The median of an array of numbers, halfway between the middle two; null if it has none."""
+    at = lambda v, i: F.get(v, i.cast("int"))
+    of = lambda v: 0.5 * at(v, F.floor((F.size(v) - 1) / 2)) + 0.5 * at(v, F.floor(F.size(v) / 2))
+    return F.element_at(F.transform(F.array(F.array_sort(F.array_compact(values))), lambda v: F.when(F.size(v) > 0, of(v))), 1)  # bound as a variable, it is sorted once
+
+
 def study_collapse(mentions: DataFrame, keys: list[str] = STRATUM) -> DataFrame:
     """One estimate for each study of a stratum: of those with an interval the one nearest their median, else the median."""
     by = [*keys, "study_id"]
     has = F.col("ci_lower").isNotNull()
-    medians = mentions.groupBy(*by).agg(F.percentile(F.when(has, F.col("value")), 0.5).alias("m"), F.percentile("value", 0.5).alias("all"))
-    near = F.struct(F.round(F.abs(F.col("value") - F.col("m")), 9), "ord", "value", "ci_lower")  # distances that differ in a last bit are ties
-    pick = mentions.join(medians, by).groupBy(*by).agg(F.min_by(F.when(has, F.struct("value", "ci_lower", "ci_upper")), F.when(has, near)).alias("p"), F.first("all").alias("all"))
+    # the mentions of one study of a stratum meet once, in one row
+    rows = mentions.groupBy(*by).agg(F.collect_list(F.struct("ord", "value", "ci_lower", "ci_upper")).alias("every"))
+    rows = rows.withColumn("g", F.filter("every", lambda x: x["ci_lower"].isNotNull()))
+    rows = rows.withColumns({"m": median(F.transform("g", lambda x: x["value"])), "all": median(F.transform("every", lambda x: x["value"]))})
+    # the median may lie between two values; distances that differ in a last bit are ties
+    near = lambda x: F.struct(F.round(F.abs(x["value"] - F.col("m")), 9).alias("far"), x["ord"].alias("ord"), x["value"].alias("value"), x["ci_lower"].alias("ci_lower"), x["ci_upper"].alias("ci_upper"))
+    pick = rows.withColumn("p", F.array_min(F.transform("g", near)))
     return pick.select(*by, F.coalesce("p.value", "all").alias("value"), F.col("p.ci_lower").alias("ci_lower"), F.col("p.ci_upper").alias("ci_upper"), F.col("p").isNotNull().alias("has_ci"))
 
 

@@ -10,6 +10,7 @@ from ..functions.expr import rounded
 from ..operators import evidence, meta
 from ..plans import fixtures
 from ..plans.lexicon import AMBIGUOUS_NAMES, CANONICAL, DROPPED_NAMES, FOREIGN_PARTS, GARBAGE_NAMES, STRIPPED_PHRASES, STRIPPED_WORDS
+from ..sources.staging import staged
 from .sqltext import CTES, literal, rnd, sql, values
 
 
@@ -23,7 +24,8 @@ def study_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dl_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = meta.dl_pool(meta.study_collapse(meta.with_contrast(fixtures.mentions(spark, sf_dir))), meta.STRATUM)
+    studies = staged(meta.study_collapse(meta.with_contrast(fixtures.mentions(spark, sf_dir))), "studies")  # read twice
+    p = meta.dl_pool(studies, meta.STRATUM)
     return p.select(*meta.STRATUM, *(rounded(F.col(c), 5).alias(c) for c in ("mu", "se", "pooled", "ci_lower", "ci_upper", "i_squared", "tau_squared")), "n_ci", "same_direction")
 
 

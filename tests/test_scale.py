@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from phenolith.operators import mining, phrases, tagging
+from phenolith.operators import meta, mining, phrases, tagging
 from phenolith.plans.lexicon import BOILERPLATE, GLUED, JUNK_SUBSTRINGS, JUNK_WORDS
 
 SMALL = "/root/testdata/sf0.001"
@@ -82,3 +82,12 @@ def test_effects_are_found_stretch_by_stretch(spark):
     found = mining.biomarker_mentions(df)
     assert sorted(map(tuple, found.select("doc_id", "ord", "value").collect())) == sorted(map(tuple, whole.collect()))
     assert "split(text" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_studies_collapse_in_one_exchange(spark):
+    """Mentions are neither read twice nor joined with their own medians."""
+    rows = [("b", 1, 3, 1.0, 0.5, 2.0), ("b", 1, 2, 2.0, 1.0, 3.0), ("b", 1, 1, 9.0, None, None), ("b", 2, 1, 4.0, None, None), ("b", 2, 2, 5.0, None, None), ("b", 3, 1, None, None, None)]
+    studies = meta.study_collapse(spark.createDataFrame(rows, "biomarker_name string, study_id long, ord long, value double, ci_lower double, ci_upper double"), ["biomarker_name"])
+    assert {r["study_id"]: tuple(r)[2:] for r in studies.collect()} == {1: (2.0, 1.0, 3.0, True), 2: (4.5, None, None, False), 3: (None, None, None, False)}
+    plan = studies._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan
