@@ -39,7 +39,8 @@ DOC_BITS = 24
 #: anchor needs one in MAX_HOT of them.
 HOT_ROWS = 32768
 MAX_HOT = 1 << 24
-SHARD_BYTES = 3 << 20
+#: Bytes of runs that get one suffix array, in whole anchors; sorting takes some 120 bytes of memory for each, and as long a byte in larger shards.
+SHARD_BYTES = 1 << 20
 PAST = np.uint64(257)
 
 

@@ -1,11 +1,14 @@
 """What larger tables ask of the queries: ids of more digits, and steps that grow no faster than their input."""
 
 import re
+import tracemalloc
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from phenolith.llm import suffix_dedup
 from phenolith.operators import meta, mining, phrases, tagging
 from phenolith.plans.lexicon import BOILERPLATE, GLUED, JUNK_SUBSTRINGS, JUNK_WORDS
 
@@ -91,3 +94,16 @@ def test_studies_collapse_in_one_exchange(spark):
     assert {r["study_id"]: tuple(r)[2:] for r in studies.collect()} == {1: (2.0, 1.0, 3.0, True), 2: (4.5, None, None, False), 3: (None, None, None, False)}
     plan = studies._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan
+
+
+def test_a_shard_of_runs_is_sorted_in_little_memory():
+    """Two workers of an executor sort a shard each beside its JVM."""
+    n = suffix_dedup.SHARD_BYTES // 75
+    rng = np.random.default_rng(1)
+    text, sizes = rng.integers(97, 101, n * 10, dtype=np.uint8), np.full(n, 75)
+    data = text[(rng.integers(0, len(text) - 75, n)[:, None] + np.arange(75)).ravel()]
+    tracemalloc.start()
+    suffix_dedup.resolve(np.sort(rng.integers(0, n // 6, n).astype(np.uint64)), rng.integers(0, 60000, n), data, np.arange(n) * 75, sizes, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
