@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenolith.llm import suffix_dedup
-from phenolith.operators import meta, mining, phrases, tagging
+from phenolith.operators import dedup, meta, mining, phrases, tagging
 from phenolith.plans.lexicon import BOILERPLATE, GLUED, JUNK_SUBSTRINGS, JUNK_WORDS
 
 SMALL = "/root/testdata/sf0.001"
@@ -107,3 +107,23 @@ def test_a_shard_of_runs_is_sorted_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200e6
+
+
+def test_a_set_is_sent_to_blocks_not_to_pairs(spark, monkeypatch):
+    """Pairs of a bucket meet at one place, or block by block if its sets are large; neither changes a link."""
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmnrst"]
+    texts = [" ".join(words[:30] + words[30 + i : 60 + i] + [words[-1 - i]] * (i % 3)) for i in range(24)] + ["short", None]
+    docs = spark.createDataFrame([(i, t, "one title for all") for i, t in enumerate(texts)], "doc_id long, text string, title string")
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 7]) for i in range(len(w) - 6)}
+
+    sets = {i: shingles(t) for i, t in enumerate(texts) if shingles(t)}
+    share = {(a, b): round(len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])), 6) for a in sets for b in sets if a < b}
+    classes = dedup.dup_classes(docs)
+    pairs = dedup.prefix_pairs(classes, spark.createDataFrame([], "doc_id long, cluster long"), 0.6)
+    assert dedup.meetings(pairs, classes).select("g").distinct().count() == 1
+    monkeypatch.setattr(dedup, "BLOCK_SHINGLES", 300)
+    assert 1 < dedup.meetings(pairs, classes).select("g").distinct().count() <= 25
+    assert {(r["a"], r["b"]): r["containment"] for r in dedup.containment_pairs(classes).collect()} == {p: c for p, c in share.items() if c >= 0.6}
