@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,78 @@ def needles(pattern: str) -> list[str]:
     return sorted(set(of(list(_parser.parse(pattern)))))
 
 
+def stopless(pattern: str) -> bool:
+    """Whether no match of a regular expression holds a full stop, nor depends on more beside it than where words end."""
+    from re import _constants as c
+    from re import _parser
+
+    def one(item: tuple) -> bool:
+        op, value = item
+        if op in (c.LITERAL, c.RANGE):
+            low, high = value if op is c.RANGE else (value, value)
+            return not low <= ord(".") <= high
+        if op is c.CATEGORY:
+            return value in (c.CATEGORY_DIGIT, c.CATEGORY_SPACE, c.CATEGORY_WORD)
+        if op is c.AT:
+            return value is c.AT_BOUNDARY
+        if op is c.BRANCH:
+            return all(one(x) for branch in value[1] for x in branch)
+        if op in (c.SUBPATTERN, c.MAX_REPEAT, c.MIN_REPEAT):
+            return all(map(one, value[-1]))
+        return op is c.IN and all(map(one, value))
+
+    return all(map(one, _parser.parse(pattern)))
+
+
+def stretches(text: Column, groups: Sequence[Sequence[str]], whole: Sequence[bool]) -> Column:
+    """i, parts of each group i of which a text holds a keyword: the stretches (at, s) between full stops that hold one, by their places.
+
+    ``whole`` names the groups that want the whole text as one stretch instead. One walk finds all; null texts have none.
+    """
+    import ahocorasick
+
+    owners: dict[str, set[int]] = {}
+    for i, group in enumerate(groups):
+        for word in group:
+            owners.setdefault(word, set()).add(i)
+    if len(owners) > MOST_KEYWORDS:
+        raise ValueError(f"{len(owners)} keywords; a dictionary of more than {MOST_KEYWORDS} is a table to join with")
+    always, entire = sorted(owners.pop("", ())), {i for i, x in enumerate(whole) if x}
+
+    @F.arrow_udf("array<struct<i:int,parts:array<struct<at:int,s:string>>>>")
+    def walk(texts: pa.Array) -> pa.Array:
+        trie = ahocorasick.Automaton()
+        for word, own in owners.items():
+            trie.add_word(word, tuple(own))
+        trie.make_automaton()
+        rows, numbers, cuts, at, parts = [0], [], [0], [], []
+        for text in texts.to_pylist():
+            found: dict[int, list[tuple[int, str]]] = {} if text is None else {i: [(0, text)] for i in always}
+            end, seen = 0, set(always)
+            for place, own in trie.iter(text) if text and owners else ():
+                if place >= end:
+                    begin, end = text.rfind(".", 0, place) + 1, text.find(".", place)
+                    end, seen = len(text) if end < 0 else end, set(always)
+                for i in own:
+                    if i not in seen:
+                        seen.add(i)
+                        if i not in entire:
+                            found.setdefault(i, []).append((begin, text[begin:end]))
+                        elif i not in found:
+                            found[i] = [(0, text)]
+            for i in sorted(found):
+                numbers.append(i)
+                at += [a for a, _ in found[i]]
+                parts += [x for _, x in found[i]]
+                cuts.append(len(at))
+            rows.append(len(numbers))
+        each = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(parts, pa.string())], ["at", "s"])
+        by = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(np.array(cuts, np.int32)), each)], ["i", "parts"])
+        return pa.ListArray.from_arrays(pa.array(np.array(rows, np.int32)), by)
+
+    return walk(text)
+
+
 def matching(df: DataFrame, text: str, patterns: Mapping[str, str], name: str = "name") -> DataFrame:
     """Rows of df once for each pattern that ``text`` matches, with its ``name`` and ``pattern``.
 

@@ -10,21 +10,31 @@ from pyspark.sql import functions as F
 from ..plans.lexicon import (
     BIOMEDICAL, COMPARED, CONNECTING, CONTROL_PERCENT, CUES, DESIGN, FARTHEST_NAME, LARGEST_AGE, LEAST_AGE, LONG_LIVES, NOT_IN_NAMES, PERSON_AGES, SURVEY_BY_CATEGORY, SURVEY_BY_NAME, SYNONYMS, TAG_TRAITS, UNITS, WHO_BY_CATEGORY, WHO_BY_NAME,
 )
-from .dictionary import matching, words_pattern
-from .tagging import any_of, spans_of, windows_around
+from .dictionary import MOST_KEYWORDS, contained, matching, words_pattern
+from .tagging import any_of, holds, mentions, spans_of, told_stretches, windows_around, windows_at
 
 
-def name_in_text_join(docs: DataFrame, registry: DataFrame, text: str = "text", gap: int = 15) -> DataFrame:
-    """doc_id, match: registry names whose first and last word stand within ``gap`` characters in a text.
+def name_candidates(docs: DataFrame, registry: DataFrame, text: str, gap: int) -> DataFrame:
+    """doc_id, t, clean, first, pattern: lower-cased texts with the registry names whose first word they may hold.
 
-    Words of the texts meet first words of names in an equi-join; only candidates are verified.
+    One walk finds the first words of a registry that can be sent to the tasks; words of the texts meet those of a larger one
+    in an equi-join. Names of one word are left out.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1))
-    tokens = docs.select("doc_id", F.explode(words).alias("w"))
     parts = F.split("clean", " ")
-    names = registry.select("clean", F.element_at(parts, 1).alias("w"), F.concat(F.lit(r"\b"), F.element_at(parts, 1), F.lit(rf"\b.{{0,{gap}}}\b"), F.element_at(parts, -1), F.lit(r"\b")).alias("pattern")).where(F.size(parts) > 1)
-    candidates = tokens.join(names, "w").select("doc_id", "clean", "pattern")
-    found = candidates.join(docs.select("doc_id", F.lower(text).alias("t")), "doc_id").where(F.rlike("t", F.col("pattern")))
+    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    names = registry.where((F.size(parts) > 1) & (first != "")).select("clean", first.alias("first"), F.concat(F.lit(r"\b"), first, F.lit(rf"\b.{{0,{gap}}}\b"), last, F.lit(r"\b")).alias("pattern")).distinct()
+    low = docs.select("doc_id", F.lower(text).alias("t"))
+    given = names.limit(MOST_KEYWORDS + 1).collect()
+    if len(given) > MOST_KEYWORDS:
+        words = F.array_distinct(F.regexp_extract_all("t", F.lit("([a-z]+)"), 1))
+        return low.select("doc_id", F.explode(words).alias("first")).join(names, "first").join(low, "doc_id").select("doc_id", "t", "clean", "first", "pattern")
+    table = docs.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(given)], "i int, clean string, first string, pattern string")
+    return low.select("doc_id", "t", F.explode(contained(F.col("t"), [[r["first"]] for r in given])).alias("i")).join(F.broadcast(table), "i").drop("i")
+
+
+def name_in_text_join(docs: DataFrame, registry: DataFrame, text: str = "text", gap: int = 15) -> DataFrame:
+    """doc_id, match: registry names whose first and last word stand within ``gap`` characters in a text."""
+    found = name_candidates(docs, registry, text, gap).where(F.rlike("t", F.col("pattern")))
     return found.select("doc_id", F.col("clean").alias("match")).distinct()
 
 
@@ -77,23 +87,29 @@ def phrase_context(docs: DataFrame, phrases: list[str], text: str = "text", most
 
 
 def name_positions(docs: DataFrame, registry: DataFrame, text: str = "text", gap: int = 15) -> DataFrame:
-    """doc_id, name, at: where the registry's names (first word, up to ``gap`` characters, last word) stand in a text, from 0."""
-    found = name_in_text_join(docs, registry, text, gap).withColumnRenamed("match", "name").join(docs.select("doc_id", F.lower(text).alias("t")), "doc_id")
-    parts = F.split("name", " ")
-    pattern = F.concat(F.lit(r"\b"), F.element_at(parts, 1), F.lit(rf"\b.{{0,{gap}}}\b"), F.element_at(parts, -1), F.lit(r"\b"))
-    return found.select("doc_id", "name", F.explode(spans_of(F.col("t"), pattern)["a"]).alias("at"))
+    """doc_id, name, at: where the registry's names (first word, up to ``gap`` characters, last word) stand in a text, from 0.
+
+    A text is walked from shortly before the first place of a name's first word on.
+    """
+    found = name_candidates(docs, registry, text, gap).withColumn("from", F.greatest(F.instr("t", F.col("first")) - 32, F.lit(1)))
+    spans = spans_of(F.substr("t", F.col("from")), F.col("pattern"))
+    return found.select("doc_id", F.col("clean").alias("name"), "from", F.explode(spans["a"]).alias("at")).select("doc_id", "name", (F.col("at") + F.col("from") - 1).alias("at")).distinct()
 
 
 def age_positions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, kind, at, age: ages of people in context, with the number of the pattern that found each and its place, from 0."""
-    low = F.lower(text)
+    """doc_id, kind, at, age: ages of people in context, with the number of the pattern that found each and its place, from 0.
+
+    No pattern's match holds a full stop, so only stretches between those that have two digits are walked.
+    """
+    near = told_stretches(F.lower(text), lambda x: x.rlike(r"\d\d"))
+    each = docs.select("doc_id", F.explode(near).alias("z")).select("doc_id", F.col("z.at").alias("from"), F.col("z.s").alias("s"))
 
     def of(kind: int, pattern: str) -> Column:
-        one = lambda s: F.struct(F.lit(kind).alias("kind"), s["a"].alias("at"), F.regexp_extract(F.substring(low, s["a"] + 1, s["b"] - s["a"]), pattern, 1).cast("int").alias("age"))
-        return F.transform(spans_of(low, pattern), one)
+        one = lambda x: F.struct(F.lit(kind).alias("kind"), (F.col("from") + x["a"]).alias("at"), F.regexp_extract(F.substring("s", x["a"] + 1, x["b"] - x["a"]), pattern, 1).cast("int").alias("age"))
+        return F.transform(spans_of(F.col("s"), pattern), one)
 
     ages = F.filter(F.concat(*(of(i, p) for i, p in enumerate(PERSON_AGES))), lambda x: x["age"].between(LEAST_AGE, LARGEST_AGE))
-    return docs.where(low.rlike(r"\d")).select("doc_id", F.explode(ages).alias("x")).select("doc_id", "x.*")
+    return each.select("doc_id", F.explode(ages).alias("x")).select("doc_id", "x.*")
 
 
 def age_person_mentions(docs: DataFrame, persons: DataFrame, text: str = "text", farthest: int = FARTHEST_NAME) -> DataFrame:

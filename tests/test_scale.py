@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from phenolith.llm import suffix_dedup
-from phenolith.operators import dedup, meta, mining, phrases, tagging
-from phenolith.plans.lexicon import BOILERPLATE, GLUED, JUNK_SUBSTRINGS, JUNK_WORDS
+from phenolith.operators import dedup, dictionary, meta, mining, phrases, tagging
+from phenolith.plans.lexicon import BOILERPLATE, GLUED, JUNK_SUBSTRINGS, JUNK_WORDS, LONG_LIVES, PERSON_AGES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -127,3 +127,19 @@ def test_a_set_is_sent_to_blocks_not_to_pairs(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK_SHINGLES", 300)
     assert 1 < dedup.meetings(pairs, classes).select("g").distinct().count() <= 25
     assert {(r["a"], r["b"]): r["containment"] for r in dedup.containment_pairs(classes).collect()} == {p: c for p, c in share.items() if c >= 0.6}
+
+
+def test_patterns_are_tried_between_full_stops(spark):
+    """Mentions, ages and gates found stretch by stretch are those of one walk over the whole text."""
+    texts = ["walk. walking on.\nthe walker; no. tai chi", "a.b walk", "", None, "none here. 12. at the age of 99. aged 101.5 and aged\n97", "é. Walks é walk. 98 years old.", "long. lived long-lived walk"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).withColumn("t", F.lower("text"))
+    for pattern in (r"\bwalk\w*|tai chi", r"walk[^x]on", r"a\.b", r"x?"):
+        whole = [(r["doc_id"], [tuple(x) for x in r["s"]]) for r in df.select("doc_id", tagging.spans_of(F.col("t"), pattern).alias("s")).where("size(s) > 0").collect()]
+        assert [(r["doc_id"], [tuple(x) for x in r["spans"]]) for r in tagging.mentions(df, "t", {"p": pattern}).collect()] == whole
+    assert [dictionary.stopless(p) for p in (r"\bwalk\w*|tai chi", "a.c", "[^x]", r"\S", r"a\.b", "(?<=a)b", "[+-9]", r"long[-\s]lived")] == [True, *[False] * 6, True]
+    assert all(map(dictionary.stopless, PERSON_AGES))
+    assert [r["h"] for r in df.select(tagging.holds(F.col("t"), LONG_LIVES).alias("h")).collect()] == [False] * 6 + [True]
+    ages = {(r["doc_id"], r["at"], r["age"]) for r in mining.age_positions(df).collect()}
+    assert ages == {(i, m.start(), int(m[1])) for i, t in enumerate(texts) for p in PERSON_AGES for m in re.finditer(p, (t or "").lower()) if 95 <= int(m[1]) <= 135}
+    plan = mining.name_positions(df, spark.createDataFrame([("ada walk",)], "clean string"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "regexp_extract_all(t" not in plan.split("Generate explode")[-1]
