@@ -176,11 +176,10 @@ def corroboration_lock(papers: DataFrame, traits: dict[str, str], synonyms: dict
     Traits without synonyms go by the words of their name. Papers are scanned once and walked once for all words.
     """
     words = {t: synonyms.get(t) or [w for w in re.split(r"[/()\s]+", t) if len(w) > 2] or [t] for t in traits}
-    low = papers.select("doc_id", F.lower("text").alias("t"), F.coalesce("has_effect", F.lit(False)).alias("has_effect"), F.coalesce("has_percent", F.lit(False)).alias("has_percent")).where(F.rlike("t", F.lit(LONG_LIVES)))
-    hits = matching(low, "t", {t: words_pattern(w) for t, w in words.items()}, "trait")
-    topical = F.exists(windows_around(F.col("t"), F.col("pattern"), 80), lambda x: ~x.rlike(DESIGN))
-    compared = F.col("has_effect") & F.col("has_percent") & F.rlike("t", F.lit(COMPARED))
-    by = hits.groupBy("trait").agg(F.count("*").alias("raw"), F.count(F.when(topical, 1)).alias("topical"), F.max(compared).alias("compared"))
+    low = papers.select("doc_id", F.lower("text").alias("t"), F.coalesce("has_effect", F.lit(False)).alias("has_effect"), F.coalesce("has_percent", F.lit(False)).alias("has_percent")).where(holds(F.col("t"), LONG_LIVES))
+    hits = mentions(low.withColumn("told", F.col("has_effect") & F.col("has_percent") & holds(F.col("t"), COMPARED)), "t", {t: words_pattern(w) for t, w in words.items()}, "trait")
+    topical = F.exists(windows_at(F.col("t"), F.col("spans"), 80), lambda x: ~x.rlike(DESIGN))
+    by = hits.groupBy("trait").agg(F.count("*").alias("raw"), F.count(F.when(topical, 1)).alias("topical"), F.max("told").alias("compared"))
     spark = papers.sparkSession
     rows = [(t, c, survey_module(t, c) or "", next((x for w, x in WHO_BY_NAME.items() if w in t.lower()), WHO_BY_CATEGORY.get(c)) or "") for t, c in traits.items()]
     all_ = spark.createDataFrame(rows, "trait string, category string, module string, who string")
@@ -199,10 +198,10 @@ def control_pct_mine(papers: DataFrame, traits: list[str], synonyms: dict[str, l
     to 40 after, gives one if a percentage stands beside "control" within a sentence. Examples are the first three by document and place.
     """
     words = {t: synonyms.get(t) or [w for w in re.split(r"[/()\s]+", t) if len(w) > 2] or [t] for t in traits}
-    low = papers.select("doc_id", F.lower("text").alias("t")).where(F.rlike("t", F.lit(LONG_LIVES)) & F.rlike("t", F.lit(COMPARED)))
-    hits = matching(low, "t", {t: words_pattern(w) for t, w in words.items()}, "trait")
+    low = papers.select("doc_id", F.lower("text").alias("t")).where(holds(F.col("t"), LONG_LIVES) & holds(F.col("t"), COMPARED))
+    hits = mentions(low, "t", {t: words_pattern(w) for t, w in words.items()}, "trait")
     group = lambda x, g: F.nullif(F.regexp_extract(x, CONTROL_PERCENT, g), F.lit(""))
-    found = F.array_compact(F.transform(windows_around(F.col("t"), F.col("pattern"), 120, 40), lambda x: F.coalesce(group(x, 1), group(x, 2))))
+    found = F.array_compact(F.transform(windows_at(F.col("t"), F.col("spans"), 120, 40), lambda x: F.coalesce(group(x, 1), group(x, 2))))
     counted = hits.select("trait", "doc_id", found.alias("found"))
     by = counted.groupBy("trait").agg(F.count("*").alias("papers"), F.sum(F.size("found")).alias("n"))
     first = counted.where(F.size("found") > 0).withColumn("r", F.row_number().over(Window.partitionBy("trait").orderBy("doc_id"))).where("r <= 3")
