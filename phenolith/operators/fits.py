@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import rounded
+from ..sources.staging import staged
 from . import stats
 
 L2 = 1e-4
@@ -106,7 +107,11 @@ def adjusted_coefficients(rows: DataFrame, key: str, value: str, label: str, cov
 
 
 def feature_association(long: DataFrame, min_n: int = 300, lag: float = 24) -> DataFrame:
-    """feature, n, deaths, auc, adj_coef, adj_coef_landmark of long rows (feature, alignment, age, male, deceased, permth_exm), most protective first by rank."""
+    """feature, n, deaths, auc, adj_coef, adj_coef_landmark of long rows (feature, alignment, age, male, deceased, permth_exm), most protective first by rank.
+
+    The rows are made once and written to the shared folder, as the counts, the ranks and both fits read them.
+    """
+    long = staged(long.select("feature", "alignment", "age", "male", "deceased", "permth_exm"), "association")
     large = long.groupBy("feature").agg(F.count("alignment").alias("c"), F.min("deceased").alias("a"), F.max("deceased").alias("b")).where((F.col("c") >= min_n) & (F.col("a") < F.col("b"))).select("feature")
     rows = long.join(F.broadcast(large), "feature").withColumn("survived", 1 - F.col("deceased"))
     a = stats.auc(rows, "alignment", "survived", ["feature"]).select("feature", "n", (F.col("n") - F.col("events")).alias("deaths"), rounded(F.col("auc"), 4).alias("auc_align_to_survival"))
