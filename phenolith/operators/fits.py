@@ -121,7 +121,8 @@ def feature_association(long: DataFrame, min_n: int = 300, lag: float = 24) -> D
 
 
 def ablation(wide: DataFrame, scores: Sequence[str], label: str = "deceased") -> DataFrame:
-    """score, n, deaths, auc to survival and adjusted coefficient of each score column; those under 50 rows go."""
+    """score, n, deaths, auc to survival and adjusted coefficient of each score column; those under 50 rows go. The wide rows are made once, for ranks and fit."""
+    wide = staged(wide.select(*(c for c in ("subject_id", "age", "male", label, "permth_exm") if c in wide.columns), *scores), "ablation")
     long = wide.unpivot([c for c in ("subject_id", "age", "male", label, "permth_exm") if c in wide.columns], list(scores), "score", "value").where("value is not null")
     rows = long.withColumn("survived", 1 - F.col(label))
     a = stats.auc(rows, "value", "survived", ["score"]).where("n >= 50")
