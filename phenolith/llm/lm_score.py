@@ -252,13 +252,14 @@ def fit(counts: DataFrame, pieces: list[bytes], weights: np.ndarray, fresh: floa
     return logs, end
 
 
-def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
+def lm_scores(docs: DataFrame, model_path: str | None, rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Tokens are the words and one end; null and empty texts have the end alone. ``score`` is the
     log10 of the text's marginal probability, words taken as separated by one space. Without
     training documents base scores are 0 and pieces keep the weights of their ranks. Repeated rows are
-    scored each, and count in training each. Other columns are not carried.
+    scored each, and count in training each. Other columns are not carried. Without a model the columns but ``score`` are
+    made, as they need no pieces.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
@@ -267,34 +268,34 @@ def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int
     n_ends = train.select("doc_id").count()
     found = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     n, v = found["n"] + n_ends, found["v"] + (n_ends > 0)
-    pieces, weights = vocabulary(model_path)
-    fresh = (found["once"] + 1) / (n + 2)
-    logs, end = fit(counts, pieces, weights, fresh, n, rounds)
-    seen, unseen = (1 - fresh) / max(n, 1), math.log10(fresh)
-    end = math.log10(seen * n_ends + fresh * math.exp(end))
+    pieces, logs, seen, unseen, end = [], None, 0.0, 0.0, 0.0
+    if model_path is not None:
+        pieces, weights = vocabulary(model_path)
+        fresh = (found["once"] + 1) / (n + 2)
+        logs, end = fit(counts, pieces, weights, fresh, n, rounds)
+        seen, unseen = (1 - fresh) / max(n, 1), math.log10(fresh)
+        end = math.log10(seen * n_ends + fresh * math.exp(end))
     least = -(-n // heavy)
     table = counts.where(F.col("c") >= max(least, 1)).select("h", "c").toArrow()  # at most ``heavy`` rows
     keys, c = table["h"].to_numpy().astype(np.int64).view(np.uint64), table["c"].to_numpy().astype(np.int64)
     order = np.argsort(keys)
     told = spark.sparkContext.broadcast((pieces, logs, keys[order], c[order]))
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, n array<int>, own array<double>"
+    lists = ["h", "n"] if model_path is None else ["h", "n", "own"]
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, h array<long>, n array<int>" + ("" if model_path is None else ", score double, own array<double>")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pieces, logs, keys, c = told.value
-        lattice, uid = Lattice(pieces, logs), TaskContext.get().partitionId() << 40
+        lattice, uid = Lattice(pieces, logs) if pieces else None, TaskContext.get().partitionId() << 40
         value = np.log10(c + 0.5)
         for batch, data, at in text_batches(batches, most=BATCH):
             starts, ends, rows = word_bounds(data, at)
             h, one, of = np.unique(span_hashes(data, starts, ends, FOLDED), return_index=True, return_inverse=True)
-            words, place = _spaced(LOWER[data], starts[one], ends[one] - starts[one])
-            own = unseen + lattice.log_marginals(words, place) / LN10
             m = len(at) - 1
             at_key = np.searchsorted(keys, h).clip(max=max(len(keys) - 1, 0))
             is_heavy = keys[at_key] == h if len(keys) else np.zeros(len(h), bool)
             worth = np.where(is_heavy, value[at_key] if len(keys) else 0.0, math.log10(0.5))
-            marginal = np.where(is_heavy, np.log10(seen * (c[at_key] if len(keys) else 0.0) + 10.0**own), own)
             n_words = np.bincount(rows, minlength=m)
             # the other words of each document, with their numbers
             rest = np.flatnonzero(~is_heavy[of])
@@ -302,30 +303,35 @@ def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int
             pair, times = np.unique(pair, return_counts=True)
             row, word = pair // max(len(h), 1), pair % max(len(h), 1)
             cut = np.searchsorted(row, np.arange(m + 1)).astype(np.int32)
+            each = lambda x, kind: pa.ListArray.from_arrays(pa.array(cut), pa.array(x, kind))  # noqa: B023, E731
             columns = [
-                np.arange(uid, uid + m),
-                None,
-                None,
-                n_words + 1,
-                np.bincount(rows, is_heavy[of], m).astype(np.int64) + (n_ends > 0),
-                np.bincount(rows, worth[of], m) + math.log10(n_ends + 0.5),
-                np.bincount(rows, marginal[of], m) + end,
+                pa.array(np.arange(uid, uid + m)),
+                batch.column(0),
+                batch.column(2),
+                pa.array(n_words + 1),
+                pa.array(np.bincount(rows, is_heavy[of], m).astype(np.int64) + (n_ends > 0)),
+                pa.array(np.bincount(rows, worth[of], m) + math.log10(n_ends + 0.5)),
+                each(h[word].view(np.int64), pa.int64()),
+                each(times, pa.int32()),
             ]
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (h[word].view(np.int64), times.astype(np.int32), own[word])]
-            arrays = [batch.column(i - 1) if i in (1, 2) else pa.array(x) for i, x in enumerate(columns)]
-            arrays[1], arrays[2] = batch.column(0), batch.column(2)
-            yield pa.RecordBatch.from_arrays([*arrays, *lists], names=[x.split()[0] for x in schema.split(", ")])
+            if lattice:
+                words, place = _spaced(LOWER[data], starts[one], ends[one] - starts[one])
+                own = unseen + lattice.log_marginals(words, place) / LN10
+                marginal = np.where(is_heavy, np.log10(seen * (c[at_key] if len(keys) else 0.0) + 10.0**own), own)
+                columns += [pa.array(np.bincount(rows, marginal[of], m) + end), each(own[word], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
             uid += m
 
     scored = written(texts.mapInArrow(score, schema), "lm-scored")
-    rest = scored.select("uid", F.explode(F.arrays_zip("h", "n", "own")).alias("x")).select("uid", "x.*")
+    rest = scored.select("uid", F.explode(F.arrays_zip(*lists)).alias("x")).select("uid", "x.*")
     light = counts.where(F.col("c") < max(least, 1)).select("h", "c")
-    base = F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))
-    score_ = F.col("n") * (F.log10(seen * F.col("c") + F.pow(F.lit(10.0), F.col("own"))) - F.col("own"))
-    more = rest.join(light, "h").groupBy("uid").agg(F.sum(base).alias("more"), F.sum("n").alias("more_known"), F.sum(score_).alias("more_score"))
+    sums = {"more": F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5))), "more_known": F.col("n")}
+    if model_path is not None:
+        sums["more_score"] = F.col("n") * (F.log10(seen * F.col("c") + F.pow(F.lit(10.0), F.col("own"))) - F.col("own"))
+    more = rest.join(light, "h").groupBy("uid").agg(*(F.sum(x).alias(name) for name, x in sums.items()))
     whole = F.log10(F.lit(n + 0.5 * (v + 1)))
     return (
-        scored.drop("h", "n", "own")
+        scored.drop(*lists)
         .join(more, "uid", "left")
         .select(
             "doc_id",
@@ -334,6 +340,6 @@ def lm_scores(docs: DataFrame, model_path: str, rounds: int = ROUNDS, heavy: int
             (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * whole).alias("base_score"),
-            (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+            *([] if model_path is None else [(F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score")]),
         )
     )
