@@ -216,12 +216,22 @@ def candidate_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_rows(spark, sf_dir).select("doc_id", F.size("noun_phrase").alias("n_phrases"))
 
 
+def lifted(spark: SparkSession, sf_dir: str, floors: dict[str, tuple[int, float]]) -> DataFrame:
+    """phrase_lift of the documents. Of those without a label no text is shuffled for the focus class."""
+    docs = spread(fixtures.table(spark, sf_dir, "documents"))
+    labels = fixtures.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    each = F.col("text").alias("noun_phrase"), phrases.attribution_phrases(story()).alias("attribution")
+    rows = docs.join(labels, "doc_id", "left").select(F.coalesce(F.col("quality") == 1, F.lit(False)).alias("focus"), F.least(F.col("n_chars") / 1000.0, F.lit(20.0)).alias("weight"), F.col("lang").alias("country"), F.col("source").alias("individual"), *each)
+    good = labels.where("quality = 1").select("doc_id")
+    return phrases.phrase_lift(rows, floors, ["noun_phrase"], phrases.sifted(docs.select("doc_id", "text"), good).join(good, "doc_id").select(*each))
+
+
 def phrase_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (5, 1.1), "attribution": (3, 1.0)})
+    return lifted(spark, sf_dir, {"noun_phrase": (5, 1.1), "attribution": (3, 1.0)})
 
 
 def phrase_topk_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)})
+    lift = lifted(spark, sf_dir, {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)})
     return phrases.topk_registry(lift, 20).select("feature_type", "rank", "phrase")
 
 
@@ -230,7 +240,7 @@ CONCEPTS = {"connectives": (1, "prose", ["and", "und"]), "articles": (2, "prose"
 
 
 def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lift = phrases.phrase_lift(phrase_rows(spark, sf_dir), {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)}).select("phrase")
+    lift = lifted(spark, sf_dir, {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)}).select("phrase")
     return phrases.concept_match(lift, CODEBOOK | CONCEPTS)
 
 

@@ -57,6 +57,44 @@ def test_phrases_of_long_and_odd_texts(spark, monkeypatch):
     assert [r["p"] for r in df.select(phrases.candidate_phrases(F.col("t")).alias("p")).collect()] == [plain(t) for t in texts]
 
 
+def test_phrases_are_counted_in_steps_between_hashes():
+    """Steps of any width come back as the ids of each part, none more often than a floor asks for."""
+    ids = np.sort(np.concatenate([[0, 0, 0, 0, 65534, 65535, 65536, (1 << 20) - 1, 1 << 20, (1 << 32) - 1], np.random.default_rng(1).integers(0, 1 << 32, 5000), [7 << 20] * 9]))
+    part, at, steps = phrases._packed(ids, 3)
+    back = np.concatenate([(int(p) << 20) + phrases._unpacked(steps[a:b].tobytes()) for p, a, b in zip(part, at[:-1], at[1:], strict=True)])
+    every, n = np.unique(ids, return_counts=True)
+    assert np.array_equal(back, np.repeat(every, np.minimum(n, 3))) and len(steps) <= len(ids) + 16 * (1 << 12)
+
+
+def test_phrases_of_texts_are_counted_where_they_are_found(spark, monkeypatch):
+    """No array of all phrases is made, what a task holds is bounded, and phrases meet in one exchange; the rows are those of arrays."""
+    for name, most in (("FOUND_BYTES", 60), ("HELD_HASHES", 7), ("HELD_ROWS", 5)):
+        monkeypatch.setattr(phrases, name, most)
+    words = ["olive", "garden", "soup", "bread", "study", "the"]
+    texts = [" ".join(words[(i * j + j // 3) % 6] for j in range(i % 9 + 2)) for i in range(80)] + ["", None, "OLIVE Öl garden"]
+    rows = [(i, i % 3 != 1, None if i % 11 == 0 else i / 4, [None, "de", "fr"][i % 3], f"s{i % 7}" if i % 5 else None, t, ["luck", "luck", None] if i % 2 else None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, focus boolean, weight double, country string, individual string, noun_phrase string, attribution array<string>")
+    floors = {"noun_phrase": (4, 0.9), "attribution": (3, 0.5)}
+    found = phrases.phrase_lift(docs, floors, ["noun_phrase"])
+    by = {}
+    for _, focus, weight, country, person, text, told in rows:
+        tokens = re.findall("[a-z]+", (text or "").lower())
+        grams = {tuple(tokens[i : i + n]) for n in range(2, 6) for i in range(len(tokens) - n + 1)}
+        for key in [("noun_phrase", " ".join(g)) for g in grams if all(map(phrases.good_word, g)) and set(g) - set(JUNK_WORDS)] + [("attribution", x) for x in set(told or []) - {None}]:
+            by.setdefault(key, []).append((focus, weight, country, person))
+    n_focus, plain = sum(r[1] for r in rows), {}
+    for key, each in by.items():
+        inside = sum(e[0] for e in each)
+        lift = inside / n_focus / (len(each) / len(rows))
+        if inside >= floors[key[0]][0] and lift >= floors[key[0]][1]:
+            plain[key] = (inside, len(each), round(sum(e[1] or 0 for e in each) + 1e-9, 2), round(lift + 1e-9, 3), len({e[2] for e in each if e[0]} - {None}), len({e[3] for e in each} - {None}))
+    assert {tuple(r)[:2]: tuple(r)[2:8] for r in found.collect()} == plain and len(plain) > 20
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(") == 1 and "ArrowEvalPython" not in plan
+    focused = docs.where("focus").select("noun_phrase", "attribution")
+    assert sorted(map(tuple, phrases.phrase_lift(docs, floors, ["noun_phrase"], focused).collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_boilerplate_is_looked_for_only_where_it_can_be(spark):
     """The patterns' plan tries replacements behind a plain search, and the texts are those of all replacements in turn."""
     texts = ["The team met. Cookie Policy of ours is here now. We like ourterms and PIANO meteractive meterexpired callbackevent things.", "aB andObesity tobaccoas. Short. A whole sentence stays here.", "the Local community thelocal community. A fine sentence is here", "", None]
