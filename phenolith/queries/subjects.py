@@ -245,9 +245,9 @@ def concept_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = phrase_rows(spark, sf_dir)  # finding phrases again costs less than writing all of them
-    registry = phrases.topk_registry(phrases.phrase_lift(rows, {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)}), 20)
-    vectors, _ = phrases.feature_vectors(rows.select("doc_id", F.concat("noun_phrase", "attribution").alias("phrases")), registry)
+    registry = phrases.topk_registry(lifted(spark, sf_dir, {"noun_phrase": (3, 1.0), "attribution": (3, 1.0)}), 20)
+    docs = spread(fixtures.table(spark, sf_dir, "documents"))  # finding phrases again costs less than writing all of them
+    vectors, _ = phrases.feature_vectors(docs.select("doc_id", "text", phrases.attribution_phrases(story()).alias("phrases")), registry, text="text")
     return vectors.select("doc_id", F.array_join("columns", ",").alias("columns"), F.size("columns").alias("n_features"), "cross_cultural")
 
 

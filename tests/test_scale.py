@@ -95,6 +95,25 @@ def test_phrases_of_texts_are_counted_where_they_are_found(spark, monkeypatch):
     assert sorted(map(tuple, phrases.phrase_lift(docs, floors, ["noun_phrase"], focused).collect())) == sorted(map(tuple, found.collect()))
 
 
+def test_registry_phrases_are_found_in_texts_without_arrays_of_all(spark):
+    """Texts and arrays give one set of columns a document; the registry is made once and no array of all phrases is."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(n):
+        asked.add(1)
+        return n
+
+    registry = spark.createDataFrame([("olive oil", 1), ("garden soup", 1), ("garden soup", 3), ("luck", 2), (None, 5)], "phrase string, n long").coalesce(1)
+    registry = registry.select("phrase", F.udf(seen, "long")("n").alias("n_countries"))
+    rows = [(1, "Olive oil, GARDEN soup; olive oil", ["luck", None]), (2, None, None), (3, "garden the soup", []), (3, "good olive oil", None), (4, "x", ["olive oil", "olive oil"]), (None, "olive oil", ["luck"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, phrases array<string>")
+    found, vocabulary = phrases.feature_vectors(docs, registry, text="text")
+    assert {tuple(r)[::2] for r in vocabulary.where("phrase is not null").collect()} == {("garden soup", 1), ("luck", 2), ("olive oil", 3)}
+    assert {r["doc_id"]: (r["columns"], r["cross_cultural"]) for r in found.collect()} == {1: ([1, 2, 3], True), 2: ([], False), 3: ([3], False), 4: ([3], False), None: ([], False)}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert asked.value == 5 and plan.count("hashpartitioning(") == 1 and "ArrowEvalPython" not in plan
+
+
 def test_boilerplate_is_looked_for_only_where_it_can_be(spark):
     """The patterns' plan tries replacements behind a plain search, and the texts are those of all replacements in turn."""
     texts = ["The team met. Cookie Policy of ours is here now. We like ourterms and PIANO meteractive meterexpired callbackevent things.", "aB andObesity tobaccoas. Short. A whole sentence stays here.", "the Local community thelocal community. A fine sentence is here", "", None]
