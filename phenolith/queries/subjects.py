@@ -217,13 +217,10 @@ def candidate_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifted(spark: SparkSession, sf_dir: str, floors: dict[str, tuple[int, float]]) -> DataFrame:
-    """phrase_lift of the documents. Of those without a label no text is shuffled for the focus class."""
     docs = spread(fixtures.table(spark, sf_dir, "documents"))
-    labels = fixtures.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    each = F.col("text").alias("noun_phrase"), phrases.attribution_phrases(story()).alias("attribution")
-    rows = docs.join(labels, "doc_id", "left").select(F.coalesce(F.col("quality") == 1, F.lit(False)).alias("focus"), F.least(F.col("n_chars") / 1000.0, F.lit(20.0)).alias("weight"), F.col("lang").alias("country"), F.col("source").alias("individual"), *each)
-    good = labels.where("quality = 1").select("doc_id")
-    return phrases.phrase_lift(rows, floors, ["noun_phrase"], phrases.sifted(docs.select("doc_id", "text"), good).join(good, "doc_id").select(*each))
+    labels = fixtures.table(spark, sf_dir, "labels").select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("focus"))
+    rows = docs.select("doc_id", F.least(F.col("n_chars") / 1000.0, F.lit(20.0)).alias("weight"), F.col("lang").alias("country"), F.col("source").alias("individual"), F.col("text").alias("noun_phrase"), phrases.attribution_phrases(story()).alias("attribution"))
+    return phrases.phrase_lift(rows, floors, ["noun_phrase"], labels)
 
 
 def phrase_lift(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,21 @@ def test_phrases_of_texts_are_counted_where_they_are_found(spark, monkeypatch):
     assert {tuple(r)[:2]: tuple(r)[2:8] for r in found.collect()} == plain and len(plain) > 20
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("hashpartitioning(") == 1 and "ArrowEvalPython" not in plan
-    focused = docs.where("focus").select("noun_phrase", "attribution")
-    assert sorted(map(tuple, phrases.phrase_lift(docs, floors, ["noun_phrase"], focused).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_texts_without_a_label_are_not_shuffled(spark, monkeypatch):
+    """Labels of many documents, of some twice, give the counts of a plain join; only texts with a label, and few others, go through it."""
+    texts = [" ".join(f"{a} {b}" for a in ("olive", "garden", "soup")[: i % 3 + 1] for b in ("bread", "rest")[: i % 2 + 1]) for i in range(60)]
+    docs = spark.createDataFrame([(i if i < 58 else None, 1.5, "de", f"s{i % 7}", t) for i, t in enumerate(texts)], "doc_id long, weight double, country string, individual string, noun_phrase string")
+    labels = spark.createDataFrame([(i, i % 4 != 1) for i in range(0, 40)] + [(3, True), (3, True), (5, True), (99, True), (7, None), (None, True)], "doc_id long, focus boolean")
+    floors = {"noun_phrase": (3, 0.2)}
+    small = sorted(map(tuple, phrases.phrase_lift(docs, floors, ["noun_phrase"], labels).collect()))
+    monkeypatch.setattr(phrases, "DIMENSION_ROWS", 2)
+    found = phrases.phrase_lift(docs, floors, ["noun_phrase"], labels)
+    joined = docs.join(labels, "doc_id", "left").withColumn("focus", F.coalesce("focus", F.lit(False)))
+    assert sorted(map(tuple, found.collect())) == small == sorted(map(tuple, phrases.phrase_lift(joined, floors, ["noun_phrase"]).collect())) and len(small) > 5
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow find") == 2 and "Union" in plan
 
 
 def test_registry_phrases_are_found_in_texts_without_arrays_of_all(spark):
