@@ -105,7 +105,7 @@ def test_texts_without_a_label_are_not_shuffled(spark, monkeypatch):
     joined = docs.join(labels, "doc_id", "left").withColumn("focus", F.coalesce("focus", F.lit(False)))
     assert sorted(map(tuple, found.collect())) == small == sorted(map(tuple, phrases.phrase_lift(joined, floors, ["noun_phrase"]).collect())) and len(small) > 5
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("MapInArrow find") == 2 and "Union" in plan
+    assert "Union" in plan.split("MapInArrow find")[1] and plan.split("Union")[1].count("ArrowEvalPython [held(") >= 2
 
 
 def test_registry_phrases_are_found_in_texts_without_arrays_of_all(spark):
